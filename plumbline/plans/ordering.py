@@ -23,7 +23,7 @@ def facets(t):
 
 _ISSUES = f"""WITH f AS (SELECT * FROM v_tool_calls WHERE NOT success QUALIFY row_number() OVER (PARTITION BY execution_id ORDER BY attempt DESC, started_at DESC, call_id DESC) = 1),
   n AS (SELECT * FROM v_feedback WHERE direction = -1 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY created_at DESC, feedback_id DESC) = 1),
-  x AS (SELECT m.message_id, m.created_at AS at, CASE WHEN f.call_id IS NOT NULL THEN 'tool_error' ELSE 'negative_feedback' END AS issue_type,
+  x AS (SELECT m.message_id, m.created_at AS seen, CASE WHEN f.call_id IS NOT NULL THEN 'tool_error' ELSE 'negative_feedback' END AS issue_type,
     left(CASE WHEN f.call_id IS NOT NULL THEN coalesce(nullif(split_part(f.error_text, chr(10), 1), ''), 'Error') ELSE coalesce(nullif(split_part(n.note, chr(10), 1), ''), 'Negative feedback') END, 140) AS summary,
     f.tool_name, coalesce(u.user_name, 'Unknown User') AS user_name
     FROM v_messages m LEFT JOIN f ON f.execution_id = cast(floor(m.message_id / 5) AS BIGINT) LEFT JOIN n ON n.message_id = m.message_id LEFT JOIN v_users u ON u.user_id = m.user_id
@@ -37,8 +37,8 @@ def _issues(t, kind, number):
 
 def _issues_sql(where, offset, upto):
     return _ISSUES + f""", y AS (SELECT * FROM x WHERE {where}), n2 AS (SELECT count(*) AS total FROM y)
-  SELECT message_id, strftime(at, '%Y-%m-%d %H:%M:%S') AS created_at, issue_type, summary, tool_name, user_name, total, cast(ceil(total / 50) AS BIGINT) AS total_pages, total > {upto} AS has_more
-  FROM y, n2 ORDER BY at DESC, message_id DESC LIMIT 50 OFFSET {offset}"""
+  SELECT message_id, strftime(seen, '%Y-%m-%d %H:%M:%S') AS created_at, issue_type, summary, tool_name, user_name, total, cast(ceil(total / 50) AS BIGINT) AS total_pages, total > {upto} AS has_more
+  FROM y, n2 ORDER BY seen DESC, message_id DESC LIMIT 50 OFFSET {offset}"""
 
 
 query("issues", _issues_sql("true", 50, 100))(lambda t: _issues(t, "all", 2))

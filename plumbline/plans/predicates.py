@@ -93,10 +93,10 @@ def f_store(t):
     return filters.store_filter(t("documents"), chosen, {"language": "lang"}).select("doc_id")
 
 
-@query("f_name_patterns", """SELECT table_id, table_name FROM v_catalog WHERE regexp_matches(table_name, '(?i)(?:^|[./])large_ring_100$')
-  OR regexp_matches(table_name, '(?i)economy.*_1[0-9]$') OR table_name = 'large_ring_100' """)
+@query("f_name_patterns", """SELECT table_id, table_name FROM v_catalog WHERE regexp_matches(table_name, '(?i)(?:^|[./])small_ring_0$')
+  OR regexp_matches(table_name, '(?i)(economy|promo)\\..*_1[0-9]*$') OR table_name = 'small_ring_0' """)
 def f_name_patterns(t):
-    return filters.match_names(t("v_catalog"), "table_name", ["large_ring_100", "economy.*_1[0-9]$", "bad("]).select("table_id", "table_name")
+    return filters.match_names(t("v_catalog"), "table_name", ["small_ring_0", "(economy|promo)\\..*_1[0-9]*$", "bad("]).select("table_id", "table_name")
 
 
 @query("f_multi_search", """WITH h AS (SELECT item_id, category FROM v_guidance WHERE regexp_matches(text, '(?i)then\\s+and|retition') OR regexp_matches(category, '(?i)then\\s+and|retition')
@@ -123,9 +123,8 @@ def f_soft_scope(t):
     return filters.soft_scope(t("v_catalog"), "table_id", "overlay", overlay, active=True).select("table_id")
 
 
-@query("f_parent_or_child", """SELECT report_id FROM v_reports WHERE title ILIKE '%report 7%' OR report_id IN (SELECT report_id FROM v_executions e JOIN v_tool_calls c USING (execution_id)
-  WHERE error_text ILIKE '%line 35%' OR step_title ILIKE '%line 35%')""")
+@query("f_parent_or_child", """SELECT report_id FROM v_reports WHERE title ILIKE '%35%' OR report_id IN (SELECT report_id FROM v_executions e JOIN v_tool_calls c USING (execution_id)
+  WHERE error_text ILIKE '%35%' OR step_title ILIKE '%35%')""")
 def f_parent_or_child(t):
     children = t("v_executions").select("execution_id", "report_id").join(t("v_tool_calls"), "execution_id")
-    return filters.parent_or_child(t("v_reports"), children, "report_id", "title", ["error_text", "step_title"], "line 35") \
-        .select("report_id").unionByName(t("v_reports").where(F.ilike("title", F.lit("%report 7%"))).select("report_id")).distinct()
+    return filters.parent_or_child(t("v_reports"), children, "report_id", "title", ["error_text", "step_title"], "35").select("report_id")
