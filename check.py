@@ -23,7 +23,8 @@ def main(argv: list[str]) -> int:
     if fams and not names:
         for f in fams:
             importlib.import_module(f"plumbline.plans.{f}")
-        build, sqls = dict(registry._BUILDERS), dict(registry._ORACLES)
+        mods = {f"plumbline.plans.{f}" for f in fams}
+        build, sqls = {n: fn for n, fn in registry._BUILDERS.items() if fn.__module__ in mods}, dict(registry._ORACLES)
         build = {n: (lambda s, d, fn=fn: fn(registry.Tables(s, d))) for n, fn in build.items()}
     else:
         build, sqls = registry.builders(), registry.oracles()
