@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.spread import running_total
+from .rowwise import first_json_object
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -49,15 +51,16 @@ def column_label(name) -> Column:
     return F.array_join(F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " ")
 
 
-def safe_name(name, fallback: str = "data") -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(_c(name), "[^A-Za-z0-9_]", "_"), "^_+|_+$", "")
+def safe_name(name, fallback: str = "table") -> Column:
+    cleaned = F.lower(F.regexp_replace(F.regexp_replace(_c(name), "[^a-zA-Z0-9_]+", "_"), "^_+|_+$", ""))
     return F.when(cleaned == "", fallback).otherwise(cleaned)
 
 
 def number_duplicates(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
-    """Suffix repeats of ``name`` with ``_1``, ``_2`` ... in the given order."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_n").cast("string")))).drop("_n")
+    """Suffix repeats of ``name`` with ``_2``, ``_3`` ... in the given order, however often it repeats."""
+    ranked = running_total(df.withColumn("_one", F.lit(1)), [name], [F.col(order)], "_one", "_nth")
+    label = F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_nth").cast("string")))
+    return ranked.withColumn(out, label).drop("_one", "_nth")
 
 
 def db_of_table(name) -> Column:
@@ -68,8 +71,8 @@ def db_of_table(name) -> Column:
 def table_of_source(source) -> Column:
     """Table of ``db.table.col``, ``table.col`` or ``f(db.table.col)``."""
     s = _c(source)
-    inner = F.when(s.contains("("), F.regexp_extract(s, r"\(([^)]*)\)", 1)).otherwise(s)
-    parts = F.split(F.trim(inner), "\\.")
+    inner = F.when(s.rlike(r"\(.*?\)"), F.regexp_extract(s, r"\((.*?)\)", 1)).otherwise(s)
+    parts = F.split(inner, "\\.")
     return F.when(F.size(parts) >= 3, F.concat_ws(".", parts[0], parts[1])).when(F.size(parts) == 2, parts[0])
 
 
@@ -77,24 +80,46 @@ def content_hash(value) -> Column:
     return F.sha2(F.coalesce(_c(value), F.lit("")), 256)
 
 
+FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n?"
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _lead_paragraph(lines: Column) -> Column:
+    """First run of plain lines joined by spaces, ending after 200 characters."""
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
+
+    def step(acc, line):
+        text, done = acc["text"], acc["done"]
+        started, gap = text != "", (line == "") | line.startswith("#")
+        joined = F.when(started, F.concat(text, F.lit(" "), line)).otherwise(line)
+        skip = done | gap | (~started & line.startswith("---"))
+        return F.struct(F.when(skip, text).otherwise(joined).alias("text"),
+                        (done | (gap & started) | (~skip & (F.length(joined) > 200))).alias("done"))
+
+    return F.aggregate(lines, start, step, lambda acc: acc["text"])
+
+
 def front_matter(value) -> Column:
     """struct(front, body, title, description) of a markdown text."""
     v = F.coalesce(_c(value), F.lit(""))
-    pattern = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
-    has = v.rlike(pattern)
-    body = F.when(has, F.regexp_replace(v, pattern, "")).otherwise(v)
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), F.trim), lambda p: (p != "") & ~p.startswith("#"))
-    flat = F.regexp_replace(F.try_element_at(paragraphs, F.lit(1)), r"\s+", " ")
+    has = v.rlike(FRONT_MATTER)
+    body = F.when(has, F.regexp_replace(v, FRONT_MATTER, "")).otherwise(v)
+    lines = F.transform(F.split(body, "\n"), _strip)
+    head = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ")), F.lit(1))
+    lead = _lead_paragraph(lines)
     return F.struct(
-        F.when(has, F.regexp_extract(v, pattern, 1)).alias("front"), body.alias("body"),
-        F.nullif(F.trim(F.regexp_extract(body, r"(?m)^# +(.+)$", 1)), F.lit("")).alias("title"),
-        F.substring(flat, 1, 300).alias("description"))
+        F.when(has, F.regexp_extract(v, FRONT_MATTER, 1)).alias("front"), body.alias("body"),
+        _strip(F.substring(head, 3, 1 << 30)).alias("title"),
+        F.nullif(F.when(F.length(lead) > 300, F.concat(F.substring(lead, 1, 297), F.lit("..."))).otherwise(lead), F.lit("")).alias("description"))
 
 
 def ref_names(value, call: str = "ref") -> Column:
     """Distinct literal arguments of ``call("x")`` in first-seen order."""
     v = F.coalesce(_c(value), F.lit(""))
-    return F.array_distinct(F.regexp_extract_all(v, F.lit(rf"\b{call}\(\s*['\"]([^'\"]+)['\"]\s*\)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(v, F.lit(rf"{call}\(\s*['\"]([^'\"]+)['\"]\s*\)"), F.lit(1)))
 
 
 def ref_edges(df: DataFrame, key: str, code: str, call: str = "ref") -> DataFrame:
@@ -143,35 +168,46 @@ def flatten_output(df: DataFrame, parse: dict[str, str] | None = None) -> DataFr
 def json_object_in(value) -> Column:
     """The JSON object inside plain, fenced or prose-wrapped text, else null.
 
-    Candidates, first valid one wins: whole text, a fenced block, then the
-    stretch from the first to the last brace.
+    Whole text and fenced block are tried on the JVM; only what is left goes to
+    the Python decoder, which takes the first object after the first brace.
     """
     v = F.coalesce(_c(value), F.lit(""))
-    fenced = F.regexp_extract(v, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(v, r"(?s)\{.*\}", 0)
+    bare = F.regexp_replace(F.regexp_replace(_strip(v), r"^\s*```(?:[A-Za-z0-9_\-]+)?\s*\r?\n", ""), r"(?m)^\s*```\s*$", "")
     valid = lambda c: F.when(F.ltrim(c).startswith("{"), F.to_json(F.try_parse_json(c)))
-    return F.coalesce(valid(F.trim(v)), valid(fenced), valid(braces))
+    quick = F.coalesce(valid(v), valid(bare))
+    return F.coalesce(quick, F.to_json(F.try_parse_json(first_json_object(F.when(quick.isNull() & F.contains(bare, F.lit("{")), bare)))))
 
 
-# Names that look like tables in front of a dot or bracket but are functions.
-SQL_FUNCTIONS = ("sum", "avg", "count", "min", "max", "coalesce", "cast", "round", "date_trunc", "lower", "upper")
+# Words in front of a dot that are SQL, not tables.
+SQL_WORDS = ("sum", "avg", "min", "max", "count", "concat", "lower", "upper", "coalesce", "substring", "trim",
+             "case", "when", "then", "else", "end")
+IDENT = "[A-Za-z_][A-Za-z0-9_]*"
 
 
 def lineage_refs(expression) -> Column:
     """array<struct<table,column>> of an expression.
 
-    ``a.b.c`` names table ``a.b``; ``b.c`` names table ``b`` unless ``c`` is the
-    table of a longer reference; function names are skipped.
+    ``a.b.c`` names column ``c`` of table ``b``; ``b.c`` names table ``b`` unless
+    ``c`` is the table of a longer reference; SQL words are no tables.
     """
     s = F.coalesce(_c(expression), F.lit(""))
-    ident = r"[A-Za-z_][A-Za-z0-9_]*"
-    triples = F.regexp_extract_all(s, F.lit(rf"\b{ident}\.{ident}\.{ident}\b"), F.lit(0))
-    rest = F.regexp_replace(s, rf"\b{ident}\.{ident}\.{ident}\b", " ")
-    doubles = F.regexp_extract_all(rest, F.lit(rf"\b{ident}\.{ident}\b"), F.lit(0))
     part = lambda t, i: F.split(t, "\\.")[i]
+    pair = lambda t, i: F.struct(part(t, i).alias("table"), part(t, i + 1).alias("column"))
+    triples = F.regexp_extract_all(s, F.lit(rf"{IDENT}\.{IDENT}\.{IDENT}"), F.lit(0))
+    doubles = F.regexp_extract_all(s, F.lit(rf"{IDENT}\.{IDENT}"), F.lit(0))
     tables = F.transform(triples, lambda t: part(t, 1))
-    long = F.transform(triples, lambda t: F.struct(F.concat_ws(".", part(t, 0), part(t, 1)).alias("table"), part(t, 2).alias("column")))
-    short = F.transform(
-        F.filter(doubles, lambda d: ~F.array_contains(tables, part(d, 1)) & ~F.lower(part(d, 0)).isin(*SQL_FUNCTIONS)),
-        lambda d: F.struct(part(d, 0).alias("table"), part(d, 1).alias("column")))
-    return F.array_distinct(F.concat(long, short))
+    plain = F.filter(doubles, lambda d: ~F.array_contains(tables, part(d, 1)) & ~F.lower(part(d, 0)).isin(*SQL_WORDS))
+    return F.array_distinct(F.concat(F.transform(triples, lambda t: pair(t, 1)), F.transform(plain, lambda d: pair(d, 0))))
+
+
+def lineage_resolve(refs: DataFrame, catalog: DataFrame, keys: list[str], only_source=None) -> DataFrame:
+    """Column sets per referenced table; the single source fills gaps, unknown tables of a known source drop out.
+
+    ``refs(*keys, source_id, table, column)``; ``catalog(source_id, table_name, table_id)``.
+    """
+    source = F.coalesce("source_id", F.lit(only_source)) if only_source is not None else F.col("source_id")
+    grouped = refs.groupBy(*keys, source.alias("source_id"), F.lower("table").alias("table_name")).agg(
+        F.array_sort(F.collect_set("column")).alias("columns"))
+    known = catalog.select("source_id", F.lower("table_name").alias("table_name"), "table_id")
+    out = grouped.join(known, ["source_id", "table_name"], "left")
+    return out.where(F.col("source_id").isNull() | F.col("table_id").isNotNull())

@@ -22,11 +22,9 @@ def file_scan(t):
 
 @query("paged_scan", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def paged_scan(t):
-    """Pages of 4096 rows over the orders file, each task fetching its own range."""
-    size = 4096
-    pages = t("orders").count() // size + 1
-    return remote.paged_scan(t.spark, "plumbline.sources.remote:parquet_page", "o_orderkey bigint, o_totalprice double, o_orderstatus string",
-                             pages, pages_per_task=2, path=t.path("orders"), pageSize=size)
+    """Pages are the row groups of the orders file, fetched by the tasks."""
+    fetch, pages = remote.row_group_pages(t.path("orders"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    return remote.paged_scan(t.spark, fetch, "o_orderkey bigint, o_totalprice double, o_orderstatus string", pages)
 
 
 def _docs(t):
@@ -56,7 +54,7 @@ MONTHLY = """SELECT date_format(o_orderdate, 'yyyy-MM') AS m, o_orderstatus AS k
 
 
 @query("report_flatten", """WITH g AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_orderstatus AS k, sum(cast(o_totalprice AS DECIMAL(18,2))) AS cost, count(*) AS n FROM orders GROUP BY 1, 2)
-  SELECT m AS "TimePeriod.Start", m || '-28' AS "TimePeriod.End", k AS STATUS, cast(cost AS VARCHAR) AS "Cost.Amount", 'USD' AS "Cost.Unit", cast(n AS VARCHAR) AS "Usage.Amount", 'N/A' AS "Usage.Unit" FROM g
+  SELECT m AS timeperiod_start, m || '-28' AS timeperiod_end, k AS status, cast(cost AS VARCHAR) AS cost_amount, 'USD' AS cost_unit, cast(n AS VARCHAR) AS usage_amount, 'N/A' AS usage_unit FROM g
   UNION ALL SELECT m, m || '-28', NULL, cast(sum(cost) AS VARCHAR), 'USD', NULL, NULL FROM g GROUP BY 1""")
 def report_flatten(t):
     metric = lambda c, u: F.struct(F.col(c).cast("string").alias("Amount"), F.lit(u).alias("Unit"))
@@ -64,7 +62,8 @@ def report_flatten(t):
     response = by_key.groupBy("m").agg(F.collect_list("g").alias("groups"), F.sum("cost").alias("cost"))  # one entry per order status
     response = response.select(F.col("m").alias("period_start"), F.concat("m", F.lit("-28")).alias("period_end"), "groups",
                                F.create_map(F.lit("Cost"), metric("cost", "USD")).alias("total"))
-    return reports.report_flatten(response, ["STATUS"], ["Cost", "Usage"])
+    flat = reports.report_flatten(response, ["STATUS"], ["Cost", "Usage"])
+    return flat.toDF(*[c.replace(".", "_").lower() for c in flat.columns])
 
 
 @query("header_rows_zip", """SELECT cast(floor(c_custkey / 100) AS BIGINT) AS page, cast(c_custkey AS VARCHAR) AS id, c_name AS name, NULL::VARCHAR AS missing FROM customer""")
@@ -154,7 +153,7 @@ def grid_info(t):
 @query("repo_scan")
 def repo_scan(t):
     root = shared_dir(t.spark, "tree")
-    t("documents").select("doc_id", "lang", "text").write.partitionBy("lang").json(f"{root}/models")
+    t("documents").select("doc_id", "lang", "text").write.option("maxRecordsPerFile", 20).partitionBy("lang").json(f"{root}/models")
     t("pages").select(F.concat(F.lit("models: "), "url").alias("value")).write.text(f"{root}/node_modules/x.txt")
     return files.repo_scan(t.spark, root, "tree").select("path", "content_hash", "size_bytes", "extension", "resource_type")
 

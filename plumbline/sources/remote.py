@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import importlib
 import sys
+import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -42,19 +43,17 @@ class _Page(InputPartition):
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, schema: T.StructType, options: dict):
-        self.schema, self.options = schema, options
+    def __init__(self, fetch, schema: T.StructType, options: dict):
+        self.fetch, self.schema, self.options = fetch, schema, options
 
     def partitions(self):
-        pages, per = int(self.options["pages"]), int(self.options.get("pagesPerTask", "1"))
+        pages, per = int(self.options["pages"]), int(self.options["pagesPerTask"])
         return [_Page(i, min(i + per, pages)) for i in range(0, pages, per)]
 
     def read(self, partition):
-        module, _, name = self.options["fetcher"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
         names = self.schema.fieldNames()
         for number in range(partition.first, partition.last):
-            got = fetch(number, dict(self.options))
+            got = self.fetch(number)
             if isinstance(got, pa.Table):
                 yield from got.select(names).to_batches()
             elif isinstance(got, pa.RecordBatch):
@@ -64,34 +63,31 @@ class _PagedReader(DataSourceReader):
                     yield tuple(row.get(n) for n in names)
 
 
-class PagedSource(DataSource):
-    """``spark.read.format("paged")``: page ranges become tasks.
+def paged_scan(spark: SparkSession, fetch: Callable[[int], object], schema: str | T.StructType, pages: int, pages_per_task: int = 1) -> DataFrame:
+    """Read a paged source in parallel: page ranges become tasks.
 
-    Options: ``fetcher`` (``module:function(page, options)`` giving row dicts or
-    Arrow data), ``pages`` and ``pagesPerTask``.
+    ``fetch(page)`` gives row dicts, an Arrow table or a record batch; it runs
+    on the executors and travels by value.
     """
+    label = f"paged_{uuid.uuid4().hex}"
 
-    @classmethod
-    def name(cls):
-        return "paged"
+    class Paged(DataSource):
+        @classmethod
+        def name(cls):
+            return label
 
-    def reader(self, schema):
-        return _PagedReader(schema, dict(self.options))
+        def reader(self, schema):
+            return _PagedReader(fetch, schema, {"pages": pages, "pagesPerTask": pages_per_task})
 
+    spark.dataSource.register(Paged)
+    return spark.read.format(label).schema(schema).load()
 
-def paged_scan(spark: SparkSession, fetcher: str, schema: str | T.StructType, pages: int, pages_per_task: int = 1, **options) -> DataFrame:
-    spark.dataSource.register(PagedSource)
-    reader = spark.read.format("paged").schema(schema).option("fetcher", fetcher).option("pages", pages).option("pagesPerTask", pages_per_task)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.load()
 
-
-def parquet_page(page: int, options: dict):
-    """Fetcher over one parquet file: page ``i`` holds rows ``[i*size, (i+1)*size)``."""
+def row_group_pages(path: str, columns: list[str]) -> tuple[Callable[[int], pa.Table], int]:
+    """A fetcher whose pages are the row groups of parquet files, and their number."""
     import pyarrow.dataset as ds
 
-    size = int(options["pagesize"] if "pagesize" in options else options["pageSize"])
-    data = ds.dataset(options["path"])
-    stop = min((page + 1) * size, data.count_rows())
-    return data.take(list(range(page * size, stop)))
+    def groups():
+        return [g for f in ds.dataset(path).get_fragments() for g in f.split_by_row_group()]
+
+    return (lambda page: groups()[page].to_table(columns=columns)), len(groups())
