@@ -22,14 +22,14 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: s
     The range partitioning is written out first: its partition numbers must
     not change if an executor is lost.
     """
-    placed = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
+    placed = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_rt_pid", F.spark_partition_id())
     placed = cut_lineage(placed)
-    parts = placed.groupBy(*keys, "_pid").agg(F.sum(amount).alias("_part"))
-    before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.withColumn("_before", F.coalesce(F.sum("_part").over(before), F.lit(0))).drop("_part")
-    within = W.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = placed.withColumn("_run", F.sum(amount).over(within))
-    return summed.join(offsets, [*keys, "_pid"]).withColumn(out, F.col("_run") + F.col("_before")).drop("_run", "_before", "_pid")
+    parts = placed.groupBy(*keys, "_rt_pid").agg(F.sum(amount).alias("_rt_part"))
+    before = W.partitionBy(*keys).orderBy("_rt_pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.withColumn("_rt_before", F.coalesce(F.sum("_rt_part").over(before), F.lit(0))).drop("_rt_part")
+    within = W.partitionBy("_rt_pid", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = placed.withColumn("_rt_run", F.sum(amount).over(within))
+    return summed.join(offsets, [*keys, "_rt_pid"]).withColumn(out, F.col("_rt_run") + F.col("_rt_before")).drop("_rt_run", "_rt_before", "_rt_pid")
 
 
 def time_slices(df: DataFrame, ts: str, seconds: int) -> DataFrame:
