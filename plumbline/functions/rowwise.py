@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_small
 
 # workers need not have this package installed: ship these helpers by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -164,7 +164,7 @@ PAGE_FIELDS = "title string, description string, metadata map<string,string>, js
 
 
 def html_extract(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row per page, in Arrow batches; no shuffle."""
+    """One row per page, in Arrow batches; no shuffle of a large table."""
     def run(batches):
         for pdf in batches:
             parts = pd.DataFrame([page_parts(h) for h in pdf[html]], columns=["title", "description", "metadata", "json_ld", "headings", "text"])
@@ -172,7 +172,7 @@ def html_extract(pages: DataFrame, key: str, html: str) -> DataFrame:
             yield parts
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {PAGE_FIELDS}")
+    return spread_small(pages.select(key, html)).mapInPandas(run, f"{key} {kind}, {PAGE_FIELDS}")
 
 
 def _as_list(x):
@@ -240,7 +240,7 @@ def semantic_files(files: DataFrame, key: str = "path", text: str = "text", exte
             yield pd.DataFrame(rows, columns=[key, "kind", "name", "description", "column", "data_type", "tests"])
 
     wanted = files.where(F.col(extension).isin(".yml", ".yaml", ".tds"))
-    return wanted.select(key, text, extension).mapInPandas(
+    return spread_small(wanted.select(key, text, extension)).mapInPandas(
         run, f"{key} string, kind string, name string, description string, column string, data_type string, tests string")
 
 
@@ -292,5 +292,5 @@ def text_hunks(revisions: DataFrame, key: str, base: str, proposed: str, main: s
             yield out
 
     kind = revisions.schema[key].dataType.simpleString()
-    return revisions.select(key, base, proposed, main).mapInPandas(
+    return spread_small(revisions.select(key, base, proposed, main)).mapInPandas(
         run, f"{key} {kind}, hunk int, hunk_key string, before string, after string, state string, start bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,17 +40,33 @@ def tokens(text) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two sets; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    """Shared share of two sets (arrays without repeats); 0 when both are empty."""
+    return F.when((F.size(a) > 0) | (F.size(b) > 0), _overlap(F.size(a), F.size(b), F.size(F.array_intersect(a, b)))).otherwise(F.lit(0.0))
+
+
+def _overlap(na: Column, nb: Column, both: Column) -> Column:
+    return both / (na + nb - both)
+
 
+def keyword_score(text, words: list[str]) -> Column:
+    """max(jaccard, 0.8 x share of query words of 3+ letters found anywhere in the text).
 
-def keyword_score(text, query: Column) -> Column:
-    """max(jaccard, 0.8 x share of query words of 3+ letters found anywhere in the text)."""
+    The text is split once: its size and the hits come from one array.
+    """
+    if not words:
+        return F.lit(0.0)
     low = F.lower(F.coalesce(_c(text), F.lit("")))
-    found = F.size(F.filter(query, lambda w: (F.length(w) >= 3) & F.contains(low, w)))
-    score = F.greatest(jaccard(query, keywords(text)), found / F.size(query) * 0.8)
-    return F.when((F.size(query) > 0) & (low != ""), score).otherwise(F.lit(0.0))
+    query = F.array(*[F.lit(w) for w in words])
+    counts = F.transform(F.array(keywords(text)), lambda kw: F.struct(F.size(kw).alias("n"), F.size(F.array_intersect(query, kw)).alias("both")))[0]
+    exact = F.transform(F.array(counts), lambda c: _overlap(F.lit(len(words)), c["n"], c["both"]))[0]
+    found = sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words if len(w) >= 3), F.lit(0))
+    return F.when(low != "", F.greatest(exact, found / len(words) * 0.8)).otherwise(F.lit(0.0))
+
+
+def query_words(query: str | None) -> list[str]:
+    """Distinct keywords of a question, in order."""
+    found = re.split("[^a-z0-9]+", (query or "").lower())
+    return list(dict.fromkeys(w for w in found if len(w) >= 2 and w not in KEYWORD_STOPS))
 
 
 def age_days(now: Column, then) -> Column:

@@ -64,10 +64,16 @@ def pie(df: DataFrame, key: str, value: str, order: str, fn: str | None = None)
     return rows.groupBy("name").agg(reduce_values(F.col("value"), fn, F.col("_pos")).alias("value"), F.min("_pos").alias("first_pos"))
 
 
+MAX_SERIES = 10_000
+
+
 def group_labels(df: DataFrame, group: str, order: str) -> list[str]:
     """Non-empty group labels by first appearance: the chart's legend, so bounded metadata."""
     seen = df.select(label(df, group).alias("g"), F.col(order).alias("o")).where("g <> ''").groupBy("g").agg(F.min("o").alias("o"))
-    return [r["g"] for r in seen.orderBy("o", "g").collect()]
+    found = [r["g"] for r in seen.orderBy("o", "g").limit(MAX_SERIES + 1).collect()]
+    if len(found) > MAX_SERIES:
+        raise ValueError(f"{group} has more than {MAX_SERIES} values: not a series")
+    return found
 
 
 def matrix(df: DataFrame, x: str, group: str, value: str, order: str, fn_of=None, groups: list[str] | None = None) -> DataFrame:

@@ -83,11 +83,11 @@ def cost_by(rows: DataFrame, group_by: str, *, users=None, report_source=None, s
         fallback = F.when(F.col("user_id").isNull(), "Unattributed").otherwise("Unknown user")
         part = part.withColumns({"key": F.coalesce(_text("user_id"), unattributed), "label": F.coalesce("user_name", fallback)})
     elif group_by == "data_source":
-        part = _sums(rows, "report_id", "provider").join(report_source, "report_id", "left")
-        part = _sums(part, "source_id", "provider", merged=True).join(sources, "source_id", "left")
-        part = part.withColumns({"key": F.coalesce(_text("source_id"), unattributed), "label": F.coalesce("source_name", F.lit("Unattributed"))})
+        part = fan_out(_sums(rows, "report_id", "provider"), report_source, "report_id", "source_id")
+        part = _sums(part, "source_id", "provider", merged=True).join(sources.withColumn("source_id", _text("source_id")), "source_id", "left")
+        part = part.withColumns({"key": F.col("source_id"), "label": F.coalesce("source_name", F.lit("Unattributed"))})
     elif group_by == "group":
-        part = _sums(rows, "user_id", "provider").join(group_membership, "user_id", "left")
+        part = fan_out(_sums(rows, "user_id", "provider"), group_membership, "user_id", "group_id")
         part = _sums(part, "group_id", "provider", merged=True).join(groups, "group_id", "left")
         key = F.when(F.col("group_name").isNull(), unattributed).otherwise(F.col("group_id"))
         part = part.withColumns({"key": key, "label": F.coalesce("group_name", F.lit("Unattributed"))})
@@ -111,8 +111,14 @@ def usage_by_model(rows: DataFrame) -> DataFrame:
 
 
 def fan_out(facts: DataFrame, bridge: DataFrame, on: str, key: str) -> DataFrame:
-    """Give each record to every linked key; unlinked ones to the unattributed bucket."""
-    return facts.join(bridge, on, "left").withColumn(key, F.coalesce(_text(key), F.lit(UNATTRIBUTED)))
+    """Give each record to every linked key; unlinked ones to the unattributed bucket.
+
+    An inner join plus the unlinked rest: unlike in an outer join, a hot key may
+    be split on either side when it runs.
+    """
+    linked = facts.join(bridge, on).withColumn(key, F.coalesce(_text(key), F.lit(UNATTRIBUTED)))
+    rest = facts.join(bridge.select(on).distinct(), on, "left_anti").withColumn(key, F.lit(UNATTRIBUTED))
+    return linked.unionByName(rest, allowMissingColumns=True)
 
 
 def in_range(rows: DataFrame, start, end) -> DataFrame:

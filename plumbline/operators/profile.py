@@ -2,16 +2,17 @@
 
 Counts and moments come from one aggregation; distinct counts and modes from a
 (column, value) frequency table, whose shuffle is pre-aggregated; quartiles are
-exact and found by narrowing to one value bucket, never by collecting a column.
+exact and found by narrowing to the rows around each rank, never by collecting a column.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spread import running_total
+
 
 def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
@@ -68,36 +69,40 @@ def value_counts(df: DataFrame) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(df: DataFrame, probs: list[float], buckets: int = 1024) -> DataFrame:
+SKETCH_ACCURACY, SKETCH_MARGIN = 10_000, 5e-4  # the sketch errs by at most 1/accuracy of the rows
+
+
+def exact_quantiles(df: DataFrame, probs: list[float]) -> DataFrame:
     """(column, prob, value) with linear interpolation for number and time columns.
 
-    A sketch only places the bucket borders; ranks are exact.  Rows collapse to
-    (value, n) first, so a repeated value weighs one row, and just the buckets
-    holding a wanted rank are sorted.
+    A sketch brackets every wanted rank; counting what lies below the bracket is
+    plain arithmetic, and only the rows inside it (a thousandth of the table)
+    are collapsed to (value, n) and ranked by a spread running total.
     """
     fields = [f for f in df.schema.fields if _is_number(f.dataType) or _is_time(f.dataType)]
-    spark = df.sparkSession
-    if not fields:
-        return spark.createDataFrame([], "column string, prob double, value double")
-    pairs = [F.struct(F.lit(f.name).alias("column"), F.when(~_missing(f), _number(f)).alias("v")) for f in fields]
-    counts = df.select(F.inline(F.array(*pairs))).where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.percentile_approx("v", [i / buckets for i in range(buckets + 1)], 10 * buckets)
-    borders = counts.groupBy("column").agg(cuts.alias("cuts"), F.sum("n").alias("total"))
-    placed = counts.join(borders, "column").withColumn("bucket", F.size(F.filter("cuts", lambda b: b < F.col("v"))))
-    sums = placed.groupBy("column", "bucket").agg(F.sum("n").alias("bn"), F.max("total").alias("total"))
-    upto = W.partitionBy("column").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("bn").over(upto), F.lit(0)))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("total") - 1)).alias("pos")) for p in probs])
-    ranks = sums.withColumn("w", F.explode(wanted)).select(
-        "column", "bucket", "before", "bn", F.col("w.prob").alias("prob"), F.col("w.pos").alias("pos"),
-        F.explode(F.array(F.floor("w.pos"), F.ceil("w.pos"))).alias("rank"))
-    ranks = ranks.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("bn"))).distinct()
-    needed = placed.join(ranks.select("column", "bucket", "before").distinct(), ["column", "bucket"])
-    inner = W.partitionBy("column", "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    located = needed.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inner), F.lit(0))).select("column", "bucket", "v", "n", "start")
-    at = ranks.drop("before", "bn").join(located, ["column", "bucket"]).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-    lo, hi = F.min_by("v", "rank"), F.max_by("v", "rank")
-    return at.groupBy("column", "prob").agg((lo + (hi - lo) * F.max(F.col("pos") - F.floor("pos"))).alias("value"))
+    if not fields or not probs:
+        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
+    nums = df.select(*[F.when(~_missing(f), _number(f)).alias(f"v{i}") for i, f in enumerate(fields)])
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    cuts = nums.agg(*[F.percentile_approx(f"v{i}", ends, SKETCH_ACCURACY).alias(f"q{i}") for i in range(len(fields))],
+                    *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(fields))]).first()  # two numbers per column and rank
+    spans = [(i, p, cuts[f"q{i}"][2 * j], cuts[f"q{i}"][2 * j + 1], cuts[f"n{i}"])
+             for i in range(len(fields)) for j, p in enumerate(probs) if cuts[f"n{i}"]]
+    if not spans:
+        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
+    below = nums.agg(*[F.count_if(F.col(f"v{i}") < lo).alias(f"b{k}") for k, (i, _, lo, _, _) in enumerate(spans)]).first()
+    inside = F.array(*[F.when(F.col(f"v{i}").between(lo, hi), F.struct(F.lit(k).alias("span"), F.col(f"v{i}").alias("v")))
+                       for k, (i, _, lo, hi, _) in enumerate(spans)])
+    near = nums.select(F.inline(F.array_compact(inside))).groupBy("span", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(near, ["span"], [F.col("v")], "n", "upto")
+    facts = df.sparkSession.createDataFrame(
+        [(k, fields[i].name, float(p), below[f"b{k}"], p * (n - 1)) for k, (i, p, _, _, n) in enumerate(spans)],
+        "span int, column string, prob double, below bigint, pos double")
+    upto, start = F.col("upto") + F.col("below"), F.col("upto") + F.col("below") - F.col("n")
+    holds = lambda rank: (rank >= start) & (rank < upto)
+    at = placed.join(facts, "span").where(holds(F.floor("pos")) | holds(F.ceil("pos")))
+    lo, hi, part = F.min("v"), F.max("v"), F.max(F.col("pos") - F.floor("pos"))
+    return at.groupBy("column", "prob").agg((lo + (hi - lo) * part).alias("value"))
 
 
 def table_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions.ranges import ts
 from ..functions.text import content_hash, error_summary
+from ..session import spread_small
 
 CANDIDATES = 50  # most recent snippets looked at before scoring
 SEMANTIC_WEIGHT = 0.35
@@ -51,7 +52,7 @@ def snippet_success(usage, steps, feedback, target: list[str], now: dt.datetime,
     ``usage`` are per-step counters, ``steps(step_id, columns)`` the successful ones.
     """
     rows = _with_semantic(_verdicts(_candidates(usage, steps, n), feedback), semantic)
-    col = sim.jaccard(F.array(*[F.lit(t) for t in target]), F.col("columns"))
+    col = sim.jaccard(F.array(*[F.lit(t) for t in target]), F.array_distinct("columns"))
     rate = F.when(F.col("attempts") > 0, F.col("successes") / F.col("attempts")).otherwise(0.0)
     score = (_similarity(col, F.col("semantic"), 0.55) + 0.20 * rate + 0.20 * (F.col("positive") - F.col("negative"))
              + 0.05 * sim.recency(ts(now), "last_used_at"))
@@ -61,7 +62,7 @@ def snippet_success(usage, steps, feedback, target: list[str], now: dt.datetime,
 def snippet_failed(usage, steps, feedback, target: list[str], now: dt.datetime, semantic: DataFrame | None = None, n: int = CANDIDATES) -> DataFrame:
     """Failed snippets worth showing as warnings; ``steps(step_id, columns, error_text)``."""
     rows = _with_semantic(_verdicts(_candidates(usage, steps, n), feedback), semantic)
-    col = sim.jaccard(F.array(*[F.lit(t) for t in target]), F.col("columns"))
+    col = sim.jaccard(F.array(*[F.lit(t) for t in target]), F.array_distinct("columns"))
     rate = F.round(F.when(F.col("attempts") > 0, F.col("failures") / F.col("attempts")).otherwise(0.0), 4)
     penalty = F.greatest(F.lit(0), F.col("positive") - F.col("negative"))
     score = (_similarity(col, F.col("semantic"), 0.60) + 0.20 * sim.recency(ts(now), "last_used_at")
@@ -90,8 +91,8 @@ def guidance_search(items: DataFrame, query: str, limit: int, categories: list[s
     """
     rows = items.where(F.col("category").isin(*categories)) if categories else items
     always = F.col("load_mode") == "always"
-    words = sim.keywords(F.lit(query or ""))
-    score = sim.keyword_score("text", words)
+    rows = spread_small(rows)
+    score = sim.keyword_score("text", sim.query_words(query))
     if semantic is not None:
         rows = rows.join(semantic.select("item_id", "semantic"), "item_id", "left")
         score = sim.blend(score, F.col("semantic"))
@@ -148,11 +149,11 @@ def impact(prompts: DataFrame, text: str, words: list[str], newest: str, key: st
                        F.transform(top, lambda s: s["k"]).alias("samples"))
 
 
-def related(items: DataFrame, query: str, words: list[str], exclude, limit: int, semantic: DataFrame | None = None) -> DataFrame:
+def related(items: DataFrame, words: list[str], exclude, limit: int, semantic: DataFrame | None = None) -> DataFrame:
     """Items holding any query token, ranked by token overlap, blended with a semantic score if given."""
     low = F.lower(F.coalesce("text", F.lit("")))
     mine = F.array(*[F.lit(w) for w in words])
-    rows = items.where(F.exists(mine, lambda w: F.contains(low, w)))
+    rows = spread_small(items).where(F.exists(mine, lambda w: F.contains(low, w)))
     rows = rows if exclude is None else rows.where(F.col("item_id") != exclude)
     score = sim.jaccard(mine, sim.tokens("text"))
     if semantic is not None:

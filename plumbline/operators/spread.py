@@ -6,6 +6,8 @@ be worked on by many tasks; both give exact results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +31,10 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: s
     offsets = parts.withColumn("_rt_before", F.coalesce(F.sum("_rt_part").over(before), F.lit(0))).drop("_rt_part")
     within = W.partitionBy("_rt_pid", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = placed.withColumn("_rt_run", F.sum(amount).over(within))
-    return summed.join(offsets, [*keys, "_rt_pid"]).withColumn(out, F.col("_rt_run") + F.col("_rt_before")).drop("_rt_run", "_rt_before", "_rt_pid")
+    named = {k: f"_rt_k{i}" for i, k in enumerate(["_rt_pid", *keys])}
+    other = offsets.select(*[F.col(k).alias(n) for k, n in named.items()], "_rt_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])  # a null key is a key
+    return summed.join(other, same).withColumn(out, F.col("_rt_run") + F.col("_rt_before")).select(*df.columns, out)
 
 
 def time_slices(df: DataFrame, ts: str, seconds: int) -> DataFrame:

@@ -24,8 +24,8 @@ def schema_drift(t):
 
 
 EXISTING = """SELECT p_partkey AS row_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey END AS link_id, 'tab_' || cast(p_partkey % 700 AS string) AS name,
-  p_partkey % 3 = 0 AS is_active, 'old' AS signature FROM {part} WHERE p_partkey % 11 <> 2"""
-INCOMING = """SELECT p_partkey AS table_id, 'tab_' || cast(p_partkey % 700 AS string) AS name, 'new' AS signature FROM {part} WHERE p_partkey % 5 <> 1 AND p_partkey % 14 <> 0"""
+  p_partkey % 3 = 0 AS is_active, 'old' AS signature FROM {part} WHERE p_size <> 2"""
+INCOMING = """SELECT p_partkey AS table_id, 'tab_' || cast(p_partkey % 700 AS string) AS name, 'new' AS signature FROM {part} WHERE p_size <> 7 AND p_brand <> 'Brand#3'"""
 
 
 @query("catalog_sync", f"""WITH e AS ({EXISTING.format(part='part')}), i AS ({INCOMING.format(part='part')}),
@@ -70,10 +70,10 @@ def additive_superset(t):
     return superseded(rows, "doc_id", "rev", "pending", "base").where("superseded").select("doc_id", "rev")
 
 
-@query("ds_overlap", """SELECT report_id FROM v_report_source GROUP BY 1 HAVING bool_or(source_id IN (3, 5))""")
+@query("ds_overlap", """SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'ring'])""")
 def ds_overlap(t):
-    items = t("v_report_source").groupBy("report_id").agg(F.collect_set("source_id").alias("sources"))
-    return catalog.ds_overlap(items, "sources", [3, 5]).select("report_id")
+    items = t("part").withColumn("sources", F.split("p_name", " "))
+    return catalog.ds_overlap(items, "sources", ["red", "ring"]).select("p_partkey")
 
 
 @query("stratified_pick", """WITH c AS (SELECT *, split_part(table_name, '.', 1) AS schema_name FROM v_catalog),

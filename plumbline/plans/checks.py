@@ -27,15 +27,12 @@ def m_number(t):
     return t.sql(NUMBER_RULES).select("event_id", rules.match_number(F.col("op"), F.col("v"), F.lit("20")).alias("passed"))
 
 
-@query("m_list", """WITH l AS (SELECT report_id, list(source_id::VARCHAR) AS s FROM v_report_source GROUP BY 1) SELECT r.report_id, CASE r.report_id % 3 WHEN 0 THEN coalesce(list_has_any(s, ['1', '2', '3']), false) WHEN 1 THEN coalesce(list_has_all(s, ['7']), false) ELSE true END AS passed
-  FROM v_reports r LEFT JOIN l USING (report_id)""")
+@query("m_list", """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN list_has_any(string_split(p_name, ' '), ['red', 'ring']) WHEN 1 THEN list_has_all(string_split(p_name, ' '), ['small', 'ring']) ELSE true END AS passed FROM part""")
 def m_list(t):
-    have = t("v_report_source").groupBy("report_id").agg(F.collect_set(F.col("source_id").cast("string")).alias("sources"))
-    k = F.col("report_id") % 3
+    k, words = F.col("p_size") % 3, lambda *ws: F.array(*[F.lit(w) for w in ws])
     kind = F.when(k == 1, "list.contains_all").otherwise("list.contains_any")
-    wanted = F.when(k == 0, F.array(F.lit("1"), F.lit("2"), F.lit("3"))).when(k == 1, F.array(F.lit("7"))).otherwise(F.array().cast("array<string>"))
-    rows = t("v_reports").select("report_id").join(have, "report_id", "left")
-    return rows.select("report_id", rules.match_list(kind, F.col("sources"), wanted).alias("passed"))
+    wanted = F.when(k == 0, words("red", "ring")).when(k == 1, words("small", "ring")).otherwise(F.array().cast("array<string>"))
+    return t("part").select("p_partkey", rules.match_list(kind, F.split("p_name", " "), wanted).alias("passed"))
 
 
 @query("m_length", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN length(text) > 300 WHEN 1 THEN length(text) <= 300 ELSE len(string_split(text, ' ')) >= 40 END AS passed FROM conversations""")

@@ -28,9 +28,9 @@ def j_semi_scope(t):
 
 
 @query("j_fanout", """SELECT coalesce(cast(source_id AS VARCHAR), '__unattributed__') AS source_id, count(*) AS reports, round(sum(weight), 2) AS weight
-  FROM (SELECT * FROM v_reports) LEFT JOIN (SELECT * FROM v_report_source WHERE source_id % 2 = 0) USING (report_id) GROUP BY 1""")
+  FROM (SELECT * FROM v_reports) LEFT JOIN v_report_source USING (report_id) GROUP BY 1""")
 def j_fanout(t):
-    out = cost.fan_out(t("v_reports"), t("v_report_source").where("source_id % 2 = 0"), "report_id", "source_id")
+    out = cost.fan_out(t("v_reports"), t("v_report_source"), "report_id", "source_id")
     return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("reports"), F.round(F.sum(F.col("weight").cast("decimal(18,2)")).cast("double"), 2).alias("weight"))
 
 

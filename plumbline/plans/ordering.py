@@ -47,10 +47,10 @@ query("issues_by_type", _issues_sql("issue_type = 'negative_feedback'", 0, 50))(
 
 @query("table_sort", """SELECT table_id, 'score' AS sorted_by FROM (SELECT * FROM v_catalog ORDER BY score DESC, table_name LIMIT 30)
   UNION ALL SELECT table_id, 'centrality' FROM (SELECT * FROM v_catalog ORDER BY in_degree + out_degree + centrality DESC, table_name LIMIT 30)
-  UNION ALL SELECT table_id, 'usage' FROM (SELECT * FROM v_catalog LEFT JOIN (SELECT l_partkey AS table_id, count(*) AS uses FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) USING (table_id) ORDER BY uses DESC NULLS LAST, table_name LIMIT 30)
+  UNION ALL SELECT table_id, 'usage' FROM (SELECT * FROM v_catalog LEFT JOIN (SELECT l_partkey AS table_id, count(*) AS uses FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (table_id) ORDER BY uses DESC NULLS LAST, table_name LIMIT 30)
   UNION ALL SELECT table_id, 'name' FROM (SELECT * FROM v_catalog ORDER BY table_name LIMIT 30)""")
 def table_sort(t):
-    uses = t("lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_partkey").alias("table_id")).agg(F.count(F.lit(1)).alias("uses"))
+    uses = t("lineitem").where("l_quantity > 49").groupBy(F.col("l_partkey").alias("table_id")).agg(F.count(F.lit(1)).alias("uses"))
     catalog = t("v_catalog")
     with_uses = catalog.join(uses, "table_id", "left")
     parts = [paging.sort_tables(with_uses if by == "usage" else catalog, by, 30).select("table_id", F.lit(by).alias("sorted_by")) for by in ("score", "centrality", "usage", "name")]

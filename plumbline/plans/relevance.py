@@ -38,9 +38,9 @@ def table_score(t):
 
 STEP_COLS = """SELECT step_id, array('c' || cast(step_id % 7 AS string), 'c' || cast(step_id % 5 AS string), 'k') AS columns, 'Bad  column' || cast(step_id AS string) || chr(10) || 'line' AS error_text FROM {v_steps} WHERE status = '@'"""
 _U = """u AS (SELECT step_id, max(used_at) AS lu, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS bad, count(*) AS n FROM v_table_usage WHERE used_at >= TIMESTAMP '1997-06-01' AND used_at <= TIMESTAMP '1998-06-01' {extra} GROUP BY 1),
-  c AS (SELECT u.*, ['c' || (step_id % 7), 'c' || (step_id % 5), 'k'] AS cols FROM u JOIN v_steps USING (step_id) WHERE status = '{status}' ORDER BY lu DESC, step_id LIMIT 50),
+  c AS (SELECT u.*, ['c' || (step_id % 7), 'c' || (step_id % 5), 'k'] AS cols, payload FROM u JOIN v_steps USING (step_id) WHERE status = '{status}' ORDER BY lu DESC, step_id LIMIT 50),
   f AS (SELECT event_id % 15000 AS step_id, count(*) FILTER (event_id % 2 = 0) AS pos, count(*) FILTER (event_id % 2 = 1) AS neg FROM events GROUP BY 1),
-  x AS (SELECT c.*, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, CASE WHEN step_id % 3 = 0 THEN NULL ELSE (step_id % 10) / 10 END AS sem FROM c LEFT JOIN f USING (step_id))"""
+  x AS (SELECT c.*, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, CASE WHEN payload > 100000 THEN (step_id % 10) / 10 END AS sem FROM c LEFT JOIN f USING (step_id))"""
 TARGET = ["c1", "c2", "k"]
 _COL = jac("['c1', 'c2', 'k']", "list_distinct(cols)")
 
@@ -50,7 +50,7 @@ def _snippet_inputs(t, status, usage=None):
     per = counters.snippet_usage(used)
     steps = t.sql(STEP_COLS.replace("@", status))
     fb = t("events").select((F.col("event_id") % 15000).alias("step_id"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"))
-    sem = t("v_steps").where("step_id % 3 <> 0").select("step_id", ((F.col("step_id") % 10) / 10).alias("semantic"))
+    sem = t("v_steps").where("payload > 100000").select("step_id", ((F.col("step_id") % 10) / 10).alias("semantic"))
     return per, steps, fb, sem
 
 
@@ -107,13 +107,13 @@ def guidance_search(t):
     return ranking.guidance_search(t("v_guidance"), "reading then heron tion", 100, [f"src{i}" for i in range(1, 7)])
 
 
-@query("changed_only_embed", """SELECT doc_id AS item_id, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'kept' END AS action FROM documents""")
+@query("changed_only_embed", """SELECT doc_id AS item_id, sha256(coalesce(text, '')) AS hash, CASE WHEN lang = 'en' THEN 'new' WHEN source < 'src15' THEN 'changed' ELSE 'kept' END AS action FROM documents""")
 def changed_only_embed(t):
-    index = t("documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 4 == 1, F.sha2(F.lit("old"), 256)).otherwise(F.sha2("text", 256)).alias("hash"))
+    index = t("documents").where("lang <> 'en'").select(F.col("doc_id").alias("item_id"), F.when(F.col("source") < "src15", F.sha2(F.lit("old"), 256)).otherwise(F.sha2("text", 256)).alias("hash"))
     return ranking.changed_only(t("documents").select(F.col("doc_id").alias("item_id"), "text"), index).select("item_id", "hash", "action")
 
 
-@query("index_upsert", """SELECT doc_id AS item_id, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 4 IN (0, 1) THEN length(text)::DOUBLE ELSE -1 END AS first_value FROM documents""")
+@query("index_upsert", """SELECT doc_id AS item_id, sha256(coalesce(text, '')) AS hash, CASE WHEN lang = 'en' OR source < 'src15' THEN length(text)::DOUBLE ELSE -1 END AS first_value FROM documents""")
 def index_upsert(t):
     """Changed texts get a vector from an injected function, here one that holds the text length."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -122,8 +122,8 @@ def index_upsert(t):
 
     embed.func.__annotations__.clear()
     items = t("documents").select(F.col("doc_id").alias("item_id"), "text")
-    stored = F.when(F.col("doc_id") % 4 == 1, F.sha2(F.lit("old"), 256)).otherwise(F.sha2("text", 256))
-    index = t("documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("item_id"), stored.alias("hash"), F.array(F.lit(-1.0)).alias("embedding"))
+    stored = F.when(F.col("source") < "src15", F.sha2(F.lit("old"), 256)).otherwise(F.sha2("text", 256))
+    index = t("documents").where("lang <> 'en'").select(F.col("doc_id").alias("item_id"), stored.alias("hash"), F.array(F.lit(-1.0)).alias("embedding"))
     return ranking.index_texts(items, index, embed).select("item_id", "hash", F.col("embedding")[0].alias("first_value"))
 
 
@@ -140,9 +140,9 @@ def impact(t):
     return out.withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
 
 
-@query("related", f"""WITH k AS (SELECT doc_id AS item_id, {tok('text')} AS ws FROM documents WHERE (contains(lower(text), 'heron') OR contains(lower(text), 'then')) AND doc_id <> 3)
-  SELECT item_id, round(0.5 * {jac('ws', "['heron', 'then']")} + 0.5 * coalesce(CASE WHEN item_id % 2 = 0 THEN (item_id % 10) / 10 END, 0), 9) AS score FROM k ORDER BY score DESC, item_id LIMIT 60""")
+@query("related", f"""WITH k AS (SELECT doc_id AS item_id, lang, {tok('text')} AS ws FROM documents WHERE (contains(lower(text), 'heron') OR contains(lower(text), 'then')) AND doc_id <> 3)
+  SELECT item_id, round(0.5 * {jac('ws', "['heron', 'then']")} + 0.5 * coalesce(CASE WHEN lang = 'en' THEN (item_id % 10) / 10 END, 0), 9) AS score FROM k ORDER BY score DESC, item_id LIMIT 60""")
 def related(t):
     items = t("documents").select(F.col("doc_id").alias("item_id"), "text")
-    sem = t("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), ((F.col("doc_id") % 10) / 10).alias("semantic"))
-    return ranking.related(items, "heron then", ["heron", "then"], 3, 60, sem)
+    sem = t("documents").where("lang = 'en'").select(F.col("doc_id").alias("item_id"), ((F.col("doc_id") % 10) / 10).alias("semantic"))
+    return ranking.related(items, ["heron", "then"], 3, 60, sem)

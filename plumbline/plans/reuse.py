@@ -8,9 +8,9 @@ from ..sources import snapshots
 from .registry import query
 
 
-@query("handle_sql", "SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+@query("handle_sql", "SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
 def handle_sql(t):
-    return reuse.handle_sql(t("orders").where("o_orderkey % 2 = 0"), "SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 2) AS top FROM data GROUP BY 1")
+    return reuse.handle_sql(t("orders").where("o_totalprice > 100000"), "SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 2) AS top FROM data GROUP BY 1")
 
 
 @query("handle_basics", "SELECT count(*) AS rows, 6 AS columns, true AS has_bytes, 10 AS head FROM orders")
@@ -101,14 +101,14 @@ def saved_resolve(t):
     return reuse.saved_resolve(t("v_saved_refs"), t("v_saved"))
 
 
-@query("published_resolve", """WITH e AS (SELECT doc_id, source || '-' || lang AS slug, text FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT unnest(['4', 'SRC7-en', 'then', 'nothing at all here']) AS ref),
+@query("published_resolve", """WITH e AS (SELECT doc_id, source || '-' || lang AS slug, text FROM documents WHERE lang <> 'fr'), r AS (SELECT unnest(['4', 'SRC7-en', 'then', 'nothing at all here']) AS ref),
   m AS (SELECT ref, doc_id, CASE WHEN cast(doc_id AS VARCHAR) = ref THEN 1 WHEN lower(slug) = lower(ref) THEN 2 WHEN lower('T ' || slug) = lower(ref) THEN 3
     WHEN contains(lower('T ' || slug), lower(ref)) OR contains(lower(slug), lower(ref)) OR contains(lower(text), lower(ref)) THEN 4 END AS rk FROM r, e)
   SELECT ref, arg_min(doc_id, (rk, doc_id)) AS entity_id FROM m WHERE rk IS NOT NULL GROUP BY 1""")
 def published_resolve(t):
     slug = F.concat_ws("-", "source", "lang")
     entities = t("documents").select(F.col("doc_id").alias("entity_id"), slug.alias("slug"), F.concat(F.lit("T "), slug).alias("title"), F.col("text").alias("description"),
-                                     F.when(F.col("doc_id") % 3 == 0, "draft").otherwise("published").alias("status"))
+                                     F.when(F.col("lang") == "fr", "draft").otherwise("published").alias("status"))
     return reuse.resolve_published(entities, ["4", "SRC7-en", "then", "nothing at all here"])
 
 

@@ -125,11 +125,12 @@ def result_budget(t):
     return t.spark.createDataFrame(out, "attempt string, rows bigint, accepted boolean")
 
 
-@query("csv_export")
+@query("csv_export", """SELECT 'event_id,quoted,nested,value' AS value UNION ALL SELECT event_id || ',"say ""hi"", ' || event_type || '","{""k"":' || json_extract_string(props, '$.k') || '}",'
+  || CASE WHEN event_id % 2 = 1 THEN '' WHEN value = floor(value) THEN cast(cast(value AS BIGINT) AS VARCHAR) ELSE cast(value AS VARCHAR) END FROM events""")
 def csv_export(t):
     df = t("events").select("event_id", F.concat(F.lit('say "hi", '), "event_type").alias("quoted"), F.from_json("props", "k int").alias("nested"),
                             F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("value"))
-    return t.spark.read.option("lineSep", "\n").text(snapshots.csv_export(df, shared_dir(t.spark, "csv")))
+    return t.spark.read.option("lineSep", "\r\n").text(snapshots.csv_export(df, shared_dir(t.spark, "csv")))
 
 
 @query("grid_roundtrip", """SELECT 'capped' AS grid, o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS d FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)

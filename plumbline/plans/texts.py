@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import ranges, rowwise, similarity, text
-from ..session import shared_dir
+from ..session import shared_dir, spread_small
 from .registry import query
 
 _STOPS = ", ".join(f"'{w}'" for w in similarity.KEYWORD_STOPS)
@@ -24,12 +24,12 @@ def jac(a, b):
 
 @query("keywords", f"SELECT doc_id, array_to_string(list_sort({kw('text')}), ' ') AS words FROM documents")
 def keywords(t):
-    return t("documents").select("doc_id", F.array_join(F.array_sort(similarity.keywords("text")), " ").alias("words"))
+    return spread_small(t("documents")).select("doc_id", F.array_join(F.array_sort(similarity.keywords("text")), " ").alias("words"))
 
 
 @query("tokens", f"SELECT doc_id, array_to_string(list_sort({tok('text')}), ' ') AS words FROM documents")
 def tokens(t):
-    return t("documents").select("doc_id", F.array_join(F.array_sort(similarity.tokens("text")), " ").alias("words"))
+    return spread_small(t("documents")).select("doc_id", F.array_join(F.array_sort(similarity.tokens("text")), " ").alias("words"))
 
 
 ASK = "the reading of then heron and stand tion"
@@ -38,13 +38,15 @@ _ASKED = "['reading', 'then', 'heron', 'stand', 'tion']"
 
 @query("jaccard", f"WITH k AS (SELECT doc_id, {kw('text')} AS ws FROM documents) SELECT doc_id, round({jac('ws', _ASKED)}, 9) AS score FROM k")
 def jaccard(t):
-    return t("documents").select("doc_id", F.round(similarity.jaccard(similarity.keywords(F.lit(ASK)), similarity.keywords("text")), 9).alias("score"))
+    asked = F.array(*[F.lit(w) for w in similarity.query_words(ASK)])
+    rows = spread_small(t("documents")).withColumn("words", similarity.keywords("text"))
+    return rows.select("doc_id", F.round(similarity.jaccard(asked, F.col("words")), 9).alias("score"))
 
 
 @query("keyword_score", f"""WITH k AS (SELECT doc_id, text, {kw('text')} AS ws FROM documents)
   SELECT doc_id, round(greatest({jac('ws', _ASKED)}, len(list_filter({_ASKED}, lambda w: contains(lower(text), w))) / 5 * 0.8), 9) AS score FROM k""")
 def keyword_score(t):
-    return t("documents").select("doc_id", F.round(similarity.keyword_score("text", similarity.keywords(F.lit(ASK))), 9).alias("score"))
+    return spread_small(t("documents")).select("doc_id", F.round(similarity.keyword_score("text", similarity.query_words(ASK)), 9).alias("score"))
 
 
 @query("recency", """SELECT event_id, round(pow(2.718281828::DOUBLE, -coalesce(greatest(epoch_us(TIMESTAMP '2024-01-20') - epoch_us(u), 0) / 86400e6, 365) / 14), 9) AS table_recency,

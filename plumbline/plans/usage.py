@@ -1,6 +1,7 @@
 """Queries for spend, activity, quality and counters (AGG, WIN-01/02/05/06)."""
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ def spend_rows(t: Tables):
 
 
 def _cost_by(t, key):
-    dims = {n: t(f"v_{n}") for n in ("users", "report_source", "sources", "group_membership", "groups")}
-    return cost.cost_by(spend_rows(t), key, **dims)
+    dims = {"user": ("users",), "data_source": ("report_source", "sources"), "group": ("group_membership", "groups")}
+    return cost.cost_by(spend_rows(t), key, **{n: t(f"v_{n}") for n in dims.get(key, ())})
 
 
 def _cost_oracle(source, key, label):
@@ -44,7 +45,7 @@ def _cost_oracle(source, key, label):
 
 
 _UN = "'__unattributed__'"
-for _key, _sql in {
+_COST_SQL = {
     "model": _cost_oracle("priced", "cast(model_id AS VARCHAR)", "model_name"),
     "provider": _cost_oracle("priced", "provider", "upper(provider[1]) || provider[2:]"),
     "scope": _cost_oracle("priced", "coalesce(scope, 'unscoped')", "coalesce(scope, 'unscoped')"),
@@ -54,10 +55,18 @@ for _key, _sql in {
                                 f"coalesce(cast(source_id AS VARCHAR), {_UN})", "coalesce(source_name, 'Unattributed')"),
     "group": _cost_oracle("priced LEFT JOIN v_group_membership USING (user_id) LEFT JOIN v_groups USING (group_id)",
                           f"CASE WHEN group_name IS NULL THEN {_UN} ELSE group_id END", "coalesce(group_name, 'Unattributed')"),
-}.items():
+}
+for _key, _sql in _COST_SQL.items():
     query(f"cost_by_{_key}", _sql)(lambda t, k=_key: _cost_by(t, k))
 
 
+@query("cost_by", f"WITH {PRICED} " + " UNION ALL ".join(f"SELECT '{k}' AS group_by, * FROM ({q[len('WITH ') + len(PRICED):]})" for k, q in _COST_SQL.items()))
+def cost_by(t):
+    """All six breakdowns as one table."""
+    parts = [_cost_by(t, k).withColumn("group_by", F.lit(k)) for k in _COST_SQL]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("token_cost", f"""WITH {PRICED} SELECT provider, model_id, cast(count(*) AS BIGINT) AS n, cast(sum(input_cost) AS DOUBLE) AS input_cost,
   cast(sum(output_cost) AS DOUBLE) AS output_cost, cast(max(input_cost) AS DOUBLE) AS dearest FROM priced GROUP BY 1, 2""")
 def token_cost(t):
@@ -373,10 +382,10 @@ def run_rollup(t):
 
 
 @query("child_counts", """SELECT r.report_id, coalesce(m.n, 0) AS messages, coalesce(e.n, 0) AS executions FROM v_reports r
-  LEFT JOIN (SELECT report_id, count(*) AS n FROM v_messages WHERE message_id % 10 <> 0 GROUP BY 1) m USING (report_id)
+  LEFT JOIN (SELECT report_id, count(*) AS n FROM v_messages WHERE response_score IS NOT NULL GROUP BY 1) m USING (report_id)
   LEFT JOIN (SELECT report_id, count(*) AS n FROM v_executions WHERE status <> 'error' GROUP BY 1) e USING (report_id)""")
 def child_counts(t):
-    live = t("v_messages").where("message_id % 10 <> 0")
+    live = t("v_messages").where("response_score IS NOT NULL")
     return counters.child_counts(t("v_reports").select("report_id"), "report_id", {"messages": live, "executions": t("v_executions").where("status <> 'error'")})
 
 

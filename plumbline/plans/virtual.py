@@ -74,10 +74,10 @@ SELECT event_id AS call_id, cast(floor(event_id / 5) AS bigint) AS execution_id,
        props
 FROM {events}""",
     "v_executions": """
-SELECT cast(floor(event_id / 5) AS bigint) AS execution_id, event_id AS message_id, event_id % 97 AS report_id,
-       user_id, ts AS started_at,
-       CASE WHEN event_id % 15 = 0 THEN 'error' WHEN event_id % 20 = 0 THEN 'in_progress' ELSE 'success' END AS status
-FROM {events} WHERE event_id % 5 = 0""",
+SELECT execution_id, message_id, message_id % 97 AS report_id, user_id, started_at,
+       CASE WHEN message_id % 15 = 0 THEN 'error' WHEN message_id % 20 = 0 THEN 'in_progress' ELSE 'success' END AS status
+FROM (SELECT cast(floor(event_id / 5) AS bigint) AS execution_id, min(event_id) AS message_id, min(user_id) AS user_id, min(ts) AS started_at
+      FROM {events} GROUP BY cast(floor(event_id / 5) AS bigint)) x""",
     "v_turns": "SELECT conv_id, turn, role, text FROM {conversations}",
     "v_mixed": """
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Abc' WHEN 3 THEN cast(user_id AS string)
@@ -106,18 +106,18 @@ SELECT 'db' || cast(event_id % 3 AS string) || '.Brand#' || cast(1 + user_id % 2
 FROM {events} WHERE event_type <> 'error'""",
     # ---- catalog ----------------------------------------------------------
     "v_columns_old": """
-SELECT lower(p_type) || '.t' || cast(p_partkey AS string) AS table_name, 'c' || cast(k.r_regionkey AS string) AS col_name,
-       CASE WHEN (p_partkey + k.r_regionkey) % 2 = 0 THEN 'bigint' ELSE 'string' END AS dtype,
-       k.r_regionkey AS position, p_partkey AS table_id
-FROM {part} JOIN {region} k ON k.r_regionkey <= p_size % 5
-WHERE p_partkey % 9 <> 4""",
+SELECT DISTINCT lower(p_type) || '.t' || cast(p_partkey AS string) AS table_name, 'c' || cast(l_linenumber AS string) AS col_name,
+       CASE WHEN (p_partkey + l_linenumber) % 2 = 0 THEN 'bigint' ELSE 'string' END AS dtype,
+       l_linenumber AS position, p_partkey AS table_id
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+WHERE p_size <> 4 AND l_quantity < 10""",
     "v_columns_new": """
-SELECT lower(p_type) || '.t' || cast(p_partkey AS string) AS table_name, 'c' || cast(k.r_regionkey AS string) AS col_name,
-       CASE WHEN p_partkey % 8 = 3 AND k.r_regionkey = 0 THEN 'double'
-            WHEN (p_partkey + k.r_regionkey) % 2 = 0 THEN 'bigint' ELSE 'string' END AS dtype,
-       4 - k.r_regionkey AS position, p_partkey AS table_id
-FROM {part} JOIN {region} k ON k.r_regionkey <= (p_size + CASE WHEN p_partkey % 10 = 7 THEN 1 ELSE 0 END) % 5
-WHERE p_partkey % 9 <> 5""",
+SELECT DISTINCT lower(p_type) || '.t' || cast(p_partkey AS string) AS table_name, 'c' || cast(l_linenumber AS string) AS col_name,
+       CASE WHEN p_type = 'ECONOMY' AND l_linenumber = 1 THEN 'double'
+            WHEN (p_partkey + l_linenumber) % 2 = 0 THEN 'bigint' ELSE 'string' END AS dtype,
+       8 - l_linenumber AS position, p_partkey AS table_id
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+WHERE p_size <> 5 AND (l_quantity < 10 OR (p_brand = 'Brand#7' AND l_quantity < 14))""",
     "v_catalog": """
 SELECT p_partkey AS table_id, lower(p_type) || '.' || replace(p_name, ' ', '_') || '_' || cast(p_partkey AS string) AS table_name,
        p_size AS n_columns, p_partkey % 3 <> 0 AS is_active, 'conn' || cast(p_partkey % 3 AS string) AS connection,
@@ -172,7 +172,7 @@ FROM {events}""",
 SELECT 'user' AS level, c_custkey AS policy_id, c_custkey AS principal_id,
        CASE WHEN c_custkey % 2 = 0 THEN 50 ELSE NULL END AS max_queries,
        cast(1000 + c_custkey AS bigint) AS max_bytes, cast(NULL AS bigint) AS max_tokens
-FROM {customer} WHERE c_custkey % 5 = 0
+FROM {customer} WHERE c_mktsegment = 'BUILDING'
 UNION ALL
 SELECT 'group' AS level, 1000000 + n_nationkey AS policy_id, n_nationkey AS principal_id,
        40 + n_nationkey AS max_queries, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE cast(2000 + n_nationkey AS bigint) END AS max_bytes,
@@ -184,13 +184,16 @@ SELECT 'role' AS level, 2000000 + r_regionkey AS policy_id, r_regionkey AS princ
 FROM {region} WHERE r_regionkey < 3""",
     "v_principals": """
 SELECT c.c_custkey AS user_id, 'user' AS level, c.c_custkey AS principal_id FROM {customer} c
-UNION ALL SELECT c.c_custkey AS user_id, 'group' AS level, c.c_nationkey AS principal_id FROM {customer} c WHERE c.c_custkey % 4 <> 3
+UNION ALL SELECT c.c_custkey AS user_id, 'group' AS level, c.c_nationkey AS principal_id FROM {customer} c WHERE c.c_acctbal > 0
 UNION ALL SELECT c.c_custkey AS user_id, 'role' AS level, n.n_regionkey AS principal_id
-FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey % 6 <> 5""",
+FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal < 8000""",
     "v_policy_overrides": """
-SELECT n.n_nationkey + 1000000 AS policy_id, cast(s.r_regionkey AS bigint) AS connection_id,
-       CASE WHEN s.r_regionkey = 0 THEN 12 ELSE NULL END AS max_queries, cast(120 + s.r_regionkey AS bigint) AS max_bytes
-FROM {nation} n JOIN {region} s ON s.r_regionkey < 2 AND n.n_nationkey % 2 = 0""",
+SELECT n_nationkey + 1000000 AS policy_id, cast(n_nationkey % 2 AS bigint) AS connection_id,
+       CASE WHEN n_nationkey % 2 = 0 THEN 12 ELSE NULL END AS max_queries, cast(120 + n_nationkey % 2 AS bigint) AS max_bytes
+FROM {nation} WHERE n_regionkey < 3
+UNION ALL
+SELECT n_nationkey + 1000000 AS policy_id, cast(1 AS bigint) AS connection_id, NULL AS max_queries, cast(121 AS bigint) AS max_bytes
+FROM {nation} WHERE n_regionkey = 0 AND n_nationkey % 2 = 0""",
     "v_quota_events": """
 SELECT event_id, user_id, event_id % 2 AS connection_id, ts,
        cast(1 AS bigint) AS queries, cast(floor(value) AS bigint) AS bytes

@@ -45,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, "cut")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer splits than the cluster has cores.
+
+    For work that is heavy per row on a table of a few files.  A table with
+    more splits than cores, so any large one, is returned unchanged: at most
+    cores x split size is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

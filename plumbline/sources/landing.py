@@ -42,8 +42,9 @@ def infer_column_types(df: DataFrame, tags: dict[str, str] | None = None) -> Dat
     aggs, items = [], []
     for i, name in enumerate(df.columns):
         c = F.trim(F.col(f"`{name}`"))
-        aggs += [F.count(c).alias(f"n{i}"), F.bool_and(c.rlike(r"^[+-]?\d+$")).alias(f"i{i}"),
-                 F.bool_and(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")).alias(f"d{i}")]
+        # one pattern per cell: an integer has nothing after its digits
+        rest = F.regexp_extract(c, r"^[+-]?(?:\d+(\.?\d*(?:[eE][+-]?\d+)?)|(\.\d+(?:[eE][+-]?\d+)?))$", 0)
+        aggs += [F.count(c).alias(f"n{i}"), F.bool_and(F.translate(c, "+-0123456789", "") == "").alias(f"i{i}"), F.bool_and(rest != "").alias(f"d{i}")]
         numeric = (F.col(f"n{i}") > 0) & F.col(f"d{i}")
         tag = tags.get(name)
         kind = F.when(~numeric, "text").when(F.lit(tag in ("timestamp", "time", "date")), F.lit(tag)).when(F.col(f"i{i}"), "int").otherwise("double")

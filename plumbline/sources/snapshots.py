@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coerce import js_string
+
 # Default result limits.
 MAX_ROWS = 50_000_000
 MAX_BYTES = 8 * 1024**3
@@ -57,17 +59,24 @@ def budgeted_snapshot(df: DataFrame, path: str, max_rows: int = MAX_ROWS, max_by
 
 
 def csv_export(df: DataFrame, path: str, columns: list[str] | None = None) -> str:
-    """RFC 4180 CSV with CRLF; nested cells as JSON, null as nothing.
+    """RFC 4180 CSV: UTF-8 with byte-order mark, CRLF, quotes doubled, nested cells as JSON, null as nothing.
 
-    Part files carry a header each and no byte-order mark: it would end up in
-    the middle once parts are joined.
+    Cells are quoted by expressions because the CSV writer would also rewrite
+    line breaks inside a cell.  The header is a part of its own that sorts
+    first, so the parts joined in name order are the file.
     """
     nested = (T.StructType, T.ArrayType, T.MapType)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    cells = [F.to_json(c).alias(c) if isinstance(kinds[c], nested) else F.col(c) for c in columns or df.columns]
-    (df.select(*cells).write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    names = columns or df.columns
+
+    def cell(c: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(F.when(c.rlike(r'[",\r\n]'), quoted).otherwise(c), F.lit(""))
+
+    texts = [F.to_json(n) if isinstance(kinds[n], nested) else js_string(F.col(f"`{n}`"), kinds[n], "sql") for n in names]
+    lines = df.select(F.concat_ws(",", *[cell(c) for c in texts]).alias("value"))
+    head = df.sparkSession.range(1).select(F.concat(F.lit("\ufeff"), F.concat_ws(",", *[cell(F.lit(n)) for n in names])).alias("value"))
+    head.coalesce(1).union(lines).write.mode("errorifexists").option("lineSep", "\r\n").text(path)
     return path
 
 
