@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranges import day_spine, previous_period, ts, whole_days, within
+from ..functions.text import json_text
+from .spread import running_total
 
 SCORES = ("instructions_effectiveness", "context_effectiveness", "response_score")
 
@@ -244,7 +246,39 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def execution_summary(executions, calls, feedback, n: int = 5) -> DataFrame:
+def head_prompts(messages: DataFrame, cut: int = 140) -> DataFrame:
+    """First user prompt per report, by an aggregate that needs no per-report order."""
+    first = F.min_by(F.struct(json_text("prompt").alias("p")), F.struct("created_at", "message_id"))
+    return messages.where("role = 'user'").groupBy("report_id").agg(first.alias("_f")).select(
+        "report_id", F.substring("_f.p", 1, cut).alias("head_prompt"))
+
+
+def prompts(executions: DataFrame, messages: DataFrame, cut: int = 200) -> DataFrame:
+    """Prompt per execution: that of its answer's parent, else the report's first one."""
+    child = messages.select("message_id", F.col("parent_id").alias("_parent"))
+    parent = messages.select(F.col("message_id").alias("_parent"), json_text("prompt").alias("_text"))
+    rows = executions.select("execution_id", "message_id", "report_id").join(child, "message_id", "left").join(parent, "_parent", "left")
+    rows = rows.join(head_prompts(messages, cut), "report_id", "left")
+    blank = F.trim(F.coalesce("_text", F.lit(""))) == ""
+    return rows.select("execution_id", F.substring(F.when(blank, F.coalesce("head_prompt", F.lit(""))).otherwise(F.col("_text")), 1, cut).alias("prompt"))
+
+
+def report_turns(executions, calls, feedback, messages, n: int = 6) -> DataFrame:
+    """Every execution as a turn of its report: number, prompt, status, counts, verdict.
+
+    Turn numbers come from a spread running count; the per-report counts of
+    failed and negative turns are aggregated and joined back.
+    """
+    turns = execution_summary(executions, calls, feedback, messages, n, cut=2000)
+    at = executions.select("execution_id", "report_id", "started_at").withColumn("_one", F.lit(1))
+    numbered = running_total(at, ["report_id"], [F.col("started_at"), F.col("execution_id")], "_one", "turn").drop("_one", "started_at")
+    rows = numbered.join(turns, "execution_id")
+    totals = rows.groupBy("report_id").agg(
+        F.count_if(F.col("status") == "error").alias("failed_turns"), F.count_if(F.col("feedback_status") == "negative").alias("negative_turns"))
+    return rows.join(totals, "report_id")
+
+
+def execution_summary(executions, calls, feedback, messages, n: int = 5, cut: int = 200) -> DataFrame:
     counts = calls.groupBy("execution_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("ok"))
     tools = first_distinct(calls, "execution_id", "tool_name", "started_at", n, SKIP_TOOLS)
     titles = first_distinct(calls, "execution_id", "step_title", "started_at", n)
@@ -252,11 +286,12 @@ def execution_summary(executions, calls, feedback, n: int = 5) -> DataFrame:
     d = F.coalesce("direction", F.lit(0))
     total, ok = F.coalesce("total", F.lit(0)), F.coalesce("ok", F.lit(0))
     failed = F.greatest(total - ok, F.lit(0))
-    joined = executions.join(counts, "execution_id", "left").join(tools, "execution_id", "left") \
+    asked = prompts(executions, messages, cut)
+    joined = executions.join(asked, "execution_id").join(counts, "execution_id", "left").join(tools, "execution_id", "left") \
         .join(titles, "execution_id", "left").join(last, "message_id", "left")
     empty = F.array().cast("array<string>")
     return joined.select(
-        "execution_id", total.alias("total_tools"), ok.alias("successful_tools"), failed.alias("failed_tools"),
+        "execution_id", "prompt", total.alias("total_tools"), ok.alias("successful_tools"), failed.alias("failed_tools"),
         F.when(failed > 0, "error").otherwise(F.coalesce("status", F.lit("success"))).alias("status"),
         F.when(d > 0, "positive").when(d < 0, "negative").otherwise("none").alias("feedback_status"),
         F.col("note").alias("feedback_note"), F.coalesce("tool_names", empty).alias("tool_names"),

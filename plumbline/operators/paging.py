@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.ranges import within
-from .activity import latest_per_key
+from .activity import head_prompts, latest_per_key
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -34,21 +34,29 @@ def facets(catalog: DataFrame) -> DataFrame:
 
 
 def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all", number: int = 1, size: int = 50) -> DataFrame:
-    """Messages with an issue: a failed tool first, else a negative verdict; paged, newest first."""
+    """Messages with an issue: a failed tool first, else a negative verdict; paged, newest first.
+
+    ``kind="all_queries"`` lists the others too, summed up by their own first line.
+    """
     first_fail = latest_per_key(failed_calls, "execution_id", [F.desc("attempt"), F.desc("started_at"), F.desc("call_id")]) \
         .select("execution_id", "tool_name", "error_text", F.lit(True).alias("_failed"))
     negative = latest_per_key(feedback.where("direction = -1"), "message_id", [F.desc("created_at"), F.desc("feedback_id")]) \
         .select("message_id", "note", F.lit(True).alias("_neg"))
     base = messages.where(within("created_at", start, end)).withColumn("execution_id", F.floor(F.col("message_id") / 5))
     rows = base.join(first_fail, "execution_id", "left").join(negative, "message_id", "left") \
-        .where(F.col("_failed") | F.col("_neg")).join(users, "user_id", "left")
+        .join(users, "user_id", "left").join(head_prompts(messages), "report_id", "left")
+    flagged = F.coalesce(F.col("_failed"), F.col("_neg"), F.lit(False))
+    rows = rows if kind == "all_queries" else rows.where(flagged)
     full = F.when(F.col("_failed"), F.coalesce("error_text", F.lit(""))).otherwise(F.coalesce("note", F.lit("")))
     summary = F.when(full == "", F.when(F.col("_failed"), "Error").otherwise("Negative feedback")).otherwise(text.first_line(full))
+    own = F.substring(text.first_line(F.trim(text.json_text("prompt"))), 1, 140)
+    own = F.when(own == "", F.concat(F.initcap("role"), F.lit(" Completion"))).otherwise(own)
+    issue = F.when(F.col("_failed"), "tool_error").when(F.col("_neg"), "negative_feedback").otherwise("no_issue")
     out = rows.select(
-        "message_id", "created_at", F.when(F.col("_failed"), "tool_error").otherwise("negative_feedback").alias("issue_type"),
-        F.substring(summary, 1, 140).alias("summary"), F.when(F.col("_failed"), F.col("tool_name")).alias("tool_name"),
+        "message_id", "created_at", issue.alias("issue_type"), F.when(flagged, summary).otherwise(own).alias("summary"),
+        F.coalesce("head_prompt", F.lit("")).alias("head_prompt"), F.when(F.col("_failed"), F.col("tool_name")).alias("tool_name"),
         F.coalesce("user_name", F.lit("Unknown User")).alias("user_name"))
-    out = out if kind == "all" else out.where(F.col("issue_type") == kind)
+    out = out if kind in ("all", "all_queries") else out.where(F.col("issue_type") == kind)
     return page(out, [F.desc("created_at"), F.desc("message_id")], number, size)
 
 

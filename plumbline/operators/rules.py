@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .spread import running_total
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -104,8 +105,9 @@ def ordering_rules(rules: DataFrame, calls: DataFrame) -> DataFrame:
     from a spread running count, then everything is keyed aggregation: no
     case's call list is ever gathered.
     """
-    placed = running_total(calls.select("case_id", "tool_name", "started_at", "call_id").withColumn("_one", F.lit(1)),
-                           ["case_id"], [F.col("started_at"), F.col("call_id")], "_one", "pos").drop("_one", "started_at", "call_id")
+    numbered = running_total(calls.select("case_id", "tool_name", "started_at", "call_id").withColumn("_one", F.lit(1)),
+                             ["case_id"], [F.col("started_at"), F.col("call_id")], "_one", "pos")
+    placed = cut_lineage(numbered.select("case_id", "tool_name", "pos"))  # read once per step below
     sizes = placed.groupBy("case_id").agg(F.max("pos").alias("n_calls"))
     wanted = rules.withColumn("n_wanted", F.size("sequence"))
     steps = wanted.select("rule_id", "case_id", "mode", "n_wanted", F.posexplode("sequence").alias("i", "tool_name"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paging
 from .registry import query
-from .usage import LIVE, LIVE_SQL
+from .usage import LIVE, LIVE_SQL, PROMPTS
 
 
 @query("page", """WITH n AS (SELECT count(*) AS total FROM v_catalog) SELECT table_id, score, total, cast(ceil(total / 25) AS BIGINT) AS total_pages, total > 75 AS has_more
@@ -21,13 +21,14 @@ def facets(t):
     return paging.facets(t("v_catalog"))
 
 
-_ISSUES = f"""WITH f AS (SELECT * FROM v_tool_calls WHERE NOT success QUALIFY row_number() OVER (PARTITION BY execution_id ORDER BY attempt DESC, started_at DESC, call_id DESC) = 1),
+_ISSUES = f"""WITH {PROMPTS}, f AS (SELECT * FROM v_tool_calls WHERE NOT success QUALIFY row_number() OVER (PARTITION BY execution_id ORDER BY attempt DESC, started_at DESC, call_id DESC) = 1),
   n AS (SELECT * FROM v_feedback WHERE direction = -1 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY created_at DESC, feedback_id DESC) = 1),
-  x AS (SELECT m.message_id, m.created_at AS seen, CASE WHEN f.call_id IS NOT NULL THEN 'tool_error' ELSE 'negative_feedback' END AS issue_type,
-    left(CASE WHEN f.call_id IS NOT NULL THEN coalesce(nullif(split_part(f.error_text, chr(10), 1), ''), 'Error') ELSE coalesce(nullif(split_part(n.note, chr(10), 1), ''), 'Negative feedback') END, 140) AS summary,
+  x AS (SELECT m.message_id, m.created_at AS seen, CASE WHEN f.call_id IS NOT NULL THEN 'tool_error' WHEN n.feedback_id IS NOT NULL THEN 'negative_feedback' ELSE 'no_issue' END AS issue_type,
+    CASE WHEN f.call_id IS NOT NULL THEN coalesce(nullif(split_part(f.error_text, chr(10), 1), ''), 'Error') WHEN n.feedback_id IS NOT NULL THEN coalesce(nullif(split_part(n.note, chr(10), 1), ''), 'Negative feedback')
+      ELSE coalesce(nullif(left(pr.p, 140), ''), upper(m.role[1]) || m.role[2:] || ' Completion') END AS summary, left(coalesce(head, ''), 140) AS head_prompt,
     f.tool_name, coalesce(u.user_name, 'Unknown User') AS user_name
-    FROM v_messages m LEFT JOIN f ON f.execution_id = cast(floor(m.message_id / 5) AS BIGINT) LEFT JOIN n ON n.message_id = m.message_id LEFT JOIN v_users u ON u.user_id = m.user_id
-    WHERE m.created_at {LIVE_SQL} AND (f.call_id IS NOT NULL OR n.feedback_id IS NOT NULL))"""
+    FROM v_messages m LEFT JOIN f ON f.execution_id = cast(floor(m.message_id / 5) AS BIGINT) LEFT JOIN n ON n.message_id = m.message_id LEFT JOIN v_users u ON u.user_id = m.user_id LEFT JOIN hp ON hp.report_id = m.report_id LEFT JOIN pr ON pr.message_id = m.message_id
+    WHERE m.created_at {LIVE_SQL})"""
 
 
 def _issues(t, kind, number):
@@ -37,12 +38,13 @@ def _issues(t, kind, number):
 
 def _issues_sql(where, offset, upto):
     return _ISSUES + f""", y AS (SELECT * FROM x WHERE {where}), n2 AS (SELECT count(*) AS total FROM y)
-  SELECT message_id, strftime(seen, '%Y-%m-%d %H:%M:%S') AS created_at, issue_type, summary, tool_name, user_name, total, cast(ceil(total / 50) AS BIGINT) AS total_pages, total > {upto} AS has_more
+  SELECT message_id, strftime(seen, '%Y-%m-%d %H:%M:%S') AS created_at, issue_type, summary, head_prompt, tool_name, user_name, total, cast(ceil(total / 50) AS BIGINT) AS total_pages, total > {upto} AS has_more
   FROM y, n2 ORDER BY seen DESC, message_id DESC LIMIT 50 OFFSET {offset}"""
 
 
-query("issues", _issues_sql("true", 50, 100))(lambda t: _issues(t, "all", 2))
+query("issues", _issues_sql("issue_type <> 'no_issue'", 50, 100))(lambda t: _issues(t, "all", 2))
 query("issues_by_type", _issues_sql("issue_type = 'negative_feedback'", 0, 50))(lambda t: _issues(t, "negative_feedback", 1))
+query("issues_all_queries", _issues_sql("true", 0, 50))(lambda t: _issues(t, "all_queries", 1))
 
 
 @query("table_sort", """SELECT table_id, 'score' AS sorted_by FROM (SELECT * FROM v_catalog ORDER BY score DESC, table_name LIMIT 30)

@@ -230,25 +230,43 @@ def diagnosis_daily(t):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
-_SUMMARY = """WITH c AS (SELECT execution_id, count(*) AS total, count(*) FILTER (success) AS ok FROM v_tool_calls GROUP BY 1),
+PROMPTS = """pr AS (SELECT message_id, report_id, parent_id, created_at, role, CASE WHEN prompt LIKE '{%' THEN coalesce(json_extract_string(CASE WHEN prompt LIKE '{%' THEN prompt END, '$.content'), '') ELSE coalesce(prompt, '') END AS p FROM v_messages),
+  hp AS (SELECT report_id, arg_min(p, (created_at, message_id)) AS head FROM pr WHERE role = 'user' GROUP BY 1),
+  ask AS (SELECT e.execution_id, left(CASE WHEN trim(coalesce(q.p, '')) = '' THEN coalesce(head, '') ELSE q.p END, 200) AS prompt FROM v_executions e LEFT JOIN pr m ON m.message_id = e.message_id LEFT JOIN pr q ON q.message_id = m.parent_id LEFT JOIN hp ON hp.report_id = e.report_id)"""
+_SUMMARY = f"""WITH {PROMPTS}, c AS (SELECT execution_id, count(*) AS total, count(*) FILTER (success) AS ok FROM v_tool_calls GROUP BY 1),
   tn AS (SELECT execution_id, string_agg(tool_name, '|' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY f, tool_name) AS r
      FROM (SELECT execution_id, tool_name, min(started_at) AS f FROM v_tool_calls GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1),
   st AS (SELECT execution_id, string_agg(step_title, '|' ORDER BY r) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY f, step_title) AS r
      FROM (SELECT execution_id, step_title, min(started_at) AS f FROM v_tool_calls WHERE step_title IS NOT NULL GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1),
   fb AS (SELECT * FROM v_feedback QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY created_at DESC, feedback_id DESC) = 1)
-  SELECT e.execution_id, coalesce(total, 0) AS total_tools, coalesce(ok, 0) AS successful_tools, coalesce(total - ok, 0) AS failed_tools,
+  SELECT e.execution_id, prompt, coalesce(total, 0) AS total_tools, coalesce(ok, 0) AS successful_tools, coalesce(total - ok, 0) AS failed_tools,
     CASE WHEN total - ok > 0 THEN 'error' ELSE coalesce(status, 'success') END AS status,
     CASE WHEN direction > 0 THEN 'positive' WHEN direction < 0 THEN 'negative' ELSE 'none' END AS feedback_status, note AS feedback_note,
     coalesce(names, '') AS tool_names, coalesce(titles, '') AS step_titles
-  FROM v_executions e LEFT JOIN c USING (execution_id) LEFT JOIN tn USING (execution_id) LEFT JOIN st USING (execution_id) LEFT JOIN fb USING (message_id)"""
+  FROM v_executions e JOIN ask USING (execution_id) LEFT JOIN c USING (execution_id) LEFT JOIN tn USING (execution_id) LEFT JOIN st USING (execution_id) LEFT JOIN fb USING (message_id)"""
 
 
 @query("execution_summary", _SUMMARY)
 def execution_summary(t):
-    out = activity.execution_summary(t("v_executions"), t("v_tool_calls"), t("v_feedback"))
+    out = activity.execution_summary(t("v_executions"), t("v_tool_calls"), t("v_feedback"), t("v_messages"))
     return out.withColumns({c: F.array_join(c, "|") for c in ("tool_names", "step_titles")})
 
 
+@query("report_turns", f"""WITH {PROMPTS}, fb AS (SELECT * FROM v_feedback QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY created_at DESC, feedback_id DESC) = 1),
+  x AS (SELECT e.report_id, e.execution_id, row_number() OVER (PARTITION BY e.report_id ORDER BY e.started_at, e.execution_id) AS turn, prompt,
+    CASE WHEN EXISTS (SELECT 1 FROM v_tool_calls c WHERE c.execution_id = e.execution_id AND NOT success) THEN 'error' ELSE status END AS status,
+    CASE WHEN direction > 0 THEN 'positive' WHEN direction < 0 THEN 'negative' ELSE 'none' END AS feedback_status FROM v_executions e JOIN ask USING (execution_id) LEFT JOIN fb USING (message_id))
+  SELECT *, count(*) FILTER (status = 'error') OVER (PARTITION BY report_id) AS failed_turns, count(*) FILTER (feedback_status = 'negative') OVER (PARTITION BY report_id) AS negative_turns FROM x""")
+def report_turns(t):
+    out = activity.report_turns(t("v_executions"), t("v_tool_calls"), t("v_feedback"), t("v_messages"))
+    return out.select("report_id", "execution_id", "turn", "prompt", "status", "feedback_status", "failed_turns", "negative_turns")
+
+
+@query("head_prompts", f"WITH {PROMPTS} SELECT report_id, left(head, 140) AS head_prompt FROM hp")
+def head_prompts(t):
+    return activity.head_prompts(t("v_messages"))
+
+
 @query("distinct_ordered", """SELECT execution_id, string_agg(tool_name, '|' ORDER BY r) AS tool_names FROM (
   SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY f, tool_name) AS r FROM (
     SELECT execution_id, tool_name, min(started_at) AS f FROM v_tool_calls WHERE tool_name NOT IN ('clarify') GROUP BY 1, 2)) WHERE r <= 2 GROUP BY 1""")

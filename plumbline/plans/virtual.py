@@ -54,7 +54,10 @@ SELECT event_id AS message_id, event_id % 97 AS report_id, user_id, ts AS create
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE cast(floor(value) AS bigint) % 6 END AS instructions_effectiveness,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE cast(floor(value * 2) AS bigint) % 6 END AS context_effectiveness,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE cast(floor(value * 3) AS bigint) % 6 END AS response_score,
-       CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id - (event_id % 6) END AS parent_id
+       CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id - (event_id % 6) END AS parent_id,
+       CASE WHEN event_id % 6 = 0 THEN 'user' ELSE 'system' END AS role,
+       CASE WHEN event_id % 18 = 0 THEN NULL WHEN event_id % 12 = 0 THEN chr(123) || '"content":"ask ' || event_type || ' ' || cast(event_id AS string) || '"' || chr(125)
+            ELSE 'plain ' || event_type || ' ' || cast(event_id AS string) END AS prompt
 FROM {events}""",
     "v_feedback": """
 SELECT event_id AS feedback_id, event_id - (event_id % 3) AS message_id, user_id, ts AS created_at,
