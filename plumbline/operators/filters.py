@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import NUMBER_TEXT, js_date, js_number, js_string
 from ..functions.ranges import within
+from ..session import spread_small
 
 
 def _target_text(v) -> str:
@@ -231,7 +232,7 @@ def multi_search(df: DataFrame, queries: list[str], columns: list[str], order: s
     usable = [q for q in queries if not _SPECIAL.search(q) or _valid(q)]
     pattern = "(?i)" + "|".join(f"(?:{q})" if _SPECIAL.search(q) else _java_literal(q) for q in usable)
     hay = reduce(lambda a, b: a | b, [F.col(c).cast("string").rlike(pattern) for c in columns]) if usable else F.lit(False)
-    hits = df.where(F.coalesce(hay, F.lit(False)))
+    hits = spread_small(df).where(F.coalesce(hay, F.lit(False)))
     total = hits.agg(F.count(F.lit(1))).scalar()
     return hits.orderBy(order).limit(limit).withColumn("total", total)
 

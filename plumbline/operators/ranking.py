@@ -155,7 +155,8 @@ def related(items: DataFrame, words: list[str], exclude, limit: int, semantic: D
     mine = F.array(*[F.lit(w) for w in words])
     rows = spread_small(items).where(F.exists(mine, lambda w: F.contains(low, w)))
     rows = rows if exclude is None else rows.where(F.col("item_id") != exclude)
-    score = sim.jaccard(mine, sim.tokens("text"))
+    rows = rows.withColumn("_words", sim.tokens("text"))  # split once, used twice
+    score = sim.jaccard(mine, F.col("_words"))
     if semantic is not None:
         rows = rows.join(semantic, "item_id", "left")
         score = 0.5 * score + 0.5 * F.coalesce("semantic", F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import similarity
 from ..operators import counters, ranking
+from ..session import spread_small
 from .registry import query
 from .texts import jac, kw, tok
 
@@ -92,9 +93,10 @@ def cosine_topk(t):
 @query("blend", f"""WITH k AS (SELECT doc_id, {kw('text')} AS ws FROM documents), s AS (SELECT doc_id, {jac('ws', "['then', 'heron']")} AS kws, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 10 END AS sem FROM k)
   SELECT doc_id, round(coalesce(0.5 * kws + 0.5 * sem, kws), 9) AS score FROM s""")
 def blend(t):
-    kws = similarity.jaccard(F.array(F.lit("then"), F.lit("heron")), similarity.keywords("text"))
+    kws = similarity.jaccard(F.array(F.lit("then"), F.lit("heron")), F.col("words"))
     sem = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 10) / 10)
-    return t("documents").select("doc_id", F.round(similarity.blend(kws, sem), 9).alias("score"))
+    rows = spread_small(t("documents")).withColumn("words", similarity.keywords("text"))
+    return rows.select("doc_id", F.round(similarity.blend(kws, sem), 9).alias("score"))
 
 
 _GQ = "['reading', 'then', 'heron', 'tion']"

@@ -124,7 +124,7 @@ def safe_name(t):
 def md_front(t):
     body = F.concat(F.lit("\n# Doc "), F.col("doc_id").cast("string"), F.lit(" \n\n"), F.regexp_replace("text", "\r", ""))
     marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nalwaysApply: "), F.col("doc_id").cast("string"), F.lit("\n---\n"), body)).otherwise(body)
-    return t("documents").select("doc_id", text.front_matter(marked).alias("m")).select("doc_id", "m.front", "m.title", "m.description")
+    return spread_small(t("documents")).select("doc_id", text.front_matter(marked).alias("m")).select("doc_id", "m.front", "m.title", "m.description")
 
 
 @query("ref_edges", """SELECT p_partkey, cast(position AS INTEGER) AS position, target FROM (SELECT p_partkey, 0 AS position, split_part(p_name, ' ', 1) AS target FROM part

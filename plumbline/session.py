@@ -52,7 +52,10 @@ def spread_small(df: DataFrame) -> DataFrame:
 
     For work that is heavy per row on a table of a few files.  A table with
     more splits than cores, so any large one, is returned unchanged: at most
-    cores x split size is ever moved.
+    cores x split size is ever moved.  A frame that was shuffled already is
+    left alone too: asking for its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread_small
+
 DEFAULT_LIMIT = 100
 
 
@@ -88,7 +90,7 @@ def doc_schema(df: DataFrame, text: str, sample: int | None = None) -> DataFrame
     The merged schema is one aggregate over all texts; only its one-line
     description reaches the driver.  ``sample`` looks at that many rows instead.
     """
-    rows = df.limit(sample) if sample else df
+    rows = df.limit(sample) if sample else spread_small(df)
     found = rows.agg(F.schema_of_variant_agg(F.try_parse_json(text)).alias("s")).first()["s"] or "OBJECT<>"
     ddl = re.sub(r"\bOBJECT<", "STRUCT<", found).replace("VARIANT", "STRING").replace("VOID", "STRING")
     kind = T.DataType.fromDDL(ddl) if ddl != "STRUCT<>" else T.StructType([])
