@@ -170,7 +170,7 @@ class Merger:
         return [t for t in ids if t >= 0]
 
 
-def _class_table() -> np.ndarray:
+def class_table() -> np.ndarray:
     """The class of every code point, by the properties that the split pattern names."""
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     text, where = "".join(map(chr, points)), np.asarray(points)
@@ -187,7 +187,7 @@ _classes: list[np.ndarray] = []
 def byte_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte the class of its character, and whether it begins a character."""
     if not _classes:
-        _classes.append(_class_table())
+        _classes.append(class_table())
     table = _classes[0]
     out = table[:256][data]
     lead = (data & 0xC0) != 0x80

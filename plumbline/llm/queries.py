@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate
+from . import bpe, crf, decontaminate, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=None, digests=True)
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.held_out("doc_id", 3, 1)
+    prototypes = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), prototypes)
+
+
+@query("op2_crf_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out("doc_id", 4, 2)
+    field = crf.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    return crf.score(docs.select("doc_id", held.alias("held_out"), "text"), field)
