@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, decontaminate, langid
+from . import bpe, crf, decontaminate, langid, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out("doc_id", 4, 2)
     field = crf.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
     return crf.score(docs.select("doc_id", held.alias("held_out"), "text"), field)
+
+
+@query("op10_order_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.assign(table(spark, sf_dir, "documents"))
