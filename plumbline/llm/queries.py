@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, decontaminate, langid, neardup
+from . import bpe, crf, decontaminate, langid, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_order_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.assign(table(spark, sf_dir, "documents"))
+
+
+#: The label table knows two categories: texts of low quality, and toxic ones.
+TOXIC_CHAIN = [("low_quality", "quality", 0), ("toxic", "toxic", 1)]
+
+
+@query("op7_toxicity_chain")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out("doc_id", 4, 2)
+    chain = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held), TOXIC_CHAIN)
+    return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), chain)
