@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, decontaminate, langid, neardup, toxicity
+from ..session import cut_lineage
+from . import bpe, chat, crf, decontaminate, langid, neardup, pivots, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,76 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out("doc_id", 4, 2)
     chain = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held), TOXIC_CHAIN)
     return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), chain)
+
+
+@query("op1_chat_examples")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(fixed)
+    return chat.digests(chat.expand(turns))
+
+
+TOP = 10
+
+OP9_SQL = f"""
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= {TOP}
+"""
+
+
+@query("op9_pivot_topk", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut_lineage(pivots.integers(table(spark, sf_dir, "embeddings")).distinct())
+    asked = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    index = pivots.build(vectors, TOP)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return pivots.search(index, asked, TOP, asked.count())
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+_HOST = "translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_QUERY = "regexp_replace(regexp_replace(regexp_extract({u}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '')"
+
+
+def _form(u: str) -> str:
+    host, path, rest = (x.format(u=u) for x in (_HOST, _PATH, _QUERY))
+    return (f"CASE WHEN contains({u}, '://') THEN regexp_replace(regexp_replace({host}, '^www\\.', ''), ':(80|443)$', '') || regexp_replace({path}, '/$', '')"
+            f" || CASE WHEN {rest} <> '' THEN '?' || {rest} ELSE '' END END")
+
+
+OP8_SQL = f"""
+WITH RECURSIVE rules(rhost, rpath, rverdict) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+p AS (SELECT row_number() OVER () AS n, page_id, url, html, coalesce({_HOST.format(u='url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path, {_form('url')} AS form FROM pages),
+fits AS (SELECT n, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC, rverdict, rhost || rpath) AS place
+         FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+best AS (SELECT n, rule, rverdict FROM fits WHERE place = 1),
+tags AS (SELECT form, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE form IS NOT NULL),
+targets AS (SELECT form, host, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
+            UNION ALL
+            SELECT form, host, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+whole AS (SELECT form, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS t FROM targets),
+steps AS (SELECT form AS a, {_form('t')} AS b FROM whole WHERE t IS NOT NULL),
+both_ways AS (SELECT a, b FROM steps UNION SELECT b, a FROM steps),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+near AS (SELECT a, b FROM reach UNION SELECT form, form FROM p WHERE form IS NOT NULL),
+votes AS (SELECT near.a AS form, bool_or(rverdict = 'allow') AS allowed, bool_or(rverdict = 'block') AS blocked
+          FROM near JOIN p ON p.form = near.b JOIN best USING (n) GROUP BY near.a)
+SELECT page_id, host, path, rule, CASE WHEN rverdict IS NOT NULL THEN rverdict WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN best USING (n) LEFT JOIN votes USING (form)
+"""
+
+
+@query("op8_url_filter", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
