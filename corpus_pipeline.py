@@ -6,22 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate
+from plumbline.llm import bpe, crf, decontaminate, langid, neardup
 from plumbline.session import cut_lineage
 
+#: A text whose best language fits less well than this is taken for no language at all.
+LEAST_COSINE = 0.1
+#: A document stays if its lines are, by length, at least as likely good as bad.
+LEAST_QUALITY = 0.5
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those that fit no learned language."""
+    prototypes = langid.train(docs.where(~langid.held_out("doc_id", 3, 1)))
+    told = langid.predict(docs, prototypes, keep_text=True)
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the line field finds bad; it learns from the labelled ones that are not held out."""
+    held = langid.held_out("doc_id", 4, 2)
+    field = crf.train(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
+    return crf.score(docs, field, keep_text=True, threshold=LEAST_QUALITY).where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return neardup.keep_one(docs).select(*docs.columns)
+
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark passages contaminate."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, with the digests of ids and decoded text."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", in_a_language),
+    ("quality_classifier", of_quality),
+    ("near_duplicates", one_of_each),
     ("benchmark_decontamination", without_benchmark),
     ("byte_bpe", as_tokens),
 ]

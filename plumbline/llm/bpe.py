@@ -32,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import carried, fresh, quoted
 from .textbytes import mix, pieces, span_hashes, text_bytes
 
 #: Distinct pre-tokens that a worker remembers; the memory is forgotten when full.
@@ -361,21 +362,20 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str | None =
     new = ([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []) + [T.StructField("n_tokens", T.LongType())]
     if digests:
         new += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    names = {f.name for f in new}
-    kept = [f for f in df.schema.fields if f.name not in names and f.name != text]
+    kept = carried(df, [text] + [f.name for f in new])
     schema = T.StructType(kept + new)
-    carried = [f.name for f in kept]
+    body = len(kept)  # the text travels behind the columns that stay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(packed.value, mark)
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                data, offsets = text_bytes(part.column("__text"))
+            for part in pieces(batch, body):
+                data, offsets = text_bytes(part.column(body))
                 got, at = codec.encode(data, offsets)
                 back = codec.decode(got)
                 if len(back) != len(data) or not np.array_equal(back, data):
                     raise AssertionError("decoded bytes differ from the text")
-                columns = [part.column(c) for c in carried]
+                columns = part.columns[:body]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got.astype(np.int32))))
                 columns.append(pa.array(np.diff(at)))
@@ -386,4 +386,4 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str | None =
                     columns.append(pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*[df[f"`{c}`"] for c in carried], df[f"`{text}`"].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)

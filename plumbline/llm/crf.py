@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import quoted
+from .shared import carried, fresh, quoted
 from .textbytes import Words, pieces, text_bytes
 
 PER_LABEL = 1500
@@ -251,19 +251,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(df: DataFrame, field: Field, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``score`` (0 to 1, higher is better) and ``predicted``; without ``text`` unless asked for."""
     new = ("score", "predicted")
-    kept = [f for f in df.schema.fields if f.name not in new and (keep_text or f.name != text)]
+    kept = carried(df, [*new] + ([] if keep_text else [text]))
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    carried = [f.name for f in kept]
+    body = len(kept)  # the text travels behind the columns that stay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                features, size, first, blank = line_features(*text_bytes(part.column("__text")))
+            for part in pieces(batch, body):
+                features, size, first, blank = line_features(*text_bytes(part.column(body)))
                 good, _, _ = forward_backward(features @ field.weights, first, field.moves)
                 weight = np.maximum(size, 1e-9)
                 value = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
                 value = np.clip(np.where(blank, field.prior, value), 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in range(len(carried))], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=schema.names)
+                    [*part.columns[:body], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=schema.names)
 
-    return df.select(*[quoted(c) for c in carried], quoted(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .shared import bloom_hits, bloom_words, quoted
+from .shared import bloom_hits, bloom_words, fresh, quoted
 from .textbytes import Words, grams, pieces, text_bytes
 
 WINDOW = 13
@@ -193,7 +193,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     The decision is a function of the text, so it is carried back by the
     text's digest: equal texts share it.
     """
-    key = "__text_key"
+    key = fresh(docs, "__text_key")
     keyed = docs.withColumn(key, F.unhex(F.md5(quoted(text))))
     bad = cut_lineage(report(keyed, items, [key], text, item_id, **rule).where("contaminated").select(key).distinct())
     return keyed.join(bad, key, "left_anti").drop(key)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import class_table
-from .shared import quoted
+from .shared import carried, fresh, quoted
 from .textbytes import pieces, text_bytes
 
 UNKNOWN = "und"
@@ -76,7 +76,7 @@ class Profiles:
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hypervectors of the texts, and which of them hold a letter."""
         data, offsets = text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
-        symbols = self.symbol[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.int32)]
+        symbols = self.symbol[np.frombuffer(data.tobytes().decode(errors="replace").encode("utf-32-le"), np.int32)]
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         edges = lead[offsets]
         stay = np.ones(len(symbols), bool)
@@ -157,14 +157,14 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     dimensions = len(next(iter(prototypes.values()))) if names else DIMENSIONS
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else np.zeros((dimensions, 0), np.float32)
     new = ("lang_pred", "score")
-    kept = [f for f in df.schema.fields if f.name not in new and (keep_text or f.name != text)]
+    kept = carried(df, [*new] + ([] if keep_text else [text]))
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    carried = [f.name for f in kept]
+    body = len(kept)  # the text travels behind the columns that stay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                vectors, has = _of(dimensions).vectors(part.column("__text"))
+            for part in pieces(batch, body):
+                vectors, has = _of(dimensions).vectors(part.column(body))
                 if names:
                     cosines = _unit(vectors) @ matrix
                     best = np.argmax(cosines, axis=1)
@@ -172,9 +172,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                     lang = [names[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
                 else:
                     lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(carried))], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:body], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
-    return df.select(*[quoted(c) for c in carried], quoted(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
 
 
 def held_out(key: str, modulus: int, remainder: int):

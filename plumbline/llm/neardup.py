@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .shared import bloom_hits, bloom_words, components, quoted
+from .shared import bloom_hits, bloom_words, components, fresh, quoted
 from .textbytes import Words, grams, mix, pieces, text_bytes
 
 WORDS = 5
@@ -265,11 +265,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     placed = texts.join(cut_lineage(found), "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
     rank = F.struct(F.col("id").isNull().alias("n"), "id", "tkey")
     best = cut_lineage(placed.groupBy("root").agg(F.min(rank).alias("best")).select("best.id", "best.tkey"))
-    chosen = docs.withColumn("__tkey", tkey).join(best.select(F.col("tkey").alias("__tkey"), F.col("id").alias("__id")), "__tkey").where(quoted(key).eqNullSafe(F.col("__id")))
+    t, i = fresh(docs, "__tkey"), fresh(docs, "__id")
+    chosen = docs.withColumn(t, tkey).join(best.select(F.col("tkey").alias(t), F.col("id").alias(i)), t).where(quoted(key).eqNullSafe(F.col(i))).drop(i)
     # rows repeated with id and text stay once
-    names = [c for c in docs.columns if c not in (key, text)]
-    firsts = [F.first(F.struct(*[quoted(c) for c in names])).alias("__rest")] if names else []
-    once = chosen.groupBy("__tkey", "__id").agg(F.first(quoted(text)).alias("__text"), *firsts)
-    columns = {key: F.col("__id"), text: F.col("__text")} | {c: F.col("__rest")[c] for c in names}
-    out = once.select(*[columns[c].alias(c) for c in docs.columns])
-    return out.unionByName(docs.where(_wordless(text)))
+    once = chosen.groupBy(t).agg(F.first(F.struct(*[quoted(c) for c in docs.columns])).alias("row")).select("row.*")
+    return once.unionByName(docs.where(_wordless(text)))

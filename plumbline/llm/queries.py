@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage
-from . import bpe, chat, crf, decontaminate, langid, neardup, pivots, toxicity, urls
+from . import archives, bpe, chat, crf, decontaminate, langid, neardup, pivots, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,19 @@ FROM p LEFT JOIN best USING (n) LEFT JOIN votes USING (form)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, strlen(html) AS n, sha256(html) AS d FROM p),
+s AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS head FROM r WINDOW w AS (PARTITION BY d ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND place > 1 THEN head END AS refers_to, url, '2000-01-01T00:00:00Z' AS warc_date
+FROM s
+"""
+
+
+@query("op6_arc_to_warc", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.through_archives(table(spark, sf_dir, "pages")).drop("record_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -77,4 +78,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
 
 
 def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(df: DataFrame, without: list[str]) -> list[T.StructField]:
+    """The columns of ``df`` but those named, whatever their case."""
+    names = {n.lower() for n in without}
+    return [f for f in df.schema.fields if f.name.lower() not in names]

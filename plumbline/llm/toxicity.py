@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import quoted
+from .shared import carried, fresh, quoted
 from .textbytes import IS_WORD, Words, pieces, runs, span_hashes, text_bytes
 
 PER_LABEL = 1200
@@ -143,6 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str, i
                      pa.array([value[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary()), *[part.column(f"y_{c}") for c in columns]], names=out.names)
 
     rows = sorted(sample.mapInArrow(extract, out).limit(2 * per_label * len(sizes)).collect(), key=lambda r: (r["h"], bytes(r["bucket"])))
+    if not rows:
+        return [Model(n, np.zeros(BUCKETS), np.zeros(i), 0.0) for i, (n, _, _) in enumerate(categories)]
     bucket = np.concatenate([np.frombuffer(r["bucket"], np.int32) for r in rows]).astype(np.int64)
     value = np.concatenate([np.frombuffer(r["value"], np.float32) for r in rows]).astype(np.float64)
     first = np.concatenate(([0], np.cumsum([len(r["bucket"]) // 4 for r in rows])))
@@ -181,23 +183,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str, i
 def score(df: DataFrame, chain: list[Model], text: str = "text", keep_text: bool = False, threshold: float = 0.35) -> DataFrame:
     """``df`` with the probability ``p_<category>`` of every category and ``is_<category>`` (above the threshold)."""
     new = [f"p_{m.name}" for m in chain] + [f"is_{m.name}" for m in chain]
-    kept = [f for f in df.schema.fields if f.name not in new and (keep_text or f.name != text)]
+    kept = carried(df, [*new] + ([] if keep_text else [text]))
     schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType() if n.startswith("p_") else T.BooleanType()) for n in new]])
-    carried = [f.name for f in kept]
+    body = len(kept)  # the text travels behind the columns that stay
     sent = df.sparkSession.sparkContext.broadcast(chain)  # one weight for each bucket and category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = sent.value
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                bucket, value, first = features(*text_bytes(part.column("__text")))
+            for part in pieces(batch, body):
+                bucket, value, first = features(*text_bytes(part.column(body)))
                 earlier = np.zeros((part.num_rows, 0))
                 for m in models:
                     z = m.logits(bucket, value, first, earlier)
                     earlier = np.column_stack([earlier, np.clip(z, -10, 10)])
                 p = _sigmoid(earlier)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in range(len(carried))], *[pa.array(p[:, i]) for i in range(len(models))],
+                    [*part.columns[:body], *[pa.array(p[:, i]) for i in range(len(models))],
                      *[pa.array(p[:, i] > threshold) for i in range(len(models))]], names=schema.names)
 
-    return df.select(*[quoted(c) for c in carried], quoted(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
