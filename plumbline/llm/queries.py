@@ -120,23 +120,25 @@ def _form(u: str) -> str:
 
 OP8_SQL = f"""
 WITH RECURSIVE rules(rhost, rpath, rverdict) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
-p AS (SELECT row_number() OVER () AS n, page_id, url, html, coalesce({_HOST.format(u='url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path, {_form('url')} AS form FROM pages),
-fits AS (SELECT n, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC, rverdict, rhost || rpath) AS place
-         FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-best AS (SELECT n, rule, rverdict FROM fits WHERE place = 1),
+p AS (SELECT page_id, url, html, coalesce({_HOST.format(u='url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path, {_form('url')} AS form FROM pages),
 tags AS (SELECT form, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE form IS NOT NULL),
 targets AS (SELECT form, host, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
             UNION ALL
             SELECT form, host, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
 whole AS (SELECT form, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS t FROM targets),
 steps AS (SELECT form AS a, {_form('t')} AS b FROM whole WHERE t IS NOT NULL),
+u AS (SELECT url, {_HOST.format(u='url')} AS uhost, {_PATH.format(u='url')} AS upath, {_form('url')} AS uform
+      FROM (SELECT url FROM p UNION SELECT t FROM whole) x WHERE contains(url, '://')),
+fits AS (SELECT url, uform, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY url ORDER BY length(rhost || rpath) DESC, rverdict, rhost || rpath) AS place
+         FROM u JOIN rules ON (uhost = rhost OR ends_with(uhost, '.' || rhost)) AND starts_with(upath, rpath)),
+best AS (SELECT url, uform, rule, rverdict FROM fits WHERE place = 1),
 both_ways AS (SELECT a, b FROM steps UNION SELECT b, a FROM steps),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
-near AS (SELECT a, b FROM reach UNION SELECT form, form FROM p WHERE form IS NOT NULL),
+near AS (SELECT a, b FROM reach UNION SELECT uform, uform FROM u),
 votes AS (SELECT near.a AS form, bool_or(rverdict = 'allow') AS allowed, bool_or(rverdict = 'block') AS blocked
-          FROM near JOIN p ON p.form = near.b JOIN best USING (n) GROUP BY near.a)
+          FROM near JOIN best ON best.uform = near.b GROUP BY near.a)
 SELECT page_id, host, path, rule, CASE WHEN rverdict IS NOT NULL THEN rverdict WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END AS verdict
-FROM p LEFT JOIN best USING (n) LEFT JOIN votes USING (form)
+FROM p LEFT JOIN best USING (url) LEFT JOIN votes USING (form)
 """
 
 

@@ -72,11 +72,12 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """One row per page: its id, host, path, rule (null if none fits) and verdict."""
     seen = pages.select(quoted(key).alias("id"), quoted(url).alias("url"), quoted(html).alias("html"))
     seen = seen.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    urls = cut_lineage(seen.where("host <> ''").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"))
-                       .withColumn("form", canonical(F.col("url"))))
+    steps = cut_lineage(seen.where("html is not null").select("url", F.explode(links(F.col("html"), F.col("host"))).alias("target")))
+    # targets are judged like pages, so that a redirect to a blocked url counts even if that is no page
+    every = seen.select("url").union(steps.select("target")).where(F.col("url").contains("://")).distinct()
+    urls = cut_lineage(every.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("form")))
     ruled = cut_lineage(fitting_rules(urls, rules))
-    steps = seen.where("html is not null").select(canonical(F.col("url")).alias("a"), F.explode(links(F.col("html"), F.col("host"))).alias("target"))
-    roots = cut_lineage(components(steps.select("a", canonical(F.col("target")).alias("b"))))
+    roots = cut_lineage(components(steps.select(canonical(F.col("url")).alias("a"), canonical(F.col("target")).alias("b"))))
     rooted = urls.select("url", "form").join(roots.withColumnRenamed("node", "form"), "form", "left").select("url", F.coalesce("root", "form").alias("root"))
     rooted = cut_lineage(rooted)
     votes = rooted.join(ruled, "url").groupBy("root").agg(F.max(F.col("verdict") == "allow").alias("allow"), F.max(F.col("verdict") == "block").alias("block"))
