@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .shared import carried, fresh, quoted
-from .textbytes import mix, pieces, span_hashes, text_bytes
+from .textbytes import mix, pieces, span_hashes, text_bytes, worker_cache
 
 #: Distinct pre-tokens that a worker remembers; the memory is forgotten when full.
 REMEMBERED = 200_000
@@ -45,7 +45,7 @@ _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ``token rank`` lines of a rank file."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class PerfectHash:
@@ -172,24 +172,22 @@ class Merger:
 
 
 def class_table() -> np.ndarray:
-    """The class of every code point, by the properties that the split pattern names."""
+    """The class of every code point, by the properties that the split pattern names; made once per worker."""
+    known = worker_cache("classes")
+    if "table" in known:
+        return known["table"]
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     text, where = "".join(map(chr, points)), np.asarray(points)
     table = np.full(0x110000, _OTHER, np.uint8)
     for code, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, text):
             table[where[m.start():m.end()]] = code
-    return table
-
-
-_classes: list[np.ndarray] = []
+    return known.setdefault("table", table)
 
 
 def byte_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte the class of its character, and whether it begins a character."""
-    if not _classes:
-        _classes.append(class_table())
-    table = _classes[0]
+    table = class_table()
     out = table[:256][data]
     lead = (data & 0xC0) != 0x80
     wide = np.flatnonzero(data >= 0xC0)
@@ -335,15 +333,12 @@ class Codec:
         return self.bytes[_ranges(self.begins[ids], self.lengths[ids])]
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(ranks_bytes: bytes, mark: int) -> Codec:
-    if mark not in _codecs:
-        _codecs.clear()
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_bytes.splitlines()) if a}
-        _codecs[mark] = Codec(ranks)
-    return _codecs[mark]
+    known = worker_cache("codecs")
+    if mark not in known:
+        known.clear()
+        known[mark] = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_bytes.splitlines())})
+    return known[mark]
 
 
 def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str | None = "ids", digests: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .bpe import class_table
 from .shared import carried, fresh, quoted
-from .textbytes import pieces, text_bytes
+from .textbytes import pieces, text_bytes, worker_cache
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -104,13 +104,11 @@ class Profiles:
         return out, has
 
 
-_profiles: dict[int, Profiles] = {}
-
-
 def _of(dimensions: int) -> Profiles:
-    if dimensions not in _profiles:
-        _profiles[dimensions] = Profiles(dimensions)
-    p = _profiles[dimensions]
+    known = worker_cache("profiles")
+    if dimensions not in known:
+        known[dimensions] = Profiles(dimensions)
+    p = known[dimensions]
     if p.n_bound > 60_000:  # bounds the memory: start again
         p.place[:] = -1
         p.n_bound, p.bound = 0, np.empty((4096, dimensions), np.float32)

@@ -8,6 +8,8 @@ Python runs per word or per byte.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,12 @@ _BYTE = np.arange(256)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 IS_WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A table that lives as long as the worker process; code shipped by value has no module of its own to keep it in."""
+    home = sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker"))
+    return home.__dict__.setdefault(name, {})
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -39,13 +46,14 @@ def _geometric(base: int, n: int) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
+    known = worker_cache("powers")
+    if "up" not in known or len(known["up"]) < n:
         size = max(n, CHUNK_BYTES + 1)
         up, down = _geometric(_BASE, size), _geometric(pow(_BASE, -1, 1 << 64), size)
         if size > 4 * CHUNK_BYTES:
             return up, down
-        _powers["up"], _powers["down"] = up, down
-    return _powers["up"], _powers["down"]
+        known["up"], known["down"] = up, down
+    return known["up"], known["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -186,10 +186,10 @@ def score(df: DataFrame, chain: list[Model], text: str = "text", keep_text: bool
     kept = carried(df, [*new] + ([] if keep_text else [text]))
     schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType() if n.startswith("p_") else T.BooleanType()) for n in new]])
     body = len(kept)  # the text travels behind the columns that stay
-    sent = df.sparkSession.sparkContext.broadcast(chain)  # one weight for each bucket and category
+    sent = df.sparkSession.sparkContext.broadcast([(m.name, m.weights, m.earlier, m.intercept) for m in chain])  # one weight for each bucket and category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        models = [Model(*m) for m in sent.value]
         for batch in batches:
             for part in pieces(batch, body):
                 bucket, value, first = features(*text_bytes(part.column(body)))
