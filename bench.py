@@ -13,7 +13,7 @@ import sys
 import time
 
 from plumbline.plans import registry
-from plumbline.session import local_session
+from plumbline.session import local_session, release
 
 HEADLINE = (
     "cost_by_model", "cost_by_user", "cost_by_data_source", "cost_by_group", "cost_kpi", "cost_daily_dense", "llm_usage",
@@ -22,7 +22,7 @@ HEADLINE = (
     "f_groups", "f_contains", "f_store", "f_multi_search", "c_cartesian_group", "c_heatmap", "c_treemap", "c_candlestick",
     "j_semi_scope", "j_fanout", "j_suffix_match", "j_multi_left", "j_latest_by_max", "table_profile", "schema_drift",
     "catalog_sync", "stratified_pick", "retention_rank", "page", "issues", "keywords", "keyword_score", "guidance_search",
-    "table_score", "cosine_topk", "html_extract", "result_cache", "cache_evict_rank", "scan_subsume", "saved_resolve",
+    "table_score", "cosine_topk", "html_extract", "saved_resolve",
     "snapshot_write", "column_type_infer", "r_tool_calls", "r_ordering", "quota_summary", "quota_breach",
     "stream_usage_stats", "stream_daily_cost", "incremental_index",
 )
@@ -45,6 +45,7 @@ def main() -> None:
             # building counts too: some queries write snapshots or run streams on the way
             build[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - start)
+        release(spark)
         timed[name] = round(statistics.median(took[1:]), 3)
         print(f"{name} {timed[name]}", file=sys.stderr, flush=True)
     spark.stop()

@@ -2,76 +2,23 @@
 
 from __future__ import annotations
 
-import difflib
-import hashlib
 import json
 import re
 import sys
-from functools import reduce
 from html.parser import HTMLParser
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, spread_small
+from ..session import spread_small
 
 # workers need not have this package installed: ship these helpers by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def only_inserts(small: str | None, big: str | None) -> bool:
-    """True when ``big`` is ``small`` with nothing but insertions; equal texts do not count."""
-    small, big = small or "", big or ""
-    if small == big:
-        return False
-    if not small:
-        return True
-    ops = difflib.SequenceMatcher(None, small, big, autojunk=False).get_opcodes()
-    return not any(tag in ("delete", "replace") for tag, *_ in ops)
-
-
-@F.pandas_udf(T.BooleanType())
-def covers(small: pd.Series, big: pd.Series) -> pd.Series:
-    return pd.Series([only_inserts(a, b) for a, b in zip(small, big)])
-
-
-@F.pandas_udf(T.BooleanType())
-def covered_by_any(small: pd.Series, bigs: pd.Series) -> pd.Series:
-    return pd.Series([any(only_inserts(a, b) for b in bs) for a, bs in zip(small, bigs)])
-
-
-def superseded(rows: DataFrame, item: str, key: str, text: str, base: str, leaders: int = 16) -> DataFrame:
-    """Flag pending texts that only add to their base and that a sibling covers.
-
-    A covering sibling is longer and itself not covered, so texts are compared
-    with the longest still open ones of their item only, ``leaders`` at a time:
-    each round settles the leaders and everything they cover.  Work grows with
-    texts x maximal texts, spread over all tasks; no item is gathered anywhere.
-    """
-    open_texts = rows.select(item, F.coalesce(text, F.lit("")).alias("_t")).distinct()
-    found = []
-    longest = W.partitionBy(item).orderBy(F.desc(F.length("_t")), "_t")
-    while True:
-        ranked = open_texts.withColumn("_r", F.row_number().over(longest)).where(F.col("_r") <= leaders)
-        heads = ranked.groupBy(item).agg(F.collect_list("_t").alias("_heads"))
-        judged = open_texts.join(heads, item).select(
-            item, "_t", covered_by_any("_t", "_heads").alias("_covered"), F.array_contains("_heads", F.col("_t")).alias("_head"))
-        judged = cut_lineage(judged)
-        found.append(judged.where("_covered").select(item, "_t"))
-        open_texts = judged.where("NOT _covered AND NOT _head").select(item, "_t")
-        if open_texts.isEmpty():
-            break
-    hits = reduce(DataFrame.unionByName, found).withColumn("_hit", F.lit(True))
-    flagged = rows.withColumn("_t", F.coalesce(text, F.lit(""))).join(hits, [item, "_t"], "left")
-    additive = covers(F.coalesce(base, F.lit("")), F.col("_t"))
-    return flagged.withColumn("superseded", F.coalesce("_hit", F.lit(False)) & additive).drop("_t", "_hit")
-
-
 @F.pandas_udf(T.StringType())
 def first_json_object(texts: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
@@ -88,76 +35,66 @@ def first_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(take)
 
 
-# Limits of extracted page parts, and elements whose text is not shown.
-MAX_TITLE, MAX_DESCRIPTION, MAX_META, MAX_META_VALUE = 500, 1000, 50, 500
-MAX_JSON_LD_BYTES, MAX_HEADINGS, MAX_HEADING = 30_000, 30, 200
+# Elements whose text is not shown, and elements without an end tag.
 HIDDEN_TAGS = {"script", "style", "noscript", "nav", "footer", "aside", "svg", "template"}
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Page(HTMLParser):
-    """Collects title, meta, JSON-LD, headings and shown text in one pass."""
+    """Collects what a page shows and says about itself in one pass; nothing is cut."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.meta, self.text = [], {}, []
-        self.title, self.heads, self.ld, self.buffer = None, [], [], None
+        self.inside: list[str] = []
+        self.open: tuple[str, str, list[str]] | None = None  # an element whose text is wanted as a whole, and as what
+        self.named: dict[str, str] = {}
+        self.whole: dict[str, list[str]] = {"title": [], "heading": [], "data": []}
+        self.shown: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "meta":
-            key = (a.get("property") or a.get("name") or a.get("itemprop") or "").strip()[:120]
-            if key and a.get("content") is not None and key not in self.meta and len(self.meta) < MAX_META:
-                self.meta[key] = a["content"].strip()[:MAX_META_VALUE]
-        if tag in VOID_TAGS:
-            return
-        self.stack.append(tag)
-        if tag in ("title", "h1", "h2") or (tag == "script" and a.get("type") == "application/ld+json"):
-            self.buffer = (tag, [])
+        given = dict(attrs)
+        name = next((given[k].strip() for k in ("property", "name", "itemprop") if given.get(k)), "")
+        if tag == "meta" and name and given.get("content") is not None:
+            self.named.setdefault(name, given["content"].strip())
+        if tag not in VOID_TAGS:
+            self.inside.append(tag)
+            wanted = {"title": "title", "h1": "heading", "h2": "heading"}.get(tag) or ("data" if tag == "script" and given.get("type") == "application/ld+json" else None)
+            self.open = (tag, wanted, []) if wanted else self.open
 
     def handle_endtag(self, tag):
-        if self.buffer and self.buffer[0] == tag:
-            self._keep(tag, "".join(self.buffer[1]))
-            self.buffer = None
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-
-    def _keep(self, tag, raw):
-        value = raw.strip()
-        if tag == "script":
-            self.ld.append(raw)
-        elif tag == "title":
-            self.title = value[:MAX_TITLE] if self.title is None else self.title
-        elif value and len(self.heads) < MAX_HEADINGS:
-            self.heads.append(value[:MAX_HEADING])
+        if self.open and self.open[0] == tag:
+            self.whole[self.open[1]].append("".join(self.open[2]).strip())
+            self.open = None
+        if tag in self.inside:
+            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag):]
 
     def handle_data(self, data):
-        if self.buffer:
-            self.buffer[1].append(data)
-        if "title" not in self.stack and not HIDDEN_TAGS.intersection(self.stack):
-            self.text.append(data)
+        if self.open:
+            self.open[2].append(data)
+        if not (HIDDEN_TAGS | {"title"}).intersection(self.inside):
+            self.shown.append(data)
+
+    def linked_data(self) -> list[str]:
+        """The JSON objects of all data blocks; a block that is no JSON says nothing."""
+        out = []
+        for block in self.whole["data"]:
+            try:
+                found = json.loads(block)
+            except ValueError:
+                continue
+            out += [json.dumps(x) for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
+        return out
 
 
 def page_parts(html: str) -> dict:
+    """Title, description, metadata, linked data, headings and shown text of a page."""
     page = _Page()
     page.feed(html or "")
     page.close()
-    blocks, size = [], 0
-    for raw in page.ld:
-        try:
-            found = json.loads(raw)
-        except ValueError:
-            continue
-        size += len(json.dumps(found))
-        if size > MAX_JSON_LD_BYTES:
-            break
-        blocks += [x for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
-    lines = (re.sub(r"[ \t\f\v]+", " ", x).strip() for x in "\n".join(page.text).split("\n"))
-    m = page.meta
-    about = m.get("description") or m.get("og:description") or m.get("twitter:description")
-    return {"title": page.title, "description": about[:MAX_DESCRIPTION] if about else None, "metadata": m,
-            "json_ld": [json.dumps(b) for b in blocks], "headings": page.heads, "text": "\n".join(x for x in lines if x)}
+    squeezed = (" ".join(re.split(r"[ \t\f\v]+", line)).strip() for line in "\n".join(page.shown).split("\n"))
+    return {"title": next(iter(page.whole["title"]), None), "text": "\n".join(filter(None, squeezed)),
+            "headings": [h for h in page.whole["heading"] if h], "json_ld": page.linked_data(), "metadata": page.named,
+            "description": next((page.named[k] for k in ("description", "og:description", "twitter:description") if page.named.get(k)), None)}
 
 
 PAGE_FIELDS = "title string, description string, metadata map<string,string>, json_ld array<string>, headings array<string>, text string"
@@ -173,124 +110,3 @@ def html_extract(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     kind = pages.schema[key].dataType.simpleString()
     return spread_small(pages.select(key, html)).mapInPandas(run, f"{key} {kind}, {PAGE_FIELDS}")
-
-
-def _as_list(x):
-    return [i for i in x if isinstance(i, dict)] if isinstance(x, list) else []
-
-
-def yaml_resources(text: str):
-    """(kind, name, description, column, data_type, tests) of one resource file."""
-    import yaml  # optional dependency of the environment
-
-    try:
-        doc = yaml.safe_load(text)
-    except yaml.YAMLError:
-        return
-    if not isinstance(doc, dict):
-        return
-    found = [("metric", m.get("name", ""), m) for m in _as_list(doc.get("metrics"))]
-    found += [("source", f"{s.get('name', '')}.{x.get('name', '')}", x) for s in _as_list(doc.get("sources")) for x in _as_list(s.get("tables"))]
-    found += [("exposure", e.get("name", ""), e) for e in _as_list(doc.get("exposures"))]
-    found += [("model_config", m.get("name", ""), m) for m in _as_list(doc.get("models"))]
-    for kind, name, body in found:
-        yield kind, name, body.get("description") or "", None, None, None
-        for c in _as_list(body.get("columns")) if kind != "exposure" else []:
-            yield kind, name, c.get("description") or "", c.get("name", ""), c.get("data_type") or "", json.dumps(c.get("tests", []), default=str)
-
-
-def _tag(node):
-    return node.tag.rsplit("}", 1)[-1]
-
-
-def xml_resources(text: str):
-    """The same rows for a workbook's data source: fields, joins, custom SQL, parameters."""
-    try:
-        root = ElementTree.fromstring(text)
-    except ElementTree.ParseError:
-        return
-    top = root if _tag(root) == "datasource" else next(iter(root), None)
-    if top is None or _tag(top) != "datasource":
-        return
-    name = top.get("name") or top.get("caption") or "datasource"
-    yield "tableau_datasource", name, top.get("caption") or "", None, None, None
-    seen = {"join": 0, "text": 0}
-    for node in top.iter():
-        kind = _tag(node)
-        if kind == "column" and (node.get("name") or node.get("caption")):
-            formula = next((c.get("formula") for c in node if _tag(c) == "calculation"), None)
-            yield "tableau_datasource", name, node.get("caption") or "", (node.get("name") or node.get("caption")).strip("[]"), node.get("datatype") or "", formula
-        elif kind == "relation" and node.get("type") in seen:
-            what = {"join": "join", "text": "custom_sql"}[node.get("type")]
-            seen[node.get("type")] += 1
-            sql = "".join(node.itertext()).strip() if what == "custom_sql" else "|".join(c.get("table") or "" for c in node if _tag(c) == "relation")
-            yield f"tableau_{what}", f"{name}_{what}_{seen[node.get('type')]}", sql, None, None, None
-        elif kind == "parameter" and node.get("name"):
-            yield "tableau_parameter", node.get("name"), node.get("caption") or "", None, node.get("datatype") or node.get("type") or "", None
-
-
-def semantic_files(files: DataFrame, key: str = "path", text: str = "text", extension: str = "extension") -> DataFrame:
-    """Resources declared in YAML and workbook files, one row per resource or column."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, body, ext in zip(pdf[key], pdf[text], pdf[extension]):
-                parse = yaml_resources if ext in (".yml", ".yaml") else xml_resources
-                rows += [(path, *r) for r in parse(body or "")]
-            yield pd.DataFrame(rows, columns=[key, "kind", "name", "description", "column", "data_type", "tests"])
-
-    wanted = files.where(F.col(extension).isin(".yml", ".yaml", ".tds"))
-    return spread_small(wanted.select(key, text, extension)).mapInPandas(
-        run, f"{key} string, kind string, name string, description string, column string, data_type string, tests string")
-
-
-_WORD = re.compile(r"\w+|\s+|[^\w\s]")
-
-
-def _changes(a: list[str], b: list[str]):
-    """Changed stretches of two word lists: (a_lo, a_hi, b_lo, b_hi)."""
-    return [op[1:] for op in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op[0] != "equal"]
-
-
-def hunk_rows(base: str | None, proposed: str | None, main: str | None):
-    """(index, key, before, after, state, start) for each change base -> proposed.
-
-    State against the main text: ``live`` with its character position,
-    ``applied`` when main already has it, else ``conflict``.
-    """
-    old, new, cur = (_WORD.findall(x or "") for x in (base, proposed, main))
-    moved = {}
-    for a, b, n in difflib.SequenceMatcher(None, old, cur, autojunk=False).get_matching_blocks():
-        moved.update((a + k, b + k) for k in range(n + 1))
-    end_of_last = 0
-    for index, (lo, hi, nlo, nhi) in enumerate(_changes(old, new)):
-        before, after = "".join(old[lo:hi]), "".join(new[nlo:nhi])
-        context = "".join(old[end_of_last:lo])[-24:]
-        key = hashlib.sha1(f"{before}\0{after}\0{context}".encode()).hexdigest()[:16]
-        end_of_last = hi
-        state, start = "conflict", None
-        if lo in moved and hi in moved and moved[lo] <= moved[hi]:
-            i, j, added = moved[lo], moved[hi], new[nlo:nhi]
-            n = len(added)
-            beside = lo == hi and n and (cur[max(0, i - n):i] == added or cur[i:i + n] == added)
-            if cur[i:j] == added or beside:
-                state = "applied"
-            elif cur[i:j] == old[lo:hi]:
-                state, start = "live", len("".join(cur[:i]))
-        yield index, key, before, after, state, start
-
-
-def text_hunks(revisions: DataFrame, key: str, base: str, proposed: str, main: str) -> DataFrame:
-    """One row per changed stretch of words of every revision, in Arrow batches."""
-    names = [key, "hunk", "hunk_key", "before", "after", "state", "start"]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, *h) for k, b, p, m in zip(pdf[key], pdf[base], pdf[proposed], pdf[main]) for h in hunk_rows(b, p, m)]
-            out = pd.DataFrame(rows, columns=names)
-            out["start"] = out["start"].astype("Int64")
-            yield out
-
-    kind = revisions.schema[key].dataType.simpleString()
-    return spread_small(revisions.select(key, base, proposed, main)).mapInPandas(
-        run, f"{key} {kind}, hunk int, hunk_key string, before string, after string, state string, start bigint")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ref_names
 from ..sources.snapshots import byte_size
-from .spread import running_total, time_slices, within_window
 
 
 @contextmanager
@@ -91,65 +90,6 @@ def scan_guard(log: DataFrame, tables: DataFrame, max_bytes: int) -> DataFrame:
 
 
 # Seconds a result stays fresh, and the cost from which it is worth keeping.
-TTL_SECONDS, FAST_TTL_SECONDS, MIN_COST_MS = 300, 30, 250
-
-
-def normalised_sql(sql: Column) -> Column:
-    """Case, white space and a closing semicolon do not matter."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(sql, r"\s+", " "), r"\s*;?\s*$", "")))
-
-
-def cache_key(scope: Column, sql: Column) -> Column:
-    return F.sha2(F.concat(scope, F.lit("\0"), normalised_sql(sql)), 256)
-
-
-def reuse_report(log: DataFrame, fast_scopes: tuple[str, ...] = ()) -> DataFrame:
-    """Which logged queries an earlier identical result could have answered.
-
-    Stored results are successful ones that cost enough; one answers the same
-    key until its lifetime ends.  Each key is cut along time (see
-    ``time_slices``), so one popular query never lands in a single task.
-    """
-    ttl = F.when(F.col("scope").isin(*fast_scopes), FAST_TTL_SECONDS).otherwise(TTL_SECONDS)
-    rows = log.withColumns({
-        "key": cache_key(F.col("scope"), F.col("sql_text")), "ttl": ttl,
-        "stored": F.col("error_text").isNull() & (F.col("cost_ms") >= MIN_COST_MS)})
-    sliced = time_slices(rows, "issued_at", TTL_SECONDS)
-    frame = within_window(["key"], "issued_at", "query_id", TTL_SECONDS)
-    micros = F.unix_micros(F.col("issued_at").cast("timestamp"))
-    latest = F.max(F.when(F.col("stored"), micros)).over(frame)
-    age = (micros - latest) / 1e6
-    judged = sliced.withColumn("reusable", F.coalesce(age <= F.col("ttl"), F.lit(False))).where("NOT _context")
-    return judged.drop("_slice", "_context", "ttl")
-
-
-def eviction_rank(entries: DataFrame, budget: int, key: str = "key") -> DataFrame:
-    """Entries to drop, lowest ``cost * (hits + 1) / size`` first, until the rest fits."""
-    value = F.col("cost_ms") * (F.col("hits") + 1) / F.greatest(F.col("bytes"), F.lit(1))
-    ranked = running_total(entries.withColumn("value", value), [], [F.col("value"), F.col(key)], "bytes")
-    total = entries.agg(F.sum("bytes")).scalar()
-    return ranked.withColumn("evicted", total - (F.col("running") - F.col("bytes")) > F.lit(budget))
-
-
-def subsume_report(log: DataFrame, shapes: list[list[str] | None]) -> DataFrame:
-    """For each narrower single-table query the smallest fresh full scan that holds its columns.
-
-    ``log`` carries ``base_table, columns (null for *), is_full_scan``; ``shapes``
-    lists the column sets of saved scans (None for ``*``).  The lookback is a
-    sliding minimum inside time slices, not a pairing of queries.
-    """
-    sliced = time_slices(log.where("base_table IS NOT NULL"), "issued_at", TTL_SECONDS)
-    frame = within_window(["scope", "base_table"], "issued_at", "query_id", TTL_SECONDS)
-    usable = F.col("is_full_scan") & F.col("error_text").isNull() & (F.col("cost_ms") >= MIN_COST_MS)
-    # one sliding minimum per kind of saved scan: their number is small and given
-    bests = []
-    for wanted in shapes:
-        same = F.col("columns").isNull() if wanted is None else F.array_sort("columns").eqNullSafe(F.array(*[F.lit(c) for c in sorted(wanted)]))
-        holds = F.lit(True) if wanted is None else F.col("columns").isNotNull() & (F.size(F.array_except("columns", F.array(*[F.lit(c) for c in wanted]))) == 0)
-        best = F.min(F.when(usable & same, F.struct("bytes", "query_id"))).over(frame)
-        bests.append(F.when(holds, best))
-    out = sliced.withColumn("best", F.least(*bests) if len(bests) > 1 else bests[0]).where("NOT _context AND NOT is_full_scan")
-    return out.select("query_id", F.col("best.query_id").alias("answered_by"))
 
 
 def answer_from_snapshot(spark: SparkSession, sql: str, table: str, snapshot: DataFrame, complete: bool) -> DataFrame | None:

@@ -1,7 +1,7 @@
 """Order-dependent work without one task per key.
 
-``running_total`` and ``time_slices`` let a key that holds a third of the rows
-be worked on by many tasks; both give exact results.
+``running_total`` lets a key that holds a third of the rows be worked on by
+many tasks, and gives exact results.
 """
 
 from __future__ import annotations
@@ -20,35 +20,18 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: s
 
     Rows are range-partitioned on (keys, order), so a hot key spans several
     partitions.  Each partition sums on its own; what earlier partitions hold
-    for the same key is added from a table of one row per (key, partition).
+    for the same key is added from a table of one row per partition at most.
     The range partitioning is written out first: its partition numbers must
     not change if an executor is lost.
     """
     placed = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_rt_pid", F.spark_partition_id())
     placed = cut_lineage(placed)
-    parts = placed.groupBy(*keys, "_rt_pid").agg(F.sum(amount).alias("_rt_part"))
+    # a boundary cuts one key at most: only a partition's first key can have earlier rows elsewhere
+    parts = placed.groupBy("_rt_pid", *keys).agg(F.sum(amount).alias("_rt_part"))
+    parts = parts.withColumn("_rt_first", F.row_number().over(W.partitionBy("_rt_pid").orderBy(*[F.col(k) for k in keys])) == 1) if keys else parts.withColumn("_rt_first", F.lit(True))
     before = W.partitionBy(*keys).orderBy("_rt_pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.withColumn("_rt_before", F.coalesce(F.sum("_rt_part").over(before), F.lit(0))).drop("_rt_part")
+    offsets = parts.withColumn("_rt_before", F.sum("_rt_part").over(before)).where("_rt_first and _rt_before is not null").select(F.col("_rt_pid").alias("_rt_p"), *[F.col(k).alias(f"_rt_k{i}") for i, k in enumerate(keys)], "_rt_before")
     within = W.partitionBy("_rt_pid", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = placed.withColumn("_rt_run", F.sum(amount).over(within))
-    named = {k: f"_rt_k{i}" for i, k in enumerate(["_rt_pid", *keys])}
-    other = offsets.select(*[F.col(k).alias(n) for k, n in named.items()], "_rt_before")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])  # a null key is a key
-    return summed.join(other, same).withColumn(out, F.col("_rt_run") + F.col("_rt_before")).select(*df.columns, out)
-
-
-def time_slices(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    """Rows with their slice number, repeated as context for the next slice.
-
-    A window over (key, slice) then sees everything up to ``seconds`` back,
-    while a hot key is cut along time.  Drop rows with ``_context`` afterwards.
-    """
-    own = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
-    both = F.array(F.struct(own.alias("s"), F.lit(False).alias("c")), F.struct((own + 1).alias("s"), F.lit(True).alias("c")))
-    return df.withColumn("_x", F.explode(both)).withColumns({"_slice": F.col("_x.s"), "_context": F.col("_x.c")}).drop("_x")
-
-
-def within_window(keys: list[str], ts: str, tie: str, seconds: int):
-    """Frame of the preceding ``seconds`` inside a slice (see ``time_slices``)."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return W.partitionBy(*keys, "_slice").orderBy(micros).rangeBetween(-seconds * 1_000_000, -1)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_rt_k{i}")) for i, k in enumerate(keys)], F.col("_rt_pid") == F.col("_rt_p"))  # a null key is a key
+    return summed.join(offsets, same, "left").withColumn(out, F.col("_rt_run") + F.coalesce("_rt_before", F.lit(0))).select(*df.columns, out)

@@ -4,7 +4,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.rowwise import superseded
 from ..operators import catalog, counters
 from .registry import query
 
@@ -58,18 +57,6 @@ def event_dedupe(t):
     return counters.one_event_per_step(t("v_table_usage")).withColumn("used_at", F.date_format("used_at", "yyyy-MM-dd"))
 
 
-@query("additive_superset")
-def additive_superset(t):
-    """Revisions of each passage: growing cuts of its words, some with further edits."""
-    words = F.split("text", " ")
-    n = F.size(words)
-    cut = lambda k: F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(n * k).cast("int"))), " ")
-    texts = [cut(0.5), F.concat(cut(0.5), F.lit(" added")), F.reverse(cut(0.1)), F.concat(cut(0.3), F.lit(" x"))]
-    revisions = F.array(*[F.struct(F.lit(i).alias("rev"), c.alias("pending")) for i, c in enumerate(texts)])
-    rows = t("benchmark").select(F.col("item_id").alias("doc_id"), F.lit("").alias("base"), F.inline(revisions))
-    return superseded(rows, "doc_id", "rev", "pending", "base").where("superseded").select("doc_id", "rev")
-
-
 @query("ds_overlap", """SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'ring'])""")
 def ds_overlap(t):
     items = t("part").withColumn("sources", F.split("p_name", " "))

@@ -42,37 +42,6 @@ def scan_guard(t):
     return reuse.scan_guard(t.sql(PLANS), tables, 1_000_000_000).select("query_id", F.col("scan_bytes").cast("bigint").alias("scan_bytes"), "verdict")
 
 
-LOG_BUSY = """SELECT query_id, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, query_id * 3) AS issued_at, 'src' || cast(user_id % 3 AS string) AS scope, sql_text, cost_ms, error_text FROM {v_query_log}"""
-_BUSY = """SELECT query_id, TIMESTAMP '2024-01-01' + to_seconds(query_id * 3) AS issued_at, 'src' || cast(user_id % 3 AS string) AS scope, lower(trim(regexp_replace(sql_text, '\\s+', ' ', 'g'))) AS nsql, cost_ms, error_text FROM v_query_log"""
-
-
-@query("result_cache", f"""WITH b AS ({_BUSY}), w AS (SELECT *, max(CASE WHEN error_text IS NULL AND cost_ms >= 250 THEN issued_at END)
-    OVER (PARTITION BY scope, nsql ORDER BY issued_at RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS last_stored FROM b)
-  SELECT query_id, sha256(scope || chr(0) || nsql) AS key, error_text IS NULL AND cost_ms >= 250 AS stored,
-    coalesce(date_diff('second', last_stored, issued_at) <= CASE WHEN scope = 'src2' THEN 30 ELSE 300 END, false) AS reusable FROM w""")
-def result_cache(t):
-    return reuse.reuse_report(t.sql(LOG_BUSY), fast_scopes=("src2",)).select("query_id", "key", "stored", "reusable")
-
-
-@query("cache_evict_rank", """WITH e AS (SELECT query_id, bytes, cost_ms * (hits + 1) / greatest(bytes, 1) AS value FROM v_query_log), r AS (SELECT *, sum(bytes) OVER (ORDER BY value, query_id ROWS UNBOUNDED PRECEDING) - bytes AS before FROM e)
-  SELECT query_id, (SELECT sum(bytes) FROM e) - before > 200000000 AS evicted FROM r""")
-def cache_evict_rank(t):
-    entries = t("v_query_log").select("query_id", "cost_ms", "hits", "bytes")
-    return reuse.eviction_rank(entries, 200_000_000, "query_id").select("query_id", "evicted")
-
-
-SCANS = """SELECT query_id, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, query_id * 7) AS issued_at, scope, base_table, bytes, cost_ms, error_text, shape IN ('view', 'click') AS is_full_scan,
-  CASE WHEN shape = 'view' THEN array('region', 'amt') WHEN shape = 'click' THEN NULL WHEN user_id % 2 = 0 THEN array('amt') ELSE array('amt', 'day') END AS columns FROM {v_query_log}"""
-
-
-@query("scan_subsume", """WITH l AS (SELECT query_id, TIMESTAMP '2024-01-01' + to_seconds(query_id * 7) AS issued_at, scope, base_table, bytes, shape, user_id % 2 = 0 AS narrow,
-    shape IN ('view', 'click') AND error_text IS NULL AND cost_ms >= 250 AS usable FROM v_query_log WHERE base_table IS NOT NULL)
-  SELECT q.query_id, arg_min(s.query_id, (s.bytes, s.query_id)) AS answered_by FROM (SELECT * FROM l WHERE shape = 'purchase') q LEFT JOIN (SELECT * FROM l WHERE usable) s ON s.scope = q.scope AND s.base_table = q.base_table
-    AND s.issued_at < q.issued_at AND s.issued_at >= q.issued_at - INTERVAL 300 SECONDS AND (s.shape = 'click' OR q.narrow) GROUP BY 1""")
-def scan_subsume(t):
-    return reuse.subsume_report(t.sql(SCANS), [["region", "amt"], None])
-
-
 @query("scan_subsume_run", """SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders WHERE o_totalprice > 1000 GROUP BY 1""")
 def scan_subsume_run(t):
     """The unchanged SQL of a narrower query, answered from a saved full scan."""

@@ -33,15 +33,39 @@ def _docs(t):
 
 
 @query("doc_find", """SELECT _id, user_id, meta FROM (SELECT event_id AS _id, user_id, '{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}' AS meta,
-   cast(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type IN ('click', 'view')) WHERE k >= 90 OR user_id = 3 ORDER BY k DESC, user_id, _id LIMIT 100""")
+   cast(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type IN ('click', 'view')) WHERE k >= 90 OR user_id = 3""")
 def doc_find(t):
     spec = {"find": {"meta.type": {"$in": ["click", "view"]}, "$or": [{"meta.k": {"$gte": 90}}, {"user_id": 3}]},
-            "projection": {"user_id": 1, "meta": 1}, "sort": [("meta.k", -1), ("user_id", 1)]}
+            "projection": {"user_id": 1, "meta": 1}, "sort": {"meta.k": -1, "user_id": 1}, "limit": 0}
     return documents.doc_find(_docs(t), spec)
 
 
-@query("doc_schema", """SELECT * FROM (VALUES ('_id', 'integer'), ('user_id', 'integer'), ('meta', 'object'), ('meta.k', 'integer'), ('meta.type', 'string'), ('tags', 'array'),
-  ('price', 'number'), ('items', 'array'), ('items[].q', 'number'), ('items[].flag', 'boolean')) v(name, dtype)""")
+@query("doc_find_limited", """SELECT event_id AS _id, user_id FROM events WHERE NOT (coalesce(cast(json_extract(props, '$.k') AS INTEGER) < 10, false) OR user_id = 3)
+   AND event_type <> 'purchase' ORDER BY cast(json_extract(props, '$.k') AS INTEGER) DESC, event_id LIMIT 250""")
+def doc_find_limited(t):
+    spec = {"find": {"$nor": [{"meta.k": {"$lt": 10}}, {"user_id": 3}], "tags": {"$all": ["x"], "$size": 2, "$not": {"$elemMatch": {"$eq": "purchase"}}}},
+            "projection": {"user_id": 1}, "sort": [("meta.k", -1)], "limit": 250}
+    return documents.doc_find(_docs(t), spec)
+
+
+@query("doc_aggregate", """SELECT type AS tag, count(*) AS n, cast(sum(user_id) AS BIGINT) AS users, min(k) AS lo, max(k) AS hi FROM
+   (SELECT user_id, cast(json_extract(props, '$.k') AS INTEGER) AS k, unnest([event_type, 'x']) AS type FROM events) WHERE k >= 5 GROUP BY 1""")
+def doc_aggregate(t):
+    """Events by tag: filtered, one row per list member, grouped and renamed."""
+    return documents.doc_aggregate(_docs(t), [
+        {"$match": {"meta.k": {"$gte": 5}}}, {"$unwind": "$tags"},
+        {"$group": {"_id": "$tags", "n": {"$sum": 1}, "users": {"$sum": "$user_id"}, "lo": {"$min": "$meta.k"}, "hi": {"$max": "$meta.k"}}},
+        {"$sort": {"n": -1}}, {"$project": {"_id": 0, "tag": "$_id", "n": 1, "users": 1, "lo": 1, "hi": 1}}])
+
+
+@query("doc_schema", """WITH f(name, dtype, seen) AS (
+  SELECT '_id', 'integer', count(event_id) FROM events UNION ALL SELECT 'user_id', 'integer', count(user_id) FROM events
+  UNION ALL SELECT 'meta', 'object', count(*) FROM events UNION ALL SELECT 'meta.k', 'integer', count(try_cast(json_extract_string(props, '$.k') AS BIGINT)) FROM events
+  UNION ALL SELECT 'meta.type', 'string', count(event_type) FROM events UNION ALL SELECT 'tags', 'array', count(*) FROM events
+  UNION ALL SELECT 'price', CASE WHEN count(*) FILTER (l_extendedprice + 0.25 <> floor(l_extendedprice + 0.25)) > 0 THEN 'number' ELSE 'integer' END, count(l_extendedprice) FROM lineitem
+  UNION ALL SELECT 'items', 'array', count(*) FROM lineitem
+  UNION ALL SELECT 'items[].q', CASE WHEN count(*) FILTER (l_quantity + 0.5 <> floor(l_quantity + 0.5)) > 0 THEN 'number' ELSE 'integer' END, count(l_quantity) FROM lineitem
+  UNION ALL SELECT 'items[].flag', 'boolean', count(l_linenumber > 2) FROM lineitem) SELECT name, dtype FROM f WHERE seen > 0""")
 def doc_schema(t):
     """Two kinds of documents in one collection; the schema is their union."""
     events = _docs(t).select(F.to_json(F.struct("*")).alias("doc"))
@@ -95,7 +119,10 @@ def _landed(t):
 
 
 @query("column_type_infer", """SELECT 'key' AS "column", CASE WHEN count(try_cast(l_orderkey::VARCHAR AS BIGINT)) = count(*) THEN 'int' ELSE 'text' END AS type FROM lineitem
-  UNION ALL SELECT 'qty', 'double' UNION ALL SELECT 'flag', 'text' UNION ALL SELECT 'ship_serial', 'date' UNION ALL SELECT 'empty', 'text'
+  UNION ALL SELECT 'qty', CASE WHEN count(try_cast(CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::VARCHAR || '' ELSE l_quantity::VARCHAR END AS BIGINT)) FILTER (NOT contains(l_quantity::VARCHAR, '.')) = count(*) THEN 'int' WHEN count(try_cast(l_quantity::VARCHAR AS DOUBLE)) = count(*) THEN 'double' ELSE 'text' END FROM lineitem
+  UNION ALL SELECT 'flag', CASE WHEN count(try_cast(l_returnflag AS DOUBLE)) = count(*) THEN 'date' ELSE 'text' END FROM lineitem
+  UNION ALL SELECT 'ship_serial', CASE WHEN count(try_cast(l_partkey::VARCHAR AS DOUBLE)) = count(*) THEN 'date' ELSE 'text' END FROM lineitem
+  UNION ALL SELECT 'empty', CASE WHEN count(*) FILTER (l_linenumber < 0) = 0 THEN 'text' ELSE 'other' END FROM lineitem
   UNION ALL SELECT 'tax', CASE WHEN count(*) FILTER (l_linenumber = 3) > 0 THEN 'text' ELSE 'double' END FROM lineitem""")
 def column_type_infer(t):
     return landing.infer_column_types(_landed(t), {"ship_serial": "$date", "flag": "$date"})
@@ -167,13 +194,6 @@ def trim_to_data(t):
     return files.trim_to_data(lead.unionByName(body), "pos")
 
 
-@query("catalog_columns")
-def catalog_columns(t):
-    from .virtual import BASE_TABLES
-    listed = metastore.frame_columns(t.spark, {n: t(n) for n in BASE_TABLES})
-    return listed.unionByName(metastore.catalog_columns(t.spark))
-
-
 @query("partition_profile", """WITH v AS (SELECT DISTINCT 'year' AS "column", strftime(l_shipdate, '%Y') AS value FROM lineitem UNION SELECT DISTINCT 'month', strftime(l_shipdate, '%m') FROM lineitem),
   s AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) AS r FROM v)
   SELECT "column", cast(count(*) AS VARCHAR) AS count, string_agg(value, ',' ORDER BY value) FILTER (r <= 5) AS sample, min(value) AS min, max(value) AS max FROM s GROUP BY 1

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import rowwise, user_code
+from ..functions import user_code
 from ..session import shared_dir
 from ..sources import snapshots
 from .registry import query
@@ -38,14 +38,3 @@ def load_step(t):
 def load_entity(t):
     saved = snapshots.snapshot_write(t("part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts")), shared_dir(t.spark, "entity"))
     return user_code.generate_df(lambda load_entity: load_entity("brand model"), t.spark, {}, entities={"Brand Model": saved})
-
-
-@query("text_hunks")
-def text_hunks(t):
-    """Each turn revised in two places while the main text gained a first word."""
-    words = F.split("text", " ")
-    n = F.size(words)
-    proposed = F.array_join(F.transform(words, lambda w, i: F.when(i == n - 1, F.lit("LAST")).when(i == 0, F.concat(w, F.lit(" added"))).otherwise(w)), " ")
-    rows = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("rev_id"), F.col("text").alias("base"), proposed.alias("proposed"),
-                                     F.when(F.col("turn") % 3 == 2, proposed).otherwise(F.concat(F.lit("New "), "text")).alias("main_text"))
-    return rowwise.text_hunks(rows, "rev_id", "base", "proposed", "main_text")

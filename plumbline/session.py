@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,18 +27,38 @@ def local_session(cpus: int | str = 8, app: str = "plumbline") -> SparkSession:
     )
 
 
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names no shared folder (local tests) gets a scratch one.
+    Only a session whose executors are threads of the driver (``local[n]``)
+    may name none: it gets a scratch folder.  ``release`` removes all paths.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that owns it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every folder this application got from ``shared_dir``; results that read them are gone then."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -11,55 +11,181 @@ from pyspark.sql import types as T
 
 from ..session import spread_small
 
-DEFAULT_LIMIT = 100
-
-
 def _path(name: str) -> Column:
     parts = name.split(".")
     return reduce(lambda c, p: c[p], parts[1:], F.col(f"`{parts[0]}`"))
 
 
-def _test(c: Column, op: str, v) -> Column:
-    if op == "$eq":
-        return c.isNull() if v is None else c == F.lit(v)
-    if op == "$ne":
-        return c.isNotNull() if v is None else ~c.eqNullSafe(F.lit(v))
-    if op in ("$in", "$nin"):
-        hit = F.coalesce(c.isin(*v), F.lit(False)) if v else F.lit(False)
-        return hit if op == "$in" else ~hit
-    if op == "$exists":
-        return c.isNotNull() if v else c.isNull()
-    if op == "$regex":
-        return c.rlike(v)
-    return {"$gt": lambda: c > v, "$gte": lambda: c >= v, "$lt": lambda: c < v, "$lte": lambda: c <= v}[op]()
+def _type(df: DataFrame, name: str) -> T.DataType:
+    return df.select(_path(name).alias("x")).schema["x"].dataType
+
+
+_ORDER = {"$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v}
+
+
+def _equal(c: Column, kind: T.DataType, v) -> Column:
+    """Equality; a list field also equals each of its members, and a list value only the whole list."""
+    if v is None:
+        return c.isNull()
+    if isinstance(kind, T.ArrayType):
+        return c.eqNullSafe(F.array(*[F.lit(x) for x in v]).cast(kind)) if isinstance(v, list) else F.array_contains(c, F.lit(v))
+    return c == F.lit(v)
+
+
+def _test(c: Column, kind: T.DataType, op: str, v) -> Column:
+    """One operator on a value; false, never null, where the value is missing."""
+    held = isinstance(kind, T.ArrayType)
+    if op in ("$eq", "$ne"):
+        hit = _equal(c, kind, v)
+    elif op in ("$in", "$nin"):
+        hit = reduce(lambda a, b: a | b, [F.coalesce(_equal(c, kind, x), F.lit(False)) for x in v], F.lit(False))
+    elif op == "$exists":
+        hit = c.isNotNull() if v else c.isNull()
+    elif op == "$regex":
+        hit = F.exists(c, lambda x: x.rlike(v)) if held else c.rlike(v)
+    elif op == "$not":
+        return ~reduce(lambda a, b: a & b, [_test(c, kind, o, x) for o, x in v.items()])
+    elif op == "$all":
+        hit = reduce(lambda a, b: a & b, [_equal(c, kind, x) for x in v], F.lit(bool(v)))
+    elif op == "$size":
+        hit = F.size(c) == v
+    elif op == "$elemMatch":
+        inner = kind.elementType
+        if all(k.startswith("$") for k in v):
+            hit = F.exists(c, lambda x: reduce(lambda a, b: a & b, [_test(x, inner, o, y) for o, y in v.items()]))
+        else:
+            hit = F.exists(c, lambda x: reduce(lambda a, b: a & b, [
+                _test(x[k], inner[k].dataType, o, z) for k, y in v.items() for o, z in (y.items() if _is_test(y) else [("$eq", y)])]))
+    elif op in _ORDER:
+        hit = F.exists(c, lambda x: _ORDER[op](x, F.lit(v))) if held else _ORDER[op](c, F.lit(v))
+    else:
+        raise ValueError(f"unknown operator {op}")
+    hit = F.coalesce(hit, F.lit(False))
+    return ~hit if op in ("$ne", "$nin") else hit
+
+
+def _is_test(v) -> bool:
+    return isinstance(v, dict) and any(k.startswith("$") for k in v)
 
 
-def find_filter(spec: dict) -> Column:
-    """A find document as a predicate: equality, comparison, membership, and/or/nor."""
+def find_filter(df: DataFrame, spec: dict) -> Column:
+    """A find document as a predicate over ``df``: tests of fields, joined by and, or, nor."""
     terms = []
     for k, v in spec.items():
         if k in ("$and", "$or", "$nor"):
-            parts = [find_filter(s) for s in v]
+            parts = [find_filter(df, s) for s in v]
             joined = reduce((lambda a, b: a & b) if k == "$and" else (lambda a, b: a | b), parts)
             terms.append(~joined if k == "$nor" else joined)
-        elif isinstance(v, dict) and any(x.startswith("$") for x in v):
-            terms += [_test(_path(k), op, arg) for op, arg in v.items()]
         else:
-            terms.append(_test(_path(k), "$eq", v))
+            kind = _type(df, k)
+            terms += [_test(_path(k), kind, op, arg) for op, arg in (v.items() if _is_test(v) else [("$eq", v)])]
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+def _sorted(df: DataFrame, order, tie: str | None) -> DataFrame:
+    """``order`` as pairs or as the object of the JSON form; missing values sort lowest."""
+    pairs = list(order.items()) if isinstance(order, dict) else list(order or [])
+    by = [F.desc_nulls_last(_path(n)) if d < 0 else F.asc_nulls_first(_path(n)) for n, d in pairs]
+    by += [F.asc_nulls_first(tie)] if tie in df.columns else []
+    return df.orderBy(*by) if by else df
+
+
+def _as_cells(df: DataFrame) -> DataFrame:
+    """Nested values as JSON text."""
+    return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def doc_find(df: DataFrame, spec: dict, tie: str = "_id") -> DataFrame:
-    """``{"find", "projection", "sort", "limit"}`` over a collection; nested cells as JSON text."""
-    out = df.where(find_filter(spec.get("find") or {}))
-    order = [F.desc_nulls_last(_path(n)) if d < 0 else F.asc_nulls_first(_path(n)) for n, d in spec.get("sort") or []]
-    out = out.orderBy(*order, tie).limit(spec.get("limit") or DEFAULT_LIMIT)
+    """``{"find", "projection", "sort", "limit"}`` over a collection; nested cells as JSON text.
+
+    All matches come back unless a limit above zero is asked for.
+    """
+    out = df.where(find_filter(df, spec.get("find") or {}))
+    if spec.get("sort") or spec.get("limit"):
+        out = _sorted(out, spec.get("sort"), tie)
+    if spec.get("limit"):
+        out = out.limit(spec["limit"])
     wanted = spec.get("projection")
     names = [n for n in df.columns if not wanted or wanted.get(n) or (n == tie and wanted.get(tie, 1))]
     if wanted and not any(wanted.values()):
         names = [n for n in df.columns if n not in wanted]
-    nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
-    return out.select(*[F.to_json(n).alias(n) if n in nested else F.col(n) for n in names])
+    return _as_cells(out.select(*names))
+
+
+def _value(v) -> Column:
+    """An expression of a pipeline: ``"$path"``, a literal, or one arithmetic or text operator."""
+    if isinstance(v, str) and v.startswith("$"):
+        return _path(v[1:])
+    if isinstance(v, dict) and len(v) == 1 and next(iter(v)).startswith("$"):
+        (op, arg), = v.items()
+        parts = [_value(x) for x in (arg if isinstance(arg, list) else [arg])]
+        joins = {"$add": lambda a, b: a + b, "$subtract": lambda a, b: a - b, "$multiply": lambda a, b: a * b, "$divide": lambda a, b: a / b}
+        alone = {"$toLower": F.lower, "$toUpper": F.upper, "$size": F.size, "$year": F.year, "$month": F.month}
+        if op in joins:
+            return reduce(joins[op], parts)
+        if op in alone:
+            return alone[op](parts[0])
+        if op == "$concat":
+            return F.concat(*parts)
+        if op == "$ifNull":
+            return F.coalesce(*parts)
+        if op == "$literal":
+            return F.lit(arg)
+        raise ValueError(f"unknown expression {op}")
+    if isinstance(v, dict):
+        return F.struct(*[_value(x).alias(k) for k, x in v.items()])
+    return F.lit(v)
+
+
+def _gathered(spec: dict) -> Column:
+    """One accumulator of a group."""
+    (op, arg), = spec.items()
+    if op == "$count" or (op == "$sum" and isinstance(arg, (int, float))):
+        return F.count(F.lit(1)) * F.lit(arg if op == "$sum" else 1)
+    c = _value(arg)
+    made = {"$sum": lambda: F.coalesce(F.sum(c), F.lit(0)), "$avg": lambda: F.avg(c), "$min": lambda: F.min(c), "$max": lambda: F.max(c),
+            "$addToSet": lambda: F.array_sort(F.collect_set(c)), "$push": lambda: F.collect_list(c), "$first": lambda: F.first(c), "$last": lambda: F.last(c)}
+    if op not in made:
+        raise ValueError(f"unknown accumulator {op}")
+    return made[op]()
+
+
+def doc_aggregate(df: DataFrame, pipeline: list[dict], tie: str = "_id") -> DataFrame:
+    """An aggregation pipeline, stage by stage as DataFrame calls; nested cells as JSON text."""
+    out = df
+    for stage in pipeline:
+        (op, arg), = stage.items()
+        if op == "$match":
+            out = out.where(find_filter(out, arg))
+        elif op == "$group":
+            key = arg["_id"]
+            sums = [_gathered(v).alias(k) for k, v in arg.items() if k != "_id"]
+            out = out.groupBy(_value(key).alias("_id")).agg(*sums or [F.count(F.lit(1)).alias("_n")]).select("_id", *[k for k in arg if k != "_id"])
+        elif op == "$project":
+            shown = {k: v for k, v in arg.items() if k != "_id"}
+            if shown and all(v in (0, False) for v in shown.values()):
+                out = out.drop(*[k for k, v in arg.items() if not v])
+            else:
+                head = [] if arg.get("_id", 1) in (0, False) or ("_id" not in out.columns and "_id" not in arg) else [(_path("_id") if arg.get("_id", 1) in (1, True) else _value(arg["_id"])).alias("_id")]
+                out = out.select(*head, *[(_path(k) if v in (1, True) else _value(v)).alias(k.split(".")[-1]) for k, v in shown.items()])
+        elif op in ("$addFields", "$set"):
+            out = out.withColumns({k: _value(v) for k, v in arg.items()})
+        elif op == "$unwind":
+            name = (arg["path"] if isinstance(arg, dict) else arg)[1:]
+            keep = isinstance(arg, dict) and arg.get("preserveNullAndEmptyArrays")
+            made = (F.explode_outer if keep else F.explode)(_path(name))
+            out = out.withColumn(name, made) if "." not in name else out.withColumn(name.split(".")[-1], made)
+        elif op == "$sort":
+            out = _sorted(out, arg, tie)
+        elif op == "$limit":
+            out = out.limit(arg)
+        elif op == "$skip":
+            out = out.offset(arg)
+        elif op == "$count":
+            out = out.agg(F.count(F.lit(1)).alias(arg))
+        else:
+            raise ValueError(f"unknown stage {op}")
+    return _as_cells(out)
 
 
 def _kind(t: T.DataType) -> str:

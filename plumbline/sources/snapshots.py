@@ -9,26 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import js_string
+from ..session import drop_path
 
-# Default result limits.
+# Result limits that a caller may ask for; no function applies them by itself.
 MAX_ROWS = 50_000_000
 MAX_BYTES = 8 * 1024**3
 GRID_ROWS = 1000
 
 
 class ResultTooLarge(RuntimeError):
-    def __init__(self, rows: int, size: int, max_rows: int, max_bytes: int):
+    def __init__(self, rows: int, size: int, max_rows: int | None, max_bytes: int | None):
         super().__init__(f"result of {rows} rows and about {size} bytes exceeds {max_rows} rows or {max_bytes} bytes")
         self.rows, self.size = rows, size
 
 
-def _drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a staging folder through the file system that owns it."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def byte_size(df: DataFrame) -> int:
     """Bytes of the files a DataFrame reads, from file metadata."""
     files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
@@ -41,7 +35,7 @@ def snapshot_write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def budgeted_snapshot(df: DataFrame, path: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def budgeted_snapshot(df: DataFrame, path: str, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Write to ``path``, counting on the way; over budget, remove it and raise.
 
     All tasks write in parallel: a row cap would pull the result through one
@@ -52,8 +46,8 @@ def budgeted_snapshot(df: DataFrame, path: str, max_rows: int = MAX_ROWS, max_by
     rows = seen.get["rows"]
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     size = byte_size(out) if rows else 0
-    if rows > max_rows or size > max_bytes:
-        _drop_path(df.sparkSession, path)
+    if (max_rows is not None and rows > max_rows) or (max_bytes is not None and size > max_bytes):
+        drop_path(df.sparkSession, path)
         raise ResultTooLarge(rows, size, max_rows, max_bytes)
     return out
 
@@ -80,7 +74,7 @@ def csv_export(df: DataFrame, path: str, columns: list[str] | None = None) -> st
     return path
 
 
-def to_grid(df: DataFrame, order: str, max_rows: int | None = GRID_ROWS) -> tuple[DataFrame, list[dict]]:
+def to_grid(df: DataFrame, order: str, max_rows: int | None = None) -> tuple[DataFrame, list[dict]]:
     """Rows as JSON in order, capped unless ``max_rows`` is None, and the column list."""
     kept = df.orderBy(order).limit(max_rows) if max_rows else df
     rows = kept.select(F.col(order).alias("pos"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))

@@ -10,11 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from plumbline.session import local_session
+    from plumbline.session import local_session, release
 
     session = local_session(8, "plumbline-tests")
     session.sparkContext.setLogLevel("OFF")
     yield session
+    release(session)
     session.stop()
 
 

@@ -65,31 +65,6 @@ def test_csv_rules(spark):
 
 
 # ---- reuse -----------------------------------------------------------------------
-def test_cache_key_ignores_case_and_space(spark):
-    df = spark.createDataFrame([("s", "SELECT  a FROM t"), ("s", "select a\nfrom T ;"), ("z", "select a from t")], "scope string, q string")
-    keys = [r[0] for r in rows(df.select(reuse.cache_key(F.col("scope"), F.col("q"))))]
-    assert keys[0] == keys[1] != keys[2]
-
-
-def log_of(spark, events):
-    base = dt.datetime(2024, 1, 1)
-    data = [(i, base + dt.timedelta(seconds=s), "s", q, cost, err) for i, (s, q, cost, err) in enumerate(events)]
-    return spark.createDataFrame(data, "query_id int, issued_at timestamp, scope string, sql_text string, cost_ms int, error_text string")
-
-
-def test_reuse_lifetime_cost_and_errors(spark):
-    log = log_of(spark, [(0, "select 1", 300, None), (299, "SELECT 1", 10, None), (301, "select 1", 10, None), (302, "select 2", 100, None),
-                         (303, "select 2", 400, "boom"), (304, "select 2", 10, None)])
-    got = {r.query_id: r.reusable for r in reuse.reuse_report(log).collect()}
-    assert got == {0: False, 1: True, 2: False, 3: False, 4: False, 5: False}
-
-
-def test_eviction_keeps_the_costly_entry(spark):
-    entries = spark.createDataFrame([("a", 300, 1, 100), ("b", 60000, 0, 100), ("c", 300, 0, 100)], "key string, cost_ms int, hits int, bytes int")
-    out = {r.key: r.evicted for r in reuse.eviction_rank(entries, 250).collect()}
-    assert out == {"a": False, "b": False, "c": True}
-
-
 def test_subsumption_runs_unchanged_sql(spark):
     snap = spark.createDataFrame([("EU", 10), ("US", 20), ("EU", 30)], "region string, amt int")
     run = lambda q, complete=True: reuse.answer_from_snapshot(spark, q, "orders", snap, complete)
@@ -462,7 +437,7 @@ def test_event_weights(spark):
     assert counters.one_event_per_step(use).count() == 2
 
 
-# ---- pages, hunks ---------------------------------------------------------------------------------
+# ---- pages ----------------------------------------------------------------------------------------
 def test_page_parts():
     html = ("<html><head><title> A &amp; B </title><meta name='description' content='d'><meta property='og:title' content='o'>"
             "<script type='application/ld+json'>[{\"x\": 1}, 2]</script><script>var a='<p>no</p>'</script></head>"
@@ -472,25 +447,6 @@ def test_page_parts():
     assert p["metadata"] == {"description": "d", "og:title": "o"} and p["text"].split("\n") == ["Head", "one", "Text here", "tail"]
 
 
-def test_hunks():
-    got = list(rowwise.hunk_rows("the quick fox", "the slow fox jumps", "New the quick fox"))
-    assert [(h[2], h[3], h[4]) for h in got] == [("quick", "slow", "live"), ("", " jumps", "live")]
-    assert got[0][5] == len("New the ")
-    assert [h[4] for h in rowwise.hunk_rows("a b", "a c", "a c")] == ["applied"]
-    assert [h[4] for h in rowwise.hunk_rows("a b", "a c", "a d")] == ["conflict"]
-    assert list(rowwise.hunk_rows("same", "same", "x")) == []
-
-
-def test_semantic_resources():
-    yml = "models:\n  - name: m\n    columns: [{name: c, data_type: int, tests: [unique]}]\nsources:\n  - name: s\n    tables: [{name: t}]\n"
-    got = list(rowwise.yaml_resources(yml))
-    assert ("model_config", "m", "", "c", "int", '["unique"]') in got and ("source", "s.t", "", None, None, None) in got
-    tds = "<datasource name='d'><column name='[f]' datatype='real'><calculation formula='1'/></column><relation type='join'><relation table='a'/><relation table='b'/></relation></datasource>"
-    got = list(rowwise.xml_resources(tds))
-    assert ("tableau_datasource", "d", "", "f", "real", "1") in got and ("tableau_join", "d_join_1", "a|b", None, None, None) in got
-    assert list(rowwise.yaml_resources(": bad: [")) == [] and list(rowwise.xml_resources("<x>")) == []
-
-
 # ---- streams --------------------------------------------------------------------------------------
 def test_stream_quota_over_several_batches(spark):
     start = dt.datetime(2024, 1, 30)

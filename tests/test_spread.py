@@ -7,8 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.functions.rowwise import only_inserts, superseded
-from plumbline.operators import profile, quota, reuse, rules
+from plumbline.operators import profile, quota, rules
 from plumbline.operators.conversation import pair_turns
 from plumbline.operators.spread import running_total
 
@@ -81,27 +80,6 @@ def test_ordering_rules_match_a_loop(spark):
     assert {r.rule_id: r.passed for r in got.collect()} == want
 
 
-def test_superseded_matches_all_pairs(spark):
-    rng = random.Random(11)
-    items = []
-    for item in range(6):
-        texts = ["base"]
-        for k in range(25 if item == 0 else 5):
-            grown = rng.choice(texts)
-            at = rng.randrange(len(grown) + 1)
-            texts.append(grown[:at] + rng.choice(["x", " more", "zz"]) + grown[at:] if rng.random() < 0.8 else grown[: max(1, at)])
-        items += [(item, k, t, "base") for k, t in enumerate(texts)]
-    want = set()
-    for item in range(6):
-        mine = [i for i in items if i[0] == item]
-        for a in mine:
-            if only_inserts(a[3], a[2]) and any(only_inserts(a[2], b[2]) for b in mine if b[1] != a[1]):
-                want.add((item, a[1]))
-    df = spark.createDataFrame(items, "item int, k int, t string, base string")
-    got = {(r.item, r.k) for r in superseded(df, "item", "k", "t", "base", leaders=3).where("superseded").collect()}
-    assert got == want and want
-
-
 def test_turns_across_blocks_match_a_loop(spark):
     rng = random.Random(13)
     turns = [(c, i, rng.choice(["user", "assistant", "system"]), f"text {i}") for c, n in ((1, 3000), (2, 5)) for i in range(n) if rng.random() < 0.9]
@@ -115,31 +93,6 @@ def test_turns_across_blocks_match_a_loop(spark):
     assert got == want
 
 
-def test_reuse_matches_a_loop(spark):
-    rng = random.Random(17)
-    base = dt.datetime(2024, 1, 1)
-    log = [(i, base + dt.timedelta(seconds=rng.randrange(20_000)), "s", f"select {0 if i % 3 else i % 20}", rng.choice([100, 300]), None) for i in range(1500)]
-    want = {}
-    for i, ts, _, q, _, _ in log:
-        last = [t for _, t, _, p, c, _ in log if p == q and c >= 250 and t < ts and (ts - t).total_seconds() <= 300]
-        want[i] = bool(last)
-    df = spark.createDataFrame(log, "query_id int, issued_at timestamp, scope string, sql_text string, cost_ms int, error_text string")
-    assert {r.query_id: r.reusable for r in reuse.reuse_report(df).collect()} == want
-
-
-def test_eviction_matches_a_loop(spark):
-    rng = random.Random(19)
-    data = [(f"k{i:04d}", rng.choice([10, 1000]), rng.randrange(3), rng.choice([50, 100])) for i in range(900)]
-    total, budget, gone = sum(d[3] for d in data), 30_000, set()
-    for k, c, h, b in sorted(data, key=lambda d: (d[1] * (d[2] + 1) / d[3], d[0])):
-        if total <= budget:
-            break
-        gone.add(k)
-        total -= b
-    df = spark.createDataFrame(data, "key string, cost_ms int, hits int, bytes int")
-    assert {r.key for r in reuse.eviction_rank(df, budget).where("evicted").collect()} == gone
-
-
 def test_pairs_match_combinations(spark):
     from plumbline.operators.activity import table_pairs
 
