@@ -86,18 +86,13 @@ def blend(keyword: Column, semantic: Column) -> Column:
     return F.coalesce(0.5 * keyword + 0.5 * semantic, keyword)
 
 
-MAX_QUERY_VECTORS = 10_000
-
-
 def cosine_topk(vectors: DataFrame, key: str, vector: str, queries: dict[str, list[float]], k: int) -> DataFrame:
     """Best ``k`` rows per query vector by ``max(0, cosine)``.
 
     One scan: each Arrow batch is scored against all query vectors at once and
     hands on at most ``k`` rows per query, so the shuffle carries candidates
-    only.  The number of query vectors is checked; split longer lists.
+    only.
     """
-    if len(queries) > MAX_QUERY_VECTORS:
-        raise ValueError(f"at most {MAX_QUERY_VECTORS} query vectors per scan")
     labels = list(queries)
     matrix = np.asarray([queries[q] for q in labels], dtype=np.float64).reshape(len(labels), -1)
     dim = matrix.shape[1]

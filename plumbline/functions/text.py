@@ -37,8 +37,13 @@ def clean_answer(value) -> Column:
     return F.trim(tail)
 
 
-def error_summary(value, limit: int = 180) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(_c(value), F.lit("")), r"\s+", " ")), 1, limit)
+def clip(value: Column, length: int | None) -> Column:
+    """The first ``length`` characters, or all of them."""
+    return value if length is None else F.substring(value, 1, length)
+
+
+def error_summary(value, limit: int | None = None) -> Column:
+    return clip(F.trim(F.regexp_replace(F.coalesce(_c(value), F.lit("")), r"\s+", " ")), limit)
 
 
 def first_line(value) -> Column:
@@ -88,7 +93,7 @@ def _strip(c: Column) -> Column:
 
 
 def _lead_paragraph(lines: Column) -> Column:
-    """First run of plain lines joined by spaces, ending after 200 characters."""
+    """First run of plain lines joined by spaces."""
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
 
     def step(acc, line):
@@ -97,23 +102,24 @@ def _lead_paragraph(lines: Column) -> Column:
         joined = F.when(started, F.concat(text, F.lit(" "), line)).otherwise(line)
         skip = done | gap | (~started & line.startswith("---"))
         return F.struct(F.when(skip, text).otherwise(joined).alias("text"),
-                        (done | (gap & started) | (~skip & (F.length(joined) > 200))).alias("done"))
+                        (done | (gap & started)).alias("done"))
 
     return F.aggregate(lines, start, step, lambda acc: acc["text"])
 
 
-def front_matter(value) -> Column:
-    """struct(front, body, title, description) of a markdown text."""
+def front_matter(value, most: int | None = None) -> Column:
+    """struct(front, body, title, description) of a markdown text; a description over ``most`` characters ends in dots."""
     v = F.coalesce(_c(value), F.lit(""))
     has = v.rlike(FRONT_MATTER)
     body = F.when(has, F.regexp_replace(v, FRONT_MATTER, "")).otherwise(v)
     lines = F.transform(F.split(body, "\n"), _strip)
     head = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ")), F.lit(1))
     lead = _lead_paragraph(lines)
+    shown = lead if most is None else F.when(F.length(lead) > most, F.concat(F.substring(lead, 1, most - 3), F.lit("..."))).otherwise(lead)
     return F.struct(
         F.when(has, F.regexp_extract(v, FRONT_MATTER, 1)).alias("front"), body.alias("body"),
         _strip(F.substring(head, 3, 1 << 30)).alias("title"),
-        F.nullif(F.when(F.length(lead) > 300, F.concat(F.substring(lead, 1, 297), F.lit("..."))).otherwise(lead), F.lit("")).alias("description"))
+        F.nullif(shown, F.lit("")).alias("description"))
 
 
 def ref_names(value, call: str = "ref") -> Column:
@@ -172,7 +178,10 @@ def json_object_in(value) -> Column:
     the Python decoder, which takes the first object after the first brace.
     """
     v = F.coalesce(_c(value), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(_strip(v), r"^\s*```(?:[A-Za-z0-9_\-]+)?\s*\r?\n", ""), r"(?m)^\s*```\s*$", "")
+    # fenced text: what lies between the first line that opens a fence and the next one that closes it
+    lines = F.split(_strip(v), "\\r?\\n")
+    plain = F.array_join(F.filter(lines, lambda x: ~F.trim(x).startswith("```")), "\n")
+    bare = F.when(F.trim(F.element_at(lines, 1)).startswith("```"), plain).otherwise(_strip(v))
     valid = lambda c: F.when(F.ltrim(c).startswith("{"), F.to_json(F.try_parse_json(c)))
     quick = F.coalesce(valid(v), valid(bare))
     return F.coalesce(quick, F.to_json(F.try_parse_json(first_json_object(F.when(quick.isNull() & F.contains(bare, F.lit("{")), bare)))))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranges import day_spine, previous_period, ts, whole_days, within
-from ..functions.text import json_text
+from ..functions.text import clip, json_text
 from .spread import running_total
 
 SCORES = ("instructions_effectiveness", "context_effectiveness", "response_score")
@@ -50,6 +50,21 @@ def _metric_row(messages, steps, feedback, reports, periods: dict[str, tuple]) -
     return wide.agg(*[F.max(c).alias(c) for c in wide.columns])
 
 
+def in_sources(messages, steps, feedback, reports, executions, bridge, sources: list) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Messages, steps, verdicts and reports that belong to reports of the given sources.
+
+    Every metric below takes these in place of the whole frames.  Facts are
+    kept by semi joins, so a report with several of the sources counts once:
+    messages and reports by their report, steps by their execution's report,
+    verdicts by their message's report.  No source gives no rows.
+    """
+    scope = bridge.where(F.col("source_id").isin(*sources) if sources else F.lit(False)).select("report_id").distinct()
+    own = messages.join(scope, "report_id", "left_semi")
+    ran = executions.join(scope, "report_id", "left_semi")
+    return (own, steps.join(ran.select("execution_id"), "execution_id", "left_semi"),
+            feedback.join(own.select("message_id"), "message_id", "left_semi"), reports.join(scope, "report_id", "left_semi"))
+
+
 def org_metrics(messages, steps, feedback, reports, start, end) -> DataFrame:
     row = _metric_row(messages, steps, feedback, reports, {"": (start, end)})
     c = F.col
@@ -246,21 +261,21 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def head_prompts(messages: DataFrame, cut: int = 140) -> DataFrame:
+def head_prompts(messages: DataFrame, cut: int | None = None) -> DataFrame:
     """First user prompt per report, by an aggregate that needs no per-report order."""
     first = F.min_by(F.struct(json_text("prompt").alias("p")), F.struct("created_at", "message_id"))
     return messages.where("role = 'user'").groupBy("report_id").agg(first.alias("_f")).select(
-        "report_id", F.substring("_f.p", 1, cut).alias("head_prompt"))
+        "report_id", clip(F.col("_f.p"), cut).alias("head_prompt"))
 
 
-def prompts(executions: DataFrame, messages: DataFrame, cut: int = 200) -> DataFrame:
+def prompts(executions: DataFrame, messages: DataFrame, cut: int | None = None) -> DataFrame:
     """Prompt per execution: that of its answer's parent, else the report's first one."""
     child = messages.select("message_id", F.col("parent_id").alias("_parent"))
     parent = messages.select(F.col("message_id").alias("_parent"), json_text("prompt").alias("_text"))
     rows = executions.select("execution_id", "message_id", "report_id").join(child, "message_id", "left").join(parent, "_parent", "left")
     rows = rows.join(head_prompts(messages, cut), "report_id", "left")
     blank = F.trim(F.coalesce("_text", F.lit(""))) == ""
-    return rows.select("execution_id", F.substring(F.when(blank, F.coalesce("head_prompt", F.lit(""))).otherwise(F.col("_text")), 1, cut).alias("prompt"))
+    return rows.select("execution_id", clip(F.when(blank, F.coalesce("head_prompt", F.lit(""))).otherwise(F.col("_text")), cut).alias("prompt"))
 
 
 def report_turns(executions, calls, feedback, messages, n: int = 6) -> DataFrame:
@@ -269,7 +284,7 @@ def report_turns(executions, calls, feedback, messages, n: int = 6) -> DataFrame
     Turn numbers come from a spread running count; the per-report counts of
     failed and negative turns are aggregated and joined back.
     """
-    turns = execution_summary(executions, calls, feedback, messages, n, cut=2000)
+    turns = execution_summary(executions, calls, feedback, messages, n)
     at = executions.select("execution_id", "report_id", "started_at").withColumn("_one", F.lit(1))
     numbered = running_total(at, ["report_id"], [F.col("started_at"), F.col("execution_id")], "_one", "turn").drop("_one", "started_at")
     rows = numbered.join(turns, "execution_id")
@@ -278,7 +293,7 @@ def report_turns(executions, calls, feedback, messages, n: int = 6) -> DataFrame
     return rows.join(totals, "report_id")
 
 
-def execution_summary(executions, calls, feedback, messages, n: int = 5, cut: int = 200) -> DataFrame:
+def execution_summary(executions, calls, feedback, messages, n: int = 5, cut: int | None = None) -> DataFrame:
     counts = calls.groupBy("execution_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("ok"))
     tools = first_distinct(calls, "execution_id", "tool_name", "started_at", n, SKIP_TOOLS)
     titles = first_distinct(calls, "execution_id", "step_title", "started_at", n)

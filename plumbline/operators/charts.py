@@ -64,16 +64,10 @@ def pie(df: DataFrame, key: str, value: str, order: str, fn: str | None = None)
     return rows.groupBy("name").agg(reduce_values(F.col("value"), fn, F.col("_pos")).alias("value"), F.min("_pos").alias("first_pos"))
 
 
-MAX_SERIES = 10_000
-
-
 def group_labels(df: DataFrame, group: str, order: str) -> list[str]:
-    """Non-empty group labels by first appearance: the chart's legend, so bounded metadata."""
+    """Non-empty group labels by first appearance: the chart's legend, a column each, so metadata of the result."""
     seen = df.select(label(df, group).alias("g"), F.col(order).alias("o")).where("g <> ''").groupBy("g").agg(F.min("o").alias("o"))
-    found = [r["g"] for r in seen.orderBy("o", "g").limit(MAX_SERIES + 1).collect()]
-    if len(found) > MAX_SERIES:
-        raise ValueError(f"{group} has more than {MAX_SERIES} values: not a series")
-    return found
+    return [r["g"] for r in seen.orderBy("o", "g").collect()]
 
 
 def matrix(df: DataFrame, x: str, group: str, value: str, order: str, fn_of=None, groups: list[str] | None = None) -> DataFrame:
@@ -141,27 +135,26 @@ def treemap(df: DataFrame, key: str, parent: str, name: str, value: str) -> Data
     return linked.select("id", "parent_id", "name", "value").join(kids, "id", "left").fillna(0, ["children"])
 
 
-def treemap_totals(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Own value plus all descendants, level by level.
+def treemap_totals(nodes: DataFrame) -> DataFrame:
+    """Own value plus all descendants, whatever the depth.
 
-    Each round sums what a level hands to its parents before the next join, so
-    a parent with a third of all nodes receives one row per task.
+    Pointer doubling: after round r a node's sum covers its descendants less
+    than 2**r levels down, and its pointer leads 2**r levels up, so the rounds
+    are the logarithm of the depth.  Sums are aggregated per ancestor before
+    they join.  A cycle never runs out of pointers, which is an error.
     """
-    tree = nodes.select("id", "parent_id")
-    level = nodes.select("id", F.col("value").alias("amount"))
-    seen = [level]
-    for _ in range(max_depth):
-        up = level.join(tree.where("parent_id IS NOT NULL"), "id").groupBy(F.col("parent_id").alias("id")).agg(F.sum("amount").alias("amount"))
-        level = cut_lineage(up)
-        if level.isEmpty():
-            break
-        seen.append(level)
-    else:
-        raise ValueError(f"hierarchy deeper than {max_depth} levels or cyclic")
-    total = seen[0]
-    for part in seen[1:]:
-        total = total.unionByName(part)
-    return nodes.join(total.groupBy("id").agg(F.sum("amount").alias("total")), "id")
+    state = cut_lineage(nodes.select("id", F.col("parent_id").alias("up"), F.col("value").alias("total")))
+    rounds, most = 0, state.count()
+    while not state.where("up IS NOT NULL").isEmpty():
+        if 1 << rounds > most:
+            raise ValueError("the hierarchy has a cycle")
+        given = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("given"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        state = cut_lineage(state.join(above, "up", "left").join(given, "id", "left").select(
+            "id", F.col("next").alias("up"), F.when(F.col("given").isNull(), F.col("total")).otherwise(F.coalesce("total", F.lit(0.0)) + F.col("given")).alias("total")))
+        rounds += 1
+    return nodes.join(state.select("id", "total"), "id")
+
 
 
 def radar(df: DataFrame, series: list[dict], dimensions: list[str], order: str) -> DataFrame:
@@ -253,7 +246,17 @@ def run_view(df: DataFrame, view: dict, order: str, model: dict | None = None) -
     if kind == "metric_card":
         return metric_card(rows, view["value"], order, fn, view.get("comparison"))
     if kind == "table":
-        return rows.select(*view["columns"])
+        from .paging import view_table
+
+        return view_table(rows, view | {"columns": view["columns"]}, order) if view.get("sortBy") or view.get("pageSize") else rows.select(*view["columns"])
+    if kind == "count":
+        return rows.agg(F.count(F.lit(1)).alias("value"))
+    if kind == "sparkline":
+        return sparkline(rows, view.get("x") or order, view["y"][0], order).drop("tie")
+    if kind == "candlestick":
+        return candlestick(rows, view.get("x"))
+    if kind == "radar_chart":
+        return radar(rows, [{"name": s["name"], "key": view.get("x")} for s in model.get("series") or [] if s.get("name")], view["y"], order)
     if kind == "heatmap":
         return heatmap(rows, view["x"], view["y"], view["value"], order, fn)
     if kind == "scatter_plot":

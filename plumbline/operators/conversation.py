@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_answer
+from ..functions.text import clean_answer, clip
 
 
-def pair_turns(turns: DataFrame, cut: int = 2000) -> DataFrame:
+def pair_turns(turns: DataFrame, cut: int | None = None) -> DataFrame:
     """User turns in order with the cleaned reply and per-conversation open counts.
 
     Order matters only next to each other, so the window is keyed by
@@ -27,8 +27,8 @@ def pair_turns(turns: DataFrame, cut: int = 2000) -> DataFrame:
     follow = F.coalesce(F.col("_n"), F.col("_next_head"))
     answered = F.coalesce(follow["role"] == "assistant", F.lit(False))
     users = paired.where("role = 'user'").select(
-        "conv_id", "turn", F.substring("text", 1, cut).alias("prompt"),
-        F.substring(clean_answer(F.when(answered, follow["text"])), 1, cut).alias("answer"),
+        "conv_id", "turn", clip(F.col("text"), cut).alias("prompt"),
+        clip(clean_answer(F.when(answered, follow["text"])), cut).alias("answer"),
         F.when(answered, "answered").otherwise("open").alias("status"))
     open_turns = users.groupBy("conv_id").agg(F.count_if(F.col("status") == "open").alias("open_turns"))
     return users.join(open_turns, "conv_id")

@@ -46,8 +46,8 @@ def cost_kpi(rows: DataFrame) -> DataFrame:
     )
 
 
-def cost_daily(rows: DataFrame, start, end, most: int = 401) -> DataFrame:
-    """One row per day of the range, zero-filled, at most ``most`` days."""
+def cost_daily(rows: DataFrame, start, end, most: int | None = None) -> DataFrame:
+    """One row per day of the range, zero-filled; the first ``most`` days only if asked for."""
     day = F.coalesce(F.to_date("created_at"), F.lit(end.date().isoformat()).cast("date"))
     daily = rows.groupBy(day.alias("day")).agg(F.sum("total_cost").alias("c"), F.sum("total_tokens").alias("t"))
     spine = day_spine(rows.sparkSession, start, end, most=most)

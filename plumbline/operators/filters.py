@@ -147,11 +147,11 @@ OPERATORS = {
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}|^\d{2}/\d{2}/\d{4}|^\d{4}/\d{2}/\d{2}"
 
 
-def infer_types(df: DataFrame, order: str, columns: list[str] | None = None, sample: int = 20) -> DataFrame:
-    """(column, type, operators) from the first non-null values in row order.
+def infer_types(df: DataFrame, order: str, columns: list[str] | None = None, sample: int | None = None) -> DataFrame:
+    """(column, type, operators) from the non-null values; from the first ``sample`` in row order only if asked for.
 
     The declared schema answers for typed columns; each text column costs one
-    two-column scan with a per-task top-``sample``.
+    scan of that column.
     """
     rows = []
     for f in df.schema.fields:
@@ -160,7 +160,8 @@ def infer_types(df: DataFrame, order: str, columns: list[str] | None = None, sam
         kind = f.dataType
         c = F.col(f"`{f.name}`")
         if isinstance(kind, T.StringType):
-            first = df.where(c.isNotNull()).select(c.alias("v"), F.col(order).alias("_o")).orderBy("_o").limit(sample)
+            first = df.where(c.isNotNull()).select(c.alias("v"), F.col(order).alias("_o"))
+            first = first if sample is None else first.orderBy("_o").limit(sample)
             v = F.col("v")
             as_date = v.rlike(DATE_TEXT) | v.try_cast("timestamp").isNotNull()
             found = first.agg(

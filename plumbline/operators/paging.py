@@ -33,7 +33,7 @@ def facets(catalog: DataFrame) -> DataFrame:
     return pairs.select("connection", "schema", label.alias("facet"))
 
 
-def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all", number: int = 1, size: int = 50) -> DataFrame:
+def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all", number: int = 1, size: int = 50, cut: int | None = None) -> DataFrame:
     """Messages with an issue: a failed tool first, else a negative verdict; paged, newest first.
 
     ``kind="all_queries"`` lists the others too, summed up by their own first line.
@@ -44,12 +44,12 @@ def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all
         .select("message_id", "note", F.lit(True).alias("_neg"))
     base = messages.where(within("created_at", start, end)).withColumn("execution_id", F.floor(F.col("message_id") / 5))
     rows = base.join(first_fail, "execution_id", "left").join(negative, "message_id", "left") \
-        .join(users, "user_id", "left").join(head_prompts(messages), "report_id", "left")
+        .join(users, "user_id", "left").join(head_prompts(messages, cut), "report_id", "left")
     flagged = F.coalesce(F.col("_failed"), F.col("_neg"), F.lit(False))
     rows = rows if kind == "all_queries" else rows.where(flagged)
     full = F.when(F.col("_failed"), F.coalesce("error_text", F.lit(""))).otherwise(F.coalesce("note", F.lit("")))
     summary = F.when(full == "", F.when(F.col("_failed"), "Error").otherwise("Negative feedback")).otherwise(text.first_line(full))
-    own = F.substring(text.first_line(F.trim(text.json_text("prompt"))), 1, 140)
+    own = text.clip(text.first_line(F.trim(text.json_text("prompt"))), cut)
     own = F.when(own == "", F.concat(F.initcap("role"), F.lit(" Completion"))).otherwise(own)
     issue = F.when(F.col("_failed"), "tool_error").when(F.col("_neg"), "negative_feedback").otherwise("no_issue")
     out = rows.select(

@@ -12,7 +12,6 @@ from ..functions.ranges import ts
 from ..functions.text import content_hash, error_summary
 from ..session import spread_small
 
-CANDIDATES = 50  # most recent snippets looked at before scoring
 SEMANTIC_WEIGHT = 0.35
 
 
@@ -32,9 +31,10 @@ def table_score(tables: DataFrame, stats: DataFrame, now: dt.datetime, on: list[
     return rows.withColumns({"success_rate": F.round(rate, 4), "score": F.round(F.when(F.col("_has"), full).otherwise(0.1 * structure), 6)}).drop("_has")
 
 
-def _candidates(usage: DataFrame, steps: DataFrame, n: int) -> DataFrame:
-    """The most recently used steps with a given state; heavy columns join later, after this cut."""
-    return usage.join(steps, "step_id").orderBy(F.desc("last_used_at"), "step_id").limit(n)
+def _candidates(usage: DataFrame, steps: DataFrame, n: int | None) -> DataFrame:
+    """The used steps with a given state; only the ``n`` most recent ones if a number is asked for."""
+    rows = usage.join(steps, "step_id")
+    return rows if n is None else rows.orderBy(F.desc("last_used_at"), "step_id").limit(n)
 
 
 def _verdicts(rows: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _similarity(column: Column, semantic: Column, weight: float) -> Column:
     return F.coalesce(SEMANTIC_WEIGHT * semantic + (weight - SEMANTIC_WEIGHT) * column, weight * column)
 
 
-def snippet_success(usage, steps, feedback, target: list[str], now: dt.datetime, semantic: DataFrame | None = None, n: int = CANDIDATES) -> DataFrame:
+def snippet_success(usage, steps, feedback, target: list[str], now: dt.datetime, semantic: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Successful snippets for a set of wanted columns.
 
     ``usage`` are per-step counters, ``steps(step_id, columns)`` the successful ones.
@@ -59,7 +59,7 @@ def snippet_success(usage, steps, feedback, target: list[str], now: dt.datetime,
     return rows.select("step_id", F.round(score, 6).alias("score"), F.round(col, 6).alias("column_similarity"), "positive", "negative", F.round(rate, 4).alias("success_rate"))
 
 
-def snippet_failed(usage, steps, feedback, target: list[str], now: dt.datetime, semantic: DataFrame | None = None, n: int = CANDIDATES) -> DataFrame:
+def snippet_failed(usage, steps, feedback, target: list[str], now: dt.datetime, semantic: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Failed snippets worth showing as warnings; ``steps(step_id, columns, error_text)``."""
     rows = _with_semantic(_verdicts(_candidates(usage, steps, n), feedback), semantic)
     col = sim.jaccard(F.array(*[F.lit(t) for t in target]), F.array_distinct("columns"))
@@ -70,7 +70,7 @@ def snippet_failed(usage, steps, feedback, target: list[str], now: dt.datetime,
     return rows.select("step_id", F.round(score, 6).alias("score"), error_summary("error_text").alias("error_summary"), rate.alias("failure_rate"))
 
 
-def snippet_by_table(usage, steps, feedback, now: dt.datetime, n: int = CANDIDATES) -> DataFrame:
+def snippet_by_table(usage, steps, feedback, now: dt.datetime, n: int | None = None) -> DataFrame:
     """Successful snippets of the wanted tables; ``usage`` is already cut to their events."""
     rows = _verdicts(_candidates(usage, steps, n), feedback)
     rate = F.when(F.col("attempts") > 0, F.col("successes") / F.col("attempts")).otherwise(0.0)
@@ -134,19 +134,21 @@ def mention_order(tables: DataFrame, stats: DataFrame, on: str) -> DataFrame:
     return tables.join(stats, on, "left").fillna(0, ["uses"]).orderBy(F.desc("uses"), on)
 
 
-def impact(prompts: DataFrame, text: str, words: list[str], newest: str, key: str, scan: int = 1000, samples: int = 5) -> DataFrame:
-    """Share of recent prompts holding any word, with the newest matching samples."""
-    scan = max(100, min(10_000, scan))
-    recent = prompts.orderBy(F.desc(newest), F.desc(key)).limit(scan).where(F.coalesce(F.col(text), F.lit("")) != "")
+def impact(prompts: DataFrame, text: str, words: list[str], newest: str, key: str, scan: int | None = None, samples: int = 5) -> DataFrame:
+    """Share of prompts holding any word, with the newest matching samples; of the ``scan`` newest only, if asked for.
+
+    Counts are partial sums and the samples a top-k, so nothing is gathered.
+    """
+    recent = prompts if scan is None else prompts.orderBy(F.desc(newest), F.desc(key)).limit(scan)
     low = F.lower(text)
     hit = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-    flagged = recent.withColumn("_hit", hit)
+    flagged = recent.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(newest).alias("_t"), F.col(key).alias("_k"), hit.alias("_hit"))
     total = F.count(F.lit(1))
     score = F.when(total > 0, F.least(F.lit(1.0), F.count_if("_hit") / total)).otherwise(0.0)
-    picks = F.collect_list(F.when(F.col("_hit"), F.struct(F.col(newest).alias("t"), F.col(key).alias("k"))))  # at most `scan` small entries
-    top = F.slice(F.reverse(F.array_sort(picks)), 1, samples)
-    return flagged.agg(F.round(score, 4).alias("score"), F.count_if("_hit").alias("matched"), total.alias("total"),
-                       F.transform(top, lambda s: s["k"]).alias("samples"))
+    counts = flagged.agg(F.round(score, 4).alias("score"), F.count_if("_hit").alias("matched"), total.alias("total"))
+    top = flagged.where("_hit").orderBy(F.desc("_t"), F.desc("_k")).limit(samples)
+    picks = top.agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("_t", "_k")))), lambda s: s["_k"]).alias("samples"))
+    return counts.withColumn("samples", picks.scalar())
 
 
 def related(items: DataFrame, words: list[str], exclude, limit: int, semantic: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ref_names
+from ..functions.text import clip, ref_names
 from ..sources.snapshots import byte_size
 
 
@@ -89,9 +89,6 @@ def scan_guard(log: DataFrame, tables: DataFrame, max_bytes: int) -> DataFrame:
     return rows.withColumns({"scan_bytes": size, "verdict": verdict})
 
 
-# Seconds a result stays fresh, and the cost from which it is worth keeping.
-
-
 def answer_from_snapshot(spark: SparkSession, sql: str, table: str, snapshot: DataFrame, complete: bool) -> DataFrame | None:
     """Run the unchanged SQL over a saved full scan of ``table``, or None when it cannot.
 
@@ -121,10 +118,10 @@ def log_summary(log: DataFrame) -> DataFrame:
         F.sum("n_rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
-def log_rows(log: DataFrame) -> DataFrame:
+def log_rows(log: DataFrame, sql_length: int | None = None, error_length: int | None = None) -> DataFrame:
     return log.select("query_id", F.col("cost_ms").alias("ms"), F.col("n_rows").alias("rows"), "bytes",
-                      F.substring("sql_text", 1, 500).alias("sql"), F.when(F.col("cache_hit"), "hit").otherwise("miss").alias("cache"),
-                      F.substring("error_text", 1, 200).alias("error"))
+                      clip(F.col("sql_text"), sql_length).alias("sql"), F.when(F.col("cache_hit"), "hit").otherwise("miss").alias("cache"),
+                      clip(F.col("error_text"), error_length).alias("error"))
 
 
 def saved_resolve(refs: DataFrame, saved: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import money
 from ..operators import cost
 from ..session import shared_dir
 from ..sources import snapshots
@@ -10,7 +9,7 @@ from ..streaming import incremental
 from ..streaming.runs import file_stream
 from .checks import BREACH_SQL, byte_limits
 from .registry import query
-from .usage import WEIGHT_SQL
+from .usage import PRICED, SPEND_SQL, WEIGHT_SQL
 
 USE = """SELECT event_id AS step_id, 'db' || cast(event_id % 3 AS string) || '.' || event_type AS table_fqn, user_id % 4 AS source_id, event_id % 6 <> 0 AS success,
   CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS user_id, CASE event_id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'analyst' WHEN 2 THEN 'viewer' WHEN 3 THEN 'trusted' ELSE 'guest' END AS role, ts AS used_at FROM {events}"""
@@ -23,7 +22,7 @@ def stream_usage_stats(t):
     """Every event arrives twice; the stream counts it once."""
     events = t.spark.sql(USE, events=file_stream(t.spark, t.path("events")))
     twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    out = incremental.stream_usage_stats(twice).drop("_written")
+    out = incremental.stream_usage_stats(twice)
     return out.withColumn("last_used_at", F.date_format("last_used_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -37,15 +36,12 @@ def stream_quota(t):
     return breaches.drop("month").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_daily_cost", """WITH x AS (SELECT cast(l_shipdate AS DATE) AS d, CASE WHEN l_linenumber % 5 = 0 THEN floor(l_extendedprice) + l_quantity * 10 + round(l_discount * 10000) + round(l_tax * 10000) ELSE floor(l_extendedprice) + l_quantity * 10 END AS tokens,
-    CAST(l_quantity * 10 / 1e6 * 3 AS DECIMAL(18,6)) AS cost FROM lineitem) SELECT strftime(d, '%Y-%m-%d') AS day, cast(sum(cost) AS DOUBLE) AS cost_usd, cast(sum(tokens) AS BIGINT) AS tokens FROM x
-  WHERE d + 1 <= (SELECT max(l_shipdate) - INTERVAL 2 DAY FROM lineitem) GROUP BY 1""")
+@query("stream_daily_cost", f"""WITH {PRICED.replace(SPEND_SQL, 'TRUE')} SELECT strftime(cast(created_at AS DATE), '%Y-%m-%d') AS day,
+  cast(sum(input_cost + output_cost) AS DOUBLE) AS cost_usd, cast(sum(total_tokens) AS BIGINT) AS tokens FROM priced GROUP BY 1""")
 def stream_daily_cost(t):
     from .virtual import VIEWS
     rows = t.spark.sql(VIEWS["v_usage_records"], lineitem=file_stream(t.spark, t.path("lineitem")))
-    c = F.col
-    priced = rows.withColumns({"total_tokens": money.total_tokens(c("provider"), *(c(n) for n in cost.TOKENS)), "total_cost": money.output_cost(F.lit(3.0), c("completion_tokens"))})
-    out = incremental.stream_daily_cost(priced).drop("_written")
+    out = incremental.stream_daily_cost(cost.priced(rows, t("v_models")))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

@@ -25,7 +25,7 @@ _ISSUES = f"""WITH {PROMPTS}, f AS (SELECT * FROM v_tool_calls WHERE NOT success
   n AS (SELECT * FROM v_feedback WHERE direction = -1 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY created_at DESC, feedback_id DESC) = 1),
   x AS (SELECT m.message_id, m.created_at AS seen, CASE WHEN f.call_id IS NOT NULL THEN 'tool_error' WHEN n.feedback_id IS NOT NULL THEN 'negative_feedback' ELSE 'no_issue' END AS issue_type,
     CASE WHEN f.call_id IS NOT NULL THEN coalesce(nullif(split_part(f.error_text, chr(10), 1), ''), 'Error') WHEN n.feedback_id IS NOT NULL THEN coalesce(nullif(split_part(n.note, chr(10), 1), ''), 'Negative feedback')
-      ELSE coalesce(nullif(left(pr.p, 140), ''), upper(m.role[1]) || m.role[2:] || ' Completion') END AS summary, left(coalesce(head, ''), 140) AS head_prompt,
+      ELSE coalesce(nullif(pr.p, ''), upper(m.role[1]) || m.role[2:] || ' Completion') END AS summary, coalesce(head, '') AS head_prompt,
     f.tool_name, coalesce(u.user_name, 'Unknown User') AS user_name
     FROM v_messages m LEFT JOIN f ON f.execution_id = cast(floor(m.message_id / 5) AS BIGINT) LEFT JOIN n ON n.message_id = m.message_id LEFT JOIN v_users u ON u.user_id = m.user_id LEFT JOIN hp ON hp.report_id = m.report_id LEFT JOIN pr ON pr.message_id = m.message_id
     WHERE m.created_at {LIVE_SQL})"""

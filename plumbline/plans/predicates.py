@@ -74,10 +74,10 @@ _OPS = {k: ",".join(v) for k, v in filters.OPERATORS.items()}
 
 
 @query("f_type_infer", """WITH o(type, operators) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in _OPS.items()) + """),
-  d AS (SELECT CASE WHEN bool_and(regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}')) THEN 'date' ELSE 'string' END AS type FROM (SELECT day_text AS v FROM v_mixed WHERE event_id % 5 > 2 ORDER BY event_id LIMIT 20)),
-  b AS (SELECT CASE WHEN bool_and(v IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM (SELECT flag_text AS v FROM v_mixed WHERE flag_text IS NOT NULL AND flag_text <> '1' ORDER BY event_id LIMIT 20)),
+  d AS (SELECT CASE WHEN bool_and(regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}')) THEN 'date' ELSE 'string' END AS type FROM (SELECT day_text AS v FROM v_mixed WHERE event_id % 5 > 2)),
+  b AS (SELECT CASE WHEN bool_and(v IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM (SELECT flag_text AS v FROM v_mixed WHERE flag_text IS NOT NULL AND flag_text <> '1')),
   x AS (SELECT 'txt' AS "column", 'string' AS type UNION ALL SELECT 'day_only', type FROM d UNION ALL SELECT 'bool_only', type FROM b
-    UNION ALL SELECT 'num_text', CASE WHEN count(try_cast(v AS DOUBLE)) = count(v) THEN 'number' ELSE 'string' END FROM (SELECT cast(user_id AS VARCHAR) AS v FROM events ORDER BY event_id LIMIT 20)
+    UNION ALL SELECT 'num_text', CASE WHEN count(try_cast(v AS DOUBLE)) = count(v) THEN 'number' ELSE 'string' END FROM (SELECT cast(user_id AS VARCHAR) AS v FROM events)
     UNION ALL SELECT 'num', 'number' UNION ALL SELECT 'ts', 'date' UNION ALL SELECT 'flag', 'boolean')
   SELECT * FROM x JOIN o USING (type)""")
 def f_type_infer(t):

@@ -39,7 +39,7 @@ def table_score(t):
 
 STEP_COLS = """SELECT step_id, array('c' || cast(step_id % 7 AS string), 'c' || cast(step_id % 5 AS string), 'k') AS columns, 'Bad  column' || cast(step_id AS string) || chr(10) || 'line' AS error_text FROM {v_steps} WHERE status = '@'"""
 _U = """u AS (SELECT step_id, max(used_at) AS lu, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS bad, count(*) AS n FROM v_table_usage WHERE used_at >= TIMESTAMP '1997-06-01' AND used_at <= TIMESTAMP '1998-06-01' {extra} GROUP BY 1),
-  c AS (SELECT u.*, ['c' || (step_id % 7), 'c' || (step_id % 5), 'k'] AS cols, payload FROM u JOIN v_steps USING (step_id) WHERE status = '{status}' ORDER BY lu DESC, step_id LIMIT 50),
+  c AS (SELECT u.*, ['c' || (step_id % 7), 'c' || (step_id % 5), 'k'] AS cols, payload FROM u JOIN v_steps USING (step_id) WHERE status = '{status}'),
   f AS (SELECT event_id % 15000 AS step_id, count(*) FILTER (event_id % 2 = 0) AS pos, count(*) FILTER (event_id % 2 = 1) AS neg FROM events GROUP BY 1),
   x AS (SELECT c.*, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, CASE WHEN payload > 100000 THEN (step_id % 10) / 10 END AS sem FROM c LEFT JOIN f USING (step_id))"""
 TARGET = ["c1", "c2", "k"]
@@ -135,10 +135,10 @@ def mention_order(t):
     return ranking.mention_order(t("v_catalog").select("table_id"), uses, "table_id")
 
 
-@query("impact", """WITH r AS (SELECT * FROM (SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 400) WHERE text <> ''), h AS (SELECT *, contains(lower(text), 'heron') OR contains(lower(text), 'reading') AS hit FROM r)
+@query("impact", """WITH r AS (SELECT * FROM documents WHERE text <> ''), h AS (SELECT *, contains(lower(text), 'heron') OR contains(lower(text), 'reading') AS hit FROM r)
   SELECT round(count(*) FILTER (hit) / count(*), 4) AS score, count(*) FILTER (hit) AS matched, count(*) AS total, (SELECT string_agg(doc_id, ',' ORDER BY doc_id DESC) FROM (SELECT * FROM h WHERE hit ORDER BY doc_id DESC LIMIT 3)) AS samples FROM h""")
 def impact(t):
-    out = ranking.impact(t("documents"), "text", ["heron", "reading"], "doc_id", "doc_id", scan=400, samples=3)
+    out = ranking.impact(t("documents"), "text", ["heron", "reading"], "doc_id", "doc_id", samples=3)
     return out.withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
 
 

@@ -56,7 +56,7 @@ def query_log(t):
     return reuse.log_summary(t("v_query_log"))
 
 
-@query("query_log_rows", """SELECT query_id, cost_ms AS ms, n_rows AS rows, bytes, left(sql_text, 500) AS sql, CASE WHEN cache_hit THEN 'hit' ELSE 'miss' END AS cache, left(error_text, 200) AS error FROM v_query_log""")
+@query("query_log_rows", """SELECT query_id, cost_ms AS ms, n_rows AS rows, bytes, sql_text AS sql, CASE WHEN cache_hit THEN 'hit' ELSE 'miss' END AS cache, error_text AS error FROM v_query_log""")
 def query_log_rows(t):
     return reuse.log_rows(t("v_query_log"))
 

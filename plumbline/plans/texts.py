@@ -79,13 +79,13 @@ def content_hash(t):
     return t("documents").select("doc_id", text.content_hash(body).alias("hash"))
 
 
-@query("json_text", """SELECT conv_id, turn, left(CASE turn % 4 WHEN 3 THEN '' ELSE text END, 140) AS said FROM conversations""")
+@query("json_text", """SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN '' ELSE text END AS said FROM conversations""")
 def json_text(t):
     k = F.col("turn") % 4
     body = (F.when(k == 0, F.to_json(F.struct(F.col("text").alias("content"), F.lit("x").alias("text"))))
             .when(k == 1, F.to_json(F.struct(F.lit("").alias("content"), F.col("text").alias("text"))))
             .when(k == 2, F.col("text")).otherwise(F.to_json(F.struct(F.lit(1).alias("other")))))
-    return t("conversations").select("conv_id", "turn", text.json_text(body, 140).alias("said"))
+    return t("conversations").select("conv_id", "turn", text.json_text(body).alias("said"))
 
 
 @query("clean_answer", """SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[*_`#>]', '', 'g'), '\\s+', ' ', 'g')) AS answer FROM conversations""")
@@ -94,7 +94,7 @@ def clean_answer(t):
     return t("conversations").select("conv_id", "turn", text.clean_answer(framed).alias("answer"))
 
 
-@query("error_summary", """SELECT call_id, left(trim(regexp_replace(error_text, '\\s+', ' ', 'g')), 180) AS summary, split_part(error_text, chr(10), 1) AS first_line FROM v_tool_calls WHERE error_text IS NOT NULL""")
+@query("error_summary", """SELECT call_id, trim(regexp_replace(error_text, '\\s+', ' ', 'g')) AS summary, split_part(error_text, chr(10), 1) AS first_line FROM v_tool_calls WHERE error_text IS NOT NULL""")
 def error_summary(t):
     rows = t("v_tool_calls").where("error_text IS NOT NULL")
     return rows.select("call_id", text.error_summary("error_text").alias("summary"), text.first_line("error_text").alias("first_line"))
@@ -119,8 +119,8 @@ def safe_name(t):
   e AS (SELECT l.doc_id, min(i) AS e FROM l JOIN s ON l.doc_id = s.doc_id AND i > s WHERE line = '' OR line LIKE '#%' GROUP BY 1),
   c AS (SELECT l.doc_id, l.i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS before
     FROM l JOIN s ON l.doc_id = s.doc_id LEFT JOIN e ON e.doc_id = l.doc_id WHERE l.i >= s AND (e IS NULL OR l.i < e)),
-  p AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS lead FROM c WHERE before <= 200 GROUP BY 1)
-  SELECT doc_id, CASE WHEN has THEN 'alwaysApply: ' || doc_id END AS front, 'Doc ' || doc_id AS title, CASE WHEN length(lead) > 300 THEN left(lead, 297) || '...' ELSE lead END AS description FROM d LEFT JOIN p USING (doc_id)""")
+  p AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS lead FROM c GROUP BY 1)
+  SELECT doc_id, CASE WHEN has THEN 'alwaysApply: ' || doc_id END AS front, 'Doc ' || doc_id AS title, lead AS description FROM d LEFT JOIN p USING (doc_id)""")
 def md_front(t):
     body = F.concat(F.lit("\n# Doc "), F.col("doc_id").cast("string"), F.lit(" \n\n"), F.regexp_replace("text", "\r", ""))
     marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nalwaysApply: "), F.col("doc_id").cast("string"), F.lit("\n---\n"), body)).otherwise(body)

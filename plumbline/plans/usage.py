@@ -156,18 +156,56 @@ def daily_activity(t):
     return activity.daily_activity(m, s, f, *LIVE).withColumn("day", F.col("day").cast("string"))
 
 
-@query("locf_nonzero", f"""WITH m AS (SELECT user_id % 40 AS org, cast(created_at AS DATE) AS d, count(*) AS n, avg(instructions_effectiveness) * 20 AS ie
-    FROM v_messages WHERE created_at {LIVE_SQL} AND response_score = 5 GROUP BY 1, 2),
-  spine AS (SELECT org, cast(unnest(generate_series(DATE '2024-01-08', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT org FROM m))
-  SELECT org, strftime(d, '%Y-%m-%d') AS day, round(v, 6) AS instructions_effectiveness FROM (SELECT org, d, n,
+SCOPE = [1, 2, 3]
+_SCOPED = f"""WITH scope AS (SELECT DISTINCT report_id FROM v_report_source WHERE source_id IN ({', '.join(map(str, SCOPE))})),
+  s_messages AS (SELECT * FROM v_messages WHERE report_id IN (SELECT report_id FROM scope)), s_executions AS (SELECT * FROM v_executions WHERE report_id IN (SELECT report_id FROM scope)),
+  s_tool_calls AS (SELECT * FROM v_tool_calls WHERE execution_id IN (SELECT execution_id FROM s_executions)), s_feedback AS (SELECT * FROM v_feedback WHERE message_id IN (SELECT message_id FROM s_messages)), """
+
+
+def _scoped(t):
+    return activity.in_sources(*_live(t), t("v_executions"), t("v_report_source"), SCOPE)
+
+
+def scoped_sql(sql: str) -> str:
+    """An oracle over the facts of some sources only."""
+    for name in ("messages", "executions", "tool_calls", "feedback"):
+        sql = sql.replace(f"FROM v_{name}", f"FROM s_{name}")
+    return _SCOPED + sql.removeprefix("WITH ")
+
+
+@query("org_metrics_scoped", scoped_sql(f"""WITH {LIVE_CTE} SELECT messages, queries, feedbacks, active_users, printf('%.1f', score_sum / messages * 20) || '%' AS accuracy,
+  round(ie, 6) AS instructions_effectiveness, round(ce, 6) AS context_effectiveness, round(rs, 6) AS response_score FROM ({_metrics_sql(LIVE_SQL)})"""))
+def org_metrics_scoped(t):
+    return activity.org_metrics(*_scoped(t), *LIVE)
+
+
+@query("period_compare_scoped", scoped_sql(_CMP + " SELECT metric, round(current, 6) AS current, round(previous, 6) AS previous FROM both_periods"))
+def period_compare_scoped(t):
+    out = activity.period_compare(*_scoped(t), *LIVE)
+    return out.select("metric", F.round("current", 6).alias("current"), F.round("previous", 6).alias("previous"))
+
+
+@query("daily_activity_scoped", scoped_sql(_DAILY + """ SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(messages, 0) AS messages, coalesce(queries, 0) AS queries,
+  round(coalesce(s / messages * 20, 0), 6) AS accuracy, round(coalesce(pos / n * 100, 0), 6) AS positive_rate
+  FROM m FULL JOIN q USING (d) LEFT JOIN f USING (d) WHERE messages > 0 OR queries > 0"""))
+def daily_activity_scoped(t):
+    m, s, f, _ = _scoped(t)
+    return activity.daily_activity(m, s, f, *LIVE).withColumn("day", F.col("day").cast("string"))
+
+
+@query("locf_nonzero", f"""WITH {LIVE_CTE}, m AS (SELECT user_id % 40 AS org, cast(created_at AS DATE) AS d, count(*) AS n, avg(instructions_effectiveness) * 20 AS ie
+    FROM v_messages WHERE created_at {LIVE_SQL} GROUP BY 1, 2),
+  q AS (SELECT execution_id % 40 AS org, cast(created_at AS DATE) AS d, count(*) AS queries FROM steps WHERE created_at {LIVE_SQL} GROUP BY 1, 2),
+  f AS (SELECT DISTINCT user_id % 40 AS org FROM v_feedback WHERE created_at {LIVE_SQL}),
+  spine AS (SELECT org, cast(unnest(generate_series(DATE '2024-01-08', DATE '2024-01-20', INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT org FROM m UNION SELECT org FROM q UNION SELECT org FROM f))
+  SELECT org, strftime(d, '%Y-%m-%d') AS day, round(v, 6) AS instructions_effectiveness FROM (SELECT org, d, n, queries,
     coalesce(last_value(CASE WHEN ie > 0 THEN ie END IGNORE NULLS) OVER (PARTITION BY org ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS v
-    FROM spine LEFT JOIN m USING (org, d)) WHERE n > 0""")
+    FROM spine LEFT JOIN m USING (org, d) LEFT JOIN q USING (org, d)) WHERE n > 0 OR queries > 0""")
 def locf_nonzero(t):
     m, s, f, _ = _live(t)
-    org = (F.col("user_id") % 40).alias("org")
-    m = m.where("response_score = 5").withColumn("org", org)
-    s, f = s.withColumn("org", F.lit(0)).limit(0), f.withColumn("org", F.lit(0)).limit(0)
-    return activity.daily_quality(m, s, f, *LIVE, ["org"]).select("org", F.col("day").cast("string").alias("day"), "instructions_effectiveness")
+    by_user, by_run = (F.col("user_id") % 40).alias("org"), (F.col("execution_id") % 40).alias("org")
+    out = activity.daily_quality(m.withColumn("org", by_user), s.withColumn("org", by_run), f.withColumn("org", by_user), *LIVE, ["org"])
+    return out.select("org", F.col("day").cast("string").alias("day"), "instructions_effectiveness")
 
 
 USED_SQL = "used_at BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1998-02-10 23:59:59.999999'"
@@ -232,7 +270,7 @@ def diagnosis_daily(t):
 
 PROMPTS = """pr AS (SELECT message_id, report_id, parent_id, created_at, role, CASE WHEN prompt LIKE '{%' THEN coalesce(json_extract_string(CASE WHEN prompt LIKE '{%' THEN prompt END, '$.content'), '') ELSE coalesce(prompt, '') END AS p FROM v_messages),
   hp AS (SELECT report_id, arg_min(p, (created_at, message_id)) AS head FROM pr WHERE role = 'user' GROUP BY 1),
-  ask AS (SELECT e.execution_id, left(CASE WHEN trim(coalesce(q.p, '')) = '' THEN coalesce(head, '') ELSE q.p END, 200) AS prompt FROM v_executions e LEFT JOIN pr m ON m.message_id = e.message_id LEFT JOIN pr q ON q.message_id = m.parent_id LEFT JOIN hp ON hp.report_id = e.report_id)"""
+  ask AS (SELECT e.execution_id, CASE WHEN trim(coalesce(q.p, '')) = '' THEN coalesce(head, '') ELSE q.p END AS prompt FROM v_executions e LEFT JOIN pr m ON m.message_id = e.message_id LEFT JOIN pr q ON q.message_id = m.parent_id LEFT JOIN hp ON hp.report_id = e.report_id)"""
 _SUMMARY = f"""WITH {PROMPTS}, c AS (SELECT execution_id, count(*) AS total, count(*) FILTER (success) AS ok FROM v_tool_calls GROUP BY 1),
   tn AS (SELECT execution_id, string_agg(tool_name, '|' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY f, tool_name) AS r
      FROM (SELECT execution_id, tool_name, min(started_at) AS f FROM v_tool_calls GROUP BY 1, 2)) WHERE r <= 5 GROUP BY 1),
@@ -262,7 +300,7 @@ def report_turns(t):
     return out.select("report_id", "execution_id", "turn", "prompt", "status", "feedback_status", "failed_turns", "negative_turns")
 
 
-@query("head_prompts", f"WITH {PROMPTS} SELECT report_id, left(head, 140) AS head_prompt FROM hp")
+@query("head_prompts", f"WITH {PROMPTS} SELECT report_id, head AS head_prompt FROM hp")
 def head_prompts(t):
     return activity.head_prompts(t("v_messages"))
 
@@ -283,8 +321,8 @@ def latest_per_key(t):
 
 
 @query("turns", """WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM v_turns WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-  SELECT conv_id, turn, left(text, 2000) AS prompt,
-    left(trim(regexp_replace(regexp_replace(CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END, '[*_`#>]', '', 'g'), '\\s+', ' ', 'g')), 2000) AS answer,
+  SELECT conv_id, turn, text AS prompt,
+    trim(regexp_replace(regexp_replace(CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END, '[*_`#>]', '', 'g'), '\\s+', ' ', 'g')) AS answer,
     CASE WHEN next_role = 'assistant' THEN 'answered' ELSE 'open' END AS status,
     cast(sum(CASE WHEN next_role IS DISTINCT FROM 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS BIGINT) AS open_turns
   FROM n WHERE role = 'user'""")

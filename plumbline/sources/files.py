@@ -60,25 +60,38 @@ def trim_to_data(df: DataFrame, index: str) -> DataFrame:
     return rows.where(F.col(index) > filled["_first"]).select(index, *[F.col(f"`{c}`").alias(h) for c, h in zip(kept, heads)])
 
 
-# Text files worth indexing, folders never entered, and the size limit.
+# Text files worth indexing, and folders never entered.
 ALLOWED_EXTENSIONS = ("md", "txt", "sql", "py", "yml", "yaml", "json", "toml", "cfg", "lkml", "sqlx", "tds", "tdsx", "csv")
 SKIP_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".eggs")
-MAX_FILE_SIZE = 200 * 1024
 YAML_KEYS = ("models:", "sources:", "seeds:", "metrics:", "exposures:", "macros:")
 
 
-def repo_scan(spark: SparkSession, root: str, prefix: str, is_dbt: bool = False, ignore: list[str] | None = None) -> DataFrame:
-    """Index a file tree: path, text, sha256, size, extension and class.
+def glob_pattern(glob: str) -> str:
+    """A line of an ignore file as a regular expression over paths: ``*`` and ``?`` stay inside a folder, ``**`` does not."""
+    body = re.sub(r"\*\*/?|\*|\?|[^*?]+", lambda m: {"**": ".*", "**/": "(.*/)?", "*": "[^/]*", "?": "[^/]"}.get(m[0]) or re.escape(m[0]), glob.strip("/"))
+    return ("^" if "/" in glob.rstrip("/") else "(^|/)") + body + ("/" if glob.endswith("/") else "(/|$)")
 
-    Oversized files are dropped on the listing's length, before their content is read.
+
+def repo_scan(spark: SparkSession, root: str, prefix: str, is_dbt: bool | None = None, ignore: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Index a file tree: path, text, sha256, size, extension, class, and why a file's text was left out.
+
+    ``is_dbt`` is found out from a project file at the root unless given, and
+    ``ignore`` holds the lines of an ignore file.  Extensions count whatever
+    their case.  Files over ``max_bytes`` keep their row without text.
     """
-    ext = "{" + ",".join(ALLOWED_EXTENSIONS) + "}"
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    ext = "{" + ",".join(either(e) for e in ALLOWED_EXTENSIONS) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + re.sub(r"([^A-Za-z0-9/_])", r"\\\1", root.rstrip("/")) + "/", "")
     skip = "(^|/)(" + "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", d) for d in SKIP_DIRS) + r"|[^/]*\.egg-info)/"
-    rows = files.where(F.col("length").between(1, MAX_FILE_SIZE)).withColumn("rel", rel).where(~F.col("rel").rlike(skip))
-    for pattern in ignore or []:
-        rows = rows.where(~F.col("rel").rlike(pattern))
+    listed = files.withColumn("rel", rel)
+    project = F.lit(is_dbt) if is_dbt is not None else listed.select("rel").where("rel = 'dbt_project.yml'").agg(F.count(F.lit(1)) > 0).scalar()
+    rows = listed.where(F.col("length") > 0).where(~F.col("rel").rlike(skip))
+    for line in ignore or []:
+        if line.strip() and not line.startswith("#"):
+            rows = rows.where(~F.col("rel").rlike(glob_pattern(line.strip())))
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    rows = rows.withColumn("skipped", F.when(large, "too_large")).withColumn("content", F.when(~large, F.col("content")))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     rows = rows.withColumn("text", text).withColumn("extension", F.lower(F.regexp_extract("rel", r"(\.[^./]+)$", 1)))
     has = lambda words: F.col("text").rlike("|".join(words))
@@ -87,7 +100,7 @@ def repo_scan(spark: SparkSession, root: str, prefix: str, is_dbt: bool = False,
         F.when(e == ".lkml", "lookml_view").when(e == ".sqlx", "dataform_table").when(e.isin(".tds", ".tdsx"), "tableau_workbook")
         .when(e == ".md", "markdown_document").when(e.isin(".yml", ".yaml") & has(YAML_KEYS), "dbt_source")
         .when(e.isin(".yml", ".yaml") & has(["base_table:", "semantic_view:"]), "snowflake_semantic_view")
-        .when(e.isin(".yml", ".yaml"), "yaml_file").when(e == ".sql", "dbt_model" if is_dbt else "sql_file").otherwise("generic_file"))
+        .when(e.isin(".yml", ".yaml"), "yaml_file").when((e == ".sql") & project, "dbt_model").when(e == ".sql", "sql_file").otherwise("generic_file"))
     return rows.select(F.concat(F.lit(f"{prefix}/"), "rel").alias("path"), "text", F.sha2("text", 256).alias("content_hash"),
-                       F.col("length").alias("size_bytes"), "extension", kind.alias("resource_type"))
+                       F.col("length").alias("size_bytes"), "extension", kind.alias("resource_type"), "skipped")
 

@@ -9,83 +9,88 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_hash
-from ..operators.counters import usage_aggs
+from ..operators.counters import one_event_per_step, usage_aggs
 from ..operators.quota import quota_breach
 from ..session import shared_dir
 from ..sources import snapshots
-from .runs import newest, run_available, versioned
+from .runs import Ledger, newest, run_available
 
 
-def stream_usage_stats(events: DataFrame, delay: str = "1 day", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Counters per (source, table), each (step, table) counted once.
+def stream_usage_stats(events: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Counters per (source, table), each (step, table) counted once, however late a repeat comes.
 
-    Repeats inside ``delay`` are dropped by the watermarked state; every batch
-    writes only the counters it changed.
+    As in the batch form the earliest use of a (step, table) counts.  A batch
+    merges its uses into the table of first uses, of one row per (step,
+    table); counters are aggregated from it.
     """
     spark = events.sparkSession
-    path = path or shared_dir(spark, "usage-stats")
-    keys = ["source_id", "table_fqn"]
-    once = events.withColumn("used_at", F.col("used_at").cast("timestamp")).withWatermark("used_at", delay) \
-        .dropDuplicatesWithinWatermark(["step_id", "table_fqn"])
-    stats = once.groupBy(*keys).agg(*usage_aggs())
-    run_available(stats, lambda batch, i: versioned(batch, path, i), "update", checkpoint)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
-    return newest(spark, path, keys, kinds)
+    first = Ledger(spark, path or shared_dir(spark, "usage-first"), _ddl(events))
+
+    def each(batch: DataFrame, i: int) -> None:
+        first.replace(one_event_per_step(first.before(i).unionByName(batch)), i)
+
+    run_available(events, each, "append", checkpoint)
+    return first.before(None).groupBy("source_id", "table_fqn").agg(*usage_aggs())
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def stream_quota(events: DataFrame, limits: DataFrame, keys: list[str], amount: str, path: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Monthly totals and first breaches, batch by batch: (totals, breaches).
 
-    A batch starts from the totals the batches before it wrote and runs the
-    batch operator on its own events, so a hot key is spread inside a batch.
-    Months are part of the key; a replayed batch overwrites its own folder.
+    A batch starts from the totals that the batches before it left and runs
+    the batch operator on its own events, so a hot key is spread inside a
+    batch.  Months are part of the key; a replayed batch replaces its own rows.
     """
     spark = events.sparkSession
     path = path or shared_dir(spark, "quota")
     by = [*keys, "month"]
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    total_schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"month {kinds['ts'] if kinds['ts'].startswith('timestamp') else 'timestamp'}", "used bigint", "batch_id bigint"])
-
-    def totals_before(i: int | None) -> DataFrame:
-        try:
-            seen = spark.read.schema(total_schema).parquet(f"{path}/totals")
-        except Exception:  # the first batch has no folder yet
-            seen = spark.createDataFrame([], total_schema)
-        seen = seen if i is None else seen.where(F.col("batch_id") < i)
-        return seen.groupBy(*by).agg(F.sum("used").alias("used"))
+    month = kinds["ts"] if kinds["ts"].startswith("timestamp") else "timestamp"
+    totals = Ledger(spark, f"{path}/totals", ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"month {month}", "used bigint"]))
 
     def each(batch: DataFrame, i: int) -> None:
-        opening = totals_before(i)
+        opening = totals.before(i)
         found = quota_breach(batch, limits, keys, amount, opening=opening)
         found.write.mode("overwrite").parquet(f"{path}/breaches/batch_id={i}")
-        grown = batch.where(F.col(amount) > 0).groupBy(*keys, F.date_trunc("month", "ts").alias("month")).agg(F.sum(amount).cast("bigint").alias("used"))
-        grown.select(*[F.col(f.name).cast(f.dataType) for f in opening.schema.fields]).write.mode("overwrite").parquet(f"{path}/totals/batch_id={i}")
+        grown = batch.where(F.col(amount) > 0).select(*keys, F.date_trunc("month", "ts").cast(month).alias("month"), F.col(amount).cast("bigint").alias("used"))
+        totals.replace(opening.unionByName(grown).groupBy(*by).agg(F.sum("used").alias("used")), i)
 
     run_available(events, each, "append", checkpoint)
-    return totals_before(None), spark.read.parquet(f"{path}/breaches").drop("batch_id")
+    return totals.before(None), spark.read.parquet(f"{path}/breaches").drop("batch_id")
 
 
-def stream_daily_cost(rows: DataFrame, cost: str = "total_cost", tokens: str = "total_tokens", delay: str = "2 days",
-                      path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Spend per day, each day written once when its watermark has passed.
+def stream_daily_cost(rows: DataFrame, cost: str = "total_cost", tokens: str = "total_tokens", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Spend per day over everything that has arrived: open days and late rows included.
 
-    Rows later than ``delay`` are dropped by the watermark.
+    A batch adds its sums per day to the table of days.
     """
     spark = rows.sparkSession
-    path = path or shared_dir(spark, "daily-cost")
-    timed = rows.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    daily = timed.groupBy(F.window("created_at", "1 day").alias("w")).agg(F.sum(cost).alias("cost"), F.sum(tokens).alias("tokens"))
-    flat = daily.select(F.to_date("w.start").alias("day"), F.col("cost").cast("double").alias("cost_usd"), "tokens")
-    run_available(flat, lambda batch, i: versioned(batch, path, i), "append", checkpoint)
-    return newest(spark, path, ["day"], "day date, cost_usd double, tokens bigint")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    money = f"decimal(38,{kinds[cost].scale})" if isinstance(kinds[cost], T.DecimalType) else "double"
+    days = Ledger(spark, path or shared_dir(spark, "daily-cost"), f"day date, cost {money}, tokens bigint")
+
+    def each(batch: DataFrame, i: int) -> None:
+        new = batch.select(F.to_date(F.col("created_at").cast("timestamp")).alias("day"), F.col(cost).cast(money).alias("cost"), F.col(tokens).cast("bigint").alias("tokens"))
+        grown = days.before(i).unionByName(new).groupBy("day").agg(F.sum("cost").cast(money).alias("cost"), F.sum("tokens").alias("tokens"))
+        days.replace(grown, i)
+
+    run_available(rows, each, "append", checkpoint)
+    return days.before(None).select("day", F.col("cost").cast("double").alias("cost_usd"), "tokens")
 
 
-def incremental_index(items: DataFrame, embed: Callable[[Column], Column], key: str = "item_id", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def incremental_index(items: DataFrame, embed: Callable[[Column], Column], key: str = "item_id", order: str | None = None, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Vector index of a text stream: only new or changed texts are embedded.
 
-    A batch appends its changes; the index is the newest row per key.
+    Of several texts of a key in one batch the last by ``order`` counts (the
+    greatest text, if no order is given).  A batch writes its changes under
+    its own id and compares them with the batches before it only, so a replay
+    writes them again; the index is the newest row per key.
     """
     spark = items.sparkSession
     path = path or shared_dir(spark, "index")
@@ -93,13 +98,11 @@ def incremental_index(items: DataFrame, embed: Callable[[Column], Column], key:
     schema = f"{key} {kind}, hash string, embedding array<double>"
 
     def each(batch: DataFrame, i: int) -> None:
-        hashed = batch.withColumn("hash", content_hash("text")).dropDuplicates([key, "hash"])
-        try:
-            known = newest(spark, path, [key], schema).select(key, "hash")
-            hashed = hashed.join(known, [key, "hash"], "left_anti")
-        except Exception:  # nothing indexed yet
-            pass
-        hashed.select(key, "hash", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/batch_id={i}")
+        last = F.max_by("text", F.struct(*([order] if order else []), "text"))
+        hashed = batch.groupBy(key).agg(last.alias("text")).withColumn("hash", content_hash("text"))
+        known = newest(spark, path, [key], schema, before=i).select(key, "hash")
+        changed = hashed.join(known, [key, "hash"], "left_anti")
+        changed.select(key, "hash", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/batch_id={i}")
 
     run_available(items, each, "append", checkpoint)
     return newest(spark, path, [key], schema)

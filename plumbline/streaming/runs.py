@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import drop_path, shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -34,13 +34,54 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mod
     return checkpoint
 
 
-def versioned(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch under its id; a replayed batch replaces itself."""
-    batch.withColumn("_written", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What earlier batches wrote below ``path``; nothing if there is no such folder yet.
+
+    Only a missing folder counts as nothing: any other failure to read is raised.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
 
 
-def newest(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
-    """Latest version of each key over all batches."""
-    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+def newest(spark: SparkSession, path: str, keys: list[str], schema: str, before: int | None = None) -> DataFrame:
+    """Latest version of each key over all batches, or over those before one."""
+    rows = stored(spark, path, f"{schema}, batch_id bigint")
+    rows = rows if before is None else rows.where(F.col("batch_id") < before)
     cols = [c for c in rows.columns if c not in (*keys, "batch_id")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v")).select(*keys, "_v.*")
+
+
+class Ledger:
+    """A table that batches replace as a whole, each under its own id.
+
+    A batch reads the newest version before its own, so a replayed batch meets
+    what it met the first time and replaces its own version.  Versions older
+    than the one before are dropped: the cost of a batch follows the size of
+    the table, not the number of batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _versions(self) -> list[int]:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(target):
+            return []
+        folders = [x.getPath() for x in fs.listStatus(target)]
+        done = [p for p in folders if p.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()[2:]) for p in done)
+
+    def before(self, batch_id: int | None) -> DataFrame:
+        """The table as the batches before ``batch_id`` left it (None: as it is now)."""
+        found = [v for v in self._versions() if batch_id is None or v < batch_id]
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}")
+
+    def replace(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        for old in [v for v in self._versions() if v < batch_id][:-1]:
+            drop_path(self.spark, f"{self.path}/v={old}")

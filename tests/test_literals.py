@@ -283,7 +283,7 @@ def test_formats(spark):
 def test_treemap_cycle_is_refused(spark):
     df = spark.createDataFrame([("a", "b", "A", 1.0), ("b", "a", "B", 2.0)], "id string, parentid string, name string, value double")
     with pytest.raises(ValueError):
-        charts.treemap_totals(charts.treemap(df, "id", "parentid", "name", "value"), max_depth=3)
+        charts.treemap_totals(charts.treemap(df, "id", "parentid", "name", "value"))
 
 
 # ---- catalog, profile ------------------------------------------------------------------
