@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -86,37 +87,60 @@ def blend(keyword: Column, semantic: Column) -> Column:
     return F.coalesce(0.5 * keyword + 0.5 * semantic, keyword)
 
 
-def cosine_topk(vectors: DataFrame, key: str, vector: str, queries: dict[str, list[float]], k: int) -> DataFrame:
-    """Best ``k`` rows per query vector by ``max(0, cosine)``.
+#: Query vectors scored in one scan; more of them take more scans.
+QUERIES_PER_SCAN = 4096
 
-    One scan: each Arrow batch is scored against all query vectors at once and
-    hands on at most ``k`` rows per query, so the shuffle carries candidates
-    only.
+
+def cosine_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, label: str = "query", query_vector: str = "vector",
+                where: dict | None = None, ids: list | None = None) -> DataFrame:
+    """Best ``k`` rows per query (``label``, ``query_vector``) by ``max(0, cosine)``.
+
+    ``where`` gives column values that rows must have (organisation, kind,
+    model), ``ids`` the only keys that may be found: an empty list finds none.
+    Each Arrow batch is scored against a bounded set of queries at once and
+    hands on at most ``k`` rows per query and tie, so the shuffle carries
+    candidates only; the driver holds one set of queries at a time.
     """
-    labels = list(queries)
-    matrix = np.asarray([queries[q] for q in labels], dtype=np.float64).reshape(len(labels), -1)
+    usable = vectors
+    for name, value in (where or {}).items():
+        usable = usable.where(F.col(name) == F.lit(value))
+    if ids is not None:
+        usable = usable.where(F.col(key).isin(*ids) if ids else F.lit(False))
+    kind, name_kind = vectors.schema[key].dataType.simpleString(), queries.schema[label].dataType.simpleString()
+    rows = queries.where(F.col(query_vector).isNotNull()).select(F.col(label).alias("q"), F.col(query_vector).alias("v")).toLocalIterator()
+    near = None
+    while part := list(islice(rows, QUERIES_PER_SCAN)):
+        for dim in sorted({len(r["v"]) for r in part}):
+            same = [r for r in part if len(r["v"]) == dim]
+            scored = usable.where(F.size(vector) == dim).select(key, vector).mapInArrow(
+                _scorer([r["q"] for r in same], np.asarray([r["v"] for r in same], dtype=np.float64), k, key), f"query {name_kind}, {key} {kind}, score double")
+            near = scored if near is None else near.unionByName(scored)
+    if near is None:
+        return vectors.sparkSession.createDataFrame([], f"query {name_kind}, {key} {kind}, score double, rank int")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), key))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _scorer(labels: list, matrix: np.ndarray, k: int, key: str):
     dim = matrix.shape[1]
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids = batch.column(0)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(-1, dim)
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             size = np.linalg.norm(rows, axis=1, keepdims=True)
             rows = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
             scores = np.maximum(rows @ unit.T, 0.0)
             keep = min(k, len(rows))
-            for j, label in enumerate(labels):
+            for j, name in enumerate(labels):
                 s = scores[:, j]
                 floor = np.partition(s, len(s) - keep)[len(s) - keep]
                 # every row tied with the k-th score stays: the tie-break needs the keys
                 pick = np.flatnonzero(s >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(pick)), ids.take(pa.array(pick)), pa.array(s[pick])], ["query", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pick)), ids.take(pa.array(pick)), pa.array(s[pick])], ["query", key, "score"])
 
-    kind = vectors.schema[key].dataType.simpleString()
-    usable = vectors.where(F.size(vector) == dim).select(key, vector)
-    near = usable.mapInArrow(run, f"query string, {key} {kind}, score double")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), key))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return run

@@ -20,6 +20,24 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
         "total_pages": F.ceil(F.col("total") / size), "has_more": F.col("total") > F.lit(number * size)})
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int) -> DataFrame:
+    """The rows that follow the one with the order values ``after`` (None: the first page).
+
+    ``order`` names columns without nulls, and whether each falls; together
+    they are unique.  However deep the page, only ``size`` rows leave each
+    task, which an offset cannot do.
+    """
+    rows = df
+    if after is not None:
+        later, same = F.lit(False), F.lit(True)
+        for (name, falls), value in zip(order, after, strict=True):
+            c = F.col(name)
+            later = later | (same & ((c < F.lit(value)) if falls else (c > F.lit(value))))
+            same = same & (c == F.lit(value))
+        rows = rows.where(later)
+    return rows.orderBy(*[F.desc(n) if falls else F.asc(n) for n, falls in order]).limit(size)
+
+
 def sort_order(column: str, direction: str, tie: str) -> list[Column]:
     first = F.desc_nulls_last(column) if direction == "desc" else F.asc_nulls_first(column)
     return [first, F.asc(tie)]

@@ -134,7 +134,9 @@ def modes(df: DataFrame) -> DataFrame:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    return base_stats(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("columns"))
+    """Columns per type, from the schema: no row is read."""
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    return df.sparkSession.createDataFrame([(k, kinds.count(k)) for k in sorted(set(kinds))], "dtype string, columns bigint")
 
 
 def viz_profile(df: DataFrame, may_show: bool) -> DataFrame:
@@ -144,6 +146,14 @@ def viz_profile(df: DataFrame, may_show: bool) -> DataFrame:
     return p.select("column", "dtype", "non_null", "distinct", "nulls", hide("min").alias("min"), hide("max").alias("max"))
 
 
+def viz_head(df: DataFrame, order: str, rows: int, may_show: bool) -> DataFrame:
+    """(column, sample): the first values of every column as text; none when data may not be shown."""
+    top = df.orderBy(order).limit(rows)
+    cells = [F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(f"`{f.name}`").cast("string").alias("v")))), lambda x: x["v"]) for f in df.schema.fields]
+    none = F.lit(None).cast("array<string>")
+    return top.agg(F.array(*[F.struct(F.lit(f.name).alias("column"), (c if may_show else none).alias("sample")) for f, c in zip(df.schema.fields, cells)]).alias("x")).select(F.inline("x"))
+
+
 def preview(df: DataFrame, order: str, rows: int = 50, columns: int = 50) -> DataFrame:
     """First rows and columns with the total shape; infinities and NaN become null, times ISO text."""
     def cell(f):

@@ -78,9 +78,9 @@ def j_multi_left(t):
     ).select("call_id", "status", "direction", "title", "user_name")
 
 
-@query("j_access_intersect", """SELECT DISTINCT l_suppkey AS source_id FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000""")
+@query("j_access_intersect", """SELECT DISTINCT l_suppkey AS source_id FROM lineitem INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000""")
 def j_access_intersect(t):
-    asked = t("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("source_id"))
+    asked = t("lineitem").select(F.col("l_suppkey").alias("source_id"))
     allowed = t("supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").alias("source_id"))
     return joins.access_intersect(asked, allowed, "source_id")
 

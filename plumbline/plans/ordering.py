@@ -49,16 +49,26 @@ query("issues_all_queries", _issues_sql("true", 0, 50))(lambda t: _issues(t, "al
 
 @query("table_sort", """SELECT table_id, 'score' AS sorted_by FROM (SELECT * FROM v_catalog ORDER BY score DESC, table_name LIMIT 30)
   UNION ALL SELECT table_id, 'centrality' FROM (SELECT * FROM v_catalog ORDER BY in_degree + out_degree + centrality DESC, table_name LIMIT 30)
-  UNION ALL SELECT table_id, 'usage' FROM (SELECT * FROM v_catalog LEFT JOIN (SELECT l_partkey AS table_id, count(*) AS uses FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (table_id) ORDER BY uses DESC NULLS LAST, table_name LIMIT 30)
+  UNION ALL SELECT table_id, 'usage' FROM (SELECT * FROM v_catalog LEFT JOIN (SELECT l_partkey AS table_id, count(*) AS uses FROM lineitem GROUP BY 1) USING (table_id) ORDER BY uses DESC NULLS LAST, table_name LIMIT 30)
   UNION ALL SELECT table_id, 'name' FROM (SELECT * FROM v_catalog ORDER BY table_name LIMIT 30)""")
 def table_sort(t):
-    uses = t("lineitem").where("l_quantity > 49").groupBy(F.col("l_partkey").alias("table_id")).agg(F.count(F.lit(1)).alias("uses"))
+    uses = t("lineitem").groupBy(F.col("l_partkey").alias("table_id")).agg(F.count(F.lit(1)).alias("uses"))
     catalog = t("v_catalog")
     with_uses = catalog.join(uses, "table_id", "left")
     parts = [paging.sort_tables(with_uses if by == "usage" else catalog, by, 30).select("table_id", F.lit(by).alias("sorted_by")) for by in ("score", "centrality", "usage", "name")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+@query("page_after", """WITH p AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
+  SELECT o_orderkey, o_totalprice FROM p WHERE r > 100 AND r <= 140""")
+def page_after(t):
+    """The third page of forty after the first hundred rows, reached by the last row seen."""
+    order = [("o_totalprice", True), ("o_orderkey", False)]
+    rows = t("orders").select("o_orderkey", "o_totalprice")
+    last = paging.page_after(rows, order, None, 100).orderBy("o_totalprice", F.desc("o_orderkey")).first()
+    return paging.page_after(rows, order, (last["o_totalprice"], last["o_orderkey"]), 40)
+
+
 @query("view_table", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
 def view_table(t):
     return paging.view_table(t("orders"), {"columns": ["o_orderkey", "o_totalprice"], "sortBy": "o_totalprice", "sortOrder": "desc"}, "o_orderkey")

@@ -46,7 +46,7 @@ def profile_nested(t):
     return profile.table_profile(t("embeddings")).select("column", "non_null", "distinct")
 
 
-@query("dtype_counts", """SELECT dtype, count(*) AS columns FROM (VALUES ('bigint'), ('bigint'), ('bigint'), ('int'), ('double'), ('double'), ('double'), ('double'), ('string'), ('string'), ('timestamp_ntz')) v(dtype) GROUP BY 1""")
+@query("dtype_counts", """SELECT CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END AS dtype, count(*) AS columns FROM (DESCRIBE lineitem) GROUP BY 1""")
 def dtype_counts(t):
     return profile.dtype_counts(t("lineitem"))
 
@@ -55,7 +55,15 @@ def dtype_counts(t):
   UNION ALL SELECT "column", dtype, non_null, distinct_, nulls, NULL, NULL, 'hidden' FROM p""")
 def viz_profile(t):
     shown = profile.viz_profile(_src(t), True).withColumn("variant", F.lit("shown"))
-    return shown.unionByName(shown.withColumns({"variant": F.lit("hidden"), **{c: F.lit(None).cast("double") for c in ("min", "max")}}))
+    return shown.unionByName(profile.viz_profile(_src(t), False).withColumn("variant", F.lit("hidden")))
+
+
+@query("viz_head", """WITH h AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 20) SELECT 'o_orderkey' AS "column", string_agg(o_orderkey, '|' ORDER BY o_orderkey) AS sample, true AS shown FROM h
+  UNION ALL SELECT 'o_orderstatus', string_agg(o_orderstatus, '|' ORDER BY o_orderkey), true FROM h UNION ALL SELECT 'o_orderkey', NULL, false UNION ALL SELECT 'o_orderstatus', NULL, false""")
+def viz_head(t):
+    df = t("orders").select("o_orderkey", "o_orderstatus")
+    parts = [profile.viz_head(df, "o_orderkey", 20, show).withColumn("shown", F.lit(show)) for show in (True, False)]
+    return parts[0].unionByName(parts[1]).withColumn("sample", F.array_join("sample", "|"))
 
 
 @query("preview", """SELECT l_orderkey, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS q, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS l_shipdate,

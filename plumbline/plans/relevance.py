@@ -24,7 +24,7 @@ def _rec(col, now="1998-06-01"):
 
 
 @query("table_score", f"""WITH tb AS ({TABLES.format(part='part')}), u AS (SELECT source_id, table_fqn, count(*) AS usage, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS bad,
-    coalesce(sum(CAST({_W} AS DECIMAL(18,1))) FILTER (success), 0)::DOUBLE AS w, max(used_at) FILTER (success) AS lu FROM v_table_usage WHERE used_at <= TIMESTAMP '1998-06-01' AND source_id <> 4 GROUP BY 1, 2),
+    coalesce(sum(CAST({_W} AS DECIMAL(18,1))) FILTER (success), 0)::DOUBLE AS w, max(used_at) FILTER (success) AS lu FROM v_table_usage WHERE used_at <= TIMESTAMP '1998-06-01' GROUP BY 1, 2),
   f AS (SELECT source_id, table_fqn, coalesce(sum(CAST({_W} AS DECIMAL(18,1))) FILTER (direction > 0), 0)::DOUBLE AS wp, coalesce(sum(CAST({_W} AS DECIMAL(18,1))) FILTER (direction < 0), 0)::DOUBLE AS wn FROM v_table_feedback GROUP BY 1, 2)
   SELECT table_fqn, source_id, round(CASE WHEN usage > 0 THEN ok / greatest(1, usage) ELSE 0 END, 4) AS success_rate, round(CASE WHEN usage IS NULL THEN 0.1 * (centrality + richness + CASE WHEN entity_like THEN 0.5 ELSE 0 END)
     ELSE 0.35 * (sqrt(w) * coalesce({_rec('lu')}, pow(2.718281828::DOUBLE, -365.0 / 14))) + 0.25 * (ok / greatest(1, usage)) + 0.2 * (coalesce(wp, 0) - coalesce(wn, 0))
@@ -32,7 +32,7 @@ def _rec(col, now="1998-06-01"):
   FROM tb LEFT JOIN u USING (source_id, table_fqn) LEFT JOIN f USING (source_id, table_fqn)""")
 def table_score(t):
     on = ["source_id", "table_fqn"]
-    used = counters.usage_stats(t("v_table_usage").where("used_at <= '1998-06-01' AND source_id <> 4")).join(counters.feedback_stats(t("v_table_feedback")), on, "left")
+    used = counters.usage_stats(t("v_table_usage").where("used_at <= '1998-06-01'")).join(counters.feedback_stats(t("v_table_feedback")), on, "left")
     out = ranking.table_score(t.sql(TABLES), used, NOW, on)
     return out.select("table_fqn", "source_id", F.coalesce("success_rate", F.lit(0.0)).alias("success_rate"), "score")
 
@@ -85,11 +85,21 @@ def snippet_by_table(t):
 def cosine_topk(t):
     """The ten vectors nearest to the centroid of each label."""
     dims = t("embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    centroids = dims.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).collect()  # one vector per label
-    queries = {str(r["label"]): [p["x"] for p in r["c"]] for r in centroids}
+    centroids = dims.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))  # as long as a vector
+    queries = centroids.select(F.col("label").cast("string").alias("query"), F.transform("c", lambda p: p["x"]).alias("vector"))
     return similarity.cosine_topk(t("embeddings"), "vec_id", "embedding", queries, 10).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("cosine_topk_filtered", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id, greatest(0, list_cosine_similarity(e.v, q.v)) AS score
+  FROM e JOIN e q ON q.vec_id % 50 = 0 WHERE e.vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3))
+  SELECT query, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) <= 5""")
+def cosine_topk_filtered(t):
+    """Vectors of one kind nearest to every fiftieth vector."""
+    queries = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    out = similarity.cosine_topk(t("embeddings"), "vec_id", "embedding", queries, 5, where={"label": 3})
+    return out.select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("blend", f"""WITH k AS (SELECT doc_id, {kw('text')} AS ws FROM documents), s AS (SELECT doc_id, {jac('ws', "['then', 'heron']")} AS kws, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 10 END AS sem FROM k)
   SELECT doc_id, round(coalesce(0.5 * kws + 0.5 * sem, kws), 9) AS score FROM s""")
 def blend(t):
@@ -129,9 +139,9 @@ def index_upsert(t):
     return ranking.index_texts(items, index, embed).select("item_id", "hash", F.col("embedding")[0].alias("first_value"))
 
 
-@query("mention_order", """SELECT table_id, coalesce(uses, 0) AS uses FROM v_catalog LEFT JOIN (SELECT l_partkey AS table_id, count(*) AS uses FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 5 GROUP BY 1) USING (table_id)""")
+@query("mention_order", """SELECT table_id, coalesce(uses, 0) AS uses FROM v_catalog LEFT JOIN (SELECT l_partkey AS table_id, count(*) AS uses FROM lineitem GROUP BY 1) USING (table_id)""")
 def mention_order(t):
-    uses = t("lineitem").where("l_returnflag = 'R' AND l_quantity < 5").groupBy(F.col("l_partkey").alias("table_id")).agg(F.count(F.lit(1)).alias("uses"))
+    uses = t("lineitem").groupBy(F.col("l_partkey").alias("table_id")).agg(F.count(F.lit(1)).alias("uses"))
     return ranking.mention_order(t("v_catalog").select("table_id"), uses, "table_id")
 
 

@@ -86,8 +86,13 @@ def paged_scan(spark: SparkSession, fetch: Callable[[int], object], schema: str
 def row_group_pages(path: str, columns: list[str]) -> tuple[Callable[[int], pa.Table], int]:
     """A fetcher whose pages are the row groups of parquet files, and their number."""
     import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
 
-    def groups():
-        return [g for f in ds.dataset(path).get_fragments() for g in f.split_by_row_group()]
+    # listed once, on the driver: a page is a file and a row group of it
+    pages = [(f.path, g.row_groups[0].id) for f in ds.dataset(path).get_fragments() for g in f.split_by_row_group()]
 
-    return (lambda page: groups()[page].to_table(columns=columns)), len(groups())
+    def fetch(page: int) -> pa.Table:
+        file, group = pages[page]
+        return pq.ParquetFile(file).read_row_group(group, columns=columns)
+
+    return fetch, len(pages)

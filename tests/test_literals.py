@@ -185,11 +185,12 @@ def test_attribution(spend, key, want):
     assert (kpi.total_calls, kpi.total_cost_usd) == (3, 0.0315)
 
 
-def test_daily_series_adds_up_and_is_capped(spend):
+def test_daily_series_adds_up_over_any_range(spend):
     df, _ = spend
     daily = cost.cost_daily(df, dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 10))
     assert daily.count() == 10 and one(daily.agg(F.round(F.sum("cost_usd"), 6))) == (0.0315,)
-    assert cost.cost_daily(df, dt.datetime(2020, 1, 1), dt.datetime(2026, 1, 10)).count() == 401
+    assert cost.cost_daily(df, dt.datetime(2020, 1, 1), dt.datetime(2026, 1, 10)).count() == 2202
+    assert cost.cost_daily(df, dt.datetime(2020, 1, 1), dt.datetime(2026, 1, 10), most=401).count() == 401
 
 
 def test_prices(spark):
@@ -387,7 +388,7 @@ def test_guidance_slots(spark):
 
 def test_cosine(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, [1.0, 1.0])], "id int, v array<double>")
-    got = {(r.query, r.id): round(r.score, 6) for r in similarity.cosine_topk(v, "id", "v", {"q": [3.0, 0.0]}, 3).collect()}
+    got = {(r.query, r.id): round(r.score, 6) for r in similarity.cosine_topk(v, "id", "v", spark.createDataFrame([("q", [3.0, 0.0])], "query string, vector array<double>"), 3).collect()}
     assert got == {("q", 1): 1.0, ("q", 5): 0.707107, ("q", 2): 0.0}
 
 
@@ -470,3 +471,91 @@ def test_incremental_index_embeds_changes_only(spark):
         got = incremental.incremental_index(runs.file_stream(spark, path), embed, path=index, checkpoint=state)
     assert {r.item_id: r.embedding[0] for r in got.collect()} == {1: 7.0, 2: 3.0, 3: 5.0}
     assert spark.read.parquet(index).count() == 4
+
+
+def test_replayed_batches_change_nothing(spark):
+    """The commit of the last batch is lost: it runs again and must not erase or repeat anything."""
+    import pathlib
+
+    root = shared_dir(spark, "replay")
+    src, state = f"{root}/src", f"{root}/state"
+    use = "step_id int, table_fqn string, source_id int, success boolean, user_id int, role string, used_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    batches = ([(1, "t", 1, True, 5, "admin", at), (2, "t", 1, False, 5, "viewer", at)], [(1, "t", 1, True, 5, "admin", at + dt.timedelta(days=9)), (3, "u", 1, True, None, "x", at)])
+
+    def lose_last_commit():
+        commits = sorted((p for p in pathlib.Path(state, "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+        for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+            p.unlink(missing_ok=True)
+
+    for b in batches:
+        spark.createDataFrame(b, use).coalesce(1).write.mode("append").parquet(src)
+        got = incremental.stream_usage_stats(runs.file_stream(spark, src), path=f"{root}/first", checkpoint=state)
+    batch = counters.one_event_per_step(spark.read.parquet(src)).groupBy("source_id", "table_fqn").agg(*counters.usage_aggs())
+    assert sorted(rows(got)) == sorted(rows(batch)) and batch.agg(F.sum("usage")).first()[0] == 3
+    lose_last_commit()
+    again = incremental.stream_usage_stats(runs.file_stream(spark, src), path=f"{root}/first", checkpoint=state)
+    assert sorted(rows(again)) == sorted(rows(batch))
+
+
+def test_replayed_index_keeps_its_batch(spark):
+    import pathlib
+
+    root = shared_dir(spark, "replay-index")
+    embed = lambda c: F.array(F.length(c).cast("double"))
+    spark.createDataFrame([(1, "one", 1), (1, "longer", 2), (2, "two", 1)], "item_id int, text string, at int").coalesce(1).write.parquet(f"{root}/src")
+    index = lambda: incremental.incremental_index(runs.file_stream(spark, f"{root}/src"), embed, order="at", path=f"{root}/idx", checkpoint=f"{root}/state")
+    want = {1: 6.0, 2: 3.0}
+    assert {r.item_id: r.embedding[0] for r in index().collect()} == want
+    for p in pathlib.Path(f"{root}/state/commits").iterdir():
+        p.unlink()
+    assert {r.item_id: r.embedding[0] for r in index().collect()} == want
+
+
+def test_stream_reads_fail_loudly(spark):
+    path = shared_dir(spark, "ledger")
+    ledger = runs.Ledger(spark, path, "k int, n bigint")
+    assert ledger.before(None).count() == 0
+    for i in range(4):
+        ledger.replace(spark.createDataFrame([(1, i)], "k int, n bigint"), i)
+    assert one(ledger.before(None)) == (1, 3) and one(ledger.before(3)) == (1, 2) and ledger.before(1).count() == 0
+    spark.createDataFrame([("x",)], "k string").write.mode("overwrite").json(f"{path}/v=4")
+    with pytest.raises(Exception):
+        ledger.before(None).collect()
+
+
+def test_find_operators(spark):
+    data = [(1, ["a", "b"], [(1, "x"), (5, "y")]), (2, ["b"], [(9, "x")]), (3, None, None), (4, [], [])]
+    docs = spark.createDataFrame(data, "_id int, tags array<string>, items array<struct<q:int,k:string>>")
+    find = lambda spec, **more: [r._id for r in documents.doc_find(docs, {"find": spec, "sort": {"_id": 1}, **more}).collect()]
+    assert find({"tags": "b"}) == [1, 2] and find({"tags": ["b"]}) == [2] and find({"tags": {"$all": ["a", "b"]}}) == [1]
+    assert find({"tags": {"$size": 1}}) == [2] and find({"tags": {"$not": {"$size": 1}}}) == [1, 3, 4] and find({"tags": {"$nin": ["a"]}}) == [2, 3, 4]
+    assert find({"items": {"$elemMatch": {"q": {"$gt": 4}, "k": "x"}}}) == [2] and find({"$nor": [{"tags": "a"}]}) == [2, 3, 4]
+    assert find({}, limit=0) == find({}, limit=None) == [1, 2, 3, 4] and find({}, limit=2) == [1, 2]
+    out = documents.doc_aggregate(docs, [{"$unwind": "$tags"}, {"$group": {"_id": {"t": "$tags"}, "ids": {"$addToSet": "$_id"}}}, {"$sort": {"_id": 1}}]).collect()
+    assert [tuple(r) for r in out] == [('{"t":"a"}', "[1]"), ('{"t":"b"}', "[1,2]")]
+
+
+def test_vector_filters(spark):
+    v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1]), (3, "a", [0.0, 1.0])], "id int, org string, v array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("w", [1.0, 0.0, 0.0])], "query string, vector array<double>")
+    top = lambda **more: sorted(r.id for r in similarity.cosine_topk(v, "id", "v", q, 2, **more).collect())
+    assert top() == [1, 2] and top(where={"org": "a"}) == [1, 3] and top(ids=[3]) == [3] and top(ids=[]) == []
+
+
+def test_daily_series_of_any_length(spark):
+    start = dt.datetime(2020, 1, 1)
+    data = [(start + dt.timedelta(days=i), 1.0, 1) for i in range(500)]
+    usage = spark.createDataFrame(data, "created_at timestamp, total_cost double, total_tokens int")
+    daily = cost.cost_daily(usage, start, start + dt.timedelta(days=499))
+    assert one(daily.agg(F.count("*"), F.sum("tokens"))) == (500, 500)
+
+
+def test_tree_rules(spark, tmp_path):
+    (tmp_path / "models").mkdir()
+    for name, body in (("models/a.SQL", "select 1"), ("models/b.sql", "select 2"), ("dbt_project.yml", "name: p"), ("models/skip.sql", "x"), ("big.md", "y" * 300_000)):
+        (tmp_path / name).write_text(body)
+    got = {r.path: (r.resource_type, r.skipped) for r in files.repo_scan(spark, str(tmp_path), "t", ignore=["# note", "skip.sql"]).collect()}
+    assert got == {"t/models/a.SQL": ("dbt_model", None), "t/models/b.sql": ("dbt_model", None), "t/dbt_project.yml": ("yaml_file", None), "t/big.md": ("markdown_document", None)}
+    got = {r.path: (r.skipped, r.text is None) for r in files.repo_scan(spark, str(tmp_path), "t", max_bytes=1000).collect()}
+    assert got["t/big.md"] == ("too_large", True) and got["t/models/skip.sql"] == (None, False)

@@ -14,7 +14,7 @@ BUILD, SQL = entry.queries(), entry.oracle_sql()
 
 PYTHON = re.compile(r"BatchEvalPython|ArrowEvalPython|MapInPandas|PythonMapInArrow|FlatMapGroupsInPandas")
 # operators whose work is Python by nature
-WITH_PYTHON = {"paged_scan", "cosine_topk", "m_text", "json_in_text", "index_upsert"}
+WITH_PYTHON = {"paged_scan", "cosine_topk", "m_text", "json_in_text", "index_upsert", "cosine_topk_filtered"}
 
 
 @pytest.mark.parametrize("name", sorted(BUILD))
