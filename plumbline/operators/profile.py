@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .spread import running_total
 
 
@@ -45,6 +46,12 @@ def _missing(f: T.StructField) -> Column:
 
 def base_stats(df: DataFrame) -> DataFrame:
     """One row per column: dtype, non-null, null, mean, std, min, max; one aggregation."""
+    aggs, items = _base_parts(df)
+    return df.agg(*aggs).select(F.inline(F.array(*items)))
+
+
+def _base_parts(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The aggregates of ``base_stats``, and the rows made of them."""
     aggs, items = [], []
     for i, f in enumerate(df.schema.fields):
         bad, n = _missing(f), _number(f) if _is_number(f.dataType) or _is_time(f.dataType) else None
@@ -58,7 +65,7 @@ def base_stats(df: DataFrame) -> DataFrame:
             F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
             F.col(f"c{i}_n").alias("non_null"), F.col(f"c{i}_z").alias("nulls"), stat("a").alias("mean"), std.alias("std"),
             stat("l").alias("min"), stat("h").alias("max")))
-    return df.agg(*aggs).select(F.inline(F.array(*items)))
+    return aggs, items
 
 
 def value_counts(df: DataFrame) -> DataFrame:
@@ -72,32 +79,42 @@ def value_counts(df: DataFrame) -> DataFrame:
 SKETCH_ACCURACY, SKETCH_MARGIN = 10_000, 5e-4  # the sketch errs by at most 1/accuracy of the rows
 
 
-def exact_quantiles(df: DataFrame, probs: list[float]) -> DataFrame:
+def _ranked(df: DataFrame) -> list[T.StructField]:
+    return [f for f in df.schema.fields if _is_number(f.dataType) or _is_time(f.dataType)]
+
+
+def _sketch(df: DataFrame, probs: list[float]) -> list[Column]:
+    """Aggregates that bracket the wanted ranks of every number and time column."""
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    values = [F.when(~_missing(f), _number(f)) for f in _ranked(df)]
+    return [F.percentile_approx(v, ends, SKETCH_ACCURACY).alias(f"q{i}") for i, v in enumerate(values)] + [F.count(v).alias(f"n{i}") for i, v in enumerate(values)]
+
+
+def exact_quantiles(df: DataFrame, probs: list[float], sketch: DataFrame | None = None) -> DataFrame:
     """(column, prob, value) with linear interpolation for number and time columns.
 
-    A sketch brackets every wanted rank; counting what lies below the bracket is
-    plain arithmetic, and only the rows inside it (a thousandth of the table)
-    are collapsed to (value, n) and ranked by a spread running total.
+    A sketch (one row; made here unless given) brackets every wanted rank.  A
+    second pass counts what lies below each bracket and collapses the rows
+    inside it, a thousandth of the table, to (value, n); those are ranked by a
+    spread running total.
     """
-    fields = [f for f in df.schema.fields if _is_number(f.dataType) or _is_time(f.dataType)]
+    fields, spark = _ranked(df), df.sparkSession
+    none = spark.createDataFrame([], "column string, prob double, value double")
     if not fields or not probs:
-        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
-    nums = df.select(*[F.when(~_missing(f), _number(f)).alias(f"v{i}") for i, f in enumerate(fields)])
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
-    cuts = nums.agg(*[F.percentile_approx(f"v{i}", ends, SKETCH_ACCURACY).alias(f"q{i}") for i in range(len(fields))],
-                    *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(fields))]).first()  # two numbers per column and rank
+        return none
+    cuts = (sketch if sketch is not None else df.agg(*_sketch(df, probs))).first()  # two numbers per column and rank
     spans = [(i, p, cuts[f"q{i}"][2 * j], cuts[f"q{i}"][2 * j + 1], cuts[f"n{i}"])
              for i in range(len(fields)) for j, p in enumerate(probs) if cuts[f"n{i}"]]
     if not spans:
-        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
-    below = nums.agg(*[F.count_if(F.col(f"v{i}") < lo).alias(f"b{k}") for k, (i, _, lo, _, _) in enumerate(spans)]).first()
-    inside = F.array(*[F.when(F.col(f"v{i}").between(lo, hi), F.struct(F.lit(k).alias("span"), F.col(f"v{i}").alias("v")))
-                       for k, (i, _, lo, hi, _) in enumerate(spans)])
-    near = nums.select(F.inline(F.array_compact(inside))).groupBy("span", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_total(near, ["span"], [F.col("v")], "n", "upto")
-    facts = df.sparkSession.createDataFrame(
-        [(k, fields[i].name, float(p), below[f"b{k}"], p * (n - 1)) for k, (i, p, _, _, n) in enumerate(spans)],
-        "span int, column string, prob double, below bigint, pos double")
+        return none
+    nums = df.select(*[F.when(~_missing(f), _number(f)).alias(f"v{i}") for i, f in enumerate(fields)])
+    cells = F.array(*[F.when(F.col(f"v{i}") <= hi, F.struct(F.lit(k).alias("span"), F.when(F.col(f"v{i}") >= lo, F.col(f"v{i}")).alias("v")))
+                      for k, (i, _, lo, hi, _) in enumerate(spans)])
+    # v is null for all that lies below the bracket: one row per span
+    near = cut_lineage(nums.select(F.inline(F.array_compact(cells))).groupBy("span", "v").agg(F.count(F.lit(1)).alias("n")))
+    placed = running_total(near.where("v IS NOT NULL"), ["span"], [F.col("v")], "n", "upto")
+    facts = spark.createDataFrame([(k, fields[i].name, float(p), p * (n - 1)) for k, (i, p, _, _, n) in enumerate(spans)], "span int, column string, prob double, pos double")
+    facts = facts.join(near.where("v IS NULL").select("span", F.col("n").alias("below")), "span", "left").fillna(0, ["below"])
     upto, start = F.col("upto") + F.col("below"), F.col("upto") + F.col("below") - F.col("n")
     holds = lambda rank: (rank >= start) & (rank < upto)
     at = placed.join(facts, "span").where(holds(F.floor("pos")) | holds(F.ceil("pos")))
@@ -105,24 +122,30 @@ def exact_quantiles(df: DataFrame, probs: list[float]) -> DataFrame:
     return at.groupBy("column", "prob").agg((lo + (hi - lo) * part).alias("value"))
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def table_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     """One row per column with counts, moments, quartiles, mode and its frequency.
 
-    Times are reported in epoch seconds.  ``distinct="approx"`` trades the
-    frequency table for a sketch and leaves the mode out.
+    Two passes: moments, counts and rank brackets in one aggregation, then the
+    rows around each rank; exact distinct counts and modes add the frequency
+    table.  Times are reported in epoch seconds.  ``distinct="approx"`` trades
+    the frequency table for a sketch and leaves the mode out.
     """
-    base = base_stats(df)
+    aggs, items = _base_parts(df)
+    rough = [F.approx_count_distinct(_sorted_json(F.col(f"`{f.name}`"), f.dataType)).alias(f"a{i}") for i, f in enumerate(df.schema.fields)] if distinct == "approx" else []
+    wide = cut_lineage(df.agg(*aggs, *rough, *_sketch(df, QUARTILES)))
+    base = wide.select(F.inline(F.array(*items)))
     if distinct == "approx":
-        items = [F.struct(F.lit(f.name).alias("column"), F.col(f"a{i}").alias("distinct")) for i, f in enumerate(df.schema.fields)]
-        aggs = [F.approx_count_distinct(_sorted_json(F.col(f"`{f.name}`"), f.dataType)).alias(f"a{i}") for i, f in enumerate(df.schema.fields)]
-        freq = df.agg(*aggs).select(F.inline(F.array(*items)))
+        freq = wide.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"a{i}").alias("distinct")) for i, f in enumerate(df.schema.fields)])))
     else:
         freq = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("freq"))
         texts = [f.name for f in df.schema.fields if not _is_number(f.dataType) and not _is_time(f.dataType)]
         is_text = F.col("column").isin(*texts) if texts else F.lit(False)
         freq = freq.select("column", "distinct", F.when(is_text, F.col("freq")).alias("freq"))
-    q = exact_quantiles(df, [0.25, 0.5, 0.75]).groupBy("column").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    q = exact_quantiles(df, QUARTILES, wide).groupBy("column").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in zip(QUARTILES, ("q25", "q50", "q75"), strict=True)])
     return base.join(freq, "column", "left").join(q, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
