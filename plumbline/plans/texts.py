@@ -158,7 +158,7 @@ def flatten_output(t):
   ELSE ['db.orders', 'orders.amt', 'items.qty'] END) AS ref FROM events""")
 def lineage_refs(t):
     pairs = t.sql(SOURCES).select("event_id", F.explode(text.lineage_refs("source")).alias("r"))
-    return pairs.where("r.table <> 'main'").select("event_id", F.concat_ws(".", "r.table", "r.column").alias("ref"))
+    return pairs.select("event_id", F.concat_ws(".", "r.table", "r.column").alias("ref"))
 
 
 @query("lineage_resolve", """WITH r AS (SELECT p_partkey, p_size % 3 AS k, p_brand AS tb, p_type AS c FROM part), g AS (SELECT p_partkey, CASE WHEN k = 0 THEN NULL ELSE k END AS src, lower(tb) AS tb, c FROM r),

@@ -113,14 +113,14 @@ SELECT DISTINCT lower(p_type) || '.t' || cast(p_partkey AS string) AS table_name
        CASE WHEN (p_partkey + l_linenumber) % 2 = 0 THEN 'bigint' ELSE 'string' END AS dtype,
        l_linenumber AS position, p_partkey AS table_id
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
-WHERE p_size <> 4 AND l_quantity < 10""",
+WHERE p_size <> 4 AND (p_brand <> 'Brand#7' OR l_quantity < 14)""",
     "v_columns_new": """
 SELECT DISTINCT lower(p_type) || '.t' || cast(p_partkey AS string) AS table_name, 'c' || cast(l_linenumber AS string) AS col_name,
        CASE WHEN p_type = 'ECONOMY' AND l_linenumber = 1 THEN 'double'
             WHEN (p_partkey + l_linenumber) % 2 = 0 THEN 'bigint' ELSE 'string' END AS dtype,
        8 - l_linenumber AS position, p_partkey AS table_id
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
-WHERE p_size <> 5 AND (l_quantity < 10 OR (p_brand = 'Brand#7' AND l_quantity < 14))""",
+WHERE p_size <> 5""",
     "v_catalog": """
 SELECT p_partkey AS table_id, lower(p_type) || '.' || replace(p_name, ' ', '_') || '_' || cast(p_partkey AS string) AS table_name,
        p_size AS n_columns, p_partkey % 3 <> 0 AS is_active, 'conn' || cast(p_partkey % 3 AS string) AS connection,
