@@ -14,12 +14,16 @@ threshold leaves open, after a bound from the common grams.  Classes are the
 connected components of the links.
 
 Equal texts are brought together first by digest.  Then three rounds find the
-links that matter to the classes: each text against the least member of all
-its buckets; against the least members of the buckets where the two are not
-yet in one class; and finally every pair of bucket members of different
-classes whose lengths allow a link.  A pair that the rounds skip is already
-joined by links, so no class is lost, and a large group of copies costs a few
-comparisons for each member.
+links that matter to the classes.  A bucket's middle is its member whose own
+buckets are the fullest, so in a group of copies the text they were made from.
+Each text is compared with the weightiest middle of its buckets; then with
+the middles of buckets where the two are not yet in one class; and finally
+members of one bucket that are still in different classes.  For these a bound
+keeps the pairs few: a text that has too little in common with the middle can
+be linked only to one that shares a gram with it which the middle lacks, so
+such pairs are found by an equi-join on grams.  Pairs that the rounds skip are
+joined by other links or cannot be linked, so no class is lost, and a large
+group of copies costs a few comparisons for each member.
 
 Null texts and texts without a word are classes of their own rows: they link
 to nothing, not even to each other.  Repeated rows are exact copies.  Ids may
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .shared import bloom_hits, bloom_words, components, fresh, quoted
+from .shared import bloom_hits, bloom_words, components, fresh, quoted, small_batches
 from .textbytes import Words, grams, mix, pieces, text_bytes
 
 WORDS = 5
@@ -186,17 +190,52 @@ def _verifier(threshold: float):
     return run
 
 
+def _outside(threshold: float):
+    """For each (middle, text): the grams, apart from the middle's, that a link of the text must partly share.
+
+    A link of texts x and y needs as many common grams as the threshold asks
+    of the longer one.  If x has fewer than that in common with the middle,
+    the others lie outside of it: at least ``need`` of them.  In any fixed
+    order of grams, two sets that share so many share one among the first
+    ``len - need + 1`` of each.  A text with no such need is free; all its
+    outer grams are given.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                middles, own = (shingles(Words(*text_bytes(part.column(c)))) for c in ("middle_text", "tkey_text"))
+                free, out = [], []
+                for c, x, name in zip(middles, own, part.column("middle").to_pylist(), strict=True):
+                    marks = labelled(x)
+                    inside = np.isin(marks, labelled(c))
+                    need = len(x) - int((1 - threshold) * len(x) + 1e-9) - int(inside.sum())
+                    rest = np.sort(marks[~inside])
+                    free.append(need < 1)
+                    rest = rest[:max(0, len(rest) - max(need, 1) + 1)]
+                    out.append(mix(rest ^ np.uint64(int.from_bytes(name[:8], "big"))).view(np.int64))
+                sizes = np.cumsum([0, *map(len, out)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("middle"), part.column("tkey"), pa.array(free, pa.bool_()),
+                     pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(out)))], names=["middle", "tkey", "free", "grams"])
+
+    return run
+
+
 def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(tkey, root): the class of every text that has a link, by the text's digest; other texts are their own class."""
-    rows = docs.where(quoted(text).isNotNull()).select(F.unhex(F.md5(quoted(text))).alias("tkey"), quoted(text).alias("text"))
+    rows = small_batches(docs).where(quoted(text).isNotNull()).select(F.unhex(F.md5(quoted(text))).alias("tkey"), quoted(text).alias("text"))
     sketched = cut_lineage(rows.mapInArrow(_sketch_rows, "tkey binary, n int, keys array<long>"))
     # copies of a text give equal sketches: one row for each text
     sketched = cut_lineage(sketched.groupBy("tkey").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     members = sketched.select("tkey", "n", F.explode("keys").alias("key"))
-    buckets = cut_lineage(members.groupBy("key").agg(F.count("*").alias("size"), F.min("tkey").alias("least"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-                          .where("size > 1").drop("size"))
+    sizes = cut_lineage(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     # only rows of shared buckets matter from here on
-    shared = cut_lineage(members.join(buckets, "key").select("key", "tkey", "n", "least"))
+    shared = cut_lineage(members.join(sizes, "key"))
+    # the text whose buckets are the fullest lies in the middle of its copies: it stands for its buckets
+    weight = cut_lineage(shared.groupBy("tkey").agg(F.sum("size").alias("weight")))
+    weighed = shared.join(weight, "tkey").groupBy("key").agg(F.max(F.struct("weight", "tkey")).alias("middle"))
+    shared = cut_lineage(shared.drop("size").join(cut_lineage(weighed), "key"))
     wanted = shared.select(F.xxhash64("tkey").alias("h")).distinct()
     bloom = bloom_words(wanted, "h")
 
@@ -220,19 +259,36 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY)
         named = roots.select(F.col("node").alias(column), F.col("root").alias("__root"))
         return frame.join(named, column, "left").withColumn(out, F.coalesce("__root", column)).drop("__root")
 
-    links = linked(shared.where("tkey <> least").groupBy("tkey").agg(F.min("least").alias("least")).select(F.col("tkey").alias("a"), F.col("least").alias("b")))
+    others = shared.where("tkey <> middle.tkey")
+    links = linked(others.groupBy("tkey").agg(F.max("middle").alias("middle")).select(F.col("tkey").alias("a"), F.col("middle.tkey").alias("b")))
     roots = cut_lineage(components(links))
-    pairs = shared.where("tkey <> least").select(F.col("tkey").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = cut_lineage(others.select(F.col("tkey").alias("a"), F.col("middle.tkey").alias("b")).distinct())
     apart = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
     links = cut_lineage(links.union(linked(apart)))
     roots = cut_lineage(components(links))
-    # what is left: pairs of one bucket, of different classes, of lengths that allow a link
-    placed = cut_lineage(rooted(shared.select("key", "tkey", "n"), roots, "tkey", "root"))
+    # what is left: pairs of one bucket, of different classes
+    placed = cut_lineage(rooted(shared.select("key", "tkey", "n", "middle.tkey").toDF("key", "tkey", "n", "middle"), roots, "tkey", "root"))
     mixed = cut_lineage(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"))
     open_rows = cut_lineage(placed.join(mixed, "key"))
-    one, two = (open_rows.select("key", F.col("tkey").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    room = F.greatest("na", "nb") - F.least("na", "nb") <= F.greatest("na", "nb") * (1 - threshold) + 1e-9
-    rest = one.join(two, "key").where((F.col("ra") < F.col("rb")) & room).select("a", "b")
+    sides = [texts.select(F.col("tkey").alias(c), F.col("text").alias(f"{c}_text")) for c in ("middle", "tkey")]
+    seen = cut_lineage(open_rows.select("middle", "tkey").distinct())
+    apart = cut_lineage(seen.join(sides[0], "middle").join(sides[1], "tkey").select("middle", "tkey", "middle_text", "tkey_text")
+                        .mapInArrow(_outside(threshold), "middle binary, tkey binary, free boolean, grams array<long>"))
+    named = rooted(apart.select("tkey", F.explode("grams").alias("gram")), roots, "tkey", "root")
+    named = cut_lineage(named.distinct())
+    both = cut_lineage(named.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gram"))
+    named = cut_lineage(named.join(both, "gram"))
+    one, two = (named.select("gram", F.col("tkey").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    rest = one.join(two, "gram").where("root_a < root_b").select("a", "b")
+    # texts that lie almost wholly inside a middle without being linked to it, or are linked to it
+    free = open_rows.join(apart.where("free").select("middle", "tkey"), ["middle", "tkey"])
+    free = cut_lineage(free.join(sketched.select("tkey", "keys"), "tkey"))
+    one, two = (free.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("tkey", "n", "root", "keys")]) for x in ("a", "b"))
+    room = F.greatest("n_a", "n_b") - F.least("n_a", "n_b") <= F.greatest("n_a", "n_b") * (1 - threshold) + 1e-9
+    # a pair that shares several buckets is taken in the first of them only
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    inner = one.join(two, "key").where((F.col("root_a") < F.col("root_b")) & room & first).select(F.col("tkey_a").alias("a"), F.col("tkey_b").alias("b"))
+    rest = rest.union(inner)
     return components(links.union(linked(rest))).select(F.col("node").alias("tkey"), "root")
 
 
@@ -261,12 +317,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     tkey = F.unhex(F.md5(quoted(text)))
     named = docs.select(quoted(key).alias("id"), tkey.alias("tkey"), _wordless(text).alias("alone")).where(~F.col("alone")).drop("alone")
     # one row for each text, of its smallest id, before anything is joined
-    texts = cut_lineage(named.groupBy("tkey").agg(F.min("id").alias("id"), F.count("*").alias("times")))
+    rows = named.groupBy("tkey", "id").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "times"))
+    texts = cut_lineage(rows.groupBy("tkey").agg(first.alias("m")).select("tkey", "m.id", "m.times"))
     placed = texts.join(cut_lineage(found), "tkey", "left").withColumn("root", F.coalesce("root", "tkey"))
-    rank = F.struct(F.col("id").isNull().alias("n"), "id", "tkey")
-    best = cut_lineage(placed.groupBy("root").agg(F.min(rank).alias("best")).select("best.id", "best.tkey"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "tkey", "times")
     t, i = fresh(docs, "__tkey"), fresh(docs, "__id")
-    chosen = docs.withColumn(t, tkey).join(best.select(F.col("tkey").alias(t), F.col("id").alias(i)), t).where(quoted(key).eqNullSafe(F.col(i))).drop(i)
-    # rows repeated with id and text stay once
-    once = chosen.groupBy(t).agg(F.first(F.struct(*[quoted(c) for c in docs.columns])).alias("row")).select("row.*")
-    return once.unionByName(docs.where(_wordless(text)))
+    best = cut_lineage(placed.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.tkey").alias(t), F.col("best.id").alias(i), "best.times"))
+    keyed = docs.withColumn(t, tkey)
+
+    def chosen(of: DataFrame) -> DataFrame:
+        return keyed.join(of.select(t, i), t).where(quoted(key).eqNullSafe(F.col(i))).drop(i)
+
+    # rows that repeat both id and text stay once; the others need no grouping
+    once = cut_lineage(chosen(best.where("times > 1"))).groupBy(t).agg(F.first(F.struct(*[quoted(c) for c in docs.columns])).alias("row")).select("row.*")
+    return chosen(best.where("times = 1")).drop(t).unionByName(once).unionByName(docs.where(_wordless(text)))

@@ -77,6 +77,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     return out.select(F.col("u").alias("node"), F.col("p").alias("root"))
 
 
+#: Rows of an Arrow batch at most: bounds what a task holds twice, on the JVM's side and on Python's.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for long texts."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
