@@ -32,13 +32,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import carried, fresh, quoted
+from .shared import carried, fresh, quoted, small_batches
 from .textbytes import mix, pieces, span_hashes, text_bytes, worker_cache
 
 #: Distinct pre-tokens that a worker remembers; the memory is forgotten when full.
 REMEMBERED = 200_000
 #: Pairs of ids whose merge a worker remembers.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 400_000
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
 
@@ -334,7 +334,7 @@ class Codec:
 
 
 def _codec(ranks_bytes: bytes, mark: int) -> Codec:
-    known = worker_cache("codecs")
+    known = worker_cache("codecs", large=True)
     if mark not in known:
         known.clear()
         known[mark] = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_bytes.splitlines())})
@@ -381,4 +381,4 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str | None =
                     columns.append(pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
+    return small_batches(df).select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import carried, fresh, quoted
+from .shared import carried, fresh, quoted, small_batches
 from .textbytes import Words, pieces, text_bytes
 
 PER_LABEL = 1500
@@ -266,4 +266,4 @@ def score(df: DataFrame, field: Field, text: str = "text", keep_text: bool = Fal
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:body], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=schema.names)
 
-    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
+    return small_batches(df).select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)

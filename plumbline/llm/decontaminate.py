@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .shared import bloom_hits, bloom_words, fresh, quoted
+from .shared import bloom_hits, bloom_words, fresh, quoted, small_batches
 from .textbytes import Words, grams, pieces, text_bytes
 
 WINDOW = 13
@@ -113,7 +113,7 @@ def _pass(df: DataFrame, text: str, keep: list[str], bloom: np.ndarray | None, s
                      pa.array(words.counts.astype(np.int64)), pa.array(found, types)], names=schema.names)
                 row += n
 
-    return df.select(*carried, quoted(text).alias("__text")).mapInArrow(run, schema)
+    return small_batches(df).select(*carried, quoted(text).alias("__text")).mapInArrow(run, schema)
 
 
 def extend(words: list[str], at: int, item: list[str], item_at: int) -> tuple[int, int]:

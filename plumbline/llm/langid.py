@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import class_table
-from .shared import carried, fresh, quoted
+from .shared import carried, fresh, quoted, small_batches
 from .textbytes import pieces, text_bytes, worker_cache
 
 UNKNOWN = "und"
@@ -53,7 +53,7 @@ class Profiles:
         self.dimensions = dimensions
         self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (_SYMBOLS, dimensions))
         self.place = np.full(_SYMBOLS ** 3, -1, np.int32)  # of each three-gram: its row in ``bound``
-        self.bound = np.empty((4096, dimensions), np.float32)
+        self.bound = np.empty((4096, dimensions), np.int8)
         self.n_bound = 0
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ class Profiles:
             new = np.unique(codes[got < 0])
             need = self.n_bound + len(new)
             if need > len(self.bound):
-                grown = np.empty((max(need, 2 * len(self.bound)), self.dimensions), np.float32)
+                grown = np.empty((max(need, 2 * len(self.bound)), self.dimensions), np.int8)
                 grown[:self.n_bound] = self.bound[:self.n_bound]
                 self.bound = grown
             a, b, c = new // (_SYMBOLS * _SYMBOLS), new // _SYMBOLS % _SYMBOLS, new % _SYMBOLS
@@ -94,7 +94,7 @@ class Profiles:
             if b - a > 2:
                 counts = np.bincount(rows[a:b - 2])
                 own = np.flatnonzero(counts)
-                out[d] = counts[own].astype(np.float32) @ self.bound[own]
+                out[d] = counts[own].astype(np.float32) @ self.bound[own].astype(np.float32)
             elif b > a:  # one or two letters: padded with gaps
                 pad = np.zeros(3, np.int64)
                 pad[:b - a] = s[a:b]
@@ -105,13 +105,13 @@ class Profiles:
 
 
 def _of(dimensions: int) -> Profiles:
-    known = worker_cache("profiles")
+    known = worker_cache("profiles", large=True)
     if dimensions not in known:
         known[dimensions] = Profiles(dimensions)
     p = known[dimensions]
     if p.n_bound > 60_000:  # bounds the memory: start again
         p.place[:] = -1
-        p.n_bound, p.bound = 0, np.empty((4096, dimensions), np.float32)
+        p.n_bound, p.bound = 0, np.empty((4096, dimensions), np.int8)
     return p
 
 
@@ -172,7 +172,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                     lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:body], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
-    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
+    return small_batches(df).select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
 
 
 def held_out(key: str, modulus: int, remainder: int):

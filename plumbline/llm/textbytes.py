@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the temporary arrays (about 60 bytes for each of them).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BYTE = np.arange(256)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -25,10 +25,17 @@ IS_WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def worker_cache(name: str) -> dict:
-    """A table that lives as long as the worker process; code shipped by value has no module of its own to keep it in."""
-    home = sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker"))
-    return home.__dict__.setdefault(name, {})
+def worker_cache(name: str, large: bool = False) -> dict:
+    """A table that lives as long as the worker process; code shipped by value has no module of its own to keep it in.
+
+    A worker keeps one ``large`` table at a time: asking for one drops the others.
+    """
+    home = sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker")).__dict__
+    if large:
+        for other in home.setdefault("_large", set()) - {name}:
+            home.pop(other, None)
+        home["_large"] = {name}
+    return home.setdefault(name, {})
 
 
 def _geometric(base: int, n: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import carried, fresh, quoted
+from .shared import carried, fresh, quoted, small_batches
 from .textbytes import IS_WORD, Words, pieces, runs, span_hashes, text_bytes
 
 PER_LABEL = 1200
@@ -202,4 +202,4 @@ def score(df: DataFrame, chain: list[Model], text: str = "text", keep_text: bool
                     [*part.columns[:body], *[pa.array(p[:, i]) for i in range(len(models))],
                      *[pa.array(p[:, i] > threshold) for i in range(len(models))]], names=schema.names)
 
-    return df.select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
+    return small_batches(df).select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
