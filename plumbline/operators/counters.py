@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .activity import _stack
-
 # Weight of a use or verdict by role; any other role weighs 1.
 ROLE_WEIGHTS = {"admin": 1.5, "analyst": 1.2, "viewer": 0.8, "trusted": 1.5}
 TRUSTED_ROLES = ("admin", "trusted")

@@ -5,7 +5,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import money
 from ..operators import activity, cost, counters
 from .registry import Tables, query
 
