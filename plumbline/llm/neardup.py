@@ -274,12 +274,13 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY)
     seen = cut_lineage(open_rows.select("middle", "tkey").distinct())
     apart = cut_lineage(seen.join(sides[0], "middle").join(sides[1], "tkey").select("middle", "tkey", "middle_text", "tkey_text")
                         .mapInArrow(_outside(threshold), "middle binary, tkey binary, free boolean, grams array<long>"))
-    named = rooted(apart.select("tkey", F.explode("grams").alias("gram")), roots, "tkey", "root")
-    named = cut_lineage(named.distinct())
+    named = cut_lineage(rooted(apart.select("middle", "tkey", F.explode("grams").alias("gram")), roots, "tkey", "root"))
     both = cut_lineage(named.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gram"))
-    named = cut_lineage(named.join(both, "gram"))
-    one, two = (named.select("gram", F.col("tkey").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    rest = one.join(two, "gram").where("root_a < root_b").select("a", "b")
+    named = cut_lineage(named.join(both, "gram").join(apart.select("middle", "tkey", "grams"), ["middle", "tkey"]))
+    one, two = (named.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("tkey", "root", "grams")]) for x in ("a", "b"))
+    # a pair that shares several grams is taken at the first of them only
+    once = F.array_min(F.array_intersect("grams_a", "grams_b")) == F.col("gram")
+    rest = one.join(two, "gram").where((F.col("root_a") < F.col("root_b")) & once).select(F.col("tkey_a").alias("a"), F.col("tkey_b").alias("b"))
     # texts that lie almost wholly inside a middle without being linked to it, or are linked to it
     free = open_rows.join(apart.where("free").select("middle", "tkey"), ["middle", "tkey"])
     free = cut_lineage(free.join(sketched.select("tkey", "keys"), "tkey"))
