@@ -7,6 +7,13 @@ grams are kept *in text order*; the hash of that sequence is a sketch.  Texts
 that share a sketch are candidates.  Because order is kept, sketches agree for
 texts of small edit distance, not merely for equal sets of grams.
 
+Of few grams one edit changes too many sketches, so short texts have exact
+keys beside them: in one fixed order of labelled grams, two texts that the
+threshold lets link share one among the first ``len - need + 1`` of each,
+where ``need`` is the number of grams that the threshold asks them to share.
+Every text whose ``need`` is below ``SHORT`` has these as further buckets.  So
+a link of a text of fewer than ``SHORT`` grams is always a candidate.
+
 A candidate pair is a link if the edit similarity of the two gram sequences,
 one minus their Levenshtein distance over the longer length, is at least
 ``threshold``; the alignment is computed in the diagonal band that the
@@ -49,8 +56,11 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 48
 ORDER = 5
+#: Links of texts of fewer grams do not depend on sketches.
+SHORT = 30
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _MAX = np.iinfo(np.uint64).max
+_PREFIX = np.uint64(0xC2B2AE3D27D4EB4F)  # keeps exact keys apart from sketches
 
 
 def shingles(words: Words) -> list[np.ndarray]:
@@ -103,6 +113,17 @@ def sketch(seq: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
+def needed(n: int, threshold: float) -> int:
+    """How many labelled grams a text of ``n`` grams shares at least with whatever it is linked to."""
+    return n - int((1 - threshold) * n + 1e-9)
+
+
+def short_keys(seq: np.ndarray, threshold: float = SIMILARITY) -> np.ndarray:
+    """The exact keys of a short text, one of which every link of it has too; none for other texts."""
+    need = needed(len(seq), threshold)
+    return mix(np.sort(labelled(seq))[:len(seq) - max(need, 1) + 1] ^ _PREFIX) if need < SHORT else np.empty(0, np.uint64)
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The Levenshtein distance of two sequences if it is at most ``most``, else ``most + 1``."""
     if abs(len(a) - len(b)) > most:
@@ -165,16 +186,20 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
     return banded_distance(a, b, most) <= most
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            seqs = shingles(Words(*text_bytes(part.column("text"))))
-            some = np.flatnonzero([len(s) > 0 for s in seqs])
-            keys = np.concatenate([sketch(seqs[d]) for d in some]) if len(some) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("tkey").take(pa.array(some)), pa.array([len(seqs[d]) for d in some], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCHES), pa.array(keys.view(np.int64)))],
-                names=["tkey", "n", "keys"])
+def _sketcher(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                seqs = shingles(Words(*text_bytes(part.column("text"))))
+                some = np.flatnonzero([len(s) > 0 for s in seqs])
+                keys = [np.concatenate([sketch(seqs[d]), short_keys(seqs[d], threshold)]) for d in some]
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.uint64), *keys])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("tkey").take(pa.array(some)), pa.array([len(seqs[d]) for d in some], pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["tkey", "n", "keys"])
+
+    return run
 
 
 def _verifier(threshold: float):
@@ -209,7 +234,7 @@ def _outside(threshold: float):
                 for c, x, name in zip(middles, own, part.column("middle").to_pylist(), strict=True):
                     marks = labelled(x)
                     inside = np.isin(marks, labelled(c))
-                    need = len(x) - int((1 - threshold) * len(x) + 1e-9) - int(inside.sum())
+                    need = needed(len(x), threshold) - int(inside.sum())
                     rest = np.sort(marks[~inside])
                     free.append(need < 1)
                     rest = rest[:max(0, len(rest) - max(need, 1) + 1)]
@@ -225,8 +250,8 @@ def _outside(threshold: float):
 def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(tkey, root): the class of every text that has a link, by the text's digest; other texts are their own class."""
     rows = small_batches(docs).where(quoted(text).isNotNull()).select(F.unhex(F.md5(quoted(text))).alias("tkey"), quoted(text).alias("text"))
-    sketched = cut_lineage(rows.mapInArrow(_sketch_rows, "tkey binary, n int, keys array<long>"))
-    # copies of a text give equal sketches: one row for each text
+    sketched = cut_lineage(rows.mapInArrow(_sketcher(threshold), "tkey binary, n int, keys array<long>"))
+    # copies of a text give equal keys: one row for each text
     sketched = cut_lineage(sketched.groupBy("tkey").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     members = sketched.select("tkey", "n", F.explode("keys").alias("key"))
     sizes = cut_lineage(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))

@@ -190,6 +190,43 @@ def test_near_duplicates_like_brute_force(spark):
     assert neardup.assign(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_short_near_duplicates_like_brute_force(spark):
+    rnd = random.Random(11)
+    # certain losses of sketches: 4 grams against 5, and 5 against 5 with an end word changed
+    w = [f"q{i}" for i in range(9)]
+    docs = [" ".join(w[:8]), " ".join(w), " ".join(f"r{x}" for x in w[1:]), " ".join(f"r{x}" for x in w), " ".join(f"s{x}" for x in w), " ".join([f"s{x}" for x in w[:8]] + ["end"]),
+            " ".join(["a", *(f"t{x}" for x in w[1:])]), " ".join(["b", *(f"t{x}" for x in w[1:])])]
+    for size in range(5, 36):
+        for _ in range(4):
+            base = [f"w{rnd.randint(0, 3000)}" for _ in range(size)]
+            allowed = max(1, (size - 4) // 5)
+            ends = [["x", *base[1:]], [*base[:-1], "y"], ["x", *base], [*base, "y"], base[allowed:], base[:-allowed] + ["z"] * allowed]
+            docs += [" ".join(base), " ".join(rnd.choice(ends))]
+    # a line that many texts hold, before and behind their own words
+    line = [f"c{i}" for i in range(12)]
+    for i in range(60):
+        own = [f"o{rnd.randint(0, 9)}" if rnd.random() < 0.1 else f"p{i // 2}_{j}" for j in range(3 + i % 7)]
+        docs.append(" ".join(own + line if i % 4 < 2 else line + own))
+    docs = list(enumerate(docs))
+    expected = sorted((docs[i][0], min(docs[j][0] for j in g), len(g)) for g in brute_classes(docs).values() for i in g)
+    got = neardup.assign(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == expected
+
+
+def test_exact_keys_of_short_texts():
+    rnd = random.Random(9)
+    for _ in range(3000):
+        a = [rnd.randint(0, 40) for _ in range(rnd.randint(1, 29))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 7)):
+            at = rnd.randrange(len(b) + 1)
+            b[at:at + rnd.randint(0, 1)] = [rnd.randint(0, 40)] * rnd.randint(0, 1)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        if b and neardup.similar(x, y):
+            assert np.intersect1d(neardup.short_keys(x), neardup.short_keys(y)).size
+    assert not neardup.short_keys(np.arange(37, dtype=np.uint64)).size
+
+
 def test_order_matters_to_the_sketch():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(60)]
