@@ -13,8 +13,6 @@ from plumbline.session import cut_lineage
 
 #: A text whose best language fits less well than this is taken for no language at all.
 LEAST_COSINE = 0.1
-#: A document stays if its lines are, by length, at least as likely good as bad.
-LEAST_QUALITY = 0.5
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +23,10 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the line field finds bad; it learns from the labelled ones that are not held out."""
+    """Drops documents that the line field finds bad, by the decision of op2; it learns from the labelled ones that are not held out."""
     held = langid.held_out("doc_id", 4, 2)
     field = crf.train(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
-    return crf.score(docs, field, keep_text=True, threshold=LEAST_QUALITY).where("predicted = 1").select(*docs.columns)
+    return crf.score(docs, field, keep_text=True).where("predicted = 1").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from plumbline.llm import archives, pivots, queries, urls
+from plumbline.llm import archives, crf, pivots, queries, urls
 from plumbline.llm.shared import components
 from plumbline.plans.compare import compare, oracle_connection
 
@@ -43,6 +43,17 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).exceptAll(now).isEmpty()
 
 
+@pytest.mark.parametrize("score", [0.6, 0.8])
+def test_quality_stage_decides_like_op2(spark, monkeypatch, score):
+    weights = np.zeros(crf.N_FEATURES)
+    weights[0] = np.log(score / (1 - score))  # every line has this marginal
+    field = crf.Field(weights, np.zeros((2, 2)), score)
+    monkeypatch.setattr(crf, "train", lambda *_: field)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    kept = corpus_pipeline.of_quality(spark, docs, SF).count()
+    assert kept == crf.score(docs, field).where("predicted = 1").count() == (20 if score >= crf.THRESHOLD else 0)
+
+
 @pytest.mark.parametrize("shape", ["random", "path", "star", "cycle"])
 def test_components(spark, shape):
     rnd = random.Random(3)
