@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, crf, decontaminate, langid, neardup
 from plumbline.session import cut_lineage
 
-#: A text whose best language fits less well than this is taken for no language at all.
-LEAST_COSINE = 0.1
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that fit no learned language."""
+    """Drops documents that no language is told for: those without a letter, or all if no language was learned."""
     prototypes = langid.train(docs.where(~langid.held_out("doc_id", 3, 1)))
     told = langid.predict(docs, prototypes, keep_text=True)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).exceptAll(now).isEmpty()
 
 
+def test_language_stage_keeps_short_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    short = [(-i, t, "fr", "s", len(t)) for i, t in enumerate(["Avec.", "A.", "Erö.", "This.", "Thlyntsh.", "Edrere."], 1)] + [(-9, "12 !!", "fr", "s", 5), (-10, None, "fr", "s", 0)]
+    more = docs.unionByName(spark.createDataFrame(short, docs.schema))
+    kept = corpus_pipeline.in_a_language(spark, more, SF).where("doc_id < 0").collect()
+    assert sorted(-r.doc_id for r in kept) == [1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize("score", [0.6, 0.8])
 def test_quality_stage_decides_like_op2(spark, monkeypatch, score):
     weights = np.zeros(crf.N_FEATURES)
