@@ -10,7 +10,8 @@ Training knows documents' labels only: every line of a training document
 carries the document's label, and the field is fitted to these chains by
 gradient ascent with a penalty on the squared weights.  The sample is bounded:
 ``per_label`` documents of each label, chosen by a hash of the id, and at most
-``lines`` consecutive lines of each.
+``lines`` consecutive lines of each.  Of an id that repeats, the text of the
+smallest digest teaches.
 
 Scoring reads whole texts: null counts as empty, an empty text (or one of
 blank lines only) has one empty line and gets the share of good documents.
@@ -223,7 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         chosen = some if chosen is None else chosen.union(some)
     if chosen is None:
         return Field(np.zeros(N_FEATURES), np.zeros((2, 2)), 0.5)
-    sample = docs.where(quoted(text).isNotNull()).select(quoted(key).alias("__key"), quoted(text).alias("__text")).join(chosen, "__key").select("__key", "__text", "label")
+    sample = docs.where(quoted(text).isNotNull()).select(quoted(key).alias("__key"), quoted(text).alias("__text")).join(chosen, "__key")
+    # one text for each drawn id, whatever its rows: the ids bound what reaches the driver
+    sample = sample.groupBy("__key", "label").agg(F.min_by("__text", F.md5("__text")).alias("__text")).select("__key", "__text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                     sizes.append(b - a)
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["label", "n", "features"])
 
-    rows = sample.mapInArrow(extract, _SAMPLE).limit(4 * per_label).collect()
+    rows = sample.mapInArrow(extract, _SAMPLE).collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
     if not rows:
         return Field(np.zeros(N_FEATURES), np.zeros((2, 2)), prior)

@@ -129,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str, i
         same = same.orderBy(draw, "__key").limit(per_label).withColumn("__stands", F.lit(r["n"] / min(r["n"], per_label)))
         chosen = same if chosen is None else chosen.union(same)
     sample = docs.where(quoted(text).isNotNull()).select(quoted(key).alias("__key"), quoted(text).alias("__text")).join(chosen, "__key")
+    # one text for each drawn id, whatever its rows: the ids bound what reaches the driver
+    sample = sample.groupBy(*chosen.columns).agg(F.min_by("__text", F.md5("__text")).alias("__text"))
     sample = sample.select(F.xxhash64("__key", F.lit("fold")).alias("h"), "__stands", "__text", *[f"y_{c}" for c in columns])
     out = T.StructType([T.StructField("h", T.LongType()), T.StructField("__stands", T.DoubleType()), T.StructField("bucket", T.BinaryType()), T.StructField("value", T.BinaryType()),
                         *[T.StructField(f"y_{c}", sample.schema[f"y_{c}"].dataType) for c in columns]])
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str, i
                     [part.column("h"), part.column("__stands"), pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()),
                      pa.array([value[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary()), *[part.column(f"y_{c}") for c in columns]], names=out.names)
 
-    rows = sorted(sample.mapInArrow(extract, out).limit(2 * per_label * len(sizes)).collect(), key=lambda r: (r["h"], bytes(r["bucket"])))
+    rows = sorted(sample.mapInArrow(extract, out).collect(), key=lambda r: (r["h"], bytes(r["bucket"])))
     if not rows:
         return [Model(n, np.zeros(BUCKETS), np.zeros(i), 0.0) for i, (n, _, _) in enumerate(categories)]
     bucket = np.concatenate([np.frombuffer(r["bucket"], np.int32) for r in rows]).astype(np.int64)

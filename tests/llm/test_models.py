@@ -1,5 +1,8 @@
 """Language, quality and toxicity models: held-out accuracy and edge cases."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +62,23 @@ def test_quality_edges(spark, edges):
     assert crf.score(edges.limit(0), field).count() == 0
 
 
+def test_training_takes_one_text_of_a_repeated_id(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("doc_id", "text", "quality", "toxic")
+    some = [rows.where(F.col("quality") == q).orderBy("doc_id").limit(40).collect() for q in (0, 1)]
+    hot, texts = some[0][0], [r.text for r in some[0] + some[1]]
+    docs = [(r.doc_id, r.text) for r in some[0][:4] + some[1][:4]]
+    labels = [(r.doc_id, r.quality, r.toxic) for r in some[0][:4] + some[1][:4]]
+    many = [(hot.doc_id, f"{t}\n{i}") for i in range(5) for t in texts]
+    first = min([t for i, t in many + docs if i == hot.doc_id], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, one = frame(many + docs), frame([(hot.doc_id, first), *docs[1:]])
+    a, b = (crf.train(d, told, per_label=4) for d in (whole, one))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.moves, b.moves)
+    a, b = (toxicity.train(d, told, queries.TOXIC_CHAIN, per_label=4) for d in (whole, one))
+    assert all(np.array_equal(x.weights, y.weights) and x.intercept == y.intercept for x, y in zip(a, b, strict=True))
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
