@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import archives, bpe, chat, crf, decontaminate, langid, neardup, pivots, toxicity, urls
+from . import archives, bpe, chat, crf, decontaminate, langid, merkle, neardup, pivots, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +163,61 @@ FROM s
 @query("op6_arc_to_warc", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.through_archives(table(spark, sf_dir, "pages")).drop("record_id")
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaf_sql(**instead: str) -> str:
+    parts = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || {instead.get(f, f)} END" for f in LEAF_FIELDS]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: CRC-32 of a decimal number: each character is folded in, then eight shifts with the reversed polynomial.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, zero: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+OP12_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, lang, {_leaf_sql()} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(text=f"translate(text, '{_CAPITALS}', '{_SMALL}')")} END AS changed FROM documents),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM base),
+up(level, tree, idx, digest, n) AS (
+  SELECT 0, tree, idx, leaf, n FROM placed
+  UNION ALL
+  SELECT level + 1, tree, idx >> 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 7) >> 3) FROM up WHERE n > 1 GROUP BY level, tree, idx >> 3),
+tops AS (SELECT tree, digest, count(*) OVER () AS n FROM up WHERE n = 1),
+heads(level, idx, digest, n) AS (
+  SELECT 0, tree, digest, n FROM tops
+  UNION ALL
+  SELECT level + 1, idx >> 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 7) >> 3) FROM heads WHERE n > 1 GROUP BY level, idx >> 3),
+steps AS (
+  SELECT p.tree, p.idx, u.level AS step, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < p.idx >> 3 * u.level), '') || '|'
+    || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > p.idx >> 3 * u.level), '') AS sides
+  FROM placed p JOIN up u ON u.tree = p.tree AND u.n > 1 AND u.idx >> 3 = p.idx >> 3 * (u.level + 1) GROUP BY p.tree, p.idx, u.level
+  UNION ALL
+  SELECT p.tree, p.idx, 100 + u.level, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < p.tree >> 3 * u.level), '') || '|'
+    || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > p.tree >> 3 * u.level), '')
+  FROM placed p JOIN heads u ON u.n > 1 AND u.idx >> 3 = p.tree >> 3 * (u.level + 1) GROUP BY p.tree, p.idx, u.level),
+proofs AS (SELECT tree, idx, list(sides ORDER BY step) AS steps FROM steps GROUP BY tree, idx),
+folded AS (
+  SELECT doc_id, leaf, tops.digest AS subroot, (SELECT digest FROM heads WHERE n = 1) AS root,
+    sha256(coalesce(replace(array_to_string(steps, ''), '|', ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(steps, [])), lambda acc, s: sha256(split_part(s, '|', 1) || acc || split_part(s, '|', 2))) AS folded_root
+  FROM placed JOIN tops USING (tree) LEFT JOIN proofs USING (tree, idx))
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    tampered = [F.translate("text", _CAPITALS, _SMALL) if f == "text" else F.col(f) for f in LEAF_FIELDS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    manifest = merkle.build(docs, LEAF_FIELDS, "lang", "doc_id", {"doc_id": F.col("doc_id"), "changed": F.when(hit, merkle.leaf_digest(tampered))})
+    steps, shown = F.col("steps"), F.coalesce("changed", "leaf")
+    found = merkle.proofs(manifest).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(steps).alias("proof_sha256"), merkle.fold(shown, steps).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
