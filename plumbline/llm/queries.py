@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import archives, bpe, chat, crf, decontaminate, langid, merkle, neardup, pivots, toxicity, urls
+from . import archives, bpe, chat, crf, decontaminate, langid, merkle, neardup, pivots, rtree, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +221,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps, shown = F.col("steps"), F.coalesce("changed", "leaf")
     found = merkle.proofs(manifest).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(steps).alias("proof_sha256"), merkle.fold(shown, steps).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SHIFTED = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+
+OP13_SQL = f"""
+WITH e AS (SELECT DISTINCT vec_id, CAST({SHIFTED} AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e a, e c WHERE a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS place
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3
+"""
+
+
+@query("op13_rtree_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = rtree.integers(table(spark, sf_dir, "embeddings"), label=F.expr(SHIFTED))
+    return rtree.hard_negatives(vectors, F.expr("vec_id % 50 = 0"), positives=5, negatives=3, low=50, high=95)
