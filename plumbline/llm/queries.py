@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import archives, bpe, chat, crf, decontaminate, langid, merkle, neardup, pivots, rtree, toxicity, urls
+from . import archives, bpe, chat, crf, decontaminate, langid, merkle, neardup, pivots, rtree, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -245,3 +245,14 @@ SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, posi
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = rtree.integers(table(spark, sf_dir, "embeddings"), label=F.expr(SHIFTED))
     return rtree.hard_negatives(vectors, F.expr("vec_id % 50 = 0"), positives=5, negatives=3, low=50, high=95)
+
+
+@query("op11_secret_formats")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"), count("format"))

@@ -25,7 +25,7 @@ def test_query_like_sql(name, spark):
 
 def test_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
