@@ -238,6 +238,11 @@ def multi_search(df: DataFrame, queries: list[str], columns: list[str], order: s
     return hits.orderBy(order).limit(limit).withColumn("total", total)
 
 
+def is_pattern(q: str) -> bool:
+    """Whether a search text is taken as a regular expression."""
+    return bool(_SPECIAL.search(q))
+
+
 def invalid_regexes(queries: list[str]) -> list[str]:
     return [q for q in queries if _SPECIAL.search(q) and not _valid(q)]
 

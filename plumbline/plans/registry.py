@@ -20,7 +20,7 @@ _BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 FAMILIES = (
     "sources", "reuse", "predicates", "linking", "usage", "ordering", "catalog", "profiling",
-    "charting", "texts", "relevance", "checks", "incremental", "user_code",
+    "charting", "texts", "relevance", "checks", "incremental", "user_code", "searching",
 )
 
 
@@ -47,15 +47,18 @@ class Tables:
         return self.spark.sql(template, **{n: self(n) for n in needed})
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn(t: Tables) -> DataFrame`` under the survey key ``name``."""
+def query(name: str, oracle: str | None = None, like: str | None = None):
+    """Register ``fn(t: Tables) -> DataFrame`` under the survey key ``name``.
+
+    ``like``: a query, registered before, that must give the same rows.
+    """
 
     def keep(fn):
         if name in _BUILDERS:
             raise ValueError(f"query {name} is registered twice")
         _BUILDERS[name] = fn
-        if oracle:
-            _ORACLES[name] = with_views(oracle)
+        if oracle or like:
+            _ORACLES[name] = with_views(oracle) if oracle else _ORACLES[like]
         return fn
 
     return keep
