@@ -162,16 +162,22 @@ class TextIndex:
     path: str
     key: str
     parts: int
+    #: Of the rows as they were given.
+    schema: T.StructType
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(f"{self.path}/rows")
+
+    def postings(self) -> DataFrame:
+        kind = [T.StructField("gram", T.IntegerType()), self.schema[self.key], T.StructField("__part", T.IntegerType())]
+        return self.spark.read.schema(T.StructType(kind)).parquet(f"{self.path}/postings")
 
     def table(self) -> DataFrame:
         """All rows, as they were given."""
         return self.rows().drop("__part")
 
     def counts(self, grams: set[int]) -> dict[int, int]:
-        found = self.spark.read.parquet(f"{self.path}/counts").where(F.col("gram").isin(sorted(grams)))
+        found = self.spark.read.schema("gram int, n long").parquet(f"{self.path}/counts").where(F.col("gram").isin(sorted(grams)))
         return {r["gram"]: r["n"] for r in found.collect()}
 
     def candidates(self, sets: list[set[int]], rarest: int = RAREST) -> DataFrame:
@@ -179,7 +185,7 @@ class TextIndex:
         counts = self.counts(set().union(*sets))
         # a gram that no text holds rules its alternative out
         chosen = [sorted(s, key=lambda g: (counts[g], g))[:rarest] for s in sets if all(g in counts for g in s)]
-        postings = self.spark.read.parquet(f"{self.path}/postings")
+        postings = self.postings()
         if not chosen:
             return postings.where("false").select(self.key)
         asked = sorted(set().union(*chosen))
@@ -223,7 +229,7 @@ def build(items: DataFrame, key: str, columns: list[str], root: str, version: st
     spark = items.sparkSession
     version = version or version_of(items, key, columns)
     path = f"{root}/{key}-{parts}-{version}"
-    index = TextIndex(spark, path, key, parts)
+    index = TextIndex(spark, path, key, parts, items.schema)
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/counts/_SUCCESS")
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return index
@@ -239,5 +245,5 @@ def build(items: DataFrame, key: str, columns: list[str], root: str, version: st
         postings = postings.distinct()  # a gram in two columns of a row
     postings = postings.withColumn("__part", F.col("gram") % parts)
     postings.repartitionByRange("__part", "gram", key).sortWithinPartitions("__part", "gram", key).write.partitionBy("__part").parquet(f"{path}/postings")
-    spark.read.schema(f"gram int, __part int, {key} {items.schema[key].dataType.simpleString()}").parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).orderBy("gram").write.parquet(f"{path}/counts")
+    index.postings().groupBy("gram").agg(F.count("*").alias("n")).orderBy("gram").write.parquet(f"{path}/counts")
     return index
