@@ -219,12 +219,7 @@ def _visits(index: Index, k: int, same: bool, first: bool):
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 v, own, q = _matrix(b.column("v"), dimension), b.column("label").to_numpy(), b.column("q").to_numpy()
-                counts = np.array([len(s) for s in b.column("slots")])
-                wide = max(1, int(counts.max()))
-                some = np.arange(wide)[None, :] < counts[:, None]
-                slots, los, his = np.zeros(some.shape, np.int32), np.full(some.shape, MOST), np.full(some.shape, LEAST)  # a missing window is never open
-                for name, to in (("slots", slots), ("los", los), ("his", his)):
-                    to[some] = b.column(name).flatten().to_numpy(zero_copy_only=False)
+                slots, los, his = _windows(b)
                 least, most = boxes.scores(v)
                 open_ = boxes.fit(own, same)[:, :, None] & (most[:, :, None] >= los[:, None, :]) & (least[:, :, None] <= his[:, None, :])
                 if first:
@@ -269,8 +264,13 @@ def leaves(labels: np.ndarray, v: np.ndarray, ids: np.ndarray, leaf: int = LEAF)
     return np.array(rows), np.array(taken)
 
 
-def best_first(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, asks: dict[str, np.ndarray], k: int, same: bool, leaf: int = LEAF, scored: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best rows for each query within its window; ``scored`` counts the rows that were looked at."""
+def best_first(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, asks: dict[str, np.ndarray], k: int, same: bool, leaf: int = LEAF, scored: list | None = None) -> tuple[np.ndarray, ...]:
+    """(query, window, id, score) of the k best rows for each window of each query.
+
+    ``asks``: v, label and vec_id of the queries, lo and hi of their windows
+    (queries x windows; one whose lo is above its hi is none).  A query scores a
+    leaf once for all its windows.  ``scored`` counts the rows that were looked at.
+    """
     at, taken = leaves(labels, v, ids, leaf)
     reach = float(np.abs(v).max(initial=0)) * float(np.abs(asks["v"]).max(initial=0)) * v.shape[1]
     kind = np.float64 if reach < 2.0 ** 53 else np.int64  # either way exact
@@ -278,34 +278,54 @@ def best_first(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, asks: dict[st
     boxes = Boxes(lv.min(axis=1), lv.max(axis=1), ll.min(axis=1), ll.max(axis=1))
     lv = lv.astype(kind)
     out = []
-    for a in range(0, len(asks["lo"]), 256):
-        q, own, mine, lo, hi = (asks[c][a:a + 256] for c in ("v", "label", "vec_id", "lo", "hi"))
+    for a in range(0, len(asks["lo"]), QUERIES):
+        q, own, mine, lo, hi = (asks[c][a:a + QUERIES] for c in ("v", "label", "vec_id", "lo", "hi"))
         least, most = boxes.scores(q)
         q = q.astype(kind)
-        open_ = boxes.fit(own, same) & (most >= lo[:, None]) & (least <= hi[:, None])
-        bound = np.where(open_, np.minimum(most, hi[:, None]), -np.inf)
-        queue = np.argsort(-bound, axis=1, kind="stable")
-        score, found = np.full((len(q), k), LEAST), np.full((len(q), k), MOST)
-        alive = np.arange(len(q))
+        open_ = boxes.fit(own, same)[:, :, None] & (most[:, :, None] >= lo[:, None, :]) & (least[:, :, None] <= hi[:, None, :])
+        bound = np.where(open_, np.minimum(most[:, :, None], hi[:, None, :]), -np.inf)
+        queue = np.argsort(-bound.max(axis=2), axis=1, kind="stable")
+        score, found = np.full((*lo.shape, k), LEAST), np.full((*lo.shape, k), MOST)
         for step in range(queue.shape[1]):
-            box = queue[alive, step]
-            next_ = bound[alive, box]
-            go = (next_ > -np.inf) & (next_ >= score[alive, -1])
-            alive, box = alive[go], box[go]
-            if not len(alive):
+            next_ = bound[np.arange(len(q)), queue[:, step]]
+            if not np.isfinite(next_).any():
                 break
-            s = np.matmul(lv[box], q[alive][:, :, None])[:, :, 0].astype(np.int64)
-            fits = ll[box] == own[alive][:, None]
-            fine = taken[box] & (fits if same else ~fits) & (li[box] != mine[alive][:, None]) & (s >= lo[alive][:, None]) & (s <= hi[alive][:, None])
-            if scored is not None:
-                scored.append(int(taken[box].sum()))
-            s_ = np.concatenate([score[alive], np.where(fine, s, LEAST)], axis=1)
-            i_ = np.concatenate([found[alive], np.where(fine, li[box], MOST)], axis=1)
-            top = np.lexsort((i_, -s_), axis=1)[:, :k]
-            score[alive], found[alive] = np.take_along_axis(s_, top, 1), np.take_along_axis(i_, top, 1)
-        r, c = np.nonzero(found != MOST)
-        out.append((r + a, found[r, c], score[r, c]))
-    return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
+            alive = np.flatnonzero(((next_ > -np.inf) & (next_ >= score[:, :, -1])).any(axis=1))
+            if not len(alive):
+                continue
+            # queries whose next box is the same one are scored together
+            box = queue[alive, step]
+            alive = alive[np.argsort(box, kind="stable")]
+            names, starts = np.unique(np.sort(box), return_index=True)
+            for b, who in zip(names.tolist(), np.split(alive, starts[1:]), strict=True):
+                s = (q[who] @ lv[b].T).astype(np.int64)
+                fits = ll[b] == own[who][:, None]
+                fine = taken[b] & (fits if same else ~fits) & (li[b] != mine[who][:, None])
+                if scored is not None:
+                    scored.append(int(taken[b].sum()) * len(who))
+                for w in range(lo.shape[1]):
+                    good = fine & (s >= np.maximum(lo[who, w], score[who, w, -1])[:, None]) & (s <= hi[who, w][:, None])
+                    some = np.flatnonzero(good.any(axis=1))
+                    if len(some):  # few boxes better a k-th score
+                        up = who[some]
+                        s_ = np.concatenate([score[up, w], np.where(good[some], s[some], LEAST)], axis=1)
+                        i_ = np.concatenate([found[up, w], np.where(good[some], li[b][None, :], MOST)], axis=1)
+                        top = np.lexsort((i_, -s_), axis=1)[:, :k]
+                        score[up, w], found[up, w] = np.take_along_axis(s_, top, 1), np.take_along_axis(i_, top, 1)
+        r, w, c = np.nonzero(found != MOST)
+        out.append((r + a, w, found[r, w, c], score[r, w, c]))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(4))
+
+
+def _windows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """slots, los and his as tables of one row a query; a missing window is never open."""
+    lists = {c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c) for c in ("slots", "los", "his")}
+    counts = np.diff(lists["slots"].offsets.to_numpy())
+    some = np.arange(max(1, int(counts.max(initial=0))))[None, :] < counts[:, None]
+    out = np.zeros(some.shape, np.int32), np.full(some.shape, MOST), np.full(some.shape, LEAST)
+    for c, to in zip(lists.values(), out, strict=True):
+        to[some] = c.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def _scan(dimension: int, k: int, same: bool):
@@ -314,12 +334,10 @@ def _scan(dimension: int, k: int, same: bool):
     def run(rows: pa.Table, visits: pa.Table) -> pa.Table:
         if not rows.num_rows or not visits.num_rows:
             return schema.empty_table()
-        times = np.array([len(s) for s in visits["slots"]])
-        r = np.repeat(np.arange(visits.num_rows), times)
-        flat = {c: visits[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("slots", "los", "his")}
-        asks = {"v": _matrix(visits["v"], dimension)[r], "label": visits["label"].to_numpy()[r], "vec_id": visits["vec_id"].to_numpy()[r], "lo": flat["los"], "hi": flat["his"]}
-        at, ids, score = best_first(_matrix(rows["v"], dimension), rows["vec_id"].to_numpy(), rows["label"].to_numpy(), asks, k, same)
-        return pa.Table.from_arrays([pa.array(visits["q"].to_numpy()[r][at]), pa.array(flat["slots"][at].astype(np.int32)), pa.array(ids), pa.array(score)], schema=schema)
+        slots, los, his = _windows(visits)
+        asks = {"v": _matrix(visits["v"], dimension), "label": visits["label"].to_numpy(), "vec_id": visits["vec_id"].to_numpy(), "lo": los, "hi": his}
+        at, window, ids, score = best_first(_matrix(rows["v"], dimension), rows["vec_id"].to_numpy(), rows["label"].to_numpy(), asks, k, same)
+        return pa.Table.from_arrays([pa.array(visits["q"].to_numpy()[at]), pa.array(slots[at, window]), pa.array(ids), pa.array(score)], schema=schema)
 
     return run
 

@@ -68,9 +68,9 @@ def test_boxes_spare_rows():
     vectors = clustered(4000)
     v = np.array([[int(np.floor(256 * x)) for x in r[2]] for r in vectors])
     ids, labels = np.array([r[0] for r in vectors]), np.array([r[1] for r in vectors])
-    asks = {"v": v[:200], "label": labels[:200], "vec_id": ids[:200], "lo": np.full(200, rtree.LEAST), "hi": np.full(200, rtree.MOST)}
+    asks = {"v": v[:200], "label": labels[:200], "vec_id": ids[:200], "lo": np.full((200, 1), rtree.LEAST), "hi": np.full((200, 1), rtree.MOST)}
     scored = []
-    q, found, score = rtree.best_first(v, ids, labels, asks, 5, True, scored=scored)
+    q, _, found, score = rtree.best_first(v, ids, labels, asks, 5, True, scored=scored)
     for i in range(200):
         mine = sorted((-int(s), int(n)) for n, s, lb in zip(ids, v @ v[i], labels, strict=True) if lb == labels[i] and n != ids[i])[:5]
         assert [(-s, n) for n, s in zip(found[q == i].tolist(), score[q == i].tolist(), strict=True)] == mine
