@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import cost
 from ..session import shared_dir
 from ..sources import snapshots
-from ..streaming import incremental
+from ..streaming import eventtime, incremental
 from ..streaming.runs import file_stream
 from .checks import BREACH_SQL, byte_limits
 from .registry import query
@@ -60,3 +60,35 @@ def scheduled_refresh(t):
     state = incremental.scheduled_refresh(t.spark, file_stream(t.spark, t.path("events")), root, "by_type", build)
     incremental.scheduled_refresh(t.spark, file_stream(t.spark, t.path("events")), root, "by_type", build, state)
     return snapshots.current(t.spark, root, "by_type")
+
+
+# ---- bounded state: what the watermark, a delay behind the newest event, has passed --------------------
+
+@query("stream_usage_windows", f"""WITH u AS ({USE.format(events='events')}), w AS (SELECT max(used_at) - INTERVAL 3 DAY AS mark FROM u)
+  SELECT strftime(date_trunc('day', used_at), '%Y-%m-%d') AS day, source_id, table_fqn, count(*) AS usage, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures,
+    cast(coalesce(sum(CAST({WEIGHT_SQL} AS DECIMAL(18,1))) FILTER (success), 0) AS DOUBLE) AS weighted_usage, count(*) FILTER (success AND role IN ('admin', 'trusted')) AS trusted_usage, count(user_id) FILTER (success) AS user_uses
+  FROM u, w WHERE date_trunc('day', used_at) + INTERVAL 1 DAY <= mark GROUP BY 1, 2, 3""")
+def stream_usage_windows(t):
+    """Every event arrives twice; days that the watermark has closed, each step and table counted once."""
+    events = t.spark.sql(USE, events=file_stream(t.spark, t.path("events")))
+    twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    out = eventtime.run_final(eventtime.usage_windows(twice, "3 days")).rows
+    return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "last_used_at")
+
+
+@query("stream_cost_windows", f"""WITH {PRICED.replace(SPEND_SQL, 'TRUE')}, w AS (SELECT max(created_at) - INTERVAL 30 DAY AS mark FROM priced)
+  SELECT strftime(cast(created_at AS DATE), '%Y-%m-%d') AS day, count(*) AS calls, cast(sum(input_cost + output_cost) AS DOUBLE) AS cost_usd, cast(sum(total_tokens) AS BIGINT) AS tokens
+  FROM priced, w WHERE date_trunc('day', created_at) + INTERVAL 1 DAY <= mark GROUP BY 1""")
+def stream_cost_windows(t):
+    from .virtual import VIEWS
+    rows = t.spark.sql(VIEWS["v_usage_records"], lineitem=file_stream(t.spark, t.path("lineitem")))
+    out = eventtime.run_final(eventtime.cost_windows(cost.priced(rows, t("v_models")), "30 days")).rows
+    return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
+
+
+@query("stream_quota_timers", "SELECT * FROM (" + BREACH_SQL + ") AS found WHERE ts < (SELECT strftime(max(ts) - INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') FROM v_quota_events WHERE bytes > 0)")
+def stream_quota_timers(t):
+    """First breaches up to the watermark, by keyed state that a month's end clears."""
+    events = t.spark.sql(QUOTA, events=file_stream(t.spark, t.path("events")))
+    out = eventtime.run_final(eventtime.first_breaches(events, byte_limits(t), ["user_id", "connection_id"], "bytes", "2 days")).rows
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))

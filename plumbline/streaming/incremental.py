@@ -1,6 +1,11 @@
 """Incremental forms of the batch aggregates, as Structured Streaming queries.
 
 Each form ends in the same rows as its batch operator over the same events.
+What a form keeps under ``path`` outlives its checkpoint: a replayed batch
+changes nothing, and a stream with a new checkpoint adds its rows to what is
+there.  After the loss of a checkpoint, give the new stream new rows only;
+rows it reads again are new rows to it (counters of steps and the index, whose
+keys tell, take no harm).
 """
 
 from __future__ import annotations
@@ -16,24 +21,26 @@ from ..operators.counters import one_event_per_step, usage_aggs
 from ..operators.quota import quota_breach
 from ..session import shared_dir
 from ..sources import snapshots
-from .runs import Ledger, newest, run_available
+from .runs import BUCKETS, Accounts, States, bucket_of, newest, run_available, stream_name
 
 
 def stream_usage_stats(events: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Counters per (source, table), each (step, table) counted once, however late a repeat comes.
 
     As in the batch form the earliest use of a (step, table) counts.  A batch
-    merges its uses into the table of first uses, of one row per (step,
-    table); counters are aggregated from it.
+    merges its uses into the touched buckets of the table of first uses, of one
+    row per (step, table); counters are aggregated from it.
     """
     spark = events.sparkSession
-    first = Ledger(spark, path or shared_dir(spark, "usage-first"), _ddl(events))
+    checkpoint = checkpoint or shared_dir(spark, "stream")
+    name = stream_name(spark, checkpoint)
+    first = Accounts(spark, path or shared_dir(spark, "usage-first"), _ddl(events), ["step_id", "table_fqn"])
 
     def each(batch: DataFrame, i: int) -> None:
-        first.replace(one_event_per_step(first.before(i).unionByName(batch)), i)
+        first.add(name, i, batch, lambda known: one_event_per_step(known.unionByName(batch)).select(*events.columns))
 
     run_available(events, each, "append", checkpoint)
-    return first.before(None).groupBy("source_id", "table_fqn").agg(*usage_aggs())
+    return first.rows().groupBy("source_id", "table_fqn").agg(*usage_aggs())
 
 
 def _ddl(df: DataFrame) -> str:
@@ -45,67 +52,80 @@ def stream_quota(events: DataFrame, limits: DataFrame, keys: list[str], amount:
 
     A batch starts from the totals that the batches before it left and runs
     the batch operator on its own events, so a hot key is spread inside a
-    batch.  Months are part of the key; a replayed batch replaces its own rows.
+    batch.  Months are part of the key; a batch's breaches are written before
+    its totals, and again by a replay only if its totals are not in yet.
     """
     spark = events.sparkSession
-    path = path or shared_dir(spark, "quota")
+    path, checkpoint = path or shared_dir(spark, "quota"), checkpoint or shared_dir(spark, "stream")
+    name = stream_name(spark, checkpoint)
     by = [*keys, "month"]
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     month = kinds["ts"] if kinds["ts"].startswith("timestamp") else "timestamp"
-    totals = Ledger(spark, f"{path}/totals", ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"month {month}", "used bigint"]))
+    totals = Accounts(spark, f"{path}/totals", ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"month {month}", "used bigint"]), by)
 
     def each(batch: DataFrame, i: int) -> None:
-        opening = totals.before(i)
+        if totals.holds(name, i):
+            return
+        used = batch.where(F.col(amount) > 0).select(*keys, F.date_trunc("month", "ts").cast(month).alias("month"), F.col(amount).cast("bigint").alias("used"))
+        opening = totals.rows(totals.touched(used))
         found = quota_breach(batch, limits, keys, amount, opening=opening)
-        found.write.mode("overwrite").parquet(f"{path}/breaches/batch_id={i}")
-        grown = batch.where(F.col(amount) > 0).select(*keys, F.date_trunc("month", "ts").cast(month).alias("month"), F.col(amount).cast("bigint").alias("used"))
-        totals.replace(opening.unionByName(grown).groupBy(*by).agg(F.sum("used").alias("used")), i)
+        found.write.mode("overwrite").parquet(f"{path}/breaches/batch={name}-{i}")
+        totals.add(name, i, used, lambda known: known.unionByName(used).groupBy(*by).agg(F.sum("used").alias("used")))
 
     run_available(events, each, "append", checkpoint)
-    return totals.before(None), spark.read.parquet(f"{path}/breaches").drop("batch_id")
+    return totals.rows(), spark.read.parquet(f"{path}/breaches").drop("batch")
 
 
 def stream_daily_cost(rows: DataFrame, cost: str = "total_cost", tokens: str = "total_tokens", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Spend per day over everything that has arrived: open days and late rows included.
 
-    A batch adds its sums per day to the table of days.
+    A batch adds its sums per day to the touched buckets of the table of days.
     """
     spark = rows.sparkSession
+    checkpoint = checkpoint or shared_dir(spark, "stream")
+    name = stream_name(spark, checkpoint)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     money = f"decimal(38,{kinds[cost].scale})" if isinstance(kinds[cost], T.DecimalType) else "double"
-    days = Ledger(spark, path or shared_dir(spark, "daily-cost"), f"day date, cost {money}, tokens bigint")
+    days = Accounts(spark, path or shared_dir(spark, "daily-cost"), f"day date, cost {money}, tokens bigint", ["day"])
 
     def each(batch: DataFrame, i: int) -> None:
         new = batch.select(F.to_date(F.col("created_at").cast("timestamp")).alias("day"), F.col(cost).cast(money).alias("cost"), F.col(tokens).cast("bigint").alias("tokens"))
-        grown = days.before(i).unionByName(new).groupBy("day").agg(F.sum("cost").cast(money).alias("cost"), F.sum("tokens").alias("tokens"))
-        days.replace(grown, i)
+        days.add(name, i, new, lambda known: known.unionByName(new).groupBy("day").agg(F.sum("cost").cast(money).alias("cost"), F.sum("tokens").alias("tokens")))
 
     run_available(rows, each, "append", checkpoint)
-    return days.before(None).select("day", F.col("cost").cast("double").alias("cost_usd"), "tokens")
+    return days.rows().select("day", F.col("cost").cast("double").alias("cost_usd"), "tokens")
 
 
 def incremental_index(items: DataFrame, embed: Callable[[Column], Column], key: str = "item_id", order: str | None = None, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Vector index of a text stream: only new or changed texts are embedded.
 
     Of several texts of a key in one batch the last by ``order`` counts (the
-    greatest text, if no order is given).  A batch writes its changes under
-    its own id and compares them with the batches before it only, so a replay
-    writes them again; the index is the newest row per key.
+    greatest text, if no order is given).  A batch writes its changes below a
+    number of its own, in buckets, and compares them with the touched buckets
+    of the batches before it; the index is the newest row per key.
     """
     spark = items.sparkSession
-    path = path or shared_dir(spark, "index")
+    path, checkpoint = path or shared_dir(spark, "index"), checkpoint or shared_dir(spark, "stream")
+    name, states = stream_name(spark, checkpoint), States(spark, path)
     kind = items.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, hash string, embedding array<double>"
 
     def each(batch: DataFrame, i: int) -> None:
+        n, record = states.newest()
+        if States.holds(record, name, i):
+            return
+        bucket = bucket_of([key], BUCKETS)
         last = F.max_by("text", F.struct(*([order] if order else []), "text"))
-        hashed = batch.groupBy(key).agg(last.alias("text")).withColumn("hash", content_hash("text"))
-        known = newest(spark, path, [key], schema, before=i).select(key, "hash")
+        hashed = batch.groupBy(key).agg(last.alias("text")).withColumns({"hash": content_hash("text"), "bucket": bucket})
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]
+        known = newest(spark, path, [key], schema, before=n + 1, buckets=touched).select(key, "hash")
         changed = hashed.join(known, [key, "hash"], "left_anti")
-        changed.select(key, "hash", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/batch_id={i}")
+        rows = changed.select(key, "hash", embed(F.col("text")).alias("embedding"), "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch_id={n + 1}")
+        states.put(n + 1, {"streams": record["streams"] | {name: i}})
 
     run_available(items, each, "append", checkpoint)
-    return newest(spark, path, [key], schema)
+    return newest(spark, path, [key], schema, before=states.newest()[0] + 1)
 
 
 def scheduled_refresh(spark: SparkSession, source: DataFrame, root: str, name: str, build: Callable[[], DataFrame], checkpoint: str | None = None) -> str:
