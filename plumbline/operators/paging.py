@@ -51,10 +51,11 @@ def facets(catalog: DataFrame) -> DataFrame:
     return pairs.select("connection", "schema", label.alias("facet"))
 
 
-def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all", number: int = 1, size: int = 50, cut: int | None = None) -> DataFrame:
+def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all", number: int = 1, size: int = 50, cut: int | None = None, pager=page) -> DataFrame:
     """Messages with an issue: a failed tool first, else a negative verdict; paged, newest first.
 
     ``kind="all_queries"`` lists the others too, summed up by their own first line.
+    ``pager`` makes the page: ``page`` by offset, ``rankmap.pager(...)`` by rank.
     """
     first_fail = latest_per_key(failed_calls, "execution_id", [F.desc("attempt"), F.desc("started_at"), F.desc("call_id")]) \
         .select("execution_id", "tool_name", "error_text", F.lit(True).alias("_failed"))
@@ -75,7 +76,7 @@ def issues(messages, failed_calls, feedback, users, start, end, kind: str = "all
         F.coalesce("head_prompt", F.lit("")).alias("head_prompt"), F.when(F.col("_failed"), F.col("tool_name")).alias("tool_name"),
         F.coalesce("user_name", F.lit("Unknown User")).alias("user_name"))
     out = out if kind in ("all", "all_queries") else out.where(F.col("issue_type") == kind)
-    return page(out, [F.desc("created_at"), F.desc("message_id")], number, size)
+    return pager(out, [F.desc("created_at"), F.desc("message_id")], number, size)
 
 
 def sort_tables(catalog: DataFrame, by: str, n: int | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ def view_table(df: DataFrame, view: dict, tie: str) -> DataFrame:
     return df.orderBy(*order).limit(view.get("pageSize") or 50).select(*view["columns"])
 
 
-def audit_page(log: DataFrame, *, actions=None, resource=None, user=None, start=None, end=None, search=None, number=1, size=50) -> DataFrame:
+def audit_page(log: DataFrame, *, actions=None, resource=None, user=None, start=None, end=None, search=None, number=1, size=50, pager=page) -> DataFrame:
     conds = []
     if actions:
         conds.append(F.col("action").isin(*actions))
@@ -109,7 +110,7 @@ def audit_page(log: DataFrame, *, actions=None, resource=None, user=None, start=
         like = f"%{search}%"
         conds.append(F.ilike("action", F.lit(like)) | F.ilike("resource", F.lit(like)))
     hits = log.where(reduce(lambda a, b: a & b, conds)) if conds else log
-    return page(hits, [F.desc("created_at"), F.desc("log_id")], number, size)
+    return pager(hits, [F.desc("created_at"), F.desc("log_id")], number, size)
 
 
 def starred_first(df: DataFrame, flag: str, newest: str, key: str, offset: int, n: int) -> DataFrame:

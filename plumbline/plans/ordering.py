@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import paging
+from ..operators import paging, rankmap
+from ..session import shared_dir
 from .registry import query
 from .usage import LIVE, LIVE_SQL, PROMPTS
 
@@ -31,8 +32,8 @@ _ISSUES = f"""WITH {PROMPTS}, f AS (SELECT * FROM v_tool_calls WHERE NOT success
     WHERE m.created_at {LIVE_SQL})"""
 
 
-def _issues(t, kind, number):
-    out = paging.issues(t("v_messages"), t("v_tool_calls").where(~F.col("success")), t("v_feedback"), t("v_users"), *LIVE, kind=kind, number=number)
+def _issues(t, kind, number, pager=paging.page):
+    out = paging.issues(t("v_messages"), t("v_tool_calls").where(~F.col("success")), t("v_feedback"), t("v_users"), *LIVE, kind=kind, number=number, pager=pager)
     return out.withColumns({"created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), "total_pages": F.col("total_pages").cast("bigint")})
 
 
@@ -80,8 +81,8 @@ LOG = "SELECT event_id AS log_id, event_type AS action, 'table_' || cast(event_i
 @query("audit_page", f"""WITH l AS ({LOG.format(events='events')}), h AS (SELECT * FROM l WHERE action IN ('view', 'click') AND created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25 23:59:59.999999'
     AND (action ILIKE '%TABLE_4%' OR resource ILIKE '%TABLE_4%')), n AS (SELECT count(*) AS total FROM h)
   SELECT log_id, action, resource, total, cast(ceil(total / 20) AS BIGINT) AS total_pages, total > 40 AS has_more FROM h, n ORDER BY created_at DESC, log_id DESC LIMIT 20 OFFSET 20""")
-def audit_page(t):
-    out = paging.audit_page(t.sql(LOG), actions=["view", "click"], start=dt.datetime(2024, 1, 2), end=dt.datetime(2024, 1, 25), search="TABLE_4", number=2, size=20)
+def audit_page(t, pager=paging.page):
+    out = paging.audit_page(t.sql(LOG), actions=["view", "click"], start=dt.datetime(2024, 1, 2), end=dt.datetime(2024, 1, 25), search="TABLE_4", number=2, size=20, pager=pager)
     return out.select("log_id", "action", "resource", "total", F.col("total_pages").cast("bigint").alias("total_pages"), "has_more")
 
 
@@ -94,3 +95,33 @@ def audit_actions(t):
 def starred_first(t):
     starred = t("v_reports").withColumn("starred", F.col("report_id") % 50 == 0)
     return paging.starred_first(starred, "starred", "created_at", "report_id", 10, 40).select("report_id")
+
+
+# ---- pages by rank: the same rows, from the parts of a stored order that hold them -----------------------
+
+def _by_rank(t, rows_per_part=400):
+    return rankmap.pager(shared_dir(t.spark, "ranks"), "1", rows_per_part)
+
+
+query("page_ranked", like="page")(lambda t: _by_rank(t)(t("v_catalog").select("table_id", "score"), paging.sort_order("score", "desc", "table_id"), 3, 25))
+query("issues_ranked", like="issues")(lambda t: _issues(t, "all", 2, _by_rank(t)))
+query("audit_page_ranked", like="audit_page")(lambda t: audit_page(t, _by_rank(t)))
+
+
+@query("starred_first_ranked", like="starred_first")
+def starred_first_ranked(t):
+    starred = t("v_reports").withColumn("starred", F.col("report_id") % 50 == 0)
+    order = [F.desc("starred"), F.desc("created_at"), F.asc("report_id")]
+    return rankmap.build(starred, order, shared_dir(t.spark, "ranks"), "1", 2000).slice(10, 40).select("report_id")
+
+
+@query("page_deep", """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS r, count(*) OVER () AS total FROM orders)
+  SELECT o_orderkey, o_totalprice, r AS rank FROM r WHERE r >= total // 2 AND r < total // 2 + 25""")
+def page_deep(t):
+    """Twenty-five rows from the middle of all orders by price, each with the rank that its own columns lead back to."""
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    ranked = rankmap.build(t("orders").select("o_orderkey", "o_totalprice"), order, shared_dir(t.spark, "ranks"), "1", 2000)
+    page = ranked.slice(ranked.total // 2, 25)
+    first, last = (page.agg(f("o_totalprice")).first()[0] for f in (F.min, F.max))
+    found = ranked.ranks(F.col("o_totalprice").between(first, last))
+    return page.join(found.select("o_orderkey", "rank"), "o_orderkey")

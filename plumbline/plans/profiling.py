@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import profile, sketches
+from ..session import shared_dir
 from .registry import query
 
 
@@ -90,3 +91,38 @@ def render_payload(t):
 def breakdown_check(t):
     tall = t("orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month"), "o_orderpriority").agg(F.sum("o_totalprice").alias("total"))
     return profile.breakdown_check(tall, "Month", ["total"])
+
+
+_MERGED = ("o_orderkey", "price", "o_orderdate")
+
+
+@query("profile_merged", _PROFILE + """ SELECT "column", dtype, non_null, nulls, mean, std, min, max, true AS distinct_within, CASE WHEN mean IS NOT NULL THEN true END AS quantiles_within FROM p""")
+def profile_merged(t):
+    """The profile of a table from the sketches of its parts; estimates are held against the table within their stated bounds."""
+    df, root = _src(t), shared_dir(t.spark, "sketches")
+    for status in ("F", "O", "P"):
+        sketches.add_part(df.where(F.col("o_orderstatus") == status), root, status)
+    out = sketches.merge(sketches.stored(t.spark, root))
+    # exact distinct counts, and the ranks that the estimated quantiles have
+    exact = profile.value_counts(df).groupBy("column").agg(F.count("*").alias("_distinct"))
+    at = out.where("quantiles IS NOT NULL").select("column", F.explode("quantiles").alias("p", "v"))
+    number = {"o_orderkey": F.col("o_orderkey").cast("double"), "price": F.col("price"), "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), number[c].alias("x")) for c in _MERGED]))).where("x IS NOT NULL")
+    ranks = long.join(at, "column").groupBy("column", "p").agg((F.count_if(F.col("x") < F.col("v")) / F.count("*")).alias("below"), (F.count_if(F.col("x") <= F.col("v")) / F.count("*")).alias("upto"))
+    fine = ranks.groupBy("column").agg(F.bool_and((F.col("below") <= F.col("p") + sketches.RANK_ERROR) & (F.col("upto") >= F.col("p") - sketches.RANK_ERROR)).alias("quantiles_within"))
+    near = F.abs(F.col("distinct") - F.col("_distinct")) <= 4 * sketches.DISTINCT_ERROR * F.col("_distinct")
+    out = out.join(exact, "column").join(fine, "column", "left").withColumns({"distinct_within": near, "mean": F.round("mean", 4), "std": F.round("std", 4)})
+    return out.drop("distinct", "_distinct", "quantiles")
+
+
+_WEEKS = {"before": ("2024-01-01", "2024-01-07"), "after": ("2024-01-08", "2024-01-14")}
+
+
+@query("period_members", """WITH e AS (SELECT event_type, user_id, ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' AS b, ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' AS a FROM events),
+  r AS (SELECT event_type, user_id FROM e GROUP BY 1, 2 HAVING bool_or(a) AND bool_or(b))
+  SELECT event_type, count(DISTINCT user_id) FILTER (b) AS before_members, count(DISTINCT user_id) FILTER (a) AS after_members, count(*) FILTER (b) AS before_events, count(*) FILTER (a) AS after_events,
+    (SELECT count(*) FROM r WHERE r.event_type = e.event_type) AS returning FROM e WHERE a OR b GROUP BY event_type""")
+def period_members(t):
+    """Users of two weeks, and those of both, from one sketch for each day."""
+    days = sketches.member_sketches(t("events"), "user_id", F.date_format("ts", "yyyy-MM-dd"), ["event_type"])
+    return sketches.period_members(days, _WEEKS, ["event_type"])
