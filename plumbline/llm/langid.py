@@ -73,8 +73,8 @@ class Profiles:
             got = self.place[codes]
         return got
 
-    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The hypervectors of the texts, and which of them hold a letter."""
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hypervectors of the texts, which of them hold a letter, and how many three-grams each has."""
         data, offsets = text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
         symbols = self.symbol[np.frombuffer(data.tobytes().decode(errors="replace").encode("utf-32-le"), np.int32)]
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -101,7 +101,7 @@ class Profiles:
                 out[d] = self.bound[self.rows(np.array([(pad[0] * _SYMBOLS + pad[1]) * _SYMBOLS + pad[2]]))[0]]
         has = letters[first[1:]] > letters[first[:-1]]
         out[~has] = 0
-        return out, has
+        return out, has, np.maximum(np.diff(first) - 2, 0)
 
 
 def _of(dimensions: int) -> Profiles:
@@ -149,20 +149,24 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return {name: _unit(v).astype(np.float32) for name, v in sorted(out.items())}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score`` (the cosine, at least 0); without ``text`` unless asked for."""
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep_text: bool = False, counted: str | None = None) -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score`` (the cosine, at least 0); without ``text`` unless asked for.
+
+    ``counted`` names a further column for the number of the text's three-grams.
+    """
     names = list(prototypes)
     dimensions = len(next(iter(prototypes.values()))) if names else DIMENSIONS
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else np.zeros((dimensions, 0), np.float32)
-    new = ("lang_pred", "score")
+    new = ["lang_pred", "score"] + ([counted] if counted else [])
     kept = carried(df, [*new] + ([] if keep_text else [text]))
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    more = [T.StructField(counted, T.LongType())] if counted else []
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *more])
     body = len(kept)  # the text travels behind the columns that stay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, body):
-                vectors, has = _of(dimensions).vectors(part.column(body))
+                vectors, has, grams = _of(dimensions).vectors(part.column(body))
                 if names:
                     cosines = _unit(vectors) @ matrix
                     best = np.argmax(cosines, axis=1)
@@ -170,7 +174,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                     lang = [names[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
                 else:
                     lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:body], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:body], pa.array(lang, pa.string()), pa.array(score), *([pa.array(grams.astype(np.int64))] if counted else [])], names=schema.names)
 
     return small_batches(df).select(*[quoted(f.name) for f in kept], quoted(text).alias(fresh(df, "__text"))).mapInArrow(run, schema)
 
