@@ -1,30 +1,58 @@
-"""A corpus pipeline over the table ``documents``, in stages that each work on what the one before kept."""
+"""A corpus pipeline over the table ``documents``, in stages that each work on what the one before kept.
+
+Every stage but the last returns the columns of ``documents`` as they came in,
+also where a column bears the name of a stage's own result.  Null and empty
+texts, and texts without a letter, go with the language stage; repeated rows of
+one id and text count as copies, of which one stays; very long texts are read
+whole.  An empty table stays empty.  Where nothing is labelled the quality stage
+has learned nothing and lets everything pass.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, crf, decontaminate, langid, neardup
+from plumbline.llm.shared import fresh, quoted
 from plumbline.session import cut_lineage
 
+#: A text of at least so many three-grams whose cosine with the nearest language is below this is in none of them.
+#: On held-out labels such texts are one word over and over; unrelated vectors meet at about 1 / sqrt(1024) = 0.03.
+ENOUGH_GRAMS = 80
+LEAST_COSINE = 0.25
+
+
+def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that bear a result's name under other names, and the columns as they were."""
+    names = {c: fresh(docs, f"__own_{c}") if c.lower() in results else c for c in docs.columns}
+    return docs.select(*[quoted(c).alias(n) for c, n in names.items()]), [quoted(n).alias(c) for c, n in names.items()]
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that no language is told for: those without a letter, or all if no language was learned."""
+    """Drops documents of no language: those without a letter, and those of enough three-grams that no prototype is near to.
+
+    A short text goes to its nearest language however small its cosine is.  If
+    no language was learned, nothing is of a language.
+    """
     prototypes = langid.train(docs.where(~langid.held_out("doc_id", 3, 1)))
-    told = langid.predict(docs, prototypes, keep_text=True)
-    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    rows, columns = _aside(docs, "lang_pred", "score", "grams")
+    told = langid.predict(rows, prototypes, keep_text=True, counted="grams")
+    none = (F.col("lang_pred") == langid.UNKNOWN) | ((F.col("grams") >= ENOUGH_GRAMS) & (F.col("score") < LEAST_COSINE))
+    return told.where(~none).select(*columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the line field finds bad, by the decision of op2; it learns from the labelled ones that are not held out."""
     held = langid.held_out("doc_id", 4, 2)
     field = crf.train(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
-    return crf.score(docs, field, keep_text=True).where("predicted = 1").select(*docs.columns)
+    if not (field.weights.any() or field.moves.any()):
+        return docs
+    rows, columns = _aside(docs, "score", "predicted")
+    return crf.score(rows, field, keep_text=True).where("predicted = 1").select(*columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
