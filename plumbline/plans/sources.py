@@ -58,6 +58,56 @@ def doc_aggregate(t):
         {"$sort": {"n": -1}}, {"$project": {"_id": 0, "tag": "$_id", "n": 1, "users": 1, "lo": 1, "hi": 1}}])
 
 
+_DOCS_SQL = "d AS (SELECT event_id AS _id, user_id, event_type AS type, cast(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
+
+
+@query("doc_nested_project", f"""WITH {_DOCS_SQL} SELECT _id, '{{"k":' || k || '}}' AS meta, '{{"owner":{{"id":' || user_id || '}},"twice":' || (2 * k) || '}}' AS more FROM d WHERE k > user_id""")
+def doc_nested_project(t):
+    """Nested names stay nested, expressions build objects, and two fields of a document are compared."""
+    return documents.doc_aggregate(_docs(t), [
+        {"$match": {"$expr": {"$gt": ["$meta.k", "$user_id"]}}},
+        {"$project": {"meta.k": 1, "more.owner.id": "$user_id", "more.twice": {"$multiply": ["$meta.k", 2]}}}])
+
+
+@query("doc_unwind_nested", f"""WITH {_DOCS_SQL}, u AS (SELECT k, unnest([type, 'x']) AS tag, unnest([0, 1]) AS i FROM d)
+  SELECT tag AS _id, count(*) AS n, max(k) AS hi, cast(max(i) AS BIGINT) AS at, '{{"k":' || max(k) || ',"tags":"' || tag || '"}}' AS top FROM u GROUP BY tag""")
+def doc_unwind_nested(t):
+    """A list inside an object is unwound where it is."""
+    return documents.doc_aggregate(_docs(t), [
+        {"$addFields": {"box.k": "$meta.k", "box.tags": "$tags"}}, {"$unwind": {"path": "$box.tags", "includeArrayIndex": "i"}},
+        {"$sort": {"meta.k": -1}},
+        {"$group": {"_id": "$box.tags", "n": {"$sum": 1}, "hi": {"$max": "$box.k"}, "at": {"$max": "$i"}, "top": {"$first": "$box"}}}])
+
+
+@query("doc_ordered_groups", f"""WITH {_DOCS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC NULLS LAST, _id) AS up, row_number() OVER (PARTITION BY user_id ORDER BY k NULLS FIRST, _id DESC) AS down FROM d)
+  SELECT user_id AS _id, max(_id) FILTER (up = 1) AS best, max(type) FILTER (down = 1) AS worst, '[' || string_agg(_id, ',' ORDER BY up) || ']' AS ids FROM r GROUP BY user_id""")
+def doc_ordered_groups(t):
+    """First, last and list of a group follow the sort, however the rows are shuffled."""
+    return documents.doc_aggregate(_docs(t), [
+        {"$sort": {"meta.k": -1}}, {"$group": {"_id": "$user_id", "best": {"$first": "$_id"}, "worst": {"$last": "$meta.type"}, "ids": {"$push": "$_id"}}}])
+
+
+@query("doc_lookup", """SELECT n_regionkey AS _id, count(s_suppkey) AS suppliers, count(DISTINCT n_nationkey) AS nations, max(s_acctbal) AS richest FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+def doc_lookup(t):
+    """Suppliers as lists in the documents of their nations, unwound and summed by region."""
+    nations = t("nation").select(F.col("n_nationkey").alias("_id"), F.col("n_regionkey").alias("region"))
+    suppliers = t("supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return documents.doc_aggregate(nations, [
+        {"$lookup": {"from": "suppliers", "localField": "_id", "foreignField": "nation", "as": "found"}},
+        {"$unwind": {"path": "$found", "preserveNullAndEmptyArrays": True}},
+        {"$group": {"_id": "$region", "suppliers": {"$sum": {"$cond": [{"$gt": ["$found._id", -1]}, 1, 0]}}, "ids": {"$addToSet": "$_id"}, "richest": {"$max": "$found.s_acctbal"}}},
+        {"$project": {"suppliers": 1, "nations": {"$toLong": {"$size": "$ids"}}, "richest": 1}}], collections={"suppliers": suppliers})
+
+
+@query("doc_facet", f"""WITH {_DOCS_SQL}, c AS (SELECT type, count(*) AS n FROM d GROUP BY 1), o AS (SELECT * FROM d WHERE k < 50 ORDER BY k DESC, _id LIMIT 3)
+  SELECT (SELECT '[' || string_agg('{{"_id":"' || type || '","count":' || n || '}}', ',' ORDER BY n DESC, type) || ']' FROM c) AS types,
+    (SELECT '[' || string_agg('{{"_id":' || _id || ',"k":' || k || '}}', ',' ORDER BY k DESC, _id) || ']' FROM o) AS top""")
+def doc_facet(t):
+    return documents.doc_aggregate(_docs(t), [{"$facet": {
+        "types": [{"$sortByCount": "$meta.type"}],
+        "top": [{"$match": {"meta.k": {"$lt": 50}}}, {"$sort": {"meta.k": -1}}, {"$limit": 3}, {"$project": {"k": "$meta.k"}}]}}])
+
+
 @query("doc_schema", """WITH f(name, dtype, seen) AS (
   SELECT '_id', 'integer', count(event_id) FROM events UNION ALL SELECT 'user_id', 'integer', count(user_id) FROM events
   UNION ALL SELECT 'meta', 'object', count(*) FROM events UNION ALL SELECT 'meta.k', 'integer', count(try_cast(json_extract_string(props, '$.k') AS BIGINT)) FROM events
