@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import day_spine, previous_period, ts, whole_days, within
 from ..functions.text import clip, json_text
+from ..session import cut_lineage
 from .spread import running_total
 
 SCORES = ("instructions_effectiveness", "context_effectiveness", "response_score")
@@ -173,6 +174,42 @@ def table_pairs(usage: DataFrame, start, end, n: int = 50) -> DataFrame:
     return top.select("table_a", "table_b", "together", analysed.alias("queries_analysed"))
 
 
+#: Most used tables whose pairs are counted first, for a count to beat.
+PROBE = 32
+
+
+def top_pairs(usage: DataFrame, start, end, n: int = 50, probe: int = PROBE) -> DataFrame:
+    """``table_pairs`` without making every pair: a pair is at most as common as its rarer table.
+
+    Pairs among the ``probe`` most used tables give an n-th best count; a pair
+    that reaches it has two tables that are used as often, so only those are
+    paired.  Rare tables never meet, however many of them one query uses.  Where
+    that count is 1, single pairs compete by name alone: of each query the first
+    ``n`` by name can win, and they lie among its first ``n + 1`` tables.
+    """
+    uses = cut_lineage(usage.where(within("used_at", start, end) & F.col("table_fqn").isNotNull()).select("step_id", "table_fqn").distinct())
+    analysed = uses.groupBy("step_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+    support = cut_lineage(uses.groupBy("table_fqn").agg(F.count(F.lit(1)).alias("s")))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        sets = rows.groupBy("step_id").agg(F.array_sort(F.collect_list("table_fqn")).alias("tables")).where(F.size("tables") > 1).groupBy("tables").agg(F.count(F.lit(1)).alias("queries"))
+        left = sets.select("queries", "tables", F.posexplode("tables").alias("i", "table_a"))
+        pairs = left.select("queries", "table_a", F.explode(F.slice("tables", F.col("i") + 2, F.size("tables"))).alias("table_b"))
+        return pairs.groupBy("table_a", "table_b").agg(F.sum("queries").alias("together"))
+
+    common = support.orderBy(F.desc("s"), "table_fqn").limit(probe)
+    first = paired(uses.join(common, "table_fqn", "left_semi")).orderBy(F.desc("together")).limit(n)
+    least = first.agg(F.when(F.count(F.lit(1)) == n, F.min("together")).otherwise(1)).first()[0]
+    counted = paired(uses.join(support.where(F.col("s") >= max(least, 2)), "table_fqn", "left_semi"))
+    if least <= 1:
+        place = F.row_number().over(W.partitionBy("step_id").orderBy("table_fqn"))
+        single = paired(uses.withColumn("p", place).where(F.col("p") <= n + 1))
+        # what both count is whole in the first
+        counted = counted.unionByName(single).groupBy("table_a", "table_b").agg(F.max("together").alias("together"))
+    top = counted.orderBy(F.desc("together"), "table_a", "table_b").limit(n)
+    return top.select("table_a", "table_b", "together", analysed.alias("queries_analysed"))
+
+
 # Reported tools with their labels, and the tool merged into another.
 TOOL_LABELS = {
     "create_data": "Create Data", "clarify": "Request Clarification", "create_dashboard": "Create Dashboard",

@@ -224,6 +224,11 @@ def table_pairs(t):
     return activity.table_pairs(t("v_table_usage"), *SPEND)
 
 
+@query("table_pairs_bounded", like="table_pairs")
+def table_pairs_bounded(t):
+    return activity.top_pairs(t("v_table_usage"), *SPEND)
+
+
 @query("tool_counts", """SELECT tool_name, cast(coalesce(n, 0) AS BIGINT) AS n, label FROM (VALUES ('create_data', 'Create Data'), ('clarify', 'Request Clarification'),
   ('create_dashboard', 'Create Dashboard'), ('inspect_data', 'Inspect Data'), ('describe_tables', 'Describe Tables'), ('describe_entity', 'Describe Entity')) l(tool_name, label)
   LEFT JOIN (SELECT CASE WHEN tool = 'create_artifact' THEN 'create_dashboard' ELSE tool END AS tool_name, count(*) AS n
