@@ -119,14 +119,21 @@ def _form(u: str) -> str:
             f" || CASE WHEN {rest} <> '' THEN '?' || {rest} ELSE '' END END")
 
 
+_SEGMENTS = """CASE WHEN regexp_matches({p}, '/\\.\\.?(/|$)') THEN array_to_string(list_reduce(list_transform(string_split({p}, '/'), lambda x: [x]),
+  lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] ELSE list_concat(acc, x) END), '/') ELSE {p} END"""
+
 OP8_SQL = f"""
 WITH RECURSIVE rules(rhost, rpath, rverdict) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 p AS (SELECT page_id, url, html, coalesce({_HOST.format(u='url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path, {_form('url')} AS form FROM pages),
-tags AS (SELECT form, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE form IS NOT NULL),
-targets AS (SELECT form, host, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
-            UNION ALL
-            SELECT form, host, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
-whole AS (SELECT form, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS t FROM targets),
+tags AS (SELECT form, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE form IS NOT NULL),
+found AS (SELECT form, host, path, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
+          UNION ALL
+          SELECT form, host, path, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+plain AS (SELECT form, host, path, regexp_replace(t, '(?i)&(amp|#38|#x26);', '&', 'g') AS t FROM found),
+targets AS (SELECT *, regexp_extract(t, '(?s)([?#].*)$', 1) AS rest, CASE WHEN starts_with(t, '/') THEN '' ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '(?s)[^/]*$', '') END
+              || regexp_extract(t, '(?s)^([^?#]*)', 1) AS whole FROM plain),
+whole AS (SELECT form, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') THEN NULL WHEN starts_with(t, '//') THEN 'http:' || t
+              WHEN starts_with(t, '?') THEN 'http://' || host || path || t ELSE 'http://' || host || {_SEGMENTS.format(p='whole')} || rest END AS t FROM targets),
 steps AS (SELECT form AS a, {_form('t')} AS b FROM whole WHERE t IS NOT NULL),
 u AS (SELECT url, {_HOST.format(u='url')} AS uhost, {_PATH.format(u='url')} AS upath, {_form('url')} AS uform
       FROM (SELECT url FROM p UNION SELECT t FROM whole) x WHERE contains(url, '://')),

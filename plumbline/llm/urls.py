@@ -8,7 +8,9 @@ Urls without a rule are judged by their aliases.  Two urls are aliases if they
 have the same canonical form (scheme, leading ``www.``, default port,
 fragment, ``utm_`` parameters and a closing slash do not matter), or if a
 page's canonical link or refresh redirect leads from one to the other, in any
-number of steps.  Distributed connected components over these links form the
+number of steps.  Targets may be relative: they are resolved against the page's
+host and folder, ``.`` and ``..`` are folded, and ``&amp;`` is ``&``; a target of
+a scheme without ``//`` (``mailto:``) or within the page (``#``) leads nowhere.  Distributed connected components over these links form the
 classes; an explicit allow in the class wins, else an explicit block, else the
 url is allowed.
 
@@ -41,29 +43,49 @@ def path_of(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """The form that aliases by spelling share; null without ``://``."""
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
-    path = F.regexp_replace(path_of(url), r"/$", "")
+    host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)\z", "")
+    path = F.regexp_replace(path_of(url), r"/\z", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), r"^&", "")
     return F.when(url.contains("://"), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def links(html: Column, host: Column) -> Column:
+def folded(path: Column) -> Column:
+    """A path without the segments ``.`` and ``..`` and what they take back."""
+    out = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc)
+                      .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(out, "/")).otherwise(path)
+
+
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """The absolute url of a link's target on a page; null if it leads nowhere."""
+    site, rest = F.concat(F.lit("http://"), host), F.regexp_extract(target, r"(?s)([?#].*)\z", 1)
+    bare = F.regexp_extract(target, r"(?s)\A([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"(?s)[^/]*\z", "")
+    return (F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"\A([A-Za-z][A-Za-z0-9+.-]*:|#|\z)"), None)
+            .when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("?"), F.concat(site, path, target))
+            .when(target.startswith("/"), F.concat(site, folded(bare), rest)).otherwise(F.concat(site, folded(F.concat(folder, bare)), rest)))
+
+
+def links(html: Column, host: Column, path: Column) -> Column:
     """Absolute targets of canonical links and refresh redirects."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)
     canon = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     moved = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-    whole = F.transform(F.concat(canon, moved), lambda t: F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(F.lit("http://"), host, t)))
-    return F.filter(whole, lambda t: t.isNotNull())
+    targets = F.transform(F.concat(canon, moved), lambda t: F.regexp_replace(t, r"(?i)&(amp|#38|#x26);", "&"))
+    return F.filter(F.transform(targets, lambda t: resolved(t, host, path)), lambda t: t.isNotNull())
 
 
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, rule, verdict) for the urls (url, host, path) that some rule fits."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    """(url, rule, verdict) for the urls (url, host, path) that some rule fits.
+
+    A host is cut to the numbers of labels that rules have, whatever its own.
+    """
+    widths = rules.agg(F.collect_set(F.size(F.split("host", r"\.")))).scalar()
     own = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict")
     best = F.min(F.struct((-F.length("rule")).alias("n"), "verdict", "rule"))
-    return (urls.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(own, "suffix")
+    cut = urls.select("url", "path", "host", F.explode(widths).alias("n")).where(F.size(F.split("host", r"\.")) >= F.col("n"))
+    return (cut.select("url", "path", F.call_function("substring_index", "host", F.lit("."), -F.col("n")).alias("suffix")).join(own, "suffix")
             .where(F.expr("startswith(path, rule_path)")).select("url", "verdict", F.concat("suffix", "rule_path").alias("rule"))
             .groupBy("url").agg(best.alias("b")).select("url", "b.rule", "b.verdict"))
 
@@ -72,7 +94,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """One row per page: its id, host, path, rule (null if none fits) and verdict."""
     seen = pages.select(quoted(key).alias("id"), quoted(url).alias("url"), quoted(html).alias("html"))
     seen = seen.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    steps = cut_lineage(seen.where("html is not null").select("url", F.explode(links(F.col("html"), F.col("host"))).alias("target")))
+    steps = cut_lineage(seen.where("html is not null").select("url", F.explode(links(F.col("html"), F.col("host"), F.col("path"))).alias("target")))
     # targets are judged like pages, so that a redirect to a blocked url counts even if that is no page
     every = seen.select("url").union(steps.select("target")).where(F.col("url").contains("://")).distinct()
     urls = cut_lineage(every.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("form")))

@@ -62,6 +62,14 @@ def test_quality_stage_decides_like_op2(spark, monkeypatch, score):
     assert kept == crf.score(docs, field).where("predicted = 1").count() == (20 if score >= crf.THRESHOLD else 0)
 
 
+def test_targets(spark):
+    cases = [("b", "http://h/a/b"), ("/b/../c/./d", "http://h/c/d"), ("../../..", "http://h"), ("//o/p", "http://o/p"), ("?q=1", "http://h/a/x?q=1"), ("c?u=../d#e", "http://h/a/c?u=../d#e"), ("HTTPS://o", "HTTPS://o"),
+             ("javascript:x", None), ("#", None), ("", None), ("./", "http://h/a/"), ("a:b", None), ("..", "http://h"), ("x/../y", "http://h/a/y"), ("...", "http://h/a/...")]
+    df = spark.createDataFrame([(t, "h", "/a/x") for t, _ in cases], "t string, host string, path string")
+    got = [r.u for r in df.select(urls.resolved(df.t, df.host, df.path).alias("u")).collect()]
+    assert got == [u for _, u in cases]
+
+
 @pytest.mark.parametrize("shape", ["random", "path", "star", "cycle"])
 def test_components(spark, shape):
     rnd = random.Random(3)
@@ -97,12 +105,18 @@ def test_url_filter(spark):
         (5, "https://www.x.com/de/", None), (6, "no scheme", None), (7, None, None), (8, "http://a.net/1", link("http://b.net/2")), (9, "http://b.net/2/", link("//www.x.com/de/")),
         (10, "http://c.net/", refresh), (11, "http://d.net/q?utm_source=f", link("http://e.com/fr/1")), (12, "http://d.net/q", link("http://y.com/de/")),
         (12, "http://d.net/q", link("http://y.com/de/")), (None, "ftp://notorg/de/", None), (13, "http://evilexample.org/es/1", None), (14, "://", None), (15, "http://g.net/" + "p" * 100_000, link("/local")),
+        (20, "http://k.net/d/1", link("2")), (21, "http://k.net/d/2", link("../x/./y?a=1&amp;b=2")), (22, "http://k.net/x/y?a=1&b=2", link("http://x.com/de/")),
+        (23, "http://m.net", link("#top")), (24, "http://m.net/q", link("?p=1")), (25, "http://m.net/q?p=1", link("mailto:a@x.com/de/")), (26, "http://n.net/a/b/", link("../../../de/..")),
+        (27, "http://n.net/", link("next?u=http://x.com/de/")), (28, "http://n.net/next?u=http://x.com/de/", None), (29, "http://" + "a." * 20_000 + "com/de/", None), (30, "http://w.net/e/\n", None), (31, "http://w.net/e", link("http://x.com/de/")),
     ]
     df = spark.createDataFrame([(*p, 1, 2) for p in pages], "page_id long, url string, html string, rule int, host int")
     # 4 is spelled like 5; 8, 9 and 10 lead to the blocked 5 and are blocked with 4; 11 and 12 also reach an allowed url
     expected = [(1, "example.org/es/", "block"), (2, "example.org/en/1", "block"), (3, "org/", "allow"), (4, None, "block"), (5, "com/de/", "block"), (6, None, "allow"), (7, None, "allow"),
                 (8, None, "block"), (9, None, "block"), (10, None, "block"), (11, None, "allow"), (12, None, "allow"), (12, None, "allow"), (None, None, "allow"),
-                (13, "org/", "allow"), (14, None, "allow"), (15, None, "allow")]
+                (13, "org/", "allow"), (14, None, "allow"), (15, None, "allow"),
+                # 20 leads to 21, that to 22, and that to a blocked url; the others lead nowhere blocked, or nowhere; a line break is no end of a path
+                (20, None, "block"), (21, None, "block"), (22, None, "block"), (23, None, "allow"), (24, None, "allow"), (25, None, "allow"), (26, None, "allow"),
+                (27, None, "allow"), (28, None, "allow"), (29, "com/de/", "block"), (30, None, "allow"), (31, None, "block")]
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     rows = urls.judge(df, rules).collect()
     assert sorted(((r.page_id, r.rule, r.verdict) for r in rows), key=str) == sorted(expected, key=str)
