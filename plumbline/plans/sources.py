@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import json_cells
 from ..operators import profile
 from ..session import shared_dir
-from ..sources import documents, files, landing, metastore, remote, reports, snapshots
+from ..sources import budget, documents, files, landing, metastore, remote, reports, snapshots
 from .registry import query
 
 
@@ -202,6 +202,41 @@ def result_budget(t):
     return t.spark.createDataFrame(out, "attempt string, rows bigint, accepted boolean")
 
 
+@query("result_budget_early", """SELECT 'fits' AS attempt, count(*) AS rows, true AS accepted, NULL AS about_the_budget FROM orders
+  UNION ALL SELECT 'rows', NULL, false, true UNION ALL SELECT 'bytes', NULL, false, true""")
+def result_budget_early(t):
+    """A result of a hundred times its budget is refused after about the budget's rows; nothing stays behind."""
+    total, out = t("orders").count(), []
+    rows = t("orders").repartition(4)
+    for name, limits in (("fits", {"max_rows": total}), ("rows", {"max_rows": total // 100}), ("bytes", {"max_bytes": 1})):
+        try:
+            kept = budget.budgeted_write(rows, shared_dir(t.spark, "budget"), **limits)
+            out.append((name, kept.count(), True, None))
+        except snapshots.ResultTooLarge as e:
+            # each of four tasks may be a step beyond, which is a tenth of the budget; bytes are counted with the rows
+            out.append((name, None, False, e.rows <= (total // 100) * 1.5 if name == "rows" else e.rows <= total))
+    return t.spark.createDataFrame(out, "attempt string, rows bigint, accepted boolean, about_the_budget boolean")
+
+
+@query("paged_stream", "SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN o_orderkey % 8 < 5 THEN 0 ELSE 1 END AS run FROM orders WHERE o_totalprice >= 1000")
+def paged_stream(t):
+    """Pages are the files of a folder; the second run fetches only those that have come since the first."""
+    folder, state, out = (shared_dir(t.spark, n) for n in ("pages", "state", "paged"))
+    orders = t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+    def put(first, last):
+        for page in range(first, last):
+            orders.where(F.col("o_orderkey") % 8 == page).coalesce(1).write.parquet(f"{folder}/page={page}")
+
+    schema = "o_orderkey bigint, o_totalprice double, o_orderstatus string"
+    for run, (first, last) in enumerate(((0, 5), (5, 8))):
+        put(first, last)
+        pages = remote.paged_stream(t.spark, remote.folder_page(folder, ["o_orderkey", "o_totalprice", "o_orderstatus"]), schema, remote.folder_pages(folder), where=[("o_totalprice", ">=", 1000.0)])
+        query_ = pages.withColumn("run", F.lit(run)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query_.awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 @query("csv_export", """SELECT 'event_id,quoted,nested,value' AS value UNION ALL SELECT event_id || ',"say ""hi"", ' || event_type || '","{""k"":' || json_extract_string(props, '$.k') || '}",'
   || CASE WHEN event_id % 2 = 1 THEN '' WHEN value = floor(value) THEN cast(cast(value AS BIGINT) AS VARCHAR) ELSE cast(value AS VARCHAR) END FROM events""")
 def csv_export(t):
