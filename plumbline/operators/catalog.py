@@ -21,9 +21,9 @@ def schema_signature(columns: DataFrame, key: str = "table_name") -> DataFrame:
 
 def schema_drift(old: DataFrame, new: DataFrame, key: str = "table_name") -> DataFrame:
     """Names whose signature differs between two column snapshots; none for an empty old one."""
-    before = schema_signature(old, key)
-    populated = before.agg(F.count(F.lit(1)) > 0).scalar()
-    return full_diff(before, schema_signature(new, key), key, "signature").where(populated).orderBy(key)
+    # one row of the old side tells whether there is any
+    populated = old.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    return full_diff(schema_signature(old, key), schema_signature(new, key), key, "signature").where(populated).orderBy(key)
 
 
 def catalog_sync(existing: DataFrame, incoming: DataFrame, activate_new: bool) -> DataFrame:

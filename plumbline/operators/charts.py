@@ -231,6 +231,8 @@ def build_view(model: dict, title: str | None = None, columns: list[str] | None
         view |= {"x": known(first.get("x") or first.get("key")), "y": known(first.get("y")), "value": known(first.get("value"))}
     elif kind == "scatter_plot":
         view |= {"x": known(first.get("x") or first.get("key")), "y": known(first.get("y") or first.get("value"))}
+    elif kind == "treemap":
+        view |= {"id": known(first.get("id") or "id"), "parent": known(first.get("parentId") or "parentId"), "name": known(first.get("key") or first.get("name") or "name"), "value": known(first.get("value"))}
     else:
         view |= {"x": known(first.get("key")), "y": [known(s["value"]) for s in series if s.get("value")],
                  "groupBy": known(normalize_group_by(model.get("group_by")))}
@@ -261,6 +263,8 @@ def run_view(df: DataFrame, view: dict, order: str, model: dict | None = None) -
         return heatmap(rows, view["x"], view["y"], view["value"], order, fn)
     if kind == "scatter_plot":
         return scatter(rows, view["x"], view["y"], order, fn)
+    if kind == "treemap":
+        return treemap_totals(treemap(rows, view["id"], view["parent"], view["name"], view["value"]))
     if kind in ("pie_chart", "map"):
         return pie(rows, view["x"], view["y"][0], order, fn)
     if view.get("groupBy"):

@@ -72,6 +72,14 @@ def c_treemap(t):
     return charts.treemap_totals(charts.treemap(t.sql(TREE), "id", "parentId", "name", "value"))
 
 
+@query("c_view_treemap", like="c_treemap")
+def c_view_treemap(t):
+    """The hierarchy as a view built from its data model, names in any case."""
+    tree = t.sql(TREE)
+    view = charts.build_view({"type": "treemap", "series": [{"id": "ID", "parentId": "PARENTID", "key": "Name", "value": "VALUE"}]}, "Tree", tree.columns)
+    return charts.run_view(tree, view, "id")
+
+
 @query("c_radar", """WITH f AS (SELECT * FROM part ORDER BY p_partkey LIMIT 1), b AS (SELECT * FROM part WHERE p_brand = 'Brand#7' ORDER BY p_partkey LIMIT 1)
   SELECT 'Brand#7' AS name, 'P_SIZE' AS dimension, p_size::DOUBLE AS value FROM b UNION ALL SELECT 'Brand#7', 'P_RETAILPRICE', p_retailprice FROM b UNION ALL SELECT 'Brand#7', 'P_TYPE', 0 FROM b
   UNION ALL SELECT 'absent', 'P_SIZE', p_size FROM f UNION ALL SELECT 'absent', 'P_RETAILPRICE', p_retailprice FROM f UNION ALL SELECT 'absent', 'P_TYPE', 0 FROM f""")

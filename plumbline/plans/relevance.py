@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import similarity
+from ..functions import similarity, vectorcodes
 from ..operators import counters, ranking
 from ..session import spread_small
 from .registry import query
@@ -100,6 +100,14 @@ def cosine_topk_filtered(t):
     return out.select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("cosine_topk_codes", like="cosine_topk_filtered")
+def cosine_topk_codes(t):
+    """The same rows by codes: what the codes leave open is scored."""
+    queries = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    out = vectorcodes.cosine_topk(t("embeddings"), "vec_id", "embedding", queries, 5, where={"label": 3})
+    return out.select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("blend", f"""WITH k AS (SELECT doc_id, {kw('text')} AS ws FROM documents), s AS (SELECT doc_id, {jac('ws', "['then', 'heron']")} AS kws, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 10 END AS sem FROM k)
   SELECT doc_id, round(coalesce(0.5 * kws + 0.5 * sem, kws), 9) AS score FROM s""")
 def blend(t):
