@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  A letter three-gram is bound
+Every letter has a random vector of +1 and -1: those below U+0100 one each, the
+others one of about 140 that they share by hash.  A letter three-gram is bound
 by multiplying its letters' vectors, each rotated by its place; a text's
 vector is the sum (bundle) of its three-grams' vectors, and a language's
 prototype the sum of the unit vectors of its training texts.  A text gets the
@@ -13,7 +14,7 @@ are independent, so repeated rows need no rule; further columns pass through,
 and columns of ``df`` with a result's name are replaced.
 
 Training reads a bounded sample: about ``per_language`` texts of each language,
-chosen by a hash of the id.  Rows whose text, language or id is null teach
+chosen by a hash of id and text.  Rows whose text, language or id is null teach
 nothing.  Without any training row every text gets ``und``.
 """
 
@@ -52,15 +53,16 @@ class Profiles:
         self.symbol = np.where(letter, shared, 0).astype(np.int32)
         self.dimensions = dimensions
         self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (_SYMBOLS, dimensions))
-        self.place = np.full(_SYMBOLS ** 3, -1, np.int32)  # of each three-gram: its row in ``bound``
+        # of each three-gram: its row in ``bound``, counted from 1; pages that no three-gram falls into stay untouched
+        self.place = np.zeros(_SYMBOLS ** 3, np.int32)
         self.bound = np.empty((4096, dimensions), np.int8)
         self.n_bound = 0
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """The rows of three-gram vectors, bound when first met."""
         got = self.place[codes]
-        if (got < 0).any():
-            new = np.unique(codes[got < 0])
+        if (got == 0).any():
+            new = np.unique(codes[got == 0])
             need = self.n_bound + len(new)
             if need > len(self.bound):
                 grown = np.empty((max(need, 2 * len(self.bound)), self.dimensions), np.int8)
@@ -68,10 +70,10 @@ class Profiles:
                 self.bound = grown
             a, b, c = new // (_SYMBOLS * _SYMBOLS), new // _SYMBOLS % _SYMBOLS, new % _SYMBOLS
             self.bound[self.n_bound:need] = np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
-            self.place[new] = np.arange(self.n_bound, need)
+            self.place[new] = np.arange(self.n_bound + 1, need + 1)
             self.n_bound = need
             got = self.place[codes]
-        return got
+        return got - 1
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hypervectors of the texts, which of them hold a letter, and how many three-grams each has."""
@@ -110,7 +112,7 @@ def _of(dimensions: int) -> Profiles:
         known[dimensions] = Profiles(dimensions)
     p = known[dimensions]
     if p.n_bound > 60_000:  # bounds the memory: start again
-        p.place[:] = -1
+        p.place = np.zeros(_SYMBOLS ** 3, np.int32)
         p.n_bound, p.bound = 0, np.empty((4096, dimensions), np.int8)
     return p
 
@@ -127,7 +129,8 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if not counts:
         return {}
     million = 1_000_000
-    draw = F.pmod(F.xxhash64(quoted(key).cast("string"), F.lit("langid")), F.lit(million))
+    # by row, not by id alone: an id that repeats brings each of its texts on its own
+    draw = F.pmod(F.xxhash64(quoted(key).cast("string"), quoted(text), F.lit("langid")), F.lit(million))
     limit = F.lit(million)
     for name, n in counts.items():
         if n > per_language:

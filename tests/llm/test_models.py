@@ -119,3 +119,31 @@ def test_toxicity_edges(spark, edges):
     for none in (toxicity.train(docs, labels.limit(0), queries.TOXIC_CHAIN), toxicity.train(docs.limit(0), labels, queries.TOXIC_CHAIN)):
         assert {(r.p_toxic, r.is_toxic) for r in toxicity.score(edges, none, threshold=0.5).collect()} == {(0.5, False)}
     assert toxicity.score(edges.limit(0), chain).count() == 0
+
+
+def test_language_vectors_like_a_plain_bundle():
+    """Hypervectors against three-grams bound and summed one by one."""
+    import pyarrow as pa
+
+    profiles = langid.Profiles(256)
+    texts = ["Ab c", "ééé zz!", "a", "xy", "", None, "12 34", "the quick brown fox, THE QUICK", "漢字かな漢", "a1b2c3 " * 50]
+    vectors, has, counts = profiles.vectors(pa.array(texts))
+    for i, t in enumerate(texts):
+        letters = [int(profiles.symbol[ord(c)]) for c in (t or "").lower()]
+        kept = [s for j, s in enumerate(letters) if j == 0 or s or letters[j - 1]]  # a run of other characters is one gap
+        grams = [kept[j:j + 3] for j in range(len(kept) - 2)] or ([(kept + [0, 0])[:3]] if kept else [])
+        want = np.zeros(256)
+        for a, b, c in grams if any(kept) else []:
+            want += np.roll(profiles.letters[a], 2).astype(float) * np.roll(profiles.letters[b], 1) * profiles.letters[c]
+        assert np.array_equal(vectors[i], want), t
+        assert has[i] == any(kept) and counts[i] == max(0, len(kept) - 2)
+
+
+def test_language_sample_draws_rows(spark):
+    """A language whose rows all repeat one id is learned by a share of its texts, not all or none."""
+    rows = [(7, f"una casa {i} blanca y otra {i * 7} mesa", "es") for i in range(400)] + [(1000 + i, f"the house {i} is white and the table {i * 3}", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit(1))
+    prototypes = langid.train(docs, per_language=40)
+    assert sorted(prototypes) == ["en", "es"]
+    told = langid.predict(docs.select("doc_id", "text", "lang"), prototypes)
+    assert told.where("lang <> lang_pred").isEmpty()
