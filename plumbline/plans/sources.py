@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import json_cells
 from ..operators import profile
 from ..session import shared_dir
-from ..sources import budget, documents, files, landing, metastore, remote, reports, snapshots
+from ..sources import budget, documents, files, landing, metastore, remote, reports, snapshots, variants
 from .registry import query
 
 
@@ -108,6 +108,33 @@ def doc_facet(t):
         "top": [{"$match": {"meta.k": {"$lt": 50}}}, {"$sort": {"meta.k": -1}}, {"$limit": 3}, {"$project": {"k": "$meta.k"}}]}}])
 
 
+#: Documents in which ``k`` is a number, a text, null, missing, or a list, and ``items`` a list of objects of two kinds, or one object.
+_MIXED = """CASE event_id % 5 WHEN 0 THEN '{"_id":' || event_id || ',"k":' || k || ',"items":[{"q":' || k || '},{"q":"x"}]}' WHEN 1 THEN '{"_id":' || event_id || ',"k":"' || k || '"}'
+  WHEN 2 THEN '{"_id":' || event_id || ',"k":null,"items":{"q":' || k || '}}' WHEN 3 THEN '{"_id":' || event_id || '}' ELSE '{"_id":' || event_id || ',"k":[' || k || ',"' || k || '"],"items":[]}' END AS doc"""
+
+
+def _mixed(t):
+    return t("events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).where("k IS NOT NULL").selectExpr(_MIXED)
+
+
+_MIXED_SQL = "m AS (SELECT event_id, k FROM (SELECT event_id, cast(json_extract(props, '$.k') AS INTEGER) AS k FROM events) WHERE k IS NOT NULL)"
+
+
+@query("doc_find_mixed", f"""WITH {_MIXED_SQL} SELECT cast(event_id AS VARCHAR) AS _id, CASE event_id % 5 WHEN 0 THEN cast(k AS VARCHAR) WHEN 4 THEN '[' || k || ',"' || k || '"]' END AS k
+  FROM m WHERE (event_id % 5 IN (0, 4) AND k > 50) OR (event_id % 5 = 3 AND event_id >= 500)""")
+def doc_find_mixed(t):
+    """Numbers are compared with numbers only, a list by its members; missing is not null."""
+    spec = {"find": {"$or": [{"k": {"$gt": 50}}, {"k": {"$exists": False}, "_id": {"$gte": 500}}]}, "projection": ["_id", "k"]}
+    return variants.doc_find(_mixed(t), "doc", spec)
+
+
+@query("doc_group_mixed", f"""WITH {_MIXED_SQL}, u AS (SELECT cast(k AS VARCHAR) AS _id, k AS own FROM m WHERE event_id % 5 = 0 UNION ALL SELECT '"x"', k FROM m WHERE event_id % 5 = 0 UNION ALL SELECT cast(k AS VARCHAR), NULL FROM m WHERE event_id % 5 = 2)
+  SELECT _id, count(*) AS n, cast(coalesce(sum(own), 0) AS DOUBLE) AS total, cast(min(own) AS VARCHAR) AS least FROM u GROUP BY 1""")
+def doc_group_mixed(t):
+    """Members of a list, or the one object that stands in its place, grouped by a value of two kinds."""
+    return variants.group(_mixed(t), "doc", {"_id": "$items.q", "n": {"$sum": 1}, "total": {"$sum": "$k"}, "least": {"$min": "$k"}}, unwind="items")
+
+
 @query("doc_schema", """WITH f(name, dtype, seen) AS (
   SELECT '_id', 'integer', count(event_id) FROM events UNION ALL SELECT 'user_id', 'integer', count(user_id) FROM events
   UNION ALL SELECT 'meta', 'object', count(*) FROM events UNION ALL SELECT 'meta.k', 'integer', count(try_cast(json_extract_string(props, '$.k') AS BIGINT)) FROM events
