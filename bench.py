@@ -25,6 +25,8 @@ HEADLINE = (
     "table_score", "cosine_topk", "html_extract", "saved_resolve",
     "snapshot_write", "column_type_infer", "r_tool_calls", "r_ordering", "quota_summary", "quota_breach",
     "stream_usage_stats", "stream_daily_cost", "incremental_index",
+    "guidance_search_indexed", "page_deep", "profile_merged", "period_members", "table_pairs_bounded", "cosine_topk_codes",
+    "stream_usage_windows", "doc_ordered_groups", "doc_lookup",
 )
 
 
