@@ -108,3 +108,61 @@ def test_likelihoods_sum_to_one():
     # classes stand for all their characters: sum over those, too
     size = max(len(c) for c in spelled)
     assert total <= 1 + 1e-9 and size == 6
+
+
+def test_every_credential_and_candidate_teaches(spark):
+    rnd = random.Random(3)
+    said = {"ghp_" + drawn(rnd, BASE62, 36) for _ in range(2500)} | {"ghp_" + drawn(rnd, BASE62, n) for n in range(200, 230)}
+    words = {"".join(rnd.choice(["tion", "er", "heit", "lich", "ment", "que", "and"]) for _ in range(rnd.randint(7, 40))) for _ in range(6000)}
+    words = {w for w in words if not re.search("[0-9a-f]{16}", w)}
+    df = spark.createDataFrame([(i, f"token = '{s}' {w}") for i, (s, w) in enumerate(itertools.zip_longest(said, words, fillvalue=""))], "doc_id long, text string")
+    formats = secrets.train(secrets.scan(df))
+    automaton = formats.automata[0]
+    assert automaton.states[0].count >= len(said)  # more come in where states are merged into the first
+    assert automaton.states[0].uses["", "g"] >= len(said)
+    assert formats.words.firsts["^"] == sum(n for p, n in formats.words.pairs.items() if p[0] == "^") == len([w for w in words if len(w) >= 16])
+    assert all(automaton.likelihood(s) / len(s) >= automaton.floor for s in said)  # the long ones, too
+
+
+def test_counted_trees_like_local_ones(spark):
+    rnd = random.Random(9)
+    makes = [lambda: "sk-" + drawn(rnd, HEX, 20), lambda: drawn(rnd, BASE62, rnd.randint(14, 18)), lambda: "".join(rnd.choice(["red", "Green", "blue7"]) for _ in range(4))]
+    said = sorted({rnd.choice(makes)() for _ in range(600)})
+    scanned = secrets.scan(spark.createDataFrame([(f"password: {s}",) for s in said * 2], "text string"))
+    got, want = secrets.train(scanned).automata[0], secrets.infer(said)
+    assert (got.spelling, len(got.states)) == (want.spelling, len(want.states))
+    assert got.floor == pytest.approx(want.floor)
+    assert [got.likelihood(s) for s in said] == pytest.approx([want.likelihood(s) for s in said])
+
+
+def test_state_of_the_rest(spark):
+    """Beyond the tree strings share one state; the probabilities still sum to one."""
+    said = spark.createDataFrame([(0, "".join(s)) for n in (2, 3, 4) for s in itertools.product("ab", repeat=n)], "kind int, value string")
+    totals, spell = {0: said.count()}, secrets.Spelling(set(), {"": {"a": "a", "b": "b"}})
+    nodes, rest = secrets._trees(said, totals, {0: spell}, 2)[0]
+    assert nodes[rest].ends == 24 and nodes[rest].count == 24 + sum(nodes[rest].uses.values()) and sum(n.ends for n in nodes) == totals[0]
+    automaton = secrets.Automaton(spell, secrets.merge_states(nodes, rest=rest))
+    total = sum(math.exp(automaton.likelihood("".join(s))) for n in range(12) for s in itertools.product("ab", repeat=n))
+    assert 0.9 < total <= 1 + 1e-9 and all(automaton.likelihood(r.value) > -math.inf for r in said.collect())
+
+
+def test_merging_beside_the_rest_loses_no_string():
+    for seed in range(60):
+        rnd = random.Random(seed)
+        words = ["".join(rnd.choice("abc"[:rnd.randint(1, 3)]) for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(5, 400))]
+        tree = secrets.prefix_tree([("", c) for c in w[:3]] for w in words)
+        nodes = [secrets.Node(n.count, n.ends, dict(n.next), dict(n.uses)) for n in tree] + [secrets.Node()]
+        rest = len(nodes) - 1
+        for w in (w for w in words if len(w) > 3):
+            at = 0
+            for c in w[:3]:
+                at = tree[at].next["", c]
+            nodes[at].ends -= 1  # it goes on
+            for c in w[3:]:
+                nodes[at].uses["", c], nodes[at].next["", c] = nodes[at].uses.get(("", c), 0) + 1, rest
+                nodes[rest].count, at = nodes[rest].count + 1, rest
+            nodes[rest].ends += 1
+        merged = secrets.merge_states(nodes, rest=rest)
+        automaton = secrets.Automaton(secrets.Spelling(set(), {"": {c: c for c in "abc"}}), merged)
+        assert all(automaton.likelihood(w) > -math.inf for w in words)
+        assert all(n.count == n.ends + sum(n.uses.values()) for n in merged)
