@@ -1,8 +1,9 @@
 """Search without a full scan: a stored table of trigrams and the texts that hold them.
 
 ``build`` writes, once for each version of the texts, the rows themselves, dealt
-into folders by a hash of their key, and a posting (gram, key) for every run of
-three ASCII bytes in the lower-cased texts, dealt by gram and sorted.  A search
+into folders by a hash of their key, and for every run of three ASCII bytes in the
+lower-cased texts its postings, dealt by gram and sorted: the keys of a few
+thousand texts as one row (gram, keys, n).  A search
 takes the parts of its pattern that any match must spell out, looks up how many
 texts hold each of their trigrams, reads the postings of the rarest ones, and
 intersects them.  Only the folders of the rows that are left are read, and the
@@ -10,8 +11,9 @@ caller's exact test runs on those rows alone, so the result is that of the scan.
 
 What a lookup reads follows the rarest grams, not the table.  At most 2**21
 grams exist; a pattern's counts and the folder numbers, ``parts`` at most, are
-all that reaches the driver.  Postings are range-partitioned on (gram, key): a
-gram of very many texts spans several tasks and files.
+all that reaches the driver.  Nothing is shuffled for the index: each task deals
+its own split of the texts, so what a task holds follows the split and not the
+table, and a gram of very many texts spans as many files as there are splits.
 
 A pattern that spells out no three ASCII characters in a row cannot be looked
 up: the whole table is returned, and ``Narrowed.reason`` says so.  Null texts
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, drop_path
+from ..session import cut_lineage, drop_path, spread_small
 
 #: Folders of rows and of postings.
 PARTS = 64
@@ -124,25 +126,35 @@ def needed(literals: Iterable[list[str]] | None) -> list[set[int]] | None:
 
 
 def _grams(body: int, names: list[str]):
+    def packed(part: pa.Array) -> np.ndarray:
+        """row << 21 | gram of the distinct grams of each text."""
+        part = pa.concat_arrays([part])  # offsets from zero
+        _, offsets, data = part.buffers()
+        edge = np.frombuffer(offsets, np.int64, len(part) + 1)
+        raw = np.frombuffer(data, np.uint8)[edge[0]:edge[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+        if len(raw) < 3:
+            return np.empty(0, np.int64)
+        a, b, c = (raw[j:len(raw) - 2 + j] for j in range(3))
+        edge = edge - edge[0]
+        of = np.repeat(np.arange(len(part)), np.diff(edge))
+        whole = ((a | b | c) < 128) & (of[:-2] == of[2:])
+        a, b, c, of = (v[whole].astype(np.int64) for v in (a, b, c, of[:-2]))
+        return np.unique(of << 21 | a << 14 | b << 7 | c)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for column in range(body, batch.num_columns):
-                texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
-                sizes = pc.binary_length(texts).to_numpy()
-                ends, at = np.cumsum(sizes), 0
-                while at < len(texts):
-                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
-                    part = pa.concat_arrays([texts.slice(at, to - at)])  # offsets from zero
-                    _, offsets, data = part.buffers()
-                    edge = np.frombuffer(offsets, np.int64, to - at + 1)
-                    raw = np.frombuffer(data, np.uint8)[edge[0]:edge[-1]] if data is not None and data.size else np.empty(0, np.uint8)
-                    a, b, c = (raw[j:len(raw) - 2 + j].astype(np.int64) for j in range(3)) if len(raw) > 2 else (np.empty(0, np.int64),) * 3
-                    begin = np.arange(len(a))
-                    of = np.searchsorted(edge - edge[0], begin, side="right") - 1
-                    whole = ((a | b | c) < 128) & (begin + 3 <= (edge - edge[0])[of + 1])
-                    seen = np.unique((of << 21 | a << 14 | b << 7 | c)[whole])
-                    yield pa.RecordBatch.from_arrays([pa.array((seen & (1 << 21) - 1).astype(np.int32)), batch.column(0).take(pa.array((seen >> 21) + at))], names=names)
-                    at = to
+            columns = [pc.fill_null(batch.column(i), "").cast(pa.large_string()) for i in range(body, batch.num_columns)]
+            ends, at = np.cumsum(sum(pc.binary_length(c).to_numpy() for c in columns)), 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+                seen = [packed(c.slice(at, to - at)) for c in columns]
+                seen = np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]  # a gram in two columns of a row
+                gram, row = seen & (1 << 21) - 1, seen >> 21
+                order = np.argsort(gram, kind="stable")
+                grams, first, n = np.unique(gram[order], return_index=True, return_counts=True)
+                keys = pa.ListArray.from_arrays(pa.array([*first, len(seen)], pa.int32()), batch.column(0).take(pa.array(row[order] + at)))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int32)), keys, pa.array(n.astype(np.int32))], names=names)
+                at = to
 
     return run
 
@@ -169,7 +181,9 @@ class TextIndex:
         return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(f"{self.path}/rows")
 
     def postings(self) -> DataFrame:
-        kind = [T.StructField("gram", T.IntegerType()), self.schema[self.key], T.StructField("__part", T.IntegerType())]
+        """Rows of (gram, keys, n): a gram has as many as there were chunks of texts with it."""
+        keys = T.ArrayType(self.schema[self.key].dataType)
+        kind = [T.StructField("gram", T.IntegerType()), T.StructField("keys", keys), T.StructField("n", T.IntegerType()), T.StructField("__part", T.IntegerType())]
         return self.spark.read.schema(T.StructType(kind)).parquet(f"{self.path}/postings")
 
     def table(self) -> DataFrame:
@@ -185,11 +199,11 @@ class TextIndex:
         counts = self.counts(set().union(*sets))
         # a gram that no text holds rules its alternative out
         chosen = [sorted(s, key=lambda g: (counts[g], g))[:rarest] for s in sets if all(g in counts for g in s)]
-        postings = self.postings()
+        postings, keys = self.postings(), F.explode("keys").alias(self.key)
         if not chosen:
-            return postings.where("false").select(self.key)
+            return postings.where("false").select(keys)
         asked = sorted(set().union(*chosen))
-        hits = postings.where(F.col("__part").isin(sorted({g % self.parts for g in asked})) & F.col("gram").isin(asked))
+        hits = postings.where(F.col("__part").isin(sorted({g % self.parts for g in asked})) & F.col("gram").isin(asked)).select("gram", keys)
         holds = [F.count_if(F.col("gram").isin(c)) >= len(c) for c in chosen]
         return hits.groupBy(self.key).agg(reduce(lambda a, b: a | b, holds).alias("holds")).where("holds").select(self.key)
 
@@ -236,14 +250,11 @@ def build(items: DataFrame, key: str, columns: list[str], root: str, version: st
     drop_path(spark, path)  # what a build that did not end has left
     if not items.where(F.col(key).isNull()).isEmpty():
         raise ValueError(f"{key} is null in some rows")
-    dealt = items.withColumn("__part", part_of(F.col(key), parts))
-    dealt.repartition(parts, "__part").sortWithinPartitions("__part", key).write.partitionBy("__part").parquet(f"{path}/rows")
-    schema = T.StructType([T.StructField("gram", T.IntegerType()), T.StructField(key, items.schema[key].dataType)])
-    texts = index.rows().select(key, *[F.lower(F.col(c).cast("string")).alias(f"__text{i}") for i, c in enumerate(columns)])
-    postings = texts.mapInArrow(_grams(1, schema.names), schema)
-    if len(columns) > 1:
-        postings = postings.distinct()  # a gram in two columns of a row
-    postings = postings.withColumn("__part", F.col("gram") % parts)
-    postings.repartitionByRange("__part", "gram", key).sortWithinPartitions("__part", "gram", key).write.partitionBy("__part").parquet(f"{path}/postings")
-    index.postings().groupBy("gram").agg(F.count("*").alias("n")).orderBy("gram").write.parquet(f"{path}/counts")
+    dealt = spread_small(items).withColumn("__part", part_of(F.col(key), parts))
+    dealt.write.partitionBy("__part").parquet(f"{path}/rows")
+    schema = T.StructType([T.StructField("gram", T.IntegerType()), T.StructField("keys", T.ArrayType(items.schema[key].dataType)), T.StructField("n", T.IntegerType())])
+    texts = spread_small(items.select(key, *[F.lower(F.col(c).cast("string")).alias(f"__text{i}") for i, c in enumerate(columns)]))
+    postings = texts.mapInArrow(_grams(1, schema.names), schema).withColumn("__part", F.col("gram") % parts)
+    postings.sortWithinPartitions("__part", "gram").write.partitionBy("__part").parquet(f"{path}/postings")
+    index.postings().groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").write.parquet(f"{path}/counts")
     return index
