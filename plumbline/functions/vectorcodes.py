@@ -6,13 +6,15 @@ and the length of what the code leaves out (its residual).  A query's inner
 product with the code is a sum of table entries; with the vector itself it
 differs by the residual at most, the query being of length 1.  So the codes alone
 bound every score from both sides: rows whose upper bound is below a query's k-th
-best lower bound are out, and only the others' vectors are read and scored.  The
-answer is that of the full scan, whatever the codes are; good codes leave few
-survivors.  Centroids are fitted to a bounded sample.
-
-Codes lie in packed blocks, and queries, a frame of any size, are packed into
-sets of bounded size: a task meets one block and one set, nothing of either goes
-through the driver.  Vectors meet queries of their own length; null vectors and
+best lower bound are out, and only the others are scored.  The answer is that of
+the full scan, whatever the codes are; good codes leave few survivors.  Centroids
+are fitted to a bounded sample.
+
+Codes lie in packed blocks beside their vectors, and queries, a frame of any size,
+are packed into sets of bounded size: a task meets one block and one set, scores
+what the codes leave open there and hands on ``k`` rows a query at most, however
+many are open.  Nothing of either goes through the driver.  Every set meets every
+block, so the work grows with queries times rows, in tasks of bounded size.  Vectors meet queries of their own length; null vectors and
 queries take no part, a vector of length 0 scores 0.
 """
 
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ SAMPLE = 1 << 20
 #: Codes of a block and queries of a set, in expectation.
 BLOCK = 16_384
 QUERIES = 1024
+#: Queries of a set that are held against a block at once.
+STEP = 128
 
 
 def _matrix(column, dimension: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def approximate(q: np.ndarray, codes: np.ndarray, centroids: list[np.ndarray]) -
 
 @dataclass
 class Codes:
-    """Packed blocks of codes (block, keys, codes, residuals) of vectors of one length, and their centroids."""
+    """Packed blocks of codes (block, keys, codes, residuals, vectors) of vectors of one length, and their centroids."""
 
     blocks: DataFrame
     centroids: list[np.ndarray]
@@ -96,76 +101,87 @@ class Codes:
 
 def build(vectors: DataFrame, key: str, vector: str, dimension: int, subspaces: int = SUBSPACES, centroids: int = CENTROIDS, sample: int = SAMPLE, block: int = BLOCK) -> Codes:
     """Codes of the vectors of one length."""
-    same = vectors.where(F.size(vector) == dimension).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    same = vectors.where((F.size(vector) == dimension) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     n_blocks = max(1, -(-same.count() // block))
     drawn = same.orderBy(F.xxhash64("key"), "key").limit(max(centroids, sample // max(1, dimension))).select("v").toArrow()
     fitted = fit(_unit(_matrix(drawn["v"], dimension)), subspaces, centroids)
     kind = vectors.schema[key].dataType
-    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("codes", T.BinaryType()), T.StructField("residuals", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("codes", T.BinaryType()), T.StructField("residuals", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
 
     def pack(rows: pa.Table) -> pa.Table:
-        codes, left = encode(_unit(_matrix(rows["v"], dimension)), fitted)
+        unit = _unit(_matrix(rows["v"], dimension))
+        codes, left = encode(unit, fitted)
         keys = rows["key"].combine_chunks()
-        return pa.table({"block": rows["block"].slice(0, 1), "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), "codes": [codes.tobytes()], "residuals": [left.tobytes()]})
+        return pa.table({"block": rows["block"].slice(0, 1), "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), "codes": [codes.tobytes()], "residuals": [left.tobytes()], "vectors": [unit.tobytes()]})
 
     dealt = same.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
     return Codes(cut_lineage(dealt.groupBy("block").applyInArrow(pack, schema)), fitted, dimension, n_blocks)
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    return -np.partition(-values, k - 1, axis=1)[:, k - 1] if values.shape[1] >= k else np.full(len(values), -np.inf)
-
-
-def search(index: Codes, vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, n_queries: int) -> DataFrame:
-    """(query, key, score, rank): of each query (q, v) the k best by max(0, cosine), ties to the smaller key.
-
-    ``vectors`` are those of the index; only the survivors' are read.
-    """
+def search(index: Codes, queries: DataFrame, k: int, n_queries: int) -> DataFrame:
+    """(query, key, score, rank): of each query (q, v) the k best by max(0, cosine), ties to the smaller key."""
     centroids, dimension = index.centroids, index.dimension
     sets = max(1, -(-n_queries // QUERIES))
     # each set meets each block once: a set goes to every block, codes stay where they are
-    asked = queries.where(F.size("v") == dimension).select("q", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("q"), F.lit(sets)).cast("int").alias("part"))
-    kind, q_kind = vectors.schema[key].dataType, queries.schema["q"].dataType
+    asked = queries.where((F.size("v") == dimension) & F.col("q").isNotNull()).select("q", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("q"), F.lit(sets)).cast("int").alias("part"))
+    kind, q_kind = index.blocks.schema["keys"].dataType.elementType, queries.schema["q"].dataType
 
-    def scan(asks: DataFrame, each, schema) -> DataFrame:
+    def scan(asks: DataFrame, each, schema, *columns: str) -> DataFrame:
         spread = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(index.n_blocks - 1))))
-        copies = index.blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+        copies = index.blocks.select("block", "codes", "residuals", *columns).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+        empty = pa.schema([(f.name, _arrow(f.dataType)) for f in schema]).empty_table()
 
         def run(blocks: pa.Table, some: pa.Table) -> pa.Table:
             if not blocks.num_rows or not some.num_rows:
-                return each(None, None, None, None)
+                return empty
             codes = np.frombuffer(blocks["codes"][0].as_py(), np.uint8).reshape(-1, len(centroids))
-            left = np.frombuffer(blocks["residuals"][0].as_py(), np.float32).astype(np.float64)
-            near = approximate(_unit(_matrix(some["v"], dimension)), codes, centroids)
-            # room for the rounding of sums of doubles
-            return each(some, blocks["keys"].combine_chunks().flatten(), np.maximum(near - left - 1e-9, 0), np.maximum(near + left + 1e-9, 0))
+            left, out = np.frombuffer(blocks["residuals"][0].as_py(), np.float32).astype(np.float64), []
+            unit = _unit(_matrix(some["v"], dimension))
+            held = each(blocks)
+            for at in range(0, len(unit), STEP):
+                near = approximate(unit[at:at + STEP], codes, centroids)
+                # room for the rounding of sums of doubles
+                out.append(held(some.slice(at, STEP), unit[at:at + STEP], near, left + 1e-9))
+            return pa.concat_tables(out)
 
         return copies.groupBy("block", "part").cogroup(spread.groupBy("block", "part")).applyInArrow(run, schema)
 
-    def lowest(some, keys, lower, upper):
-        if some is None:
-            return pa.table({"q": pa.array([], _arrow(q_kind)), "low": pa.array([], pa.float64())})
-        take = min(k, lower.shape[1])
-        best = -np.partition(-lower, take - 1, axis=1)[:, :take]
-        return pa.table({"q": some["q"].take(pa.array(np.repeat(np.arange(len(lower)), take))), "low": best.ravel()})
+    def lowest(blocks):
+        def best(some, unit, near, room):
+            lower = np.maximum(near - room, 0)
+            take = min(k, lower.shape[1])
+            best = -np.partition(-lower, take - 1, axis=1)[:, :take]
+            return pa.table({"q": some["q"].take(pa.array(np.repeat(np.arange(len(lower)), take))), "low": best.ravel()})
+
+        return best
 
     lows = scan(asked, lowest, T.StructType([T.StructField("q", q_kind), T.StructField("low", T.DoubleType())]))
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("low")))
     floor = lows.withColumn("place", place).where(F.col("place") == k).select("q", F.col("low").alias("floor"))
     ready = cut_lineage(asked.join(floor, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
 
-    def survivors(some, keys, lower, upper):
-        if some is None:
-            return pa.table({"q": pa.array([], _arrow(q_kind)), "key": pa.array([], _arrow(kind))})
-        r, c = np.nonzero(upper >= some["floor"].to_numpy()[:, None])
-        return pa.table({"q": some["q"].take(pa.array(r)), "key": keys.take(pa.array(c))})
-
-    left = scan(ready, survivors, T.StructType([T.StructField("q", q_kind), T.StructField("key", kind)]))
-    rows = vectors.where(F.size(vector) == dimension).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("w"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = left.join(rows, "key").join(ready.select("q", "v"), "q")
-    size = F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w"))
-    scored = met.select("q", "key", F.when(size > 0, F.greatest(dot("v", "w") / size, F.lit(0.0))).otherwise(0.0).alias("score"))
+    def survivors(blocks):
+        keys = blocks["keys"].combine_chunks().flatten()
+        rows = np.frombuffer(blocks["vectors"][0].as_py(), np.float64).reshape(-1, dimension)
+        order = np.empty(len(keys), np.int64)
+        order[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+
+        def best(some, unit, near, room):
+            open_ = np.maximum(near + room, 0) >= some["floor"].to_numpy()[:, None]
+            at = np.flatnonzero(open_.any(axis=0))
+            scores = np.maximum(unit @ rows[at].T, 0)
+            of, found, values = [], [], []
+            for i, (mine, score) in enumerate(zip(open_[:, at], scores, strict=True)):
+                pick = np.flatnonzero(mine)
+                pick = pick[np.lexsort((order[at[pick]], -np.round(score[pick], 9)))[:k]]
+                of.append(np.full(len(pick), i))
+                found.append(at[pick])
+                values.append(score[pick])
+            return pa.table({"q": some["q"].take(pa.array(np.concatenate(of))), "key": keys.take(pa.array(np.concatenate(found))), "score": np.concatenate(values)})
+
+        return best
+
+    scored = scan(ready, survivors, T.StructType([T.StructField("q", q_kind), T.StructField("key", kind), T.StructField("score", T.DoubleType())]), "keys", "vectors")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "key"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -186,7 +202,7 @@ def cosine_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k
     parts = []
     for row in asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect():  # one row for each length of vectors
         index = build(usable, key, vector, row["d"], **sizes)
-        parts.append(search(index, usable, key, vector, asked, k, row["n"]))
+        parts.append(search(index, asked, k, row["n"]))
     if not parts:
         return vectors.sparkSession.createDataFrame([], T.StructType([T.StructField(label, queries.schema[label].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
     out = parts[0]
