@@ -1,14 +1,16 @@
 """Pages by rank: a stored order in which any page is read from the parts that hold it.
 
 An offset has to count through everything before it, in one task.  A rank map
-keeps a listing sorted into range partitions of about ``rows_per_part`` rows,
+keeps a listing sorted into range partitions of ``rows_per_part`` rows or more,
 with each row's place in its part, and the parts' counts.  The page at rank r
 lies in the parts whose counts add up to r: one or two folders are read, and of
 those the rows of the page, however deep it is.  The same counts turn a row
 that is found by its own columns back into its rank and page.
 
 The map is of one version of a listing; a changed one gets a map of its own.
-The counts, a row for each part, are what reaches the driver.  Equal order
+A part is a task, a folder and a count that the driver hears of, so there are ``MOST``
+of them at most: beyond that the parts grow.  The counts, a row for each part, are
+what reaches the driver.  Equal order
 values would make the places a matter of chance, so the order must be unique,
 as that of any paged listing.
 """
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 from ..session import drop_path
 
 ROWS_PER_PART = 1_000_000
+#: Parts of a map at most.
+MOST = 512
 
 
 @dataclass
@@ -74,7 +78,7 @@ def build(df: DataFrame, order: list[Column], root: str, version: str, rows_per_
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/counts/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         drop_path(spark, path)
-        parts = max(1, -(-df.count() // rows_per_part))
+        parts = min(MOST, max(1, -(-df.count() // rows_per_part)))
         placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         # the place within a partition is the low part of the running id
         placed = placed.withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).withColumn("__part", F.spark_partition_id())

@@ -63,6 +63,14 @@ def test_map_of_a_version(spark, listing):
     assert first.slice(-3, 5).count() == 0 and first.slice(29_998, 5).count() == 2
 
 
+def test_parts_are_bounded(spark, listing, monkeypatch):
+    monkeypatch.setattr(rankmap, "MOST", 6)
+    ranked = rankmap.build(listing, order(), shared_dir(spark, "rank-bounded"), "1", 10)
+    assert len(ranked.starts) - 1 <= 6 and ranked.total == 30_000
+    for number, size in ((1, 10), (1700, 9), (3000, 10)):
+        assert [tuple(r) for r in ranked.page(number, size).collect()] == [tuple(r) for r in paging.page(listing, order(), number, size).collect()]
+
+
 # ---- sketches ---------------------------------------------------------------------------------------
 
 
