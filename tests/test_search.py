@@ -135,3 +135,11 @@ def test_repeated_keys_keep_all_rows(spark):
     index = postings.build(df, "item_id", ["text"], shared_dir(spark, "index-repeats"), parts=4)
     got = index.matching(["abcd"]).rows.where("text rlike 'abcd'").collect()
     assert sorted(tuple(r) for r in got) == [(1, "abcdef")] * 2 + [(3, "abcdefghijkl")] * 2
+
+
+def test_postings_are_packed_and_whole(spark, rows, index):
+    stored = index.postings()
+    assert stored.columns == ["gram", "keys", "n", "__part"] and stored.where("n <> size(keys) OR __part <> gram % 32").isEmpty()
+    got = {(r.gram, r.key) for r in stored.selectExpr("gram", "explode(keys) AS key").collect()}
+    assert got == {(g, r.item_id) for r in rows.collect() for c in (r.text, r.category, str(r.item_id)) for g in postings.codes(c or "")}
+    assert stored.count() < len(got) / 4

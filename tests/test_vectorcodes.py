@@ -55,3 +55,18 @@ def test_codes_bound_scores_and_leave_few():
     floor = np.sort(near - left, axis=1)[:, -10]
     open_ = (near + left >= floor[:, None]).mean()
     assert open_ < 0.1  # one cluster of forty is 0.025 of the rows
+
+
+def test_repeated_rows_and_queries_like_the_full_scan(spark):
+    rows = data(300) * 2 + [(None, "k0", [1.0] * 24)] * 3
+    v = spark.createDataFrame(rows, "id long, kind string, v array<double>")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("vector"))
+    same(vectorcodes.cosine_topk(v, "id", "v", q, 5, block=90), similarity.cosine_topk(v.where("id IS NOT NULL"), "id", "v", q, 5))
+
+
+def test_pairs_are_scored_where_the_codes_are(spark):
+    """Random directions leave nearly every pair open; no pair may leave its task for a join."""
+    v = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=16).tolist()) for i in range(200)], "id long, v array<double>")
+    out = vectorcodes.cosine_topk(v, "id", "v", v.where("id % 10 = 0").selectExpr("id AS query", "v AS vector"), 3, block=50)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 60
